@@ -1,0 +1,118 @@
+"""Chat formatting by prefix-target expansion.
+
+Every assistant turn becomes an example of its own: all turns before it as context, and only that reply
+trainable. A conversation that does not end with a reply has one more row, without a trainable part, so
+that every turn is in the output. Turns are marked by control strings; control strings inside texts and
+roles are escaped by a backslash after their first character (backslashes are doubled), which
+``unescape`` takes back. The turns of a conversation are streamed in order: a task holds the text of one
+conversation so far, as each example does.
+
+Order: turn, then role and text; null turns first. Null roles and texts are empty; null ids are one
+conversation. Empty tables give no rows, repeated rows are repeated turns, other columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+TURN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
+TARGET = "assistant"
+#: Starts of control strings, of this template and of other public ones.
+CONTROL = re.compile(r"<\||</?s>|\[/?INST\]|<</?SYS>>")
+PARSE = re.compile(re.escape(TURN) + "(.*?)" + re.escape(SAYS) + "(.*?)" + re.escape(END), re.S)
+EXAMPLE = "conv_id long, example int, formatted string, loss_start long, loss_end long"
+NAMES = ["conv_id", "example", "formatted", "loss_start", "loss_end"]
+TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+
+
+def escape(text: str) -> str:
+    return CONTROL.sub(lambda m: m[0][0] + "\\" + m[0][1:], text.replace("\\", "\\\\"))
+
+
+def unescape(text: str) -> str:
+    return re.sub(r"\\(\\?)", r"\1", text)
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    now, prefix, example, open_turn = None, "", 0, False
+    started = False
+    for batch in batches:
+        out = []
+        for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+            if not started or conv != now:
+                if open_turn:
+                    out.append((now, example, prefix, 0, 0))
+                now, prefix, example, open_turn, started = conv, "", 0, False, True
+            head = prefix + TURN + escape(role) + SAYS
+            body = escape(text)
+            prefix = head + body + END
+            open_turn = role != TARGET
+            if not open_turn:
+                out.append((conv, example, prefix, len(head), len(head) + len(body)))
+                example += 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], NAMES)
+    if open_turn:
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((now, example, prefix, 0, 0), TYPES, strict=True)], NAMES)
+
+
+def format_examples(conversations: DataFrame) -> DataFrame:
+    """One row for each example: formatted text and the span (code points) of its trainable reply.
+
+    Rows of a conversation are together, in order of ``example``.
+    """
+    turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return ordered.mapInArrow(_expand, EXAMPLE)
+
+
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+
+
+class _Read:
+    """What the examples of one conversation say, read back from their formatted texts."""
+
+    def __init__(self, conv):
+        self.conv, self.last, self.loss, self.loss_chars, self.chars, self.n = conv, "", hashlib.sha256(), 0, 0, 0
+
+    def add(self, formatted: str, start: int, end: int) -> None:
+        reply = unescape(formatted[start:end])
+        self.last, self.loss_chars, self.chars, self.n = formatted, self.loss_chars + len(reply), self.chars + len(formatted), self.n + 1
+        self.loss.update(reply.encode())
+
+    def row(self) -> tuple:
+        turns, n = hashlib.sha256(), 0
+        for m in PARSE.finditer(self.last):
+            turns.update(f"{unescape(m[1])}\n{unescape(m[2])}\n".encode())
+            n += 1
+        return self.conv, n, turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, self.n
+
+
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in DIGEST.split(", ")]
+    types = [pa.string() if "string" in x else pa.int64() for x in DIGEST.split(", ")]
+    as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    now = None
+    for batch in batches:
+        rows = []
+        for conv, formatted, start, end in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_start", "loss_end")), strict=True):
+            if now is None or now.conv != conv:
+                if now is not None:
+                    rows.append(now.row())
+                now = _Read(conv)
+            now.add(formatted, start, end)
+        if rows:
+            yield as_batch(rows)
+    if now is not None:
+        yield as_batch([now.row()])
+
+
+def read_back(examples: DataFrame) -> DataFrame:
+    """One row for each conversation of ``format_examples``' output, parsed from the formatted texts."""
+    return examples.mapInArrow(_digest, DIGEST)

@@ -1,0 +1,168 @@
+"""Exact top-k by inner product with KD-trees over shards of the candidates.
+
+Vectors become integers, floor(scale * x). Each task cuts its candidates into shards of ``SHARD_ROWS``,
+splits a shard at medians of its widest dimension into leaves of ``LEAF_ROWS`` and keeps the tight
+bounding box of every node. A query descends best first: a box cannot hold a score above
+sum(max(q*low, q*high)). The k-th best score so far is carried from shard to shard, and starts from an
+exact search of a bounded sample of candidates. Queries come in blocks of about ``BLOCK_ROWS``; only a
+block and its bounds are sent to the tasks.
+
+Vectors that are null, have a null or non-finite component, have another length than most, or have no
+id take no part. Rows that repeat a query's id are not its candidates. Ties go to the smaller id.
+"""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+SCALE = 1024
+SHARD_ROWS, LEAF_ROWS, BLOCK_ROWS, SEED_ROWS = 4096, 64, 2048, 4096
+
+
+def integers(vectors: pa.Array, dim: int, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray]:
+    """(which rows take part, their integer vectors as doubles)."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    size = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(size == dim)
+    flat = pc.list_flatten(vectors.take(pa.array(rows)))
+    x = pc.fill_null(flat.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+    fine = np.isfinite(x).all(axis=1)
+    return rows[fine], np.floor(scale * x[fine])
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer-valued doubles."""
+    if not x.size or np.abs(x).max() * max(1.0, np.abs(q).max()) * x.shape[1] < 2.0**53:
+        return (x @ q.T).astype(np.int64)
+    return x.astype(np.int64) @ q.astype(np.int64).T
+
+
+class Tree:
+    def __init__(self, x: np.ndarray, leaf_rows: int = LEAF_ROWS):
+        self.low, self.high, self.kids, self.rows = [], [], [], []
+        self._grow(x, np.arange(len(x)), leaf_rows)
+        self.low, self.high = np.array(self.low), np.array(self.high)
+
+    def _grow(self, x: np.ndarray, rows: np.ndarray, leaf_rows: int) -> int:
+        me, part = len(self.kids), x[rows]
+        low, high = part.min(axis=0), part.max(axis=0)
+        self.low.append(low)
+        self.high.append(high)
+        self.kids.append(None)
+        self.rows.append(rows)
+        wide = int((high - low).argmax())
+        if len(rows) > leaf_rows and high[wide] > low[wide]:
+            order = np.argpartition(part[:, wide], len(rows) // 2)
+            self.rows[me] = None
+            self.kids[me] = (self._grow(x, rows[order[: len(rows) // 2]], leaf_rows), self._grow(x, rows[order[len(rows) // 2 :]], leaf_rows))
+        return me
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """Highest score that each node could hold, for each query."""
+        return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
+
+
+class Best:
+    """The k best (score, id) of each query so far, and the bound that the k-th of them gives."""
+
+    def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray):
+        self.ids, self.k, self.floor = ids, k, floor.astype(np.float64).copy()
+        self.score, self.id = [np.zeros(0, np.int64) for _ in ids], [np.zeros(0, np.int64) for _ in ids]
+
+    def add(self, i: int, score: np.ndarray, ids: np.ndarray) -> None:
+        keep = (score >= self.floor[i]) & (ids != self.ids[i])
+        if not keep.any():
+            return
+        s, d = np.concatenate([self.score[i], score[keep]]), np.concatenate([self.id[i], ids[keep]])
+        top = np.lexsort((d, -s))[: self.k]
+        self.score[i], self.id[i] = s[top], d[top]
+        if len(top) == self.k:
+            self.floor[i] = max(self.floor[i], float(s[top[-1]]))
+
+
+def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, best: Best) -> None:
+    """Best-first descent of one shard for every query."""
+    tree = Tree(x)
+    reach = tree.bounds(q)
+    slack = 1.0 + np.abs(reach).max() * 1e-12
+    for i in range(len(q)):
+        heap = [(-reach[i, 0], 0)]
+        while heap:
+            top, node = heapq.heappop(heap)
+            if -top + slack < best.floor[i]:
+                break
+            if tree.kids[node] is None:
+                rows = tree.rows[node]
+                best.add(i, products(x[rows], q[i : i + 1])[:, 0], ids[rows])
+            else:
+                for kid in tree.kids[node]:
+                    heapq.heappush(heap, (-reach[i, kid], kid))
+
+
+def _frame(rows: DataFrame, dim: int, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and integer vectors of a bounded set of rows."""
+    table = rows.toArrow()
+    use, x = integers(table.column("v"), dim, scale)
+    return table.column("id").to_numpy()[use], x
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", scale: int = SCALE) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score of each query's k best candidates."""
+    spark = vectors.sparkSession
+    rows = vectors.where(F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).alias("v"), is_query.alias("q"))
+    sizes = rows.where(F.size("v") > 0).groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.count_if("q").alias("nq")).orderBy(F.desc("n"), "d").limit(1).collect()
+    schema = "query_id long, vec_id long, score long"
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    dim, blocks = sizes[0]["d"], max(1, -(-sizes[0]["nq"] // BLOCK_ROWS))
+    seed_ids, seed = _frame(rows.where(F.size("v") == dim).orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS).select("id", "v"), dim, scale)
+    found = None
+    for b in range(blocks):
+        mine = rows.where(F.col("q") & (F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).select("id", "v")
+        q_ids, q = _frame(mine, dim, scale)
+        q_ids, one = np.unique(q_ids, return_index=True)
+        part = rows.select("id", "v").mapInArrow(_searcher(q_ids, q[one], k, dim, scale, seed_ids, seed), schema)
+        found = part if found is None else found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searcher(q_ids: np.ndarray, q: np.ndarray, k: int, dim: int, scale: int, seed_ids: np.ndarray, seed: np.ndarray):
+    floor = np.full(len(q_ids), -np.inf)
+    if len(q_ids) and len(seed_ids) > k:
+        first = Best(q_ids, k, floor)
+        distinct, one = np.unique(seed_ids, return_index=True)
+        search(seed[one], distinct, q, first)
+        floor = first.floor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, held, n = Best(q_ids, k, floor), [], 0
+
+        def flush() -> None:
+            if n and len(q_ids):
+                search(np.concatenate([x for _, x in held]), np.concatenate([i for i, _ in held]), q, best)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SHARD_ROWS):
+                part = batch.slice(at, SHARD_ROWS)
+                use, x = integers(part.column(1), dim, scale)
+                held.append((part.column(0).to_numpy(zero_copy_only=False)[use], x))
+                n += len(use)
+                if n >= SHARD_ROWS:
+                    flush()
+                    held, n = [], 0
+        flush()
+        sizes = [len(s) for s in best.score]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate(best.id)), pa.array(np.concatenate(best.score))], ["query_id", "vec_id", "score"])
+
+    return run

@@ -1,0 +1,232 @@
+"""Best-fit packing by exact-complement hashing.
+
+Texts become token ids; a text longer than a sequence is cut into full sequences and one shorter first
+piece. All that packing needs is how many pieces there are of each length, at most ``capacity`` numbers
+whatever the input holds. ``plan`` works on that histogram: for the longest piece left it looks up single
+lengths, pairs and triples that fill the gap exactly, under the counts still available; where none does,
+the longest fitting piece is added (best fit) and the lookup repeats. A pattern is used as often as its
+scarcest length allows, so there are a few patterns for each length at most. Pieces then take their places
+by their rank among the pieces of their length; ranks are counted in salted cells, so one very common
+length is dealt over many tasks.
+
+Null texts are empty (one end token). Repeated rows are pieces of their own. Empty tables give no rows.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from larkspur.llm.store import settle
+
+CAPACITY = 1024
+END_ID = 2
+#: Distinct space-delimited chunks whose ids a Python worker remembers.
+CACHE_CHUNKS = 400_000
+PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
+class ChunkTokenizer:
+    """Token ids as little-endian 32-bit bytes.
+
+    The pre-tokenizer always starts a token at a single space between two other characters, so a text
+    is the concatenation of its chunks cut before such spaces. Chunks repeat and their ids are
+    remembered. Texts with a space next to other white space are given to the tokenizer whole.
+    """
+
+    uneven = re.compile(r" \s|\s ")
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.encode = Tokenizer.from_file(path).encode_batch_fast
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.encode(texts, add_special_tokens=False)]
+
+    def __call__(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if text[0] == " " or text[-1] == " " or self.uneven.search(text):
+            return self._ids([text])[0]
+        chunks = text.split(" ")
+        chunks[1:] = [" " + x for x in chunks[1:]]
+        known = self.known
+        new = [x for x in set(chunks) if x not in known]
+        if new:
+            if len(known) + len(new) > CACHE_CHUNKS:
+                known.clear()
+                new = list(set(chunks))
+            known.update(zip(new, self._ids(new), strict=True))
+        return b"".join(map(known.__getitem__, chunks))
+
+
+_tokenizers: dict[str, ChunkTokenizer] = {}
+
+
+def tokenizer(path: str) -> ChunkTokenizer:
+    if path not in _tokenizers:
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        _tokenizers[path] = ChunkTokenizer(path)
+    return _tokenizers[path]
+
+
+def cut(n: int, capacity: int) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of ``n`` tokens."""
+    if n <= capacity:
+        return [(0, n)]
+    head = n % capacity
+    return ([(0, head)] if head else []) + [(s, capacity) for s in range(head, n, capacity)]
+
+
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """One row for each piece; with ``keep_ids`` its ids as little-endian 32-bit bytes too."""
+    end = np.asarray([end_id], dtype="<u4").tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of = tokenizer(path)
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = ids_of(body.as_py() or "") + end
+                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
+                    part = ids[4 * start : 4 * (start + n)]
+                    out.append((doc_id, k, start, n, zlib.crc32(part), part)[: 5 + keep_ids])
+            cols = list(zip(*out, strict=True)) or [[]] * (5 + keep_ids)
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types[: len(cols)], strict=True)], names[: len(cols)])
+
+    return docs.select("doc_id", F.col(text).alias("text")).mapInArrow(run, PIECE + (", ids binary" if keep_ids else ""))
+
+
+class _Sums:
+    """Looks up one, two or three available lengths with a given sum."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+
+    def pair(self, total: int, top: int, left: np.ndarray) -> tuple[int, int] | None:
+        a = np.arange(min(top, total - 1), (total + 1) // 2 - 1, -1)
+        if not len(a):
+            return None
+        ok = (left[a] > 0) & (left[total - a] > 0)
+        if total % 2 == 0 and a[-1] * 2 == total:
+            ok[-1] = left[a[-1]] > 1
+        hit = np.flatnonzero(ok)
+        return (int(a[hit[0]]), int(total - a[hit[0]])) if len(hit) else None
+
+    def exact(self, total: int) -> list[int] | None:
+        left = self.left
+        if left[total] > 0:
+            return [total]
+        if (two := self.pair(total, total, left)) is not None:
+            return list(two)
+        have = np.flatnonzero(left[: total - 1] > 0)
+        if not len(have) or 3 * have[-1] < total:
+            return None
+        for a in have[::-1]:
+            if 3 * a < total:
+                return None
+            left[a] -= 1
+            two = self.pair(total - int(a), int(a), left)
+            left[a] += 1
+            if two is not None:
+                return [int(a), *two]
+        return None
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    """Patterns (lengths, how often) that use up ``counts``."""
+    left = np.zeros(capacity + 1, dtype=np.int64)
+    for n, c in counts.items():
+        left[n] += c
+    sums, out = _Sums(left), []
+    for longest in range(capacity, 0, -1):
+        while left[longest] > 0:
+            took, gap = [longest], capacity - longest
+            left[longest] -= 1
+            while gap > 0:
+                more = sums.exact(gap)
+                if more is None:
+                    fit = np.flatnonzero(left[1 : gap + 1] > 0)
+                    if not len(fit):
+                        break
+                    more = [int(fit[-1]) + 1]
+                for n in more:
+                    left[n] -= 1
+                took += more
+                gap -= sum(more)
+            lengths, each = np.unique(took, return_counts=True)
+            again = int((left[lengths] // each).min())
+            left[lengths] -= each * again
+            out.append((took, 1 + again))
+    return out
+
+
+def places(patterns: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
+    """For each length: rows (first rank, first sequence, pieces a sequence, offset of the first)."""
+    found: dict[int, list] = {}
+    used: dict[int, int] = {}
+    sequence = 0
+    for took, times in patterns:
+        offset = 0
+        for n, each in zip(*np.unique(took, return_counts=True), strict=True):
+            n, each = int(n), int(each)
+            found.setdefault(n, []).append((used.get(n, 0), sequence, each, offset))
+            used[n] = used.get(n, 0) + each * times
+            offset += n * each
+        sequence += times
+    return {n: np.asarray(rows, dtype=np.int64) for n, rows in found.items()}
+
+
+def ranked(rows: DataFrame, by: str, tie: list[str], n_rows: int) -> DataFrame:
+    """Add ``rank``: gapless from 0 within each value of ``by``, counted in about sqrt(n) cells a value."""
+    cells = max(1, math.isqrt(n_rows))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(*tie), F.lit(cells)).cast("int"))
+    sizes = rows.groupBy(by, "_cell").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(by, "_cell", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(by, "_cell").orderBy(*tie)
+    return (
+        rows.withColumn("_in", F.row_number().over(inside) - 1).join(before, [by, "_cell"])
+        .withColumn("rank", F.col("_in") + F.col("_before")).drop("_cell", "_in", "_before")
+    )
+
+
+def place(cut_rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """Give each piece (columns of ``PIECE`` first) its ``sequence_id`` and ``offset``. ``cut_rows`` should be settled."""
+    counts = {r["length"]: r["n"] for r in cut_rows.groupBy("length").agg(F.count("*").alias("n")).collect()}  # one number a length
+    table = places(plan(counts, capacity))
+    rows = ranked(cut_rows, "length", ["doc_id", "piece", "ids_crc32"], sum(counts.values()))
+    columns = [c for c in rows.columns if c != "rank"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
+            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+            for n in np.unique(length):
+                at, runs = np.flatnonzero(length == n), table[int(n)]
+                first, seq0, each, off0 = runs[np.searchsorted(runs[:, 0], rank[at], side="right") - 1].T
+                sequence[at] = seq0 + (rank[at] - first) // each
+                offset[at] = off0 + (rank[at] - first) % each * n
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "rank")
+    return rows.mapInArrow(run, schema + ", sequence_id long, offset long")
+
+
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Pack texts into sequences of at most ``capacity`` tokens: one row for each piece."""
+    return place(settle(pieces(docs, path, capacity, end_id, text, keep_ids), "pieces"), capacity)

@@ -1,0 +1,156 @@
+"""Quality rules with thresholds learned per language and source (DataFrame functions only).
+
+Base figures of a text are counted first. Two ratios of it (symbols and repeated lines) are then held
+against limits that come from mergeable quantile sketches: every value is put into a bucket of a
+logarithmic scale (``RELATIVE`` error), and a sketch is the number of documents in each bucket. Adding
+sketches merges them, so a small group borrows the sketch of its language, and then that of the corpus,
+at no further pass over texts. A limit is ``median + SPREAD * (q90 - median)``, never below ``FLOOR``: a
+group without junk rejects nothing, however its usual level lies.
+
+Nulls: a null text has no words and fails the base rules; a null language or source is a group of its own.
+Empty tables give empty results; repeated rows are counted and returned as often as they occur.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from larkspur.llm.store import settle
+
+WS = r"[\x20\x09-\x0D]+"
+WS_CHARS = " \t\n\x0b\x0c\r"
+#: Ratio of neighbouring bucket bounds of a sketch.
+RELATIVE = 1.05
+#: Values are held in units of one ten-thousandth.
+UNIT = 10_000
+SPREAD = 4.0
+#: No limit lies below these (share of characters, share of lines).
+FLOOR = {"symbol_share": 0.02, "dup_line_share": 0.30}
+#: Groups with fewer documents use the merged sketch of their language, or of the corpus.
+MIN_GROUP = 200
+#: Groups whose limits may be broadcast (each is some 100 bytes). More are joined by a shuffle.
+MAX_BROADCAST_GROUPS = 100_000
+RATIOS = tuple(FLOOR)
+
+
+def split_words(text: Column) -> Column:
+    """Words of a text, an empty array if it is null or blank."""
+    bare = F.btrim(text, F.lit(WS_CHARS))
+    return F.when(text.isNull() | (bare == ""), F.array().cast("array<string>")).otherwise(F.split(bare, WS))
+
+
+def repeat_words(words: Column, n: Column) -> Column:
+    """Words inside 5-word windows that occur twice or more, first occurrences included.
+
+    Window hashes are compared as 64-bit values. Positions of repeated windows come from sorting
+    (hash, position) pairs, and only in texts where the hashes are not all distinct.
+    """
+    at = F.sequence(F.lit(0), n - 5)
+    hashes = F.transform(at, lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(5)]))
+    ranked = F.array_sort(F.arrays_zip(hashes.alias("h"), at.alias("i")))
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice(ranked["h"], 1, n - 5))
+    after = F.concat(F.slice(ranked["h"], 2, n - 5), F.array(F.lit(None).cast("long")))
+    marked = F.zip_with(
+        ranked, F.arrays_zip(before.alias("b"), after.alias("a")),
+        lambda r, o: F.when(r["h"].eqNullSafe(o["b"]) | r["h"].eqNullSafe(o["a"]), r["i"]),
+    )
+    starts = F.array_sort(F.array_compact(marked))
+    covered = F.aggregate(
+        starts, F.struct(F.lit(0).alias("total"), F.lit(-5).alias("last")),
+        lambda acc, s: F.struct((acc["total"] + F.least(F.lit(5), s - acc["last"])).alias("total"), s.alias("last")),
+        lambda acc: acc["total"],
+    )
+    plain = F.size(F.array_distinct(hashes)) == F.size(hashes)
+    return F.when(n < 6, F.lit(0)).when(plain, F.lit(0)).otherwise(covered).cast("long")
+
+
+def with_figures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add struct ``_fig``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_chars."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    lines = F.filter(F.split(body, "\n"), lambda x: F.btrim(x, F.lit(WS_CHARS)) != "")
+    out = docs.withColumn("_words", split_words(F.col(text))).withColumn("_lines", lines)
+    words, n = F.col("_words"), F.size("_words")
+    figures = F.struct(
+        n.cast("long").alias("n_words"),
+        F.char_length(F.array_join(words, "")).cast("long").alias("word_chars"),
+        F.char_length(F.regexp_replace(body, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
+        repeat_words(words, n).alias("n_repeat_words"),
+        F.size("_lines").cast("long").alias("n_lines"),
+    )
+    return out.withColumn("_fig", figures).drop("_words", "_lines")
+
+
+def base_failed(fig: Column) -> Column:
+    return (fig["n_words"] < 10) | (100 * fig["n_repeat_words"] > 20 * fig["n_words"])
+
+
+def ratio(fig: Column, name: str) -> Column:
+    top, under = {"symbol_share": ("n_symbols", "word_chars"), "dup_line_share": ("n_dup_lines", "n_lines")}[name]
+    return fig[top] / F.greatest(fig[under], F.lit(1))
+
+
+def bucket(value: Column) -> Column:
+    """Bucket of the sketch: 0 for values under one unit, then logarithmic."""
+    units = value * UNIT
+    return F.when(units < 1, F.lit(0)).otherwise(1 + F.floor(F.log(units) / F.log(F.lit(RELATIVE)))).cast("int")
+
+
+def bucket_top(b: Column) -> Column:
+    return F.pow(F.lit(RELATIVE), b.cast("double")) / UNIT
+
+
+def limits(figures: DataFrame) -> DataFrame:
+    """Limits for each (lang, source) of rows (lang, source, _fig); nulls are kept as groups."""
+    passed = figures.where(~base_failed(F.col("_fig")))
+    values = F.array(*[F.struct(F.lit(m).alias("metric"), bucket(ratio(F.col("_fig"), m)).alias("bucket")) for m in RATIOS])
+    sketch = (
+        passed.select("lang", "source", F.explode(values).alias("v")).select("lang", "source", "v.*")
+        .groupBy("lang", "source", "metric", "bucket").agg(F.count("*").alias("n"))
+    )
+    everyone = F.struct(F.lit(0).alias("level"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
+    by_lang = F.struct(F.lit(1).alias("level"), F.col("lang"), F.lit(None).cast("string").alias("source"))
+    own = F.struct(F.lit(2).alias("level"), F.col("lang"), F.col("source"))
+    merged = (
+        sketch.select(F.explode(F.array(everyone, by_lang, own)).alias("g"), "metric", "bucket", "n")
+        .groupBy("g.level", "g.lang", "g.source", "metric", "bucket").agg(F.sum("n").alias("n"))
+    )
+    key = Window.partitionBy("level", "lang", "source", "metric")
+    ranked = merged.withColumn("upto", F.sum("n").over(key.orderBy("bucket"))).withColumn("total", F.sum("n").over(key))
+    fences = ranked.groupBy("level", "lang", "source", "metric").agg(
+        F.max("total").alias("docs"),
+        *[F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(name) for name, q in (("b50", 0.5), ("b90", 0.9))],
+    )
+    mid, high = bucket_top(F.col("b50")), bucket_top(F.col("b90"))
+    floor = F.element_at(F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv]), F.col("metric"))
+    wide = (
+        fences.withColumn("limit", F.greatest(mid + SPREAD * (high - mid), floor))
+        .groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("metric") == m, F.col("limit"))).alias(m) for m in RATIOS])
+    )
+    a, b, c = (wide.where(F.col("level") == i) for i in (2, 1, 0))
+    b = b.select("lang", F.col("docs").alias("docs1"), *[F.col(m).alias(f"{m}1") for m in RATIOS])
+    c = c.select(F.col("level").alias("level0"), *[F.col(m).alias(f"{m}0") for m in RATIOS])
+    b = b.withColumnRenamed("lang", "lang1")
+    pick = lambda m: F.when(F.col("docs") >= MIN_GROUP, F.col(m)).when(F.col("docs1") >= MIN_GROUP, F.col(f"{m}1")).otherwise(F.col(f"{m}0"))
+    joined = a.join(b, a["lang"].eqNullSafe(b["lang1"])).join(c, a["level"] == c["level0"] + 2)
+    return joined.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), *[pick(m).alias(f"_limit_{m}") for m in RATIOS])
+
+
+def judge(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", figures: DataFrame | None = None) -> DataFrame:
+    """``docs`` with ``_fig``, ``base_failed`` and ``kept``. ``figures``: settled rows (lang, source, _fig), else counted here."""
+    rows = docs if "_fig" in docs.columns else with_figures(docs, text)
+    if figures is None:
+        figures = rows.select(F.col(lang).alias("lang"), F.col(source).alias("source"), "_fig")
+    found = settle(limits(figures), "limits")
+    few = found.count() <= MAX_BROADCAST_GROUPS
+    found = F.broadcast(found) if few else found
+    out = rows.join(found, rows[lang].eqNullSafe(found["_l"]) & rows[source].eqNullSafe(found["_s"]), "left").drop("_l", "_s")
+    fine = F.lit(True)
+    for m in RATIOS:
+        fine = fine & (ratio(F.col("_fig"), m) <= F.coalesce(F.col(f"_limit_{m}"), F.lit(float("inf"))))
+    return (
+        out.withColumn("base_failed", base_failed(F.col("_fig"))).withColumn("kept", ~F.col("base_failed") & fine)
+        .drop(*[f"_limit_{m}" for m in RATIOS])
+    )

@@ -1,0 +1,132 @@
+"""Sharding by a consistent-hash ring with virtual nodes and bounded loads (DataFrame functions only).
+
+Every shard has ``VIRTUAL`` points on the ring. A row hashes onto the ring by its id and belongs to the arc
+that ends at the next point. Rows are counted for each arc (a fixed number of arcs, whatever the input
+holds). A shard takes rows until it holds its bound, the total divided by the shards, one more for the
+first ones where that is not whole; what overflows of an arc continues clockwise to the next shard with
+room. So shards differ by one row at most, and rows that do not overflow stay where the ring puts them.
+Within an arc, rows are ranked in salted cells; equal rows are counted before they are dealt.
+
+Nulls: a null id hashes like any other value, a null text has size 1. Empty tables give no rows.
+"""
+
+from __future__ import annotations
+
+import bisect
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from larkspur.llm.store import settle
+
+SHARDS = 8
+VIRTUAL = 128
+RING = 1 << 32
+
+
+def _point(shard: int, k: int) -> int:
+    import zlib
+
+    return zlib.crc32(f"{shard}/{k}/ring".encode())
+
+
+def ring(shards: int, virtual: int = VIRTUAL) -> list[tuple[int, int]]:
+    """Sorted points (position, shard)."""
+    return sorted({_point(s, k): s for s in range(shards) for k in range(virtual)}.items())
+
+
+def clockwise(points: list[tuple[int, int]], arc: int, shards: int) -> list[int]:
+    """Shards in the order in which a row of ``arc`` meets them."""
+    met: list[int] = []
+    for j in range(len(points)):
+        s = points[(arc + j) % len(points)][1]
+        if s not in met:
+            met.append(s)
+            if len(met) == shards:
+                break
+    return met
+
+
+def fill(arcs: dict[int, int], points: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int, int, int]]:
+    """Rows (arc, first rank, end rank, shard, first slot): who takes which rows of each arc."""
+    total = sum(arcs.values())
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    taken = [0] * shards
+    waiting = {a: (0, n) for a, n in sorted(arcs.items())}
+    order = {a: clockwise(points, a, shards) for a in arcs}
+    out = []
+    for step in range(shards):
+        for a, (at, n) in list(waiting.items()):
+            s = order[a][step]
+            take = min(n - at, room[s] - taken[s])
+            if take:
+                out.append((a, at, at + take, s, taken[s]))
+                taken[s] += take
+            if at + take == n:
+                del waiting[a]
+            else:
+                waiting[a] = (at + take, n)
+    return out
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL, text: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+    spark = docs.sparkSession
+    points = ring(shards, virtual)
+    body = F.coalesce(F.col(text), F.lit(""))
+    position = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(RING))
+    rows = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body.cast("binary")).alias("text_crc32"))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("_times"))
+    bounds = F.array(*[F.lit(p) for p, _ in points])
+    rows = settle(rows.withColumn("_at", position), "ring")
+    # the arc: how many points lie before the position, by halving over the sorted array
+    arc = F.pmod(_count_below(F.col("_at"), bounds, len(points)), F.lit(len(points)))
+    n = rows.count()
+    cells = max(1, math.isqrt(n // len(points) + 1))
+    rows = rows.withColumn("_arc", arc.cast("int")).withColumn("_cell", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int"))
+    sizes = settle(rows.groupBy("_arc", "_cell").agg(F.sum("_times").alias("_n")), "cells")
+    arcs = {r["_arc"]: r["n"] for r in sizes.groupBy("_arc").agg(F.sum("_n").alias("n")).collect()}  # at most shards * virtual rows
+    deal = [(a, [dict(zip(("_from", "_to", "shard", "_slot"), x[1:], strict=True) ) for x in part]) for a, part in _by_arc(fill(arcs, points, shards))]
+    deal_df = spark.createDataFrame(deal, "_arc int, _deal array<struct<_from: long, _to: long, shard: int, _slot: long>>")
+    upto = Window.partitionBy("_arc").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("_arc", "_cell", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_arc", "_cell").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = (
+        rows.withColumn("_in", F.coalesce(F.sum("_times").over(inside), F.lit(0))).join(before, ["_arc", "_cell"])
+        .withColumn("_again", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
+        .withColumn("_rank", F.col("_in") + F.col("_before") + F.col("_again"))
+    )
+    part = F.filter("_deal", lambda d: (d["_from"] <= F.col("_rank")) & (F.col("_rank") < d["_to"]))[0]
+    return (
+        ranked.join(F.broadcast(deal_df), "_arc").withColumn("_part", part)  # as many rows as arcs
+        .select("doc_id", "size", "text_crc32", F.col("_part.shard").alias("shard"), (F.col("_part._slot") + F.col("_rank") - F.col("_part._from")).alias("slot"))
+    )
+
+
+def _by_arc(parts: list[tuple]) -> list[tuple[int, list[tuple]]]:
+    found: dict[int, list[tuple]] = {}
+    for p in parts:
+        found.setdefault(p[0], []).append(p)
+    return sorted(found.items())
+
+
+def _count_below(value, bounds, n: int):
+    """Number of elements of the sorted array under ``value``; log2(n) lookups a row."""
+    low = F.lit(0)
+    step = 1 << max(0, n.bit_length() - 1)
+    start = F.struct(low.alias("lo"))
+    steps = []
+    while step:
+        steps.append(step)
+        step >>= 1
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), start["lo"],
+        lambda acc, s: F.when((acc + s <= n) & (F.get(bounds, acc + s - 1) < value), acc + s).otherwise(acc),
+    )
+
+
+def arc_of(position: int, points: list[tuple[int, int]]) -> int:
+    """Plain form of the lookup, for tests."""
+    return bisect.bisect_left([p for p, _ in points], position) % len(points)

@@ -1,0 +1,44 @@
+"""Shared helpers: tables cut from their lineage, and joins against long texts."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys of 8 bytes that may be broadcast to skip the shuffle of whole texts. Larger sets are shuffled.
+MAX_BROADCAST_KEYS = 2_000_000
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors see. Taken from the session; a local one is made only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        found = tempfile.mkdtemp(prefix="larkspur-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lost executors then cost no recomputation."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/larkspur-{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def join_touched(docs: DataFrame, touched: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``touched`` (unique ``key``, few rows of ``docs``) to ``docs`` without shuffling untouched texts.
+
+    The keys are broadcast while there are at most ``MAX_BROADCAST_KEYS``; beyond that a shuffle join
+    gives the same rows. ``how`` is ``left`` or ``inner``. ``touched`` should be settled: it is read twice.
+    """
+    if touched.count() > MAX_BROADCAST_KEYS:
+        return docs.join(touched, key, how)
+    keys = F.broadcast(touched.select(key))
+    hit = docs.join(keys, key, "left_semi").join(touched, key, "inner")
+    if how == "inner":
+        return hit
+    return hit.unionByName(docs.join(keys, key, "left_anti"), allowMissingColumns=True)

@@ -1,0 +1,135 @@
+"""Vectorised word hashing over Arrow string buffers.
+
+Words are maximal runs of bytes that are not ``0x20`` or ``0x09-0x0D``, so UTF-8 text is read without
+decoding. A word's hash is a polynomial over its bytes modulo 2^64, taken from one running sum, and
+then mixed; every step is a numpy pass over a slice of at most ``SLICE_BYTES`` (or one longer text).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+SLICE_BYTES = 1 << 19
+_rng = np.random.Generator(np.random.PCG64(20240607))
+
+
+def _odd(n: int) -> np.ndarray:
+    return _rng.integers(0, 2**63, size=n, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+BYTE_VALUE = _odd(256)
+BASE, SEQ_BASE = _odd(2)
+GRAM = _odd(64)
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def _inverse(odd: np.uint64) -> np.uint64:
+    return np.uint64(pow(int(odd), -1, 2**64))
+
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``base`` and of its inverse, 0 to n. Kept for ordinary lengths only."""
+    have = _powers.get(int(base))
+    if have is None or len(have[0]) <= n:
+        size = max(n + 1, SLICE_BYTES + 1)
+        have = tuple(np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, b, np.uint64))]) for b in (base, _inverse(base)))
+        if size <= 4 * SLICE_BYTES:
+            _powers[int(base)] = have
+    return have
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Finaliser of splitmix64."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def run_sums(values: np.ndarray, first: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Polynomial hash of ``values[first:end]`` for each run."""
+    if not len(values):
+        return np.zeros(len(first), np.uint64)
+    up, down = powers(base, len(values))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)])
+    return (total[end] - total[first]) * down[first]
+
+
+class Slice:
+    """A few whole texts: bytes, text bounds, word bounds and the text of each word."""
+
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, row: int, space: np.ndarray = SPACE, table: np.ndarray | None = None):
+        self.data, self.bounds, self.row, self.n = data, bounds, row, len(bounds) - 1
+        gap = np.ones(len(data) + 1, dtype=bool)
+        gap[:-1] = space[data]
+        before = np.ones(len(data) + 1, dtype=bool)
+        before[1:] = gap[:-1]
+        before[bounds[:-1]] = True
+        after = np.ones(len(data) + 1, dtype=bool)
+        after[:-1] = gap[1:]
+        after[bounds[1:] - 1] |= bounds[1:] > 0
+        self.first = np.flatnonzero(before & ~gap)
+        self.end = np.flatnonzero(after & ~gap) + 1
+        self.word_bounds = np.searchsorted(self.first, bounds)
+        self.n_words = np.diff(self.word_bounds)
+        self._table = BYTE_VALUE if table is None else table
+
+    def text_of_word(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), self.n_words)
+
+    def words(self) -> np.ndarray:
+        """One 64-bit hash for each word."""
+        raw = run_sums(self._table[self.data], self.first, self.end, BASE)
+        return mix(raw + (self.end - self.first).astype(np.uint64))
+
+    def sequence(self, words: np.ndarray) -> np.ndarray:
+        """One hash for each text's whole word sequence."""
+        raw = run_sums(words, self.word_bounds[:-1], self.word_bounds[1:], SEQ_BASE)
+        return mix(raw + self.n_words.astype(np.uint64))
+
+
+def grams(words: np.ndarray, k: int) -> np.ndarray:
+    """Hash of every ``k`` consecutive words, across texts too; the caller drops those that cross."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = words[:n] * GRAM[0]
+    for j in range(1, k):
+        out = out + words[j : n + j] * GRAM[j]
+    return mix(out)
+
+
+def inside(text_of_word: np.ndarray, span: int) -> np.ndarray:
+    """Whether ``span`` words from each position lie in one text."""
+    n = len(text_of_word) - span + 1
+    return text_of_word[:n] == text_of_word[span - 1 :] if n > 0 else np.zeros(0, bool)
+
+
+def slices(column: pa.Array, space: np.ndarray = SPACE, table: np.ndarray | None = None) -> Iterator[Slice]:
+    """Cut a string column into runs of whole texts. A null is an empty text."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    n = len(column)
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + n + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, side="right")) - 1)
+        to = min(to, n)
+        yield Slice(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at, space, table)
+        at = to
+
+
+def signed(h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, sharding
+from . import chat, packing, quality, sharding, substrings, topk
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,8 @@ QUERIES: dict[str, Query] = {
     "op4_quality_rules": on("documents", quality.op4),
     "op6_chat_formatting": on("conversations", chat.op6),
     "op8_sharding": on("documents", sharding.op8),
+    "op9_exact_top_k": on("embeddings", topk.op9),
+    "op10_substring_dedup": on("documents", substrings.op10),
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, language, packing, quality, sharding, substrings, topk
+from . import chat, jaccard, language, packing, quality, sharding, substrings, topk
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ def on(table: str, f: Callable[[SparkSession, DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": on("documents", packing.op1),
+    "op2_ngram_jaccard_join": on("documents", jaccard.op2),
     "op3_language_id": on("documents", language.op3),
     "op4_quality_rules": on("documents", quality.op4),
     "op6_chat_formatting": on("conversations", chat.op6),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, jaccard, language, packing, quality, sharding, substrings, topk
+from . import chat, jaccard, language, lines, mixing, packing, quality, sharding, substrings, topk
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,7 +21,9 @@ QUERIES: dict[str, Query] = {
     "op2_ngram_jaccard_join": on("documents", jaccard.op2),
     "op3_language_id": on("documents", language.op3),
     "op4_quality_rules": on("documents", quality.op4),
+    "op5_mixing": on("documents", mixing.op5),
     "op6_chat_formatting": on("conversations", chat.op6),
+    "op7_line_dedup": on("documents", lines.op7),
     "op8_sharding": on("documents", sharding.op8),
     "op9_exact_top_k": on("embeddings", topk.op9),
     "op10_substring_dedup": on("documents", substrings.op10),

@@ -35,12 +35,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Words:
-    """The words of consecutive rows: row r has words first[r]:first[r + 1]."""
+    """The words of consecutive rows: row r has words first[r]:first[r + 1] and bytes from offset[r]."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray
+    offset: np.ndarray
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -70,15 +71,16 @@ class Words:
             at, left = at[more] + 8, left[more] - 8
 
 
-def split_words(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of a string array; a null row has none."""
+def split_words(texts: pa.Array, lower: bool = False, table: np.ndarray | None = None) -> Words:
+    """Words of a string array; a null row has none. ``table`` replaces each byte first."""
     texts = texts.cast(pa.large_string())
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], np.int64, n + 1, texts.offset * 8).copy() if n else np.zeros(1, np.int64)
     raw = texts.buffers()[2] if n else None
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    data = _LOWER[data] if lower else data
+    table = _LOWER if lower and table is None else table
+    data = data if table is None else table[data]
     word = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -86,7 +88,7 @@ def split_words(texts: pa.Array, lower: bool = False) -> Words:
     after = np.concatenate([word[1:], [False]]) if len(data) else word
     start = np.nonzero(word & (~before | edge[:-1]))[0]
     end = np.nonzero(word & (~after | edge[1:]))[0] + 1
-    return Words(data, start, end, np.searchsorted(start, offsets))
+    return Words(data, start, end, np.searchsorted(start, offsets), offsets)
 
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -11,15 +11,17 @@ lengths foretell many chance meetings. A pair is held to the smaller l of the tw
 
 Equal sets are one class from the start and are represented once. Short posting
 lists yield their pairs, counted against l. A long list (a large group of near
-copies, or a passage that many share) yields only chains first: neighbours by
-size are verified and connected; then every pair of the list that stands in two
-different components is verified too, so no link between components is lost
-while the pairs inside one are never enumerated. Components are what this join
-reports, with every document's number of verified links.
+copies, or a passage that many share) yields a star, its least class with all
+others. Every class is verified against one partner first and components are
+made; then all pairs, of short and long lists, that still stand in two different
+components are verified too. So no link between components is lost while the
+pairs inside one are neither enumerated nor verified. Components are what this
+join reports.
 
 Token frequencies are estimated from counts of tokens that stand often within a
 slice of text; they only set the order, so any error costs time and no result.
-Sets are held by 64-bit hashes of their n-grams and compared exactly on these.
+Sets are held by 64-bit hashes of their n-grams and compared exactly on these; a
+class is known by a 64-bit digest of its set.
 
 Defined cases: null text, or one without words, has the empty set, links with
 nothing and is its own component; fewer words than n are one n-gram; repeated
@@ -31,7 +33,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -42,7 +44,8 @@ from .words import as_long, chunks, mix, split_words, windows
 WIDTH = 3
 PERCENT = 90
 MATCHES = 3  # greatest l
-SHORT_LIST = 32  # longer posting lists go by chains
+SHORT_LIST = 32  # longer posting lists go by stars
+NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 LOCAL_OFTEN = 3  # occurrences in a slice of text that make a token worth counting
 FREQUENT = 1 << 17  # so many tokens have their place in the order by frequency: 1 MB, whatever the input
 VERIFY_COST = 24.0  # of verifying a pair, in postings
@@ -98,7 +101,10 @@ def frequent_tokens(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT) -
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (the set's digest) and its longest prefix, in order."""
+    """doc_id, n_shingles, c1, c2 (the set's digest) and its longest prefix, in order.
+
+    Of equal sets in a slice of text only the first carries the prefix.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
@@ -107,7 +113,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percen
         known = shared.value[by_token]
         for batch in batches:
             for part in chunks(batch):
-                n, c1, c2, prefix = [], [], [], []
+                n, c1, c2, prefix, seen = [], [], [], [], set()
                 for tokens in token_sets(part, width):
                     long = as_long(tokens)
                     rank = np.full(len(long), -1)
@@ -117,6 +123,9 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percen
                     k = prefix_length(len(tokens), percent, MATCHES)
                     order = np.lexsort((mix(tokens), rank))[:k]
                     a, b = digest(tokens)
+                    if (a, b) in seen:  # an equal set of this slice stands for it
+                        order = order[:0]
+                    seen.add((a, b))
                     n.append(len(tokens))
                     c1.append(a)
                     c2.append(b)
@@ -129,31 +138,36 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percen
     return rows.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>")
 
 
-def postings(classes: DataFrame, percent: int) -> DataFrame:
-    """(token, c, n, l, f): where each class's l-prefix meets others; f is the length of the token's list."""
-    each = classes.select("c", F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    lists = each.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    met = each.join(lists, "token")
-    base = (F.col("n") - F.ceil(F.col("n") * percent / 100)).cast("int")
+def postings(base: DataFrame, percent: int) -> DataFrame:
+    """(token, c, n, l, f): where each class's l-prefix meets others; f is the length of the token's list.
+
+    One shuffle by token: rows of equal sets collapse to their class there, and
+    the lists' lengths are counted in place.
+    """
+    each = base.select(F.col("c1").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
+    once = each.repartition("token").dropDuplicates(["token", "c", "n", "pos"])
+    met = once.withColumn("f", F.count("*").over(W.partitionBy("token"))).where("f > 1")
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    base_length = F.col("n") - need
     own = W.partitionBy("c")  # at most a document's prefix
     cost, sums = [], {}
     for m in range(1, MATCHES + 1):
-        sums[f"_s{m}"] = F.sum(F.when(F.col("pos") < base + m, F.col("f") - 1).otherwise(0)).over(own)
+        sums[f"_s{m}"] = F.sum(F.when(F.col("pos") < base_length + m, F.col("f") - 1).otherwise(0)).over(own)
         # chance meetings that pass the count fall off with every further match asked for
         cost.append(F.col(f"_s{m}") * (1 + VERIFY_COST / float(4 ** (m - 1))))
-    feasible = F.ceil(F.col("n") * percent / 100)
     choice = F.lit(1)
     for m in range(2, MATCHES + 1):
-        choice = F.when((feasible >= m) & (F.least(*cost) == cost[m - 1]) & (cost[m - 1] < cost[0]), m).otherwise(choice)
+        choice = F.when((need >= m) & (F.least(*cost) == cost[m - 1]) & (cost[m - 1] < cost[0]), m).otherwise(choice)
     chosen = met.withColumns(sums).withColumn("l", choice.cast("int"))
-    return chosen.where(F.col("pos") < base + F.col("l")).select("token", "c", "n", "l", "f")
+    return chosen.where(F.col("pos") < base_length + F.col("l")).select("token", "c", "n", "l", "f")
 
 
-def sizes_fit(a: str, b: str, percent: int):
+def sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def pairs_of_short_lists(met: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a < b) that shares as many tokens as its smaller l asks for."""
     short = met.where(F.col("f") <= SHORT_LIST)
     other = short.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "l")])
     both = short.join(other, "token").where((F.col("c") < F.col("c2")) & sizes_fit("n", "n2", percent))
@@ -161,75 +175,92 @@ def pairs_of_short_lists(met: DataFrame, percent: int) -> DataFrame:
     return counted.where("k >= l").select("a", "b")
 
 
-def chains_of_long_lists(met: DataFrame, percent: int) -> DataFrame:
-    """Neighbours by size in each long list."""
-    order = W.partitionBy("token").orderBy("n", "c")
-    linked = met.where(F.col("f") > SHORT_LIST).withColumns({"c2": F.lead("c").over(order), "n2": F.lead("n").over(order)})
-    found = linked.where(F.col("c2").isNotNull() & sizes_fit("n", "n2", percent))
-    return found.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+def stars_of_long_lists(met: DataFrame, percent: int) -> DataFrame:
+    """The least class of each long list with all others."""
+    long = met.where(F.col("f") > SHORT_LIST)
+    least = long.groupBy("token").agg(F.min(F.struct("c", "n")).alias("m")).select("token", F.col("m.c").alias("a"), F.col("m.n").alias("n2"))
+    return long.join(least, "token").where((F.col("c") > F.col("a")) & sizes_fit("n", "n2", percent)).select("a", F.col("c").alias("b")).distinct()
 
 
 def pairs_between_components(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of long lists that stand in two components: the list's members outside its largest one, against all."""
     long = met.where(F.col("f") > SHORT_LIST)
-    named = long.join(labels, long["c"] == labels["node"], "left").withColumn("root", F.coalesce("root", "c")).drop("node")
+    named = long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     held = named.groupBy("token", "root").agg(F.count("*").alias("m"))
     largest = held.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     open_ = named.join(largest.select("token", F.col("most.root").alias("largest")), "token")
-    minor = open_.where("root <> largest").select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "l", "root")])
+    minor = open_.where("root <> largest").select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "root")])
     both = open_.join(minor, "token").where((F.col("root") != F.col("root2")) & sizes_fit("n", "n2", percent))
     return both.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
 
 
-def set_rows(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(c, tokens): the whole sets of the wanted classes, made again from one text of each."""
-    schema = pa.schema([("c", pa.int64()), ("was", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends stand in different components."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    return named.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
+def text_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
+
+
+def sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(at, c, tokens): the whole set of class c for each wanted (at, c, _id), made again from a text of the class."""
+    schema = pa.schema([("at", pa.int64()), ("c", pa.int64()), ("was", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 sets = token_sets(part, width)
-                c = [digest(x)[0] for x in sets]
-                was = part.column(part.schema.get_field_index("c"))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), was, pa.array([as_long(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
+                c = pa.array([digest(x)[0] for x in sets], pa.int64())
+                at, was = (part.column(part.schema.get_field_index(x)) for x in ("at", "c"))
+                yield pa.RecordBatch.from_arrays([at, was, c, pa.array([as_long(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(wanted.select("c", F.col("doc_id").alias("_id")), F.col("doc_id").eqNullSafe(F.col("_id"))).select("c", "text")
+    texts = rows.join(wanted, "_id").select("at", "c", "text")
     # of the texts of one doc_id, those of another class fall out here
-    return texts.mapInArrow(run, "c long, was long, tokens array<long>").where("c = was").select("c", "tokens")
+    return texts.mapInArrow(run, "at long, c long, was long, tokens array<long>").where("c = was").drop("was")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link."""
-    left = pairs.join(sets.select(F.col("c").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = left.join(sets.select(F.col("c").alias("b"), F.col("tokens").alias("tb")), "b")
+def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Sets meet at a: each moves once per pair it is the b of, and once as an a."""
+    pairs = materialize(pairs, "pairs")
+    leaders = pairs.select(F.col("a").alias("c")).distinct().join(places, "c").select(F.col("c").alias("at"), "c", "_id")
+    members = pairs.join(places.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("at"), F.col("b").alias("c"), "_id")
+    rows = text_rows(docs)
+    left = sets_for(rows, materialize(leaders, "leaders"), width).select("at", F.col("tokens").alias("ta"))
+    right = sets_for(rows, materialize(members, "members"), width).select("at", "c", F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent).select("a", "b").distinct()
+    linked = right.join(left, "at").where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent)
+    return materialize(linked.select(F.col("at").alias("a"), F.col("c").alias("b")).distinct(), "links")
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, n_links for every row."""
+    """doc_id, n_shingles, component_id, class_id, n_links for every row.
+
+    ``class_id`` is the least doc_id of the rows with an equal set; ``n_links``
+    counts the set's links among those verified, enough to connect its component.
+    """
     base = materialize(signatures(docs, frequent_tokens(docs, width), width, percent), "signatures")
-    grouped = base.where("n_shingles > 0").groupBy("c1", "c2")
-    classes = grouped.agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("prefix").alias("prefix"))
-    classes = materialize(classes.select(F.col("c1").alias("c"), "doc_id", "n_shingles", "prefix"), "classes")
-    met = materialize(postings(classes, percent), "postings")
-
-    pairs = materialize(pairs_of_short_lists(met, percent).unionByName(chains_of_long_lists(met, percent)).distinct(), "pairs")
-    named = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(met.where(F.col("f") > SHORT_LIST).select("c")).distinct()
-    sets = materialize(set_rows(docs, classes.join(named, "c", "left_semi").select("c", "doc_id"), width).dropDuplicates(["c"]), "sets")
-    links = materialize(verified(pairs, sets, percent), "links")
+    places = base.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(F.min("doc_id").alias("class_id"))
+    places = materialize(places.withColumn("_id", F.coalesce("class_id", F.lit(NO_ID))), "classes")
+    met = materialize(postings(base, percent), "postings")
+    pairs = materialize(pairs_of_short_lists(met, percent).unionByName(stars_of_long_lists(met, percent)).distinct(), "candidates")
+
+    # one partner each first; of what is still apart then, every pair
+    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    links = verified(first, places, docs, width, percent)
     labels = components(links)
-
-    more = materialize(pairs_between_components(met, labels, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = still_apart(pairs, labels).unionByName(pairs_between_components(met, labels, percent)).distinct()
+    more = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
-        links = links.unionByName(materialize(verified(more, sets, percent), "links"))
+        links = links.unionByName(verified(more, places, docs, width, percent))
         labels = components(links)
 
     ends = links.select(F.col("a").alias("c")).unionAll(links.select("b")).groupBy("c").agg(F.count("*").alias("n_links"))
-    known = classes.select("c", "doc_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = known.join(least, "root").join(ends, "c", "left").select(F.col("c").alias("c1"), "component_id", F.col("doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    known = places.select("c", "class_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    least = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    by_class = known.join(least, "root").join(ends, "c", "left").select(F.col("c").alias("c1"), "component_id", "class_id", "n_links")
     empty = F.col("n_shingles") == 0
     out = base.select("doc_id", "n_shingles", F.when(~empty, F.col("c1")).alias("c1")).join(by_class, "c1", "left")
     return out.select(
@@ -242,7 +273,6 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 
 def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``n_links``: verified links of the document's set to other sets that the join examined."""
     return join_documents(docs).select("doc_id", "n_shingles", "component_id")
 
 

@@ -6,12 +6,13 @@ the same one. Seeds are winnowed anchors: of the ``SPAN - ANCHOR + 1`` runs of
 ``ANCHOR`` words inside a window, those with the least hash. Equal windows choose
 equal anchors, so a window can repeat only if its anchor occurs twice. Documents
 meet on anchors; around every anchor that occurs twice or more the match is
-extended both ways over all windows that chose it, and windows that meet (on two
-independent 64-bit hashes of their words) keep their first occurrence. The union
-of the others are the maximal repeats, which are cut.
+extended both ways over all windows that chose it. These runs of windows meet on
+two independent 64-bit hashes of the words they span: equal runs keep their
+first occurrence. What differs somewhere is compared window by window. The union
+of all that stood earlier are the maximal repeats, which are cut.
 
-One shuffle carries the texts, keyed by row content, and serves both the
-extension and the cutting. Anchors and windows shuffle as plain numbers; equal
+One shuffle carries the texts, keyed by row content, and serves the extension,
+the comparison and the cutting. Anchors and runs shuffle as plain numbers; equal
 ones inside a few megabytes of text collapse to their first before the shuffle,
 so a passage that many documents share does not pile up in one task.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import Words, as_long, chunks, split_words, windows
+from .words import Words, as_long, chunks, mix, split_words, windows
 
 SPAN = 20
 ANCHOR = 8
@@ -103,13 +104,17 @@ def repeated(found: DataFrame) -> DataFrame:
     return found.join(often, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("seeds"))
 
 
-def extended(seeded: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """(h1, h2, doc_id, k, at, again) for each window around a repeated anchor.
+_PLACED = "h1 long, h2 long, doc_id long, k long, at int, n int, again boolean"
+
+
+def placed(rows: DataFrame, wanted: str, find) -> DataFrame:
+    """(h1, h2, doc_id, k, at, n, again): hashed runs of n windows that begin at a word, from text and ``wanted``.
 
-    Of the equal windows in a slice of text only the first is open; the others
+    ``find(part, row, h, g)`` gives (h1, h2, at, n) of a row from its words' two
+    hashes. Of equal runs in a slice of text only the first is open; the others
     are known to start again (``again``), whatever other slices hold.
     """
-    schema = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("k", pa.int64()), ("at", pa.int32()), ("again", pa.bool_())])
+    names = [c.split()[0] for c in _PLACED.split(", ")]
 
     def run(batches):
         for batch in batches:
@@ -119,80 +124,119 @@ def extended(seeded: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataF
                 order = np.lexsort((part.column(part.schema.get_field_index("k")).to_numpy(), ids.fill_null(-(1 << 63)).to_numpy()))
                 part = part.take(pa.array(order))
                 ids, keys = part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("k")).to_numpy()
-                wanted = part.column(part.schema.get_field_index("seeds"))
+                want = part.column(part.schema.get_field_index(wanted))
                 words, h = row_hashes(part, _SEEDS[0])
                 g = words.hashes(_SEEDS[1])
-                h1, h2, row, at = [], [], [], []
+                found, row = [], []
                 for r, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-                    if b - a < span or (r and keys[r] == keys[r - 1]):
-                        continue
-                    x = h[a:b]
-                    own = np.sort(np.asarray(wanted[r].values.to_numpy(), np.int64))
-                    least = as_long(seeds(x, span, anchor))
-                    place = np.nonzero(own[np.minimum(np.searchsorted(own, least), len(own) - 1)] == least)[0]
-                    h1.append(windows(x, span, _BASES[1])[place])
-                    h2.append(windows(g[a:b], span, _BASES[2])[place])
-                    at.append(place)
-                    row.append(np.full(len(place), r))
-                if not h1:
+                    if not r or keys[r] != keys[r - 1]:  # equal rows are one document
+                        found.append(find(want[r], h[a:b], g[a:b]))
+                        row.append(np.full(len(found[-1][0]), r))
+                if not found:
                     continue
-                h1, h2, row, at = map(np.concatenate, (h1, h2, row, at))
-                order = np.lexsort((h2, h1))  # stable: earlier windows stay first
+                (h1, h2, at, n), row = (np.concatenate(x) for x in zip(*found, strict=True)), np.concatenate(row)
+                order = np.lexsort((h2, h1))  # stable: earlier runs stay first
                 a, b = h1[order], h2[order]
                 again = np.zeros(len(h1), bool)
                 again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-                arrays = [as_long(h1), as_long(h2), None, keys[row], at.astype(np.int32), again]
-                arrays[2] = ids.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], schema=schema)
+                arrays = [as_long(h1), as_long(h2), None, keys[row], at.astype(np.int32), n.astype(np.int32), again]
+                arrays = [ids.take(pa.array(row)) if x is None else pa.array(x) for x in arrays]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return rows.select("doc_id", "text", "k", wanted).mapInArrow(run, _PLACED)
+
+
+def extended(seeded: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
+    """The runs of windows that chose one repeated anchor, each by the words it spans."""
+
+    def find(wanted, h, g):
+        own = np.sort(np.asarray(wanted.values.to_numpy(), np.int64))
+        least = as_long(seeds(h, span, anchor))
+        if not len(least):
+            return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),) * 2
+        place = np.nonzero(own[np.minimum(np.searchsorted(own, least), len(own) - 1)] == least)[0]
+        new = np.ones(len(place), bool)
+        new[1:] = (np.diff(place) > 1) | (least[place[1:]] != least[place[:-1]])
+        first = np.nonzero(new)[0]
+        n = np.diff(np.append(first, len(place)))
+        within = (np.arange(len(place)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(_BASES[0])
+        out = []
+        for x, base in ((h, _BASES[1]), (g, _BASES[2])):
+            each = windows(x, span, base)[place]
+            out.append(mix(np.add.reduceat(mix(each + within), first)) if len(first) else each)
+        return (*out, place[first], n)
+
+    return placed(seeded, "seeds", find)
 
-    return seeded.select("doc_id", "text", "k", "seeds").mapInArrow(run, "h1 long, h2 long, doc_id long, k long, at int, again boolean")
 
+def opened(led: DataFrame, span: int = SPAN) -> DataFrame:
+    """The single windows of the runs in ``runs``."""
 
-def later(found: DataFrame) -> DataFrame:
-    """(k, starts): where windows start that also start earlier."""
+    def find(wanted, h, g):
+        at = np.concatenate([np.arange(w["at"], w["at"] + w["n"]) for w in wanted.as_py()])
+        return windows(h, span, _BASES[1])[at], windows(g, span, _BASES[2])[at], at, np.ones(len(at), np.int32)
+
+    return placed(led, "runs", find)
+
+
+def sorted_out(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(k, at, n) of the runs that stand earlier too, and of those that do not."""
     place = F.struct("doc_id", "k", "at")
-    first = found.where("not again").groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    named = first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first")
-    open_ = found.where("not again").join(named, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2"))).where(place != F.col("first"))
-    both = found.where("again").select("k", "at").unionByName(open_.select("k", "at"))
-    return both.groupBy("k").agg(F.collect_set("at").alias("starts"))
+    open_ = found.where("not again")
+    first = open_.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1")
+    named = open_.join(first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
+    marked = named.select("k", "at", "n", F.coalesce(place != F.col("first"), F.lit(False)).alias("again")).unionByName(found.where("again").select("k", "at", "n", "again"))
+    return marked.where("again").drop("again"), marked.where("not again").drop("again")
 
 
-def covered(n: int, starts: np.ndarray, span: int) -> np.ndarray:
-    """Which of n words lie in a window that begins at one of ``starts``."""
+def repeats(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
+    """(k, runs): where windows start that also start earlier.
+
+    Whole runs first: one that stands earlier too goes as it is. The windows of
+    the others, first occurrences and runs that differ somewhere, are then
+    compared one by one.
+    """
+    seeded = rows.join(repeated(anchors(rows, span, anchor)).hint("shuffle_hash"), "k")
+    later, lead = sorted_out(extended(seeded, span, anchor))
+    led = rows.join(lead.groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("runs")).hint("shuffle_hash"), "k")
+    again, _ = sorted_out(opened(led, span))
+    return later.unionByName(again).groupBy("k").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
+
+
+def covered(n: int, runs: list[dict], span: int) -> np.ndarray:
+    """Which of n words lie in a window of the runs."""
     edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + span, -1)
+    for run in runs:
+        edge[run["at"]] += 1
+        edge[run["at"] + run["n"] - 1 + span] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
 def cut(marked: DataFrame, span: int = SPAN) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (the words left, joined by one space) from text and starts."""
+    """doc_id, n_words, n_removed, kept (the words left, joined by one space) from text and runs."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.large_string())])
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                ids, texts, starts = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text", "starts"))
+                ids, texts, runs = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "text", "runs"))
                 n, gone, kept = [], [], []
-                for text, at in zip(texts, starts, strict=True):
+                for text, gone_runs in zip(texts, runs, strict=True):
                     words = (text.as_py() or "").encode().split()
                     n.append(len(words))
-                    if at.is_valid:
-                        out = covered(len(words), np.asarray(at.values.to_numpy(), np.int64), span)
+                    if gone_runs.is_valid:
+                        out = covered(len(words), gone_runs.as_py(), span)
                         words = [w for w, x in zip(words, out, strict=True) if not x]
                     gone.append(n[-1] - len(words))
                     kept.append(b" ".join(words).decode())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.large_string())], schema=schema)
 
-    return marked.select("doc_id", "text", "starts").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    return marked.select("doc_id", "text", "runs").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def dedup_substrings(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     rows = keyed(docs)
-    seeded = rows.join(repeated(anchors(rows, span, anchor)).hint("shuffle_hash"), "k")
-    starts = later(extended(seeded, span, anchor))
-    return cut(rows.join(starts.hint("shuffle_hash"), "k", "left"), span)
+    return cut(rows.join(repeats(rows, span, anchor).hint("shuffle_hash"), "k", "left"), span)
 
 
 def op10(spark: SparkSession, docs: DataFrame) -> DataFrame:

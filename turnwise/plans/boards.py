@@ -15,7 +15,8 @@ RANGE_S, BUCKET_S = 7 * 86400, 6 * 3600
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The facts; zone-less times are UTC, as is the session's zone."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def bucket_of(ts: Column, width_s: int = BUCKET_S) -> Column:

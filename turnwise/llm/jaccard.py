@@ -7,7 +7,8 @@ at least o = ceil(t n) must be shared, the first n - o + l tokens form its
 l-prefix: two linked sets share l tokens of their l-prefixes at least. Each
 document picks its own l: a longer prefix means more postings, but a pair must
 then share more of them before it is verified, so l grows where the postings'
-lengths foretell many chance meetings. A pair is held to the smaller l of the two.
+lengths foretell many chance meetings. A pair is held to the smaller l of the
+two, and its prefixes are cut to what its own two sizes leave.
 
 Equal sets are one class from the start and are represented once. Short posting
 lists yield their pairs, counted against l. A long list (a large group of near
@@ -39,6 +40,7 @@ from pyspark.sql import Window as W
 
 from ..session import materialize
 from .components import components
+from .tables import sift
 from .words import as_long, chunks, mix, split_words, windows
 
 WIDTH = 3
@@ -159,18 +161,31 @@ def postings(base: DataFrame, percent: int) -> DataFrame:
     for m in range(2, MATCHES + 1):
         choice = F.when((need >= m) & (F.least(*cost) == cost[m - 1]) & (cost[m - 1] < cost[0]), m).otherwise(choice)
     chosen = met.withColumns(sums).withColumn("l", choice.cast("int"))
-    return chosen.where(F.col("pos") < base_length + F.col("l")).select("token", "c", "n", "l", "f")
+    return chosen.where(F.col("pos") < base_length + F.col("l")).select("token", "c", "n", "l", "f", "pos")
 
 
-def sizes_fit(a: str, b: str, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+MEMBER = ("c", "n", "l", "pos")
+
+
+def second(met: DataFrame, *more: str) -> DataFrame:
+    return met.select("token", *[F.col(x).alias(f"{x}2") for x in (*MEMBER, *more)])
+
+
+def needed(percent: int) -> Column:
+    """Tokens that sets of n and n2 have to share."""
+    return F.ceil((F.col("n") + F.col("n2")) * percent / (100 + percent))
+
+
+def early(percent: int) -> Column:
+    """Whether a shared token counts: both sizes fit, and it stands in both l-prefixes cut for this very pair."""
+    l, need = F.least("l", "l2"), needed(percent)
+    return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("pos") < F.col("n") - need + l) & (F.col("pos2") < F.col("n2") - need + l)
 
 
 def pairs_of_short_lists(met: DataFrame, percent: int) -> DataFrame:
     """Every pair (a < b) that shares as many tokens as its smaller l asks for."""
     short = met.where(F.col("f") <= SHORT_LIST)
-    other = short.select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "l")])
-    both = short.join(other, "token").where((F.col("c") < F.col("c2")) & sizes_fit("n", "n2", percent))
+    both = short.join(second(short), "token").where((F.col("c") < F.col("c2")) & early(percent))
     counted = both.groupBy(F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("l", "l2")).alias("l"))
     return counted.where("k >= l").select("a", "b")
 
@@ -178,8 +193,8 @@ def pairs_of_short_lists(met: DataFrame, percent: int) -> DataFrame:
 def stars_of_long_lists(met: DataFrame, percent: int) -> DataFrame:
     """The least class of each long list with all others."""
     long = met.where(F.col("f") > SHORT_LIST)
-    least = long.groupBy("token").agg(F.min(F.struct("c", "n")).alias("m")).select("token", F.col("m.c").alias("a"), F.col("m.n").alias("n2"))
-    return long.join(least, "token").where((F.col("c") > F.col("a")) & sizes_fit("n", "n2", percent)).select("a", F.col("c").alias("b")).distinct()
+    least = long.groupBy("token").agg(F.min(F.struct(*MEMBER)).alias("m")).select("token", *[F.col(f"m.{x}").alias(f"{x}2") for x in MEMBER])
+    return long.join(least, "token").where((F.col("c") > F.col("c2")) & early(percent)).select(F.col("c2").alias("a"), F.col("c").alias("b")).distinct()
 
 
 def pairs_between_components(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -189,8 +204,8 @@ def pairs_between_components(met: DataFrame, labels: DataFrame, percent: int) ->
     held = named.groupBy("token", "root").agg(F.count("*").alias("m"))
     largest = held.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     open_ = named.join(largest.select("token", F.col("most.root").alias("largest")), "token")
-    minor = open_.where("root <> largest").select("token", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "root")])
-    both = open_.join(minor, "token").where((F.col("root") != F.col("root2")) & sizes_fit("n", "n2", percent))
+    minor = second(open_.where("root <> largest"), "root")
+    both = open_.join(minor, "token").where((F.col("root") != F.col("root2")) & early(percent))
     return both.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
 
 
@@ -217,7 +232,7 @@ def sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 at, was = (part.column(part.schema.get_field_index(x)) for x in ("at", "c"))
                 yield pa.RecordBatch.from_arrays([at, was, c, pa.array([as_long(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
 
-    texts = rows.join(wanted, "_id").select("at", "c", "text")
+    texts = sift(rows, "_id", wanted.select("_id")).join(wanted, "_id").select("at", "c", "text")
     # of the texts of one doc_id, those of another class fall out here
     return texts.mapInArrow(run, "at long, c long, was long, tokens array<long>").where("c = was").drop("was")
 

@@ -45,3 +45,22 @@ def rank_within(df: DataFrame, key: str, order: list[Column], buckets: int, tie:
         .withColumn(name, F.col("_before") + F.col("_row"))
         .drop("_bucket", "_before", "_row")
     )
+
+
+SIFT_WORDS = 1 << 16
+
+
+def sift(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key may be among ``wanted`` (one column of that name), and few others.
+
+    A bitmap of 4 million bits, half a megabyte whatever the input, is broadcast
+    so that rows nobody wants stay out of the shuffle of the join that follows.
+    With very many keys it fills up and lets more rows pass; none is lost.
+    """
+
+    def places(df: DataFrame) -> DataFrame:
+        h = F.xxhash64(F.lit(9), key)
+        return df.withColumns({"_word": F.shiftrightunsigned(h, 6) % SIFT_WORDS, "_bit": F.call_function("shiftleft", F.lit(1).cast("long"), (h.bitwiseAND(F.lit(63))).cast("int"))})
+
+    bits = places(wanted).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return places(rows).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")

@@ -152,7 +152,7 @@ def dpo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preference pairs: the corrected reply is preferred to the faulty one, found by a needle of its first 60 characters.
 
     The fault is the first assistant message that holds the needle; the context
-    is what stands before it. Corrections stand in as the last reply shouted.
+    is what stands before it. Corrections stand in as the last reply with a prefix.
     """
     rows = table(spark, sf_dir, "conversations")
     talk = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
@@ -162,7 +162,7 @@ def dpo_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = F.filter(F.transform("m", lambda x, i: F.when((x.role == "assistant") & F.contains(F.lower(x.text), F.col("needle")), i)), lambda i: i.isNotNull())
     placed = found.withColumn("at", F.coalesce(F.get(hit, F.lit(0)), F.size("m")))
     context = F.array_join(F.transform(F.slice("m", F.lit(1), F.col("at")), lambda x: F.concat(x.role, F.lit(":"), x.text)), "\n")
-    return placed.select("conv_id", "at", F.sha2(context, 256).alias("prompt_sha"), F.sha2(F.upper("observed"), 256).alias("chosen_sha"), F.sha2("observed", 256).alias("rejected_sha"))
+    return placed.select("conv_id", "at", F.sha2(context, 256).alias("prompt_sha"), F.sha2(F.concat(F.lit("fixed: "), "observed"), 256).alias("chosen_sha"), F.sha2("observed", 256).alias("rejected_sha"))
 
 
 def sql_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +225,7 @@ sha256(text) as reply_sha from conversations a where role = 'assistant'""",
 l as (select conv_id, max_by(text, turn) as observed, any_value(c) as c from n where role = 'assistant' group by 1),
 f as (select l.*, coalesce((select min(i) from n where n.conv_id = l.conv_id and role = 'assistant' and contains(lower(text), lower(substr(observed, 1, 60)))), c) as "at" from l)
 select conv_id, cast(f.at as integer) as "at", sha256(coalesce((select string_agg(role || ':' || text, chr(10) order by i) from n where n.conv_id = f.conv_id and i < f.at), '')) as prompt_sha,
-sha256(upper(observed)) as chosen_sha, sha256(observed) as rejected_sha from f""",
+sha256('fixed: ' || observed) as chosen_sha, sha256(observed) as rejected_sha from f""",
     "agent_sql_stats": """select event_type, round(avg(value), 6) as mean, round(quantile_cont(value, 0.95), 6) as p95_cont, round(corr(value, event_id % 17), 6) as corr,
 round(regr_slope(value, event_id % 17), 6) as slope, round(regr_r2(value, event_id % 17), 6) as r2, count(distinct date_trunc('day', ts)) as days from events group by 1""",
 }

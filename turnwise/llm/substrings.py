@@ -8,13 +8,14 @@ equal anchors, so a window can repeat only if its anchor occurs twice. Documents
 meet on anchors; around every anchor that occurs twice or more the match is
 extended both ways over all windows that chose it. These runs of windows meet on
 two independent 64-bit hashes of the words they span: equal runs keep their
-first occurrence. What differs somewhere is compared window by window. The union
-of all that stood earlier are the maximal repeats, which are cut.
+first occurrence. Where runs of one anchor differ, they are compared window by
+window. The union of all that stood earlier are the maximal repeats, which are cut.
 
 One shuffle carries the texts, keyed by row content, and serves the extension,
-the comparison and the cutting. Anchors and runs shuffle as plain numbers; equal
-ones inside a few megabytes of text collapse to their first before the shuffle,
-so a passage that many documents share does not pile up in one task.
+the comparison and the cutting. Anchors and runs shuffle as plain numbers, and
+equal ones of a document collapse before. Anchors are counted by partial sums. A
+run that many documents share is compared in one task, as a row of a few
+numbers per document, streamed through a window that spills.
 
 Defined cases: null text has no words and hashes like an empty one; rows with
 one doc_id and different texts are ordered by the hash of their content; rows
@@ -30,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .words import Words, as_long, chunks, mix, split_words, windows
 
@@ -104,59 +106,52 @@ def repeated(found: DataFrame) -> DataFrame:
     return found.join(often, "anchor").groupBy("k").agg(F.collect_set("anchor").alias("seeds"))
 
 
-_PLACED = "h1 long, h2 long, doc_id long, k long, at int, n int, again boolean"
+_PLACED = "seed long, h1 long, h2 long, doc_id long, k long, at int, n int, again boolean"
 
 
 def placed(rows: DataFrame, wanted: str, find) -> DataFrame:
-    """(h1, h2, doc_id, k, at, n, again): hashed runs of n windows that begin at a word, from text and ``wanted``.
+    """(seed, h1, h2, doc_id, k, at, n, again): hashed runs of n windows that begin at a word, from text and ``wanted``.
 
-    ``find(part, row, h, g)`` gives (h1, h2, at, n) of a row from its words' two
-    hashes. Of equal runs in a slice of text only the first is open; the others
-    are known to start again (``again``), whatever other slices hold.
+    ``find(wanted, h, g)`` gives (seed, h1, h2, at, n) of a row from its words'
+    two hashes; equal runs have equal seeds. Of equal runs in one document only
+    the first is open, the others start ``again``. A row's output depends on the
+    row alone, so a task that is run anew says the same.
     """
     names = [c.split()[0] for c in _PLACED.split(", ")]
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
-                # the slice's rows in the order that counts
-                ids = part.column(part.schema.get_field_index("doc_id"))
-                order = np.lexsort((part.column(part.schema.get_field_index("k")).to_numpy(), ids.fill_null(-(1 << 63)).to_numpy()))
-                part = part.take(pa.array(order))
-                ids, keys = part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("k")).to_numpy()
-                want = part.column(part.schema.get_field_index(wanted))
+                ids, keys, want = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "k", wanted))
                 words, h = row_hashes(part, _SEEDS[0])
                 g = words.hashes(_SEEDS[1])
-                found, row = [], []
-                for r, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True)):
-                    if not r or keys[r] != keys[r - 1]:  # equal rows are one document
-                        found.append(find(want[r], h[a:b], g[a:b]))
-                        row.append(np.full(len(found[-1][0]), r))
-                if not found:
-                    continue
-                (h1, h2, at, n), row = (np.concatenate(x) for x in zip(*found, strict=True)), np.concatenate(row)
-                order = np.lexsort((h2, h1))  # stable: earlier runs stay first
-                a, b = h1[order], h2[order]
+                found = [find(want[r], h[a:b], g[a:b]) for r, (a, b) in enumerate(zip(words.first[:-1], words.first[1:], strict=True))]
+                row = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                seed, h1, h2, at, n = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.lexsort((at, h2, h1, row))
+                r, a, b = row[order], h1[order], h2[order]
                 again = np.zeros(len(h1), bool)
-                again[order[1:]] = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
-                arrays = [as_long(h1), as_long(h2), None, keys[row], at.astype(np.int32), n.astype(np.int32), again]
-                arrays = [ids.take(pa.array(row)) if x is None else pa.array(x) for x in arrays]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
+                again[order[1:]] = (r[1:] == r[:-1]) & (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+                take = pa.array(row)
+                arrays = [as_long(seed), as_long(h1), as_long(h2), ids.take(take), keys.take(take), at.astype(np.int32), n.astype(np.int32), again]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in arrays], names=names)
 
     return rows.select("doc_id", "text", "k", wanted).mapInArrow(run, _PLACED)
 
 
 def extended(seeded: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """The runs of windows that chose one repeated anchor, each by the words it spans."""
+    """The runs of windows that chose one repeated anchor at one place, each by the words it spans."""
 
     def find(wanted, h, g):
         own = np.sort(np.asarray(wanted.values.to_numpy(), np.int64))
         least = as_long(seeds(h, span, anchor))
         if not len(least):
-            return (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int32),) * 2
+            return (np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int32),) * 2
         place = np.nonzero(own[np.minimum(np.searchsorted(own, least), len(own) - 1)] == least)[0]
         new = np.ones(len(place), bool)
-        new[1:] = (np.diff(place) > 1) | (least[place[1:]] != least[place[:-1]])
+        # an equal anchor that enters on the right is another place, so a run has no window twice
+        enters = as_long(windows(h, anchor, _BASES[0]))[place + span - anchor] == least[place]
+        new[1:] = (np.diff(place) > 1) | (least[place[1:]] != least[place[:-1]]) | enters[1:]
         first = np.nonzero(new)[0]
         n = np.diff(np.append(first, len(place)))
         within = (np.arange(len(place)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(_BASES[0])
@@ -164,7 +159,7 @@ def extended(seeded: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataF
         for x, base in ((h, _BASES[1]), (g, _BASES[2])):
             each = windows(x, span, base)[place]
             out.append(mix(np.add.reduceat(mix(each + within), first)) if len(first) else each)
-        return (*out, place[first], n)
+        return (least[place[first]].view(np.uint64), *out, place[first], n)
 
     return placed(seeded, "seeds", find)
 
@@ -174,27 +169,31 @@ def opened(led: DataFrame, span: int = SPAN) -> DataFrame:
 
     def find(wanted, h, g):
         at = np.concatenate([np.arange(w["at"], w["at"] + w["n"]) for w in wanted.as_py()])
-        return windows(h, span, _BASES[1])[at], windows(g, span, _BASES[2])[at], at, np.ones(len(at), np.int32)
+        one = windows(h, span, _BASES[1])[at]
+        return one, one, windows(g, span, _BASES[2])[at], at, np.ones(len(at), np.int32)
 
     return placed(led, "runs", find)
 
 
 def sorted_out(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(k, at, n) of the runs that stand earlier too, and of those that do not."""
+    """(k, at, n) of the runs that stand earlier too, and of the first ones whose seed has other runs beside.
+
+    One shuffle by seed. A run alone with its seed, however often it stands, has
+    no window in common with any other run.
+    """
     place = F.struct("doc_id", "k", "at")
-    open_ = found.where("not again")
-    first = open_.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("m")).where("m > 1")
-    named = open_.join(first.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first"), (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")), "left")
-    marked = named.select("k", "at", "n", F.coalesce(place != F.col("first"), F.lit(False)).alias("again")).unionByName(found.where("again").select("k", "at", "n", "again"))
-    return marked.where("again").drop("again"), marked.where("not again").drop("again")
+    open_ = found.where("not again").repartition("seed")
+    first = open_.withColumn("later", place != F.min(place).over(W.partitionBy("seed", "h1", "h2")))
+    later = first.where("later").select("k", "at", "n").unionByName(found.where("again").select("k", "at", "n"))
+    beside = first.withColumn("kinds", F.count_if(~F.col("later")).over(W.partitionBy("seed")))
+    return later, beside.where("not later and kinds > 1").select("k", "at", "n")
 
 
 def repeats(rows: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
     """(k, runs): where windows start that also start earlier.
 
-    Whole runs first: one that stands earlier too goes as it is. The windows of
-    the others, first occurrences and runs that differ somewhere, are then
-    compared one by one.
+    Whole runs first: one that stands earlier too goes as it is. Where a seed has
+    runs that differ somewhere, the windows of these are compared one by one.
     """
     seeded = rows.join(repeated(anchors(rows, span, anchor)).hint("shuffle_hash"), "k")
     later, lead = sorted_out(extended(seeded, span, anchor))

@@ -1,30 +1,62 @@
-"""Percentile definitions that differ from Spark's own, as Columns over groups."""
+"""Percentile definitions that differ from Spark's own.
+
+The Column forms take a sorted array and suit small groups such as the turns of
+one call. ``group_percentiles`` is for groups of any size: values are counted
+before the shuffle and ranked as distinct values, never gathered in an array.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Mapping
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def sorted_values(value: Column) -> Column:
-    """Non-null values of a group in order; one group of a query's output is one call or one bucket."""
+    """Non-null values of a small group in order."""
     return F.sort_array(F.collect_list(value))
 
 
+def nearest_index(p: float) -> Callable[[Column], Column]:
+    """Round-half-even(p * (n - 1))."""
+    return lambda n: F.bround(F.lit(p) * (n - 1)).cast("long")
+
+
+def floor_index(p: float) -> Callable[[Column], Column]:
+    """min(n - 1, floor(p * n))."""
+    return lambda n: F.least(n - 1, F.floor(F.lit(p) * n))
+
+
+def half_index() -> Callable[[Column], Column]:
+    """n // 2, the upper median."""
+    return lambda n: F.floor(n / 2)
+
+
+def pick(values: Column, index: Callable[[Column], Column]) -> Column:
+    return F.get(values, index(F.size(values)).cast("int"))
+
+
 def nearest_rank(values: Column, p: float) -> Column:
-    """Element at round-half-even(p * (n - 1)) of a sorted array; null if it is empty."""
-    return F.get(values, F.bround(F.lit(p) * (F.size(values) - 1)).cast("int"))
+    return pick(values, nearest_index(p))
 
 
 def upper_median(values: Column) -> Column:
-    """Element n // 2 of a sorted array."""
-    return F.get(values, F.floor(F.size(values) / 2).cast("int"))
+    return pick(values, half_index())
 
 
 def floor_rank(values: Column, p: float) -> Column:
-    """Element min(n - 1, floor(p * n)) of a sorted array."""
-    n = F.size(values)
-    return F.get(values, F.least(n - 1, F.floor(F.lit(p) * n).cast("int")))
+    return pick(values, floor_index(p))
+
+
+def group_percentiles(df: DataFrame, keys: list[str], value: Column, wanted: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """keys and one column per wanted index into the group's sorted non-null values."""
+    counts = df.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
+    picks = [F.min(F.when(F.col("_upto") > index(F.col("_all")), F.col("_v"))).alias(name) for name, index in wanted.items()]
+    return ranked.groupBy(*keys).agg(*picks)
 
 
 def safe_rate(part: Column, whole: Column, digits: int = 4) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import nearest_rank, safe_rate, sorted_values
+from ..functions.stats import group_percentiles, nearest_index, safe_rate
 
 RANGE_S, BUCKET_S = 7 * 86400, 6 * 3600
 
@@ -57,10 +57,17 @@ def failure_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bucket", calls.alias("calls"), failures.alias("failures"), safe_rate(failures, calls).alias("failure_rate"))
 
 
+P = {"p50": nearest_index(0.5), "p95": nearest_index(0.95)}
+
+
+def measurable() -> Column:
+    return F.when(F.col("event_type") != "error", F.col("value"))
+
+
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    measurable = F.when(F.col("event_type") != "error", F.col("value"))
-    found = on_spine(spark, sf_dir, sorted_values(measurable).alias("v"))
-    return found.select("bucket", nearest_rank(F.col("v"), 0.5).alias("p50"), nearest_rank(F.col("v"), 0.95).alias("p95"))
+    facts = events(spark, sf_dir).select("ts", "event_type", "value")
+    bounds = window_of(facts)
+    return spine(bounds).join(group_percentiles(scoped(facts, bounds), ["bucket"], measurable(), P), "bucket", "left")
 
 
 def cost_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,12 +84,11 @@ def disposition_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = events(spark, sf_dir).select("ts", "event_type", "value", "user_id")
-    v = sorted_values(F.when(F.col("event_type") != "error", F.col("value")))
-    found = scoped(facts, window_of(facts)).agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("value").alias("cost"), v.alias("v"))
-    return found.select(
-        "calls", "failures", safe_rate(F.col("failures"), F.col("calls")).alias("failure_rate"), F.round("cost", 2).alias("cost"), nearest_rank(F.col("v"), 0.5).alias("p50"), nearest_rank(F.col("v"), 0.95).alias("p95")
-    )
+    facts = events(spark, sf_dir).select("ts", "event_type", "value")
+    rows = scoped(facts, window_of(facts)).withColumn("board", F.lit(1))
+    found = rows.groupBy("board").agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("value").alias("cost"))
+    both = found.join(group_percentiles(rows, ["board"], measurable(), P), "board", "left")
+    return both.select("calls", "failures", safe_rate(F.col("failures"), F.col("calls")).alias("failure_rate"), F.round("cost", 2).alias("cost"), "p50", "p95")
 
 
 def tool_errors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import floor_rank, nearest_rank, sorted_values, upper_median
+from ..functions.stats import floor_index, group_percentiles, nearest_rank, sorted_values, upper_median
 from .pricing import priced, price_rows
 from .security import Scope, secured, secured_through
 
@@ -43,15 +43,11 @@ def turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Floor-rank tiles over the calls' medians: half, nineteen in twenty, barge-in rate, calls without latency.
-
-    The list of medians is collected once per bucket of calls by status.
-    """
+    """Floor-rank tiles over the calls' medians: half, nineteen in twenty, barge-in rate, calls without latency."""
     calls = turn_stats(spark, sf_dir).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    found = calls.groupBy("o_orderstatus").agg(
-        sorted_values(F.col("median_ms")).alias("v"), F.sum("barge_ins").alias("b"), F.sum("turns").alias("t"), F.count_if(F.col("median_ms").isNull()).alias("silent")
-    )
-    return found.select("o_orderstatus", floor_rank(F.col("v"), 0.5).alias("p50"), floor_rank(F.col("v"), 0.95).alias("p95"), F.round(F.col("b") / F.col("t"), 4).alias("barge_in_rate"), "silent")
+    found = calls.groupBy("o_orderstatus").agg(F.sum("barge_ins").alias("b"), F.sum("turns").alias("t"), F.count_if(F.col("median_ms").isNull()).alias("silent"))
+    ranks = group_percentiles(calls, ["o_orderstatus"], F.col("median_ms"), {"p50": floor_index(0.5), "p95": floor_index(0.95)})
+    return found.join(ranks, "o_orderstatus", "left").select("o_orderstatus", "p50", "p95", F.round(F.col("b") / F.col("t"), 4).alias("barge_in_rate"), "silent")
 
 
 SERIES = {"response_ms": "l_quantity", "cost": "l_extendedprice", "discount": "l_discount"}

@@ -121,27 +121,38 @@ class Complements:
                 return parts
         return None
 
-    def filling(self, gap: int, rest: tuple[int, ...]) -> tuple[int, ...] | None:
-        """One, two or three available lengths that sum to ``gap`` beside ``rest``."""
+    def filling(self, gap: int, rest: tuple[int, ...], most: int) -> tuple[int, ...] | None:
+        """Up to ``most`` (three) available lengths that sum to ``gap`` beside ``rest``."""
         if gap < len(self.left) and self.has(gap, *rest):
             return (gap,)
-        if parts := self.pair(gap, rest):
+        if most > 1 and (parts := self.pair(gap, rest)):
             return parts
-        for a in reversed(self.lengths):
+        for a in reversed(self.lengths) if most > 2 else ():
             if a < gap - 1 and self.has(a, *rest) and (parts := self.pair(gap - a, (a, *rest))):
                 return (a, *parts)
         return None
 
 
 def plan(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths of a sequence's pieces, number of such sequences)."""
+    """(lengths of a sequence's pieces, number of such sequences).
+
+    Combinations of three use up small pieces that best fit might need more, so
+    plans with combinations of up to one, two and three are made; the one with
+    the fewest sequences counts.
+    """
+    plans = [complemented(counts, limit, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def complemented(counts: dict[int, int], limit: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact fills from the longest piece down, best fit for what is left."""
     left = [counts.get(n, 0) for n in range(limit + 1)]
     out = [((limit,), left[limit])] if left[limit] else []
     left[limit] = 0
     index, stuck = Complements(left), defaultdict(int)
     for longest in range(limit - 1, 0, -1):
         while left[longest]:
-            parts = index.filling(limit - longest, (longest,))
+            parts = index.filling(limit - longest, (longest,), most)
             if parts is None:
                 stuck[longest], left[longest] = left[longest], 0
                 break

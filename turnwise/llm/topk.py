@@ -146,6 +146,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, shard_rows: int = SH
     rows = rows.withColumn("shard", F.pmod(deal, F.lit(shards)).cast("int"))
     queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
     queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")).withColumnRenamed("vec_id", "query_id")
+    queries = materialize(queries, "queries")
 
     unit = ["dim", "shard", "block"]
     # each shard stands once per block of queries, each query once per shard

@@ -31,13 +31,14 @@ from pyspark.sql import Window as W
 
 from ..session import materialize
 from .components import components
+from .tables import sift
 from .words import as_long, chunks, mix, split_words
 
 HAMMING = 3
 SIMILAR = 0.8
 LEAST_WORDS = 5
 SHORT_LIST = 256
-BLOCK_LINES = 64  # unlike lines that may share a block, on average
+BLOCK_LINES = 4  # unlike lines that may share a block, on average
 _SEED = 0x082EFA98EC4E6C89
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[:128] = [ord(c.lower()) if c.isalpha() else 48 if c.isdigit() else 10 if c == "\n" else 32 for c in map(chr, range(128))]
@@ -105,6 +106,14 @@ def near(a: str = "sim", b: str = "sim2") -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= HAMMING
 
 
+def blocks_met(fuzzy: DataFrame) -> DataFrame:
+    """(key, line, sim, f) of the blocks that two lines or more share; f is their number."""
+    blocks, agree = block_plan(fuzzy.count())
+    each = fuzzy.select("line", F.explode(block_keys(F.col("sim"), blocks, agree)).alias("key"))
+    met = each.withColumn("f", F.count("*").over(W.partitionBy("key"))).where("f > 1")
+    return met.join(fuzzy.select("line", "sim"), "line")
+
+
 def candidate_pairs(met: DataFrame) -> DataFrame:
     short = met.where(F.col("f") <= SHORT_LIST)
     other = short.select("key", F.col("line").alias("line2"), F.col("sim").alias("sim2"))
@@ -142,16 +151,19 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                     said.append(b" ".join(parts[w["at"]].split()).decode())
             yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(said, pa.large_string())], schema=schema)
 
-    found = rows.join(per_row.hint("shuffle_hash"), "k").select("text", "which").mapInArrow(run, "line long, said string")
-    return found.dropDuplicates(["line"])
+    near_rows = sift(rows, "k", per_row.select("k"))
+    return near_rows.dropDuplicates(["k"]).join(per_row, "k").select("text", "which").mapInArrow(run, "line long, said string")
 
 
-def verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
+    ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
+    wanted = materialize(kinds.join(ends, "line", "left_semi").select("line", "first.k", "first.at"), "wanted")
+    said = materialize(texts_of(rows, wanted), "said")
     both = pairs.join(said.select(F.col("line").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("line").alias("b"), F.col("said").alias("y")), "b")
     # the distance is only followed as far as the similarity allows
     most = f"cast(floor((1 - {SIMILAR}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
     fits = F.expr(f"abs(length(x) - length(y)) <= {most}")
-    return both.where(fits).where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b")
+    return materialize(both.where(fits).where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b"), "links")
 
 
 def surplus(rows: DataFrame) -> DataFrame:
@@ -160,31 +172,32 @@ def surplus(rows: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "k", "at")
     kinds = materialize(every.groupBy("line").agg(F.min("sim").alias("sim"), F.min("n").alias("n"), F.min(place).alias("first")), "kinds")
     fuzzy = kinds.where(F.col("n") >= LEAST_WORDS)
-    blocks, agree = block_plan(fuzzy.count())
-    each = fuzzy.select("line", "sim", F.explode(block_keys(F.col("sim"), blocks, agree)).alias("key"))
-    lists = each.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    met = materialize(each.join(lists, "key"), "blocks")
+    met = materialize(blocks_met(fuzzy), "blocks")
 
     pairs = materialize(candidate_pairs(met), "pairs")
-    named = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).union(met.where(F.col("f") > SHORT_LIST).select("line")).distinct()
-    said = materialize(texts_of(rows, kinds.join(named, "line", "left_semi").select("line", "first.k", "first.at")), "said")
-    links = materialize(verified(pairs, said), "links")
+    links = verified(pairs, kinds, rows)
     labels = components(links)
     more = materialize(pairs_between_components(met, labels).join(pairs, ["a", "b"], "left_anti"), "pairs")
     if not more.isEmpty():
-        links = links.unionByName(materialize(verified(more, said), "links"))
+        links = links.unionByName(verified(more, kinds, rows))
         labels = components(links)
 
     known = kinds.select("line", "first").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     least = known.groupBy("root").agg(F.min("first").alias("kept"))
     kept = known.join(least, "root").select("line", "kept")
     gone = every.join(kept, "line").where(place != F.col("kept")).select("k", "at")
-    return gone.groupBy("k").agg(F.collect_set("at").alias("gone"))
+    return materialize(gone.groupBy("k").agg(F.collect_set("at").alias("gone")), "gone")
+
+
+def marked(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows with gone; those that keep every line need no shuffle."""
+    met = sift(rows, "k", gone.select("k")).join(gone, "k", "left")
+    return met.unionByName(sift(rows, "k", gone.select("k"), inside=False).withColumn("gone", F.lit(None).cast("array<int>")))
 
 
-def without(marked: DataFrame, *keep: str) -> DataFrame:
+def without(found: DataFrame, *keep: str) -> DataFrame:
     """``keep`` with n_lines, n_removed and the text that is left, from text and gone."""
-    types = dict(marked.dtypes)
+    types = dict(found.dtypes)
 
     def run(batches):
         for batch in batches:
@@ -199,14 +212,13 @@ def without(marked: DataFrame, *keep: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_lines", "n_removed", "left"])
 
     schema = "".join(f"`{c}` {types[c]}, " for c in keep)
-    return marked.select(*keep, "text", "gone").mapInArrow(run, schema + "n_lines long, n_removed long, left string")
+    return found.select(*keep, "text", "gone").mapInArrow(run, schema + "n_lines long, n_removed long, left string")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, text of every row."""
     rows = keyed(docs)
-    marked = rows.join(surplus(rows).hint("shuffle_hash"), "k", "left")
-    return without(marked, "doc_id").withColumnRenamed("left", "text")
+    return without(marked(rows, surplus(rows)), "doc_id").withColumnRenamed("left", "text")
 
 
 def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -216,7 +228,7 @@ def op7(spark: SparkSession, docs: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with the lines gone from their text (and n_chars, if there, counted anew); rows that lost every line are dropped."""
     whole = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k"))
-    marked = whole.join(surplus(keyed(docs)).hint("shuffle_hash"), "k", "left").withColumn("row", F.col("row").dropFields("text") if len(docs.columns) > 1 else F.col("row"))
-    out = without(marked, "row").where((F.col("n_removed") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    found = marked(whole, surplus(keyed(docs))).withColumn("row", F.col("row").dropFields("text") if len(docs.columns) > 1 else F.col("row"))
+    out = without(found, "row").where((F.col("n_removed") == 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
     now = {"text": F.col("left")} | ({"n_chars": F.length("left").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
     return out.select(*[(now[c] if c in now else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -50,8 +50,8 @@ def rank_within(df: DataFrame, key: str, order: list[Column], buckets: int, tie:
 SIFT_WORDS = 1 << 16
 
 
-def sift(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows whose key may be among ``wanted`` (one column of that name), and few others.
+def sift(rows: DataFrame, key: str, wanted: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows whose key may be among ``wanted`` (one column of that name), and few others; or, not ``inside``, the rest.
 
     A bitmap of 4 million bits, half a megabyte whatever the input, is broadcast
     so that rows nobody wants stay out of the shuffle of the join that follows.
@@ -63,4 +63,6 @@ def sift(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         return df.withColumns({"_word": F.shiftrightunsigned(h, 6) % SIFT_WORDS, "_bit": F.call_function("shiftleft", F.lit(1).cast("long"), (h.bitwiseAND(F.lit(63))).cast("int"))})
 
     bits = places(wanted).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    return places(rows).join(F.broadcast(bits), "_word").where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).drop("_word", "_bit", "_bits")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    joined = places(rows).join(F.broadcast(bits), "_word", "inner" if inside else "left")
+    return joined.where(hit if inside else ~hit).drop("_word", "_bit", "_bits")

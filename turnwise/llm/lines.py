@@ -160,10 +160,11 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
     wanted = materialize(kinds.join(ends, "line", "left_semi").select("line", "first.k", "first.at"), "wanted")
     said = materialize(texts_of(rows, wanted), "said")
     both = pairs.join(said.select(F.col("line").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("line").alias("b"), F.col("said").alias("y")), "b")
-    # the distance is only followed as far as the similarity allows
+    # the distance is only followed as far as the similarity allows, in a narrow band first: most pairs are near
     most = f"cast(floor((1 - {SIMILAR}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
     fits = F.expr(f"abs(length(x) - length(y)) <= {most}")
-    return materialize(both.where(fits).where(F.expr(f"levenshtein(x, y, {most}) >= 0")).select("a", "b"), "links")
+    similar = " or ".join(f"levenshtein(x, y, {band}) >= 0" for band in (f"least(8, {most})", f"least(96, {most})", most))
+    return materialize(both.where(fits).where(F.expr(similar)).select("a", "b"), "links")
 
 
 def surplus(rows: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from turnwise.plans import catalog
 
 def normal(df: pd.DataFrame) -> list[tuple]:
     def cell(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return "NULL"
         if isinstance(v, float):
             return f"{v:.9g}"

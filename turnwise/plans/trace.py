@@ -279,3 +279,29 @@ def pipeline(payload_spans: DataFrame, utterances: DataFrame | None = None) -> D
     named = materialize(named, "received")
     once = latest(named, *(["delivered", "ord"] if "delivered" in named.columns else ["ord"]))
     return turns(paired(with_turns(materialize(adapted(timed(once)), "spans"))), utterances)
+
+
+#: reasons in the order that a report lists them
+REASONS = ("turns_derived", "audio_missing", "timing_missing", "trace_missing", "audio_partial", "telemetry_truncated")
+
+
+def trust(calls: DataFrame, t: DataFrame, coverage_least: float = 0.80) -> DataFrame:
+    """Why a call's numbers are to be trusted less, per call.
+
+    ``calls`` has call_id, derived (turns come from events), audio_enabled,
+    coverage (least of its channels, null without audio) and dropped (spans the
+    producer counts as lost). ``t`` are its turns.
+    """
+    seen = t.groupBy("call_id").agg(F.count("*").alias("n_turns"), F.count("response_latency_ms").alias("n_timed"), F.count_if(F.col("tts_span_present")).alias("n_traced"))
+    c = calls.join(seen, "call_id", "left")
+    n = F.coalesce("n_turns", F.lit(0))
+    flags = (
+        F.col("derived"),
+        ~F.col("audio_enabled") | F.col("coverage").isNull(),
+        (n > 0) & (F.coalesce("n_timed", F.lit(0)) == 0),
+        (n > 0) & (F.coalesce("n_traced", F.lit(0)) == 0),
+        F.col("coverage") < coverage_least,
+        F.col("dropped") > 0,
+    )
+    reasons = F.array_compact(F.array(*[F.when(f, r) for f, r in zip(flags, REASONS, strict=True)]))
+    return c.select("call_id", n.alias("turns"), "coverage", reasons.alias("reasons"), F.when(F.size(reasons) > 0, "partial").otherwise("ok").alias("status"))

@@ -15,8 +15,9 @@ lists yield their pairs, counted against l. A long list (a large group of near
 copies, or a passage that many share) yields a star, its least class with all
 others. Every class is verified against one partner first and components are
 made; then all pairs, of short and long lists, that still stand in two different
-components are verified too. So no link between components is lost while the
-pairs inside one are neither enumerated nor verified. Components are what this
+components are verified too, unless parity sketches (a bit per token, flipped by
+each) differ in more places than a link allows. So no link between components is
+lost while the pairs inside one are neither enumerated nor verified. Components are what this
 join reports.
 
 Token frequencies are estimated from counts of tokens that stand often within a
@@ -50,6 +51,7 @@ SHORT_LIST = 32  # longer posting lists go by stars
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 LOCAL_OFTEN = 3  # occurrences in a slice of text that make a token worth counting
 FREQUENT = 1 << 17  # so many tokens have their place in the order by frequency: 1 MB, whatever the input
+SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
 VERIFY_COST = 24.0  # of verifying a pair, in postings
 _SEED, _BASE = 0xA4093822299F31D0, 0x9E3779B97F4A7C15
 _EMPTY = np.zeros(0, np.uint64)
@@ -86,6 +88,12 @@ def digest(tokens: np.ndarray) -> tuple[int, int]:
     return int(as_long(mix(np.array([a.sum(dtype=np.uint64)])))[0]), int(as_long(np.array([b.sum(dtype=np.uint64)]))[0])
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Bit i says whether an odd number of tokens fall to i: bits that differ between two sets are at most the tokens that do."""
+    odd = np.bincount((tokens % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def frequent_tokens(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT) -> np.ndarray:
     """The ``most`` most frequent tokens, the least frequent of them first."""
 
@@ -103,19 +111,19 @@ def frequent_tokens(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT) -
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (the set's digest) and its longest prefix, in order.
+    """doc_id, n_shingles, c1, c2 (the set's digest), its parity sketch and its longest prefix, in order.
 
     Of equal sets in a slice of text only the first carries the prefix.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         by_token = np.argsort(shared.value, kind="stable")
         known = shared.value[by_token]
         for batch in batches:
             for part in chunks(batch):
-                n, c1, c2, prefix, seen = [], [], [], [], set()
+                n, c1, c2, sketch, prefix, seen = [], [], [], [], [], set()
                 for tokens in token_sets(part, width):
                     long = as_long(tokens)
                     rank = np.full(len(long), -1)
@@ -131,13 +139,14 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percen
                     n.append(len(tokens))
                     c1.append(a)
                     c2.append(b)
+                    sketch.append(parity(tokens))
                     prefix.append(long[order])
                 ids = part.column(part.schema.get_field_index("doc_id"))
-                arrays = [ids, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))]
+                arrays = [ids, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, prefix array<long>")
 
 
 def postings(base: DataFrame, percent: int) -> DataFrame:
@@ -182,6 +191,12 @@ def early(percent: int) -> Column:
     return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("pos") < F.col("n") - need + l) & (F.col("pos2") < F.col("n2") - need + l)
 
 
+def alike(percent: int) -> Column:
+    """Whether the parity sketches leave room for a link: it never says no to one."""
+    apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
+    return apart <= F.col("n") + F.col("n2") - 2 * needed(percent)
+
+
 def pairs_of_short_lists(met: DataFrame, percent: int) -> DataFrame:
     """Every pair (a < b) that shares as many tokens as its smaller l asks for."""
     short = met.where(F.col("f") <= SHORT_LIST)
@@ -197,23 +212,25 @@ def stars_of_long_lists(met: DataFrame, percent: int) -> DataFrame:
     return long.join(least, "token").where((F.col("c") > F.col("c2")) & early(percent)).select(F.col("c2").alias("a"), F.col("c").alias("b")).distinct()
 
 
-def pairs_between_components(met: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that stand in two components: the list's members outside its largest one, against all."""
+def pairs_between_components(met: DataFrame, labels: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists that stand in two components and may link: the list's members outside its largest one, against all."""
     long = met.where(F.col("f") > SHORT_LIST)
     named = long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     held = named.groupBy("token", "root").agg(F.count("*").alias("m"))
     largest = held.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    open_ = named.join(largest.select("token", F.col("most.root").alias("largest")), "token")
-    minor = second(open_.where("root <> largest"), "root")
-    both = open_.join(minor, "token").where((F.col("root") != F.col("root2")) & early(percent))
+    open_ = named.join(largest.select("token", F.col("most.root").alias("largest")), "token").join(places.select("c", "sketch"), "c")
+    open_ = materialize(open_, "open")
+    minor = second(open_.where("root <> largest"), "root", "sketch")
+    both = open_.join(minor, "token").where((F.col("root") != F.col("root2")) & early(percent) & alike(percent))
     return both.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
 
 
-def still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends stand in different components."""
+def still_apart(pairs: DataFrame, labels: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose ends stand in different components and may link."""
     a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    named = pairs.join(a, "a", "left").join(b, "b", "left")
-    return named.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    named = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    left, right = (places.select(F.col("c").alias(x), F.col("n").alias(f"n{y}"), F.col("sketch").alias(f"sketch{y}")) for x, y in (("a", ""), ("b", "2")))
+    return named.join(left, "a").join(right, "b").where(alike(percent)).select("a", "b")
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
@@ -240,8 +257,8 @@ def sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Sets meet at a: each moves once per pair it is the b of, and once as an a."""
     pairs = materialize(pairs, "pairs")
-    leaders = pairs.select(F.col("a").alias("c")).distinct().join(places, "c").select(F.col("c").alias("at"), "c", "_id")
-    members = pairs.join(places.withColumnRenamed("c", "b"), "b").select(F.col("a").alias("at"), F.col("b").alias("c"), "_id")
+    leaders = pairs.select(F.col("a").alias("c")).distinct().join(places.select("c", "_id"), "c").select(F.col("c").alias("at"), "c", "_id")
+    members = pairs.join(places.select(F.col("c").alias("b"), "_id"), "b").select(F.col("a").alias("at"), F.col("b").alias("c"), "_id")
     rows = text_rows(docs)
     left = sets_for(rows, materialize(leaders, "leaders"), width).select("at", F.col("tokens").alias("ta"))
     right = sets_for(rows, materialize(members, "members"), width).select("at", "c", F.col("tokens").alias("tb"))
@@ -257,7 +274,9 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     counts the set's links among those verified, enough to connect its component.
     """
     base = materialize(signatures(docs, frequent_tokens(docs, width), width, percent), "signatures")
-    places = base.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(F.min("doc_id").alias("class_id"))
+    places = base.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(
+        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    )
     places = materialize(places.withColumn("_id", F.coalesce("class_id", F.lit(NO_ID))), "classes")
     met = materialize(postings(base, percent), "postings")
     pairs = materialize(pairs_of_short_lists(met, percent).unionByName(stars_of_long_lists(met, percent)).distinct(), "candidates")
@@ -266,7 +285,7 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
     links = verified(first, places, docs, width, percent)
     labels = components(links)
-    rest = still_apart(pairs, labels).unionByName(pairs_between_components(met, labels, percent)).distinct()
+    rest = still_apart(pairs, labels, places, percent).unionByName(pairs_between_components(met, labels, places, percent)).distinct()
     more = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
     if not more.isEmpty():
         links = links.unionByName(verified(more, places, docs, width, percent))

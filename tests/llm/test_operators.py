@@ -102,6 +102,16 @@ def test_jaccard_components(spark, docs, odd, width, percent, short, monkeypatch
     assert got == jaccard.brute_force(texts(both), width, percent)
 
 
+def test_one_of_each_component(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(5, a), (5, b), (3, a + " more"), (None, c), (None, d), (None, d + " end"), (None, b + " last"), (9, c.upper()), (7, d), (7, d)]
+    rows += [(None, ""), (None, None), (8, " "), (8, " "), (8, None)]
+    kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert kept == Counter([(3, a + " more"), (5, b), (9, c.upper()), (7, d), (None, ""), (None, None), (8, " "), (8, None)])
+    apart = [(None, " ".join(f"{i}w{j}" for j in range(9))) for i in range(50)]
+    assert jaccard.one_of_each(spark.createDataFrame(apart, "doc_id long, text string")).count() == 50
+
+
 # 3
 
 

@@ -48,7 +48,6 @@ WIDTH = 3
 PERCENT = 90
 MATCHES = 3  # greatest l
 SHORT_LIST = 32  # longer posting lists go by stars
-NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 LOCAL_OFTEN = 3  # occurrences in a slice of text that make a token worth counting
 FREQUENT = 1 << 17  # so many tokens have their place in the order by frequency: 1 MB, whatever the input
 SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
@@ -110,13 +109,23 @@ def frequent_tokens(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT) -
     return top.sort_values(["n", "token"])["token"].to_numpy(np.int64)
 
 
+def row_key() -> Column:
+    """A hash of doc_id and text: rows of a null or shared doc_id are told apart by it."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k")
+
+
+def least_row() -> Column:
+    """The row of the least doc_id of a group, null ids last, then of the least key."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k"))
+
+
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, c1, c2 (the set's digest), its parity sketch and its longest prefix, in order.
+    """doc_id, k (hash of doc_id and text), n_shingles, c1, c2 (the set's digest), its parity sketch and its longest prefix, in order.
 
     Of equal sets in a slice of text only the first carries the prefix.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         by_token = np.argsort(shared.value, kind="stable")
@@ -141,12 +150,12 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percen
                     c2.append(b)
                     sketch.append(parity(tokens))
                     prefix.append(long[order])
-                ids = part.column(part.schema.get_field_index("doc_id"))
-                arrays = [ids, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+                ids, keys = (part.column(part.schema.get_field_index(x)) for x in ("doc_id", "k"))
+                arrays = [ids, keys, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, c1 long, c2 long, sketch array<long>, prefix array<long>")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key())
+    return rows.mapInArrow(run, "doc_id long, k long, n_shingles long, c1 long, c2 long, sketch array<long>, prefix array<long>")
 
 
 def postings(base: DataFrame, percent: int) -> DataFrame:
@@ -234,7 +243,7 @@ def still_apart(pairs: DataFrame, labels: DataFrame, places: DataFrame, percent:
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(row_key().alias("_id"), F.col("text").cast("string").alias("text"))
 
 
 def sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -250,7 +259,7 @@ def sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([at, was, c, pa.array([as_long(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
 
     texts = sift(rows, "_id", wanted.select("_id")).join(wanted, "_id").select("at", "c", "text")
-    # of the texts of one doc_id, those of another class fall out here
+    # a text whose key met another's by chance falls out here
     return texts.mapInArrow(run, "at long, c long, was long, tokens array<long>").where("c = was").drop("was")
 
 
@@ -268,16 +277,17 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, width: int, p
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id, n_links for every row.
+    """doc_id, n_shingles, component_id, class_id, n_links, k, root for every row.
 
     ``class_id`` is the least doc_id of the rows with an equal set; ``n_links``
-    counts the set's links among those verified, enough to connect its component.
+    counts the set's links among those verified, enough to connect its component;
+    ``root`` is one class digest per component, null for the empty set.
     """
     base = materialize(signatures(docs, frequent_tokens(docs, width), width, percent), "signatures")
     places = base.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(
-        F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+        least_row().alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
     )
-    places = materialize(places.withColumn("_id", F.coalesce("class_id", F.lit(NO_ID))), "classes")
+    places = materialize(places.select("c", F.col("least.doc_id").alias("class_id"), "n", "sketch", F.col("least.k").alias("_id")), "classes")
     met = materialize(postings(base, percent), "postings")
     pairs = materialize(pairs_of_short_lists(met, percent).unionByName(stars_of_long_lists(met, percent)).distinct(), "candidates")
 
@@ -294,15 +304,17 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     ends = links.select(F.col("a").alias("c")).unionAll(links.select("b")).groupBy("c").agg(F.count("*").alias("n_links"))
     known = places.select("c", "class_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    by_class = known.join(least, "root").join(ends, "c", "left").select(F.col("c").alias("c1"), "component_id", "class_id", "n_links")
+    by_class = known.join(least, "root").join(ends, "c", "left").select(F.col("c").alias("c1"), "component_id", "class_id", "n_links", "root")
     empty = F.col("n_shingles") == 0
-    out = base.select("doc_id", "n_shingles", F.when(~empty, F.col("c1")).alias("c1")).join(by_class, "c1", "left")
+    out = base.select("doc_id", "k", "n_shingles", F.when(~empty, F.col("c1")).alias("c1")).join(by_class, "c1", "left")
     return out.select(
         "doc_id",
         "n_shingles",
         F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "k",
+        "root",
     )
 
 
@@ -311,17 +323,20 @@ def op2(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without near duplicates: of each component the row with the least doc_id.
+    """The rows of docs without near duplicates: one row of each component, that of the least doc_id.
 
-    Rows that share this doc_id (or the whole component's null one) with another
-    text stay only if they are alone in it, so that one text remains.
+    A component is known by its root, so rows of a null doc_id, or of one that
+    unlike texts share, stand for themselves. Rows without a word link with
+    nothing and stay, those of equal doc_id and text once; a null id equals none.
     """
-    joined = join_documents(docs, width, percent)
-    keep = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_h"))
-    kept = whole.join(keep.select(F.col("doc_id").alias("_k")).distinct(), F.col("_id").eqNullSafe(F.col("_k")), "left_semi")
-    first = W.partitionBy("_id").orderBy("_h")
-    return kept.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("_row.*")
+    joined = materialize(join_documents(docs, width, percent).select("doc_id", "k", "root"), "joined")
+    keep = joined.where("root is not null").groupBy("root").agg(least_row().alias("least")).select(F.col("least.k").alias("_k"))
+    wordless = joined.where("root is null").select(F.col("k").alias("_k")).distinct()
+    whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), row_key().alias("_k"))
+    kept = whole.join(keep, "_k", "left_semi").dropDuplicates(["_k"])
+    empty = whole.join(wordless, "_k", "left_semi")
+    named = empty.where("_id is not null").dropDuplicates(["_k"])
+    return kept.unionByName(named).unionByName(empty.where("_id is null")).select("_row.*")
 
 
 def brute_force(rows: list[tuple[int, str | None]], width: int = WIDTH, percent: int = PERCENT) -> dict[int, tuple[int, int]]:

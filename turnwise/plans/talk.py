@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.ordered import position
 
+KNN_ROWS, KNN_QUERIES = 4096, 512  # of a block
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -134,6 +138,37 @@ def knn(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+def knn_whole(spark: SparkSession, sf_dir: str, k: int = 5, every: int = 100) -> DataFrame:
+    """The k nearest by cosine within the same cluster for each vector whose id is divisible by ``every``.
+
+    A cluster's rows and queries are dealt in blocks; each pair of blocks is one
+    matrix product and leaves k rows per query for the shuffle.
+    """
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull()).select("label", "vec_id", "embedding")
+    salt = F.xxhash64(F.lit(7), "vec_id")
+    probe = F.col("vec_id") % every == 0
+    sizes = rows.groupBy("label").agg(F.ceil(F.count("*") / KNN_ROWS).cast("int").alias("nr"), F.ceil(F.count_if(probe) / KNN_QUERIES).cast("int").alias("nq")).where("nq > 0")
+    placed = rows.join(F.broadcast(sizes.withColumnRenamed("label", "_label")), F.col("label").eqNullSafe(F.col("_label")))
+    each = placed.withColumns({"rb": F.pmod(salt, "nr").cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))}).select("label", "rb", "qb", "vec_id", "embedding", F.lit(False).alias("asks"))
+    asked = placed.where(probe).withColumns({"qb": F.pmod(salt, "nq").cast("int"), "rb": F.explode(F.sequence(F.lit(0), F.col("nr") - 1))}).select("label", "rb", "qb", "vec_id", "embedding", F.lit(True).alias("asks"))
+
+    def best_of_block(both: pd.DataFrame) -> pd.DataFrame:
+        q, e, out = both[both["asks"]], both[~both["asks"]], []
+        if len(q) and len(e):
+            a, b = (np.array(x["embedding"].tolist(), np.float64) for x in (q, e))
+            a, b = (x / np.where((n := np.sqrt((x * x).sum(1, keepdims=True))) == 0, 1, n) for x in (a, b))
+            cosine, ids = np.round(a @ b.T, 6), e["vec_id"].to_numpy()
+            for i, own in enumerate(q["vec_id"]):
+                other = ids != own
+                order = np.lexsort((ids[other], -cosine[i][other]))[:k]
+                out += [(own, ids[other][j], cosine[i][other][j]) for j in order]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "cosine"])
+
+    near = asked.unionByName(each).groupBy("label", "rb", "qb").applyInPandas(best_of_block, "query_id long, vec_id long, cosine double")
+    best = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
+    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
 def props_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(n).alias("with_k"), F.sum(n).alias("sum_k"), F.max(n).alias("max_k"))
@@ -191,6 +226,7 @@ QUERIES = {
     "cluster_sizes": cluster_sizes,
     "scatter_stride": scatter,
     "knn_cosine": knn,
+    "knn_cosine_whole": knn_whole,
     "json_attr_extract": props_extract,
     "sft_rows": sft_rows,
     "dpo_rows": dpo_rows,

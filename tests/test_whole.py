@@ -20,3 +20,21 @@ def test_knn_asks_for_every_hundredth(spark, tmp_path, monkeypatch):
         near = sorted((-round(float(u[q] @ u[i]), 6), i) for i in range(900) if i != q and label[i] == label[q])[:5]
         want |= {(q, n): i for n, (_, i) in enumerate(near, 1)}
     assert {(r.query_id, r["rank"]): r.vec_id for r in talk.knn_whole(spark, str(tmp_path)).collect()} == want
+
+
+def test_live_merge_has_every_order(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    keys = sorted(r.o_orderkey for r in calls.live_merge_whole(spark, sf).collect())
+    assert keys == sorted([r.o_orderkey for r in orders.select("o_orderkey").collect()] + list(range(last + 1, last + 11)))
+
+
+def test_tree_has_every_event(spark, sf):
+    got = {r.event_id: (r.depth, r.path) for r in timeline.tree_depth_whole(spark, sf).collect()}
+    ids = {r.event_id for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
+    assert set(got) == ids
+    for i in ids:
+        chain = [i]
+        while chain[0] // 4 in ids - {0}:
+            chain.insert(0, chain[0] // 4)
+        assert got[i] == (len(chain) - 1, "/".join(f"{x:019d}" for x in chain))

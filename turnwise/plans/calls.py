@@ -170,6 +170,15 @@ def live_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.join(live, "o_orderkey", "full").select("o_orderkey", F.coalesce("live_status", "o_orderstatus").alias("status"))
 
 
+def live_merge_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fetched rows merged with live ones, live preferred; ten live keys lie beyond the last fetched one."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    last = orders.agg(F.coalesce(F.max("o_orderkey"), F.lit(0)).cast("long").alias("last"))
+    new = last.select(F.explode(F.sequence(F.col("last") + 1, F.col("last") + 10)).alias("o_orderkey"))
+    live = orders.where("o_orderkey % 4 = 0").select("o_orderkey").unionByName(new).withColumn("live_status", F.lit("live"))
+    return orders.join(live, "o_orderkey", "full").select("o_orderkey", F.coalesce("live_status", "o_orderstatus").alias("status"))
+
+
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.agg(F.count("*").alias("n"), F.date_format(F.max(F.col("o_orderdate").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("latest"), F.max("o_orderkey").alias("max_key"))
@@ -201,6 +210,7 @@ QUERIES = {
     "params_coverage": params_coverage,
     "tombstone_filter": tombstones,
     "live_merge": live_merge,
+    "live_merge_whole": live_merge_whole,
     "change_fingerprint": fingerprint,
     "volume_buckets": volume_buckets,
 }
@@ -244,6 +254,8 @@ union all select 'bound', (select count(*) from ({_AGENT}) where agent_id in (3,
     "tombstone_filter": "select o_orderstatus, count(*) as calls from orders where o_orderkey % 13 <> 0 group by 1",
     "live_merge": """select o_orderkey, case when o_orderkey % 4 = 0 then 'live' else o_orderstatus end as status from orders where o_orderkey <= 400
 union all select unnest(range(401, 411)), 'live'""",
+    "live_merge_whole": """select o_orderkey, case when o_orderkey % 4 = 0 then 'live' else o_orderstatus end as status from orders
+union all select unnest(range(m + 1, m + 11)), 'live' from (select max(o_orderkey) as m from orders)""",
     "change_fingerprint": "select count(*) as n, strftime(max(o_orderdate), '%Y-%m-%d %H:%M:%S') as latest, max(o_orderkey) as max_key from orders",
     "volume_buckets": """with p as (select c_custkey, count(o_orderkey) as n from customer left join orders on c_custkey = o_custkey group by 1)
 select case when n <= 0 then '0' when n = 1 then '1' when n <= 10 then '2-10' when n <= 100 then '11-100' when n <= 1000 then '101-1k' else '1k+' end as bucket, count(*) as customers from p group by 1""",

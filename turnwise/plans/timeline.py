@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals as iv
 from ..operators.ordered import first_within_next, islands, latest_before, position
+from ..session import materialize
 from .boards import events
 
 AGENT_SIDE = ("click", "purchase")
@@ -152,6 +153,26 @@ def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def tree_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Depth and pre-order path of every event: its parent is event n div 4; one without a parent in the table is a root.
+
+    One join per level, of which there are as many as the logarithm of the greatest id.
+    """
+    step = F.lpad(F.col("event_id").cast("string"), 19, "0")
+    nodes = events(spark, sf_dir).select("event_id", F.floor(F.col("event_id") / 4).cast("long").alias("parent"))
+    here = nodes.select(F.col("event_id").alias("parent"))
+    inner = materialize(nodes.where("parent <> 0").join(here, "parent", "left_semi"), "tree")
+    roots = nodes.join(inner.select("event_id"), "event_id", "left_anti")
+    level = materialize(roots.select("event_id", F.lit(0).alias("depth"), step.alias("path")), "level")
+    found = level
+    while True:
+        above = level.select(F.col("event_id").alias("parent"), "depth", "path")
+        level = materialize(inner.join(above, "parent").select("event_id", (F.col("depth") + 1).alias("depth"), F.concat("path", F.lit("/"), step).alias("path")), "level")
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level)
+
+
 QUERIES = {
     "interval_union_total": union_total,
     "interval_gaps": interval_gaps,
@@ -167,6 +188,7 @@ QUERIES = {
     "canonical_position": canonical,
     "derived_turns": derived_turns,
     "span_tree_depth": tree_depth,
+    "span_tree_depth_whole": tree_depth_whole,
 }
 
 _S = """with s as (select user_id, event_type, epoch_us(ts) / 1e6 as b, epoch_us(ts) / 1e6 + value * 60 as e from events),
@@ -227,5 +249,9 @@ case when spoke >= heard then round((epoch_us(spoke) - epoch_us(heard)) / 1000,
     "span_tree_depth": """with recursive n as (select event_id, event_id // 4 as parent from events where event_id between 1 and 340),
 t as (select event_id, 0 as depth, lpad(cast(event_id as varchar), 6, '0') as path from n where parent = 0
 union all select n.event_id, t.depth + 1, t.path || '/' || lpad(cast(n.event_id as varchar), 6, '0') from n join t on n.parent = t.event_id)
+select event_id, depth, path from t""",
+    "span_tree_depth_whole": """with recursive n as (select event_id, event_id // 4 as parent from events),
+t as (select event_id, 0 as depth, lpad(cast(event_id as varchar), 19, '0') as path from n where parent = 0 or parent not in (select event_id from events)
+union all select n.event_id, t.depth + 1, t.path || '/' || lpad(cast(n.event_id as varchar), 19, '0') from n join t on n.parent = t.event_id where n.parent <> 0)
 select event_id, depth, path from t""",
 }

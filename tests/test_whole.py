@@ -38,3 +38,11 @@ def test_tree_has_every_event(spark, sf):
         while chain[0] // 4 in ids - {0}:
             chain.insert(0, chain[0] // 4)
         assert got[i] == (len(chain) - 1, "/".join(f"{x:019d}" for x in chain))
+
+
+def test_transcript_lines_are_whole(spark, tmp_path):
+    long = "word " * 30 + "end"
+    rows = [(1, 0, "system", "s"), (1, 1, "user", long), (1, 2, "assistant", long + "!"), (1, 3, "user", " ")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.line, r.said) for r in talk.transcript_lines_whole(spark, str(tmp_path)).orderBy("line").collect()]
+    assert got == [(0, "caller: " + long), (1, "agent: " + long + "!")]

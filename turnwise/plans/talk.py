@@ -24,6 +24,13 @@ def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", position(["conv_id"], F.col("turn")).alias("line"), F.concat(speaker, F.lit(": "), F.substring("text", 1, 40)).alias("said"))
 
 
+def transcript_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spoken lines as in ``transcript_lines``, each with its whole text."""
+    rows = table(spark, sf_dir, "conversations").where((F.col("role") != "system") & (F.trim("text") != ""))
+    speaker = F.when(F.col("role") == "user", "caller").otherwise("agent")
+    return rows.select("conv_id", position(["conv_id"], F.col("turn")).alias("line"), F.concat(speaker, F.lit(": "), F.col("text")).alias("said"))
+
+
 def turn_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Caller text opens a turn (a later one replaces an unanswered one), the agent's reply closes it; a trailing caller is kept."""
     own = W.partitionBy("conv_id").orderBy("turn")
@@ -216,6 +223,7 @@ def sql_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "transcript_lines": transcript_lines,
+    "transcript_lines_whole": transcript_lines_whole,
     "turn_pairing": turn_pairing,
     "conversation_messages": messages,
     "disposition_rules": dispositions,
@@ -236,6 +244,8 @@ QUERIES = {
 ORACLE_SQL = {
     "transcript_lines": """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as line,
 case when role = 'user' then 'caller' else 'agent' end || ': ' || substr(text, 1, 40) as said from conversations where role <> 'system' and trim(text) <> ''""",
+    "transcript_lines_whole": """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as line,
+case when role = 'user' then 'caller' else 'agent' end || ': ' || text as said from conversations where role <> 'system' and trim(text) <> ''""",
     "turn_pairing": """with a as (select *, lag(role) over w as before, lag(turn) over w as heard, lead(role) over w as after from conversations where role in ('user', 'assistant') window w as (partition by conv_id order by turn)),
 b as (select conv_id, case when role = 'assistant' and before = 'user' then heard when role = 'user' then turn end as caller_turn, case when role = 'assistant' then turn end as agent_turn from a where role = 'assistant' or after is null)
 select conv_id, cast(row_number() over (partition by conv_id order by coalesce(agent_turn, caller_turn)) - 1 as integer) as turn_index, caller_turn, agent_turn from b""",

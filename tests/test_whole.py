@@ -46,3 +46,12 @@ def test_transcript_lines_are_whole(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = [(r.line, r.said) for r in talk.transcript_lines_whole(spark, str(tmp_path)).orderBy("line").collect()]
     assert got == [(0, "caller: " + long), (1, "agent: " + long + "!")]
+
+
+def test_scatter_keeps_clusters_of_3000(spark, tmp_path):
+    rows = spark.range(3000 + 3001).select(F.col("id").alias("vec_id"), (F.col("id") >= 3000).cast("int").alias("label"), F.array(F.lit(0.5)).alias("embedding"))
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    kept = {r.label: r["count"] for r in talk.scatter_whole(spark, str(tmp_path)).groupBy("label").count().collect()}
+    assert kept == {0: 3000, 1: 1501}
+    few = talk.scatter(spark, str(tmp_path), 1000).where("label = 0").select("vec_id").collect()
+    assert sorted(r.vec_id for r in few) == list(range(0, 3000, 4))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ordered import position
 
+POINT_CAP = 3000
 KNN_ROWS, KNN_QUERIES = 4096, 512  # of a block
 
 
@@ -127,6 +128,11 @@ def scatter(spark: SparkSession, sf_dir: str, most: int = 100) -> DataFrame:
     return rows.where(F.col("r") % F.when(F.col("n") > most, stride).otherwise(1) == 0).select("label", "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
 
 
+def scatter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scatter`` at the reference's number of points."""
+    return scatter(spark, sf_dir, POINT_CAP)
+
+
 def unit(v: Column) -> Column:
     """L2-normalised doubles; a zero vector stays zero."""
     d = F.transform(v, lambda x: x.cast("double"))
@@ -233,6 +239,7 @@ QUERIES = {
     "archetype_lift": archetypes,
     "cluster_sizes": cluster_sizes,
     "scatter_stride": scatter,
+    "scatter_stride_whole": scatter_whole,
     "knn_cosine": knn,
     "knn_cosine_whole": knn_whole,
     "json_attr_extract": props_extract,
@@ -261,6 +268,8 @@ select lang, source, quality, toxic, n, round(n / (t * (1.0 * a / t * b / t * q
     "cluster_sizes": """select label, count(*) as size, array_to_string(list_slice(list(vec_id order by vec_id), 1, 5), ',') as exemplars from embeddings group by 1""",
     "scatter_stride": """with a as (select *, row_number() over (partition by label order by vec_id) - 1 as r, count(*) over (partition by label) as n from embeddings)
 select label, vec_id, round(cast(embedding[1] as double), 6) as x from a where r % case when n > 100 then n // 100 + 1 else 1 end = 0""",
+    "scatter_stride_whole": """with a as (select *, row_number() over (partition by label order by vec_id) - 1 as r, count(*) over (partition by label) as n from embeddings)
+select label, vec_id, round(cast(embedding[1] as double), 6) as x from a where r % case when n > 3000 then n // 3000 + 1 else 1 end = 0""",
     "knn_cosine": """with s as (select p.vec_id as query_id, e.vec_id, round(list_cosine_similarity(cast(p.embedding as double[]), cast(e.embedding as double[])), 6) as cosine
 from embeddings p join embeddings e on p.label = e.label and p.vec_id <> e.vec_id where p.vec_id < 20)
 select query_id, vec_id, cosine, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) where rank <= 5""",

@@ -11,6 +11,8 @@ execution splits; nothing is gathered per node.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import drop_materialized, materialize
 
 BATCH_EDGES = 500_000
+PICKS = 4  # rounds in which each component verifies its likeliest pair alone
 
 
 def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,3 +100,40 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.unionByName(now.select(F.col("root").alias("node"), "root").distinct())
+
+
+def still_apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The pairs (a, b, far) whose ends stand in two components, with these as ra and rb."""
+    if labels is None:
+        return pairs.select("a", "b", "far", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    named = pairs.join(a, "a", "left").join(b, "b", "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b")})
+    return named.where("ra <> rb").select("a", "b", "far", "ra", "rb")
+
+
+def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
+    """(links, labels) once every candidate pair (a, b, far) is verified or lies inside a component.
+
+    Each round every component offers the pair out of it that seems the nearest
+    (least ``far``), these are verified, and the components are made anew: pairs
+    of a group of copies fall inside after a few rounds, a component's worth of
+    pairs at a time, without being verified. What is left after ``PICKS`` rounds
+    is verified whole. ``verify`` takes (a, b) and gives those that link, written.
+    """
+    for step in range(PICKS + 1):
+        pairs = materialize(still_apart(pairs, labels), "apart")
+        if pairs.isEmpty():
+            drop_materialized(pairs)
+            break
+        if step < PICKS:
+            each = pairs.select(F.explode(F.array("ra", "rb")).alias("root"), F.struct("far", "a", "b").alias("pair"))
+            picks = materialize(each.groupBy("root").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "picks")
+        else:
+            picks = pairs.select("a", "b")
+        found = verify(picks)
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        if step == PICKS:
+            break
+        pairs = pairs.join(picks, ["a", "b"], "left_anti").select("a", "b", "far")
+    return links, labels

@@ -11,14 +11,15 @@ lengths foretell many chance meetings. A pair is held to the smaller l of the
 two, and its prefixes are cut to what its own two sizes leave.
 
 Equal sets are one class from the start and are represented once. Short posting
-lists yield their pairs, counted against l. A long list (a large group of near
-copies, or a passage that many share) yields a star, its least class with all
-others. Every class is verified against one partner first and components are
-made; then all pairs, of short and long lists, that still stand in two different
-components are verified too, unless parity sketches (a bit per token, flipped by
-each) differ in more places than a link allows. So no link between components is
-lost while the pairs inside one are neither enumerated nor verified. Components are what this
-join reports.
+lists yield their pairs. A long list (a large group of near copies, or a passage
+that many share) yields a star, its least class with all others. All of these
+are counted against l and held to parity sketches (a bit per token, flipped by
+each), which tell most pairs that differ in more places than a link allows. Then
+every component verifies its likeliest pair, components are made anew, and so on
+until no pair stands between two. Last come the pairs of long lists between two
+components, matched within bands of set size, counted and held alike, so no link
+between components is lost while the pairs inside one are neither enumerated nor
+verified. Components are what this join reports.
 
 Token frequencies are estimated from counts of tokens that stand often within a
 slice of text; they only set the order, so any error costs time and no result.
@@ -33,6 +34,8 @@ such rows alone has a null id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import materialize
-from .components import components
+from .components import connected
 from .tables import sift
 from .words import as_long, chunks, mix, split_words, windows
 
@@ -52,6 +55,7 @@ LOCAL_OFTEN = 3  # occurrences in a slice of text that make a token worth counti
 FREQUENT = 1 << 17  # so many tokens have their place in the order by frequency: 1 MB, whatever the input
 SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
 VERIFY_COST = 24.0  # of verifying a pair, in postings
+MEET_PAIRS = 64  # pairs of one set that a copy of it serves
 _SEED, _BASE = 0xA4093822299F31D0, 0x9E3779B97F4A7C15
 _EMPTY = np.zeros(0, np.uint64)
 
@@ -79,12 +83,9 @@ def prefix_length(n: int, percent: int, matches: int) -> int:
     return min(n, n - least_shared(n, percent) + matches)
 
 
-def digest(tokens: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over a set that equal sets share."""
-    if not len(tokens):
-        return 0, 0
-    a, b = mix(tokens + np.uint64(0x51ED)), mix(tokens ^ np.uint64(0xD6E8FEB86659FD93))
-    return int(as_long(mix(np.array([a.sum(dtype=np.uint64)])))[0]), int(as_long(np.array([b.sum(dtype=np.uint64)]))[0])
+def digest(tokens: np.ndarray) -> int:
+    """A 64-bit sum over a set that equal sets share."""
+    return int(as_long(mix(np.array([mix(tokens + np.uint64(0x51ED)).sum(dtype=np.uint64)])))[0]) if len(tokens) else 0
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
@@ -120,19 +121,19 @@ def least_row() -> Column:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k (hash of doc_id and text), n_shingles, c1, c2 (the set's digest), its parity sketch and its longest prefix, in order.
+    """doc_id, k (hash of doc_id and text), n_shingles, c1 (the set's digest), its parity sketch and its longest prefix, in order.
 
     Of equal sets in a slice of text only the first carries the prefix.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         by_token = np.argsort(shared.value, kind="stable")
         known = shared.value[by_token]
         for batch in batches:
             for part in chunks(batch):
-                n, c1, c2, sketch, prefix, seen = [], [], [], [], [], set()
+                n, c1, sketch, prefix, seen = [], [], [], [], set()
                 for tokens in token_sets(part, width):
                     long = as_long(tokens)
                     rank = np.full(len(long), -1)
@@ -141,32 +142,30 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percen
                         rank = np.where(known[at] == long, by_token[at], -1)
                     k = prefix_length(len(tokens), percent, MATCHES)
                     order = np.lexsort((mix(tokens), rank))[:k]
-                    a, b = digest(tokens)
-                    if (a, b) in seen:  # an equal set of this slice stands for it
+                    c = digest(tokens)
+                    if c in seen:  # an equal set of this slice stands for it
                         order = order[:0]
-                    seen.add((a, b))
+                    seen.add(c)
                     n.append(len(tokens))
-                    c1.append(a)
-                    c2.append(b)
+                    c1.append(c)
                     sketch.append(parity(tokens))
                     prefix.append(long[order])
                 ids, keys = (part.column(part.schema.get_field_index(x)) for x in ("doc_id", "k"))
-                arrays = [ids, keys, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+                arrays = [ids, keys, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key())
-    return rows.mapInArrow(run, "doc_id long, k long, n_shingles long, c1 long, c2 long, sketch array<long>, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, k long, n_shingles long, c1 long, sketch array<long>, prefix array<long>")
 
 
-def postings(base: DataFrame, percent: int) -> DataFrame:
+def postings(classes: DataFrame, percent: int) -> DataFrame:
     """(token, c, n, l, f): where each class's l-prefix meets others; f is the length of the token's list.
 
-    One shuffle by token: rows of equal sets collapse to their class there, and
-    the lists' lengths are counted in place.
+    Lists are counted by partial sums, and the join back splits a hot token's rows.
     """
-    each = base.select(F.col("c1").alias("c"), F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    once = each.repartition("token").dropDuplicates(["token", "c", "n", "pos"])
-    met = once.withColumn("f", F.count("*").over(W.partitionBy("token"))).where("f > 1")
+    each = classes.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
+    often = each.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
+    met = each.join(often, "token")
     need = F.ceil(F.col("n") * percent / 100).cast("int")
     base_length = F.col("n") - need
     own = W.partitionBy("c")  # at most a document's prefix
@@ -200,46 +199,70 @@ def early(percent: int) -> Column:
     return (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (F.col("pos") < F.col("n") - need + l) & (F.col("pos2") < F.col("n2") - need + l)
 
 
+def apart() -> Column:
+    """Places in which the parity sketches of two sets differ."""
+    return sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
+
+
+def allowance(percent: int) -> Column:
+    """Tokens that two linked sets of n and n2 have apart, at most."""
+    return F.col("n") + F.col("n2") - 2 * needed(percent)
+
+
 def alike(percent: int) -> Column:
     """Whether the parity sketches leave room for a link: it never says no to one."""
-    apart = sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
-    return apart <= F.col("n") + F.col("n2") - 2 * needed(percent)
+    return apart() <= allowance(percent)
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """(a, b, k, l): the shared tokens of each pair and how many it has to have."""
+    return rows.groupBy("a", "b").agg(F.count("*").alias("k"), F.min(F.least("l", "l2")).alias("l"))
 
 
 def pairs_of_short_lists(met: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a < b) that shares as many tokens as its smaller l asks for."""
+    """Every pair (a < b) of short lists, counted."""
     short = met.where(F.col("f") <= SHORT_LIST)
     both = short.join(second(short), "token").where((F.col("c") < F.col("c2")) & early(percent))
-    counted = both.groupBy(F.col("c").alias("a"), F.col("c2").alias("b")).agg(F.count("*").alias("k"), F.min(F.least("l", "l2")).alias("l"))
-    return counted.where("k >= l").select("a", "b")
+    return counted(both.withColumns({"a": F.col("c"), "b": F.col("c2")}))
 
 
 def stars_of_long_lists(met: DataFrame, percent: int) -> DataFrame:
-    """The least class of each long list with all others."""
+    """The least class of each long list with all others, counted."""
     long = met.where(F.col("f") > SHORT_LIST)
     least = long.groupBy("token").agg(F.min(F.struct(*MEMBER)).alias("m")).select("token", *[F.col(f"m.{x}").alias(f"{x}2") for x in MEMBER])
-    return long.join(least, "token").where((F.col("c") > F.col("c2")) & early(percent)).select(F.col("c2").alias("a"), F.col("c").alias("b")).distinct()
+    both = long.join(least, "token").where((F.col("c") > F.col("c2")) & early(percent))
+    return counted(both.withColumns({"a": F.col("c2"), "b": F.col("c")}))
 
 
-def pairs_between_components(met: DataFrame, labels: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that stand in two components and may link: the list's members outside its largest one, against all."""
+def pairs_between_components(met: DataFrame, labels: DataFrame | None, places: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists that stand in two components and may link, counted: the list's members outside its largest one, against all."""
     long = met.where(F.col("f") > SHORT_LIST)
-    named = long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    named = long.withColumn("root", F.col("c")) if labels is None else long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     held = named.groupBy("token", "root").agg(F.count("*").alias("m"))
     largest = held.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     open_ = named.join(largest.select("token", F.col("most.root").alias("largest")), "token").join(places.select("c", "sketch"), "c")
-    open_ = materialize(open_, "open")
-    minor = second(open_.where("root <> largest"), "root", "sketch")
-    both = open_.join(minor, "token").where((F.col("root") != F.col("root2")) & early(percent) & alike(percent))
-    return both.select(F.least("c", "c2").alias("a"), F.greatest("c", "c2").alias("b")).distinct()
+    # sizes that fit stand in the same band or in neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent)).cast("int")
+    open_ = materialize(open_.withColumn("band", band), "open")
+    minor = second(open_.where("root <> largest"), "root", "sketch", "band").withColumn("band", F.explode(F.array(*[F.col("band2") + i for i in (-1, 0, 1)])))
+    once = (F.col("root") == F.col("largest")) | (F.col("c") < F.col("c2"))
+    both = open_.join(minor, ["token", "band"]).where((F.col("root") != F.col("root2")) & once & early(percent) & alike(percent))
+    return counted(both.withColumns({"a": F.least("c", "c2"), "b": F.greatest("c", "c2")}))
+
+
+def enough(*found: DataFrame) -> DataFrame:
+    """The pairs that share as many tokens, over all kinds of lists, as their smaller l asks for."""
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("a", "b").agg(F.sum("k").alias("k"), F.min("l").alias("l")).where("k >= l").select("a", "b")
 
 
-def still_apart(pairs: DataFrame, labels: DataFrame, places: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose ends stand in different components and may link."""
-    a, b = (labels.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
-    named = pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+def likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
+    """(a, b, far) of the pairs that the parity sketches allow to link; far is the share of the allowance that they use."""
     left, right = (places.select(F.col("c").alias(x), F.col("n").alias(f"n{y}"), F.col("sketch").alias(f"sketch{y}")) for x, y in (("a", ""), ("b", "2")))
-    return named.join(left, "a").join(right, "b").where(alike(percent)).select("a", "b")
+    both = pairs.join(left, "a").join(right, "b").where(alike(percent))
+    return both.select("a", "b", (apart() / F.greatest(allowance(percent), F.lit(1))).alias("far"))
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
@@ -247,33 +270,35 @@ def text_rows(docs: DataFrame) -> DataFrame:
 
 
 def sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(at, c, tokens): the whole set of class c for each wanted (at, c, _id), made again from a text of the class."""
-    schema = pa.schema([("at", pa.int64()), ("c", pa.int64()), ("was", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    """(meet, c, tokens): the whole set of class c for each wanted (meet, c, _id), made again from a text of the class."""
+    schema = pa.schema([("meet", pa.int64()), ("c", pa.int64()), ("was", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch):
                 sets = token_sets(part, width)
-                c = pa.array([digest(x)[0] for x in sets], pa.int64())
-                at, was = (part.column(part.schema.get_field_index(x)) for x in ("at", "c"))
-                yield pa.RecordBatch.from_arrays([at, was, c, pa.array([as_long(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
+                c = pa.array([digest(x) for x in sets], pa.int64())
+                meet, was = (part.column(part.schema.get_field_index(x)) for x in ("meet", "c"))
+                yield pa.RecordBatch.from_arrays([meet, was, c, pa.array([as_long(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
 
-    texts = sift(rows, "_id", wanted.select("_id")).join(wanted, "_id").select("at", "c", "text")
+    texts = sift(rows, "_id", wanted.select("_id")).join(wanted, "_id").select("meet", "c", "text")
     # a text whose key met another's by chance falls out here
-    return texts.mapInArrow(run, "at long, c long, was long, tokens array<long>").where("c = was").drop("was")
+    return texts.mapInArrow(run, "meet long, c long, was long, tokens array<long>").where("c = was").drop("was")
 
 
 def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Sets meet at a: each moves once per pair it is the b of, and once as an a."""
-    pairs = materialize(pairs, "pairs")
-    leaders = pairs.select(F.col("a").alias("c")).distinct().join(places.select("c", "_id"), "c").select(F.col("c").alias("at"), "c", "_id")
-    members = pairs.join(places.select(F.col("c").alias("b"), "_id"), "b").select(F.col("a").alias("at"), F.col("b").alias("c"), "_id")
+    """The pairs (a, b) that link. Sets meet at a, of which there is a copy for every ``MEET_PAIRS`` of its pairs."""
+    copies = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET_PAIRS).cast("int").alias("copies")), "copies")
+    leaders = copies.join(places.select(F.col("c").alias("a"), "_id"), "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int"))
+    meet = F.xxhash64("a", "copy").alias("meet")
+    members = dealt.join(places.select(F.col("c").alias("b"), "_id"), "b").select(meet, F.col("b").alias("c"), "_id")
     rows = text_rows(docs)
-    left = sets_for(rows, materialize(leaders, "leaders"), width).select("at", F.col("tokens").alias("ta"))
-    right = sets_for(rows, materialize(members, "members"), width).select("at", "c", F.col("tokens").alias("tb"))
+    left = sets_for(rows, materialize(leaders.select(meet, F.col("a").alias("c"), "_id"), "leaders"), width).select("meet", F.col("c").alias("a"), F.col("tokens").alias("ta"))
+    right = sets_for(rows, materialize(members, "members"), width).select("meet", F.col("c").alias("b"), F.col("tokens").alias("tb"))
     shared = F.size(F.array_intersect("ta", "tb"))
-    linked = right.join(left, "at").where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent)
-    return materialize(linked.select(F.col("at").alias("a"), F.col("c").alias("b")).distinct(), "links")
+    linked = right.join(left, "meet").where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent)
+    return materialize(linked.select("a", "b").distinct(), "links")
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -285,21 +310,21 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     base = materialize(signatures(docs, frequent_tokens(docs, width), width, percent), "signatures")
     places = base.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(
-        least_row().alias("least"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+        least_row().alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.max("prefix").alias("prefix")
     )
-    places = materialize(places.select("c", F.col("least.doc_id").alias("class_id"), "n", "sketch", F.col("least.k").alias("_id")), "classes")
-    met = materialize(postings(base, percent), "postings")
-    pairs = materialize(pairs_of_short_lists(met, percent).unionByName(stars_of_long_lists(met, percent)).distinct(), "candidates")
-
-    # one partner each first; of what is still apart then, every pair
-    first = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    links = verified(first, places, docs, width, percent)
-    labels = components(links)
-    rest = still_apart(pairs, labels, places, percent).unionByName(pairs_between_components(met, labels, places, percent)).distinct()
-    more = materialize(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, places, docs, width, percent))
-        labels = components(links)
+    places = materialize(places.select("c", F.col("least.doc_id").alias("class_id"), "n", "sketch", F.col("least.k").alias("_id"), "prefix"), "classes")
+    met = materialize(postings(places, percent), "postings")
+    short = materialize(pairs_of_short_lists(met, percent), "short")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, places, docs, width, percent)
+
+    links, labels = connected(likely(enough(short, stars_of_long_lists(met, percent)), places, percent), verify)
+    between = materialize(pairs_between_components(met, labels, places, percent), "between")
+    links, labels = connected(likely(enough(between, short.join(between, ["a", "b"], "left_semi")), places, percent), verify, links, labels)
+    if links is None:
+        links = short.select("a", "b").where("false")
+        labels = short.select(F.col("a").alias("node"), F.col("b").alias("root")).where("false")
 
     ends = links.select(F.col("a").alias("c")).unionAll(links.select("b")).groupBy("c").agg(F.count("*").alias("n_links"))
     known = places.select("c", "class_id").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -233,23 +233,19 @@ def edit(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("short", [256, 1])
-def test_lines(spark, short, monkeypatch):
-    import pyarrow as pa
+def normalised(text):
+    table = lines._TABLE.tobytes()
+    return [b" ".join(x.encode().translate(table).split()).decode() for x in (text or "").split("\n")]
 
-    monkeypatch.setattr(lines, "SHORT_LIST", short)
-    base = "the quick brown fox jumps over the lazy dog and then it runs far away from all of us in the evening light again"
-    near = [base, base + "!", base.upper(), base.replace("light", "lights"), base.replace("lazy", "hazy"), "alone here is a line of more words than five"]
-    rows = [(i, "\n".join(near[(i + j) % 6] for j in range(2)) + f"\n\nown line number {i} x{i}y of this document only {i * 7919}") for i in range(12)] + [(50, None), (51, "\n\n")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    table, place = lines._TABLE.tobytes(), {}
+
+def left_by_edit(rows, is_candidate):
+    """The texts that are left when candidates of an edit similarity of 0.8 or more are one."""
+    place = {}
     for d, t in rows:
-        for i, x in enumerate((t or "").split("\n")):
-            if n := b" ".join(x.encode().translate(table).split()).decode():
+        for i, n in enumerate(normalised(t)):
+            if n:
                 place.setdefault(n, []).append((d, i))
     names = list(place)
-    words = lines.split_words(pa.array(names))
-    sim = lines.simhash(words.hashes(lines._SEED), words.first[:-1])
     root = {n: n for n in names}
 
     def find(x):
@@ -258,21 +254,94 @@ def test_lines(spark, short, monkeypatch):
         return x
 
     for i, a in enumerate(names):
-        for j in range(i):
-            b = names[j]
-            if len(a.split()) >= 5 <= len(b.split()) and int(sim[i] ^ sim[j]).bit_count() <= 3 and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+        for b in names[:i]:
+            if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and is_candidate(a, b) and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
                 root[find(a)] = find(b)
     first, gone = {}, defaultdict(set)
     for n in names:
-        first[find(n)] = min(first.get(find(n), (999, 0)), min(place[n]))
+        first[find(n)] = min(first.get(find(n), (10**9, 0)), min(place[n]))
     for n in names:
         for p in place[n]:
             if p != first[find(n)]:
                 gone[p[0]].add(p[1])
-    want = {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+    return {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in rows}
+
+
+def sketched(names):
+    """Keys and SimHash of each normalised line."""
+    import pyarrow as pa
+
+    words = lines.split_words(pa.array(names))
+    n = np.diff(words.first)
+    h, line = lines.distinct(words.hashes(lines._SEED), np.repeat(np.arange(len(n)), n))
+    n = np.bincount(line, minlength=len(names))
+    keys = defaultdict(set)
+    for i, key in zip(*(x.tolist() for x in lines.keys_of(h, n)), strict=True):
+        keys[names[i]].add(key)
+    return keys, dict(zip(names, lines.simhash(h, np.cumsum(n) - n).tolist(), strict=True))
+
+
+def changed(rng, line, kind, vocabulary):
+    words = line.split()
+    i = int(rng.integers(len(words)))
+    if kind == "letter":
+        word, j = list(words[i]), int(rng.integers(len(words[i])))
+        word[j] = "q" if word[j] != "q" else "z"
+        words[i] = "".join(word)
+    elif kind == "word":
+        words[i] = vocabulary[int(rng.integers(len(vocabulary)))]
+    else:
+        del words[i]
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("rounds", [3, 0])
+def test_lines(spark, docs, rounds, monkeypatch):
+    """All rounds of picks, and none, give what the definition gives."""
+    monkeypatch.setattr(components, "PICKS", rounds)
+    base = "the quick brown fox jumps over the lazy dog and then it runs far away from all of us in the evening light again"
+    near = [base, base + "!", base.upper(), base.replace("light", "lights"), base.replace("lazy", "hazy"), "alone here is a line of more words than five"]
+    rows = [(i, "\n".join(near[(i + j) % 6] for j in range(2)) + f"\n\nown line number {i} x{i}y of this document only {i * 7919}") for i in range(12)] + [(50, None), (51, "\n\n"), (52, "one"), (53, "one two"), (54, "one twos")]
+    rng = np.random.default_rng(0)
+    for i, r in enumerate(docs.where("length(text) between 40 and 600").orderBy("doc_id").limit(40).collect()):
+        some = r.text.split("\n")
+        rows.append((100 + i, r.text))
+        rows.append((200 + i, "\n".join(changed(rng, x, "letter", ["w"]) if x.split() else x for x in some)))
+    keys, sim = sketched(sorted({n for _, t in rows for n in normalised(t) if n}))
+    want = left_by_edit(rows, lambda a, b: keys[a] & keys[b] and (sim[a] ^ sim[b]).bit_count() <= lines.HAMMING)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r.doc_id: r.text for r in lines.op7(spark, df).collect()} == want
 
 
+def test_lines_recall_by_edit_similarity_alone(docs):
+    """Of real lines with one letter, one word or one word less, nine in ten are candidates where edit similarity says that they are one."""
+    rng = np.random.default_rng(1)
+    every = sorted({n for r in docs.select("text").collect() for n in normalised(r.text) if n})
+    vocabulary = sorted({w for x in every for w in x.split()})
+    for least, most in ((3, 7), (8, 15), (16, 31), (32, 80)):
+        pool = [x for x in every if least <= len(x.split()) <= most]
+        for kind in ("letter", "word", "less"):
+            pairs = [(x, changed(rng, x, kind, vocabulary)) for x in (pool[int(i)] for i in rng.integers(len(pool), size=60))]
+            pairs = [(a, b) for a, b in pairs if a != b and b and edit(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9)]
+            keys, sim = sketched(sorted({x for p in pairs for x in p}))
+            found = [bool(keys[a] & keys[b]) and (sim[a] ^ sim[b]).bit_count() <= lines.HAMMING for a, b in pairs]
+            assert len(found) < 10 or np.mean(found) >= 0.85, (least, kind, np.mean(found))
+
+
+def test_distance_bounds_hold():
+    rng = np.random.default_rng(2)
+    words = ["a", "bb", "ccc", "the", "of", "line", "straße", "x1"]
+    for _ in range(200):
+        x = [words[i] for i in rng.integers(len(words), size=int(rng.integers(1, 30)))]
+        y = list(x)
+        for _ in range(int(rng.integers(5))):
+            y[int(rng.integers(len(y)))] = words[int(rng.integers(len(words)))]
+        y = y[int(rng.integers(2)) :] or y
+        x, y = " ".join(x), " ".join(y)
+        least, most = lines.distance_bounds(x, y)
+        assert least <= edit(x, y) <= most
+
+
 def test_lines_keep_columns(spark, odd, empty):
     extra = odd.withColumns({"left": F.lit("l"), "k": F.lit(1), "gone": F.lit(2)})
     out = lines.cleaned(extra)

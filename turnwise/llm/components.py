@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import drop_materialized, materialize
 
 BATCH_EDGES = 500_000
-PICKS = 4  # rounds in which each component verifies its likeliest pair alone
+PICKS = 3  # rounds in which each component verifies its likeliest pair alone
 
 
 def union(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

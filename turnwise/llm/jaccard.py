@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import materialize
+from ..session import drop_materialized, materialize
 from .components import connected
 from .tables import sift
 from .words import as_long, chunks, mix, split_words, windows
@@ -60,9 +60,9 @@ _SEED, _BASE = 0xA4093822299F31D0, 0x9E3779B97F4A7C15
 _EMPTY = np.zeros(0, np.uint64)
 
 
-def token_sets(part: pa.RecordBatch, width: int) -> list[np.ndarray]:
+def token_sets(part: pa.RecordBatch, width: int, text: str = "text") -> list[np.ndarray]:
     """The sorted set of n-gram hashes of each row."""
-    words = split_words(part.column(part.schema.get_field_index("text")), lower=True)
+    words = split_words(part.column(part.schema.get_field_index(text)), lower=True)
     h, out = words.hashes(_SEED), []
     for a, b in zip(words.first[:-1], words.first[1:], strict=True):
         if b - a >= width:
@@ -269,36 +269,50 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(row_key().alias("_id"), F.col("text").cast("string").alias("text"))
 
 
-def sets_for(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(meet, c, tokens): the whole set of class c for each wanted (meet, c, _id), made again from a text of the class."""
-    schema = pa.schema([("meet", pa.int64()), ("c", pa.int64()), ("was", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+def texts_for(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(meet, c, text): a text of class c for each wanted (meet, c, _id)."""
+    return sift(rows, "_id", wanted.select("_id")).join(wanted, "_id").select("meet", "c", "text")
+
+
+def linked(pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of (a, b, x, y) whose texts x and y link."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
+        last, own = None, _EMPTY  # pairs of one set follow each other
         for batch in batches:
-            for part in chunks(batch):
-                sets = token_sets(part, width)
-                c = pa.array([digest(x) for x in sets], pa.int64())
-                meet, was = (part.column(part.schema.get_field_index(x)) for x in ("meet", "c"))
-                yield pa.RecordBatch.from_arrays([meet, was, c, pa.array([as_long(x) for x in sets], pa.list_(pa.int64()))], schema=schema)
-
-    texts = sift(rows, "_id", wanted.select("_id")).join(wanted, "_id").select("meet", "c", "text")
-    # a text whose key met another's by chance falls out here
-    return texts.mapInArrow(run, "meet long, c long, was long, tokens array<long>").where("c = was").drop("was")
+            for part in chunks(batch, "y"):
+                names = part.schema.get_field_index
+                a, b = (part.column(names(c)).to_numpy() for c in "ab")
+                x = part.column(names("x"))
+                hit = np.zeros(len(a), bool)
+                for i, other in enumerate(token_sets(part, width, "y")):
+                    if a[i] != last:
+                        one = pa.RecordBatch.from_arrays([x.slice(i, 1)], ["text"])
+                        last, own = a[i], token_sets(one, width)[0]
+                    shared = len(np.intersect1d(own, other, assume_unique=True))
+                    # a text whose key met another's by chance is not of the class
+                    hit[i] = shared * 100 >= (len(own) + len(other) - shared) * percent and digest(own) == a[i] and digest(other) == b[i]
+                yield pa.RecordBatch.from_arrays([pa.array(a[hit]), pa.array(b[hit])], schema=schema)
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Sets meet at a, of which there is a copy for every ``MEET_PAIRS`` of its pairs."""
+    """The pairs (a, b) that link. Texts, smaller than their sets, meet at a, of which there is a copy for every ``MEET_PAIRS`` of its pairs."""
     copies = materialize(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEET_PAIRS).cast("int").alias("copies")), "copies")
     leaders = copies.join(places.select(F.col("c").alias("a"), "_id"), "a").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     dealt = pairs.join(copies, "a").withColumn("copy", F.pmod(F.xxhash64("b"), "copies").cast("int"))
     meet = F.xxhash64("a", "copy").alias("meet")
     members = dealt.join(places.select(F.col("c").alias("b"), "_id"), "b").select(meet, F.col("b").alias("c"), "_id")
     rows = text_rows(docs)
-    left = sets_for(rows, materialize(leaders.select(meet, F.col("a").alias("c"), "_id"), "leaders"), width).select("meet", F.col("c").alias("a"), F.col("tokens").alias("ta"))
-    right = sets_for(rows, materialize(members, "members"), width).select("meet", F.col("c").alias("b"), F.col("tokens").alias("tb"))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    linked = right.join(left, "meet").where(shared * 100 >= (F.size("ta") + F.size("tb") - shared) * percent)
-    return materialize(linked.select("a", "b").distinct(), "links")
+    leaders, members = materialize(leaders.select(meet, F.col("a").alias("c"), "_id"), "leaders"), materialize(members, "members")
+    left = texts_for(rows, leaders).select("meet", F.col("c").alias("a"), F.col("text").alias("x"))
+    right = texts_for(rows, members).select("meet", F.col("c").alias("b"), F.col("text").alias("y"))
+    out = materialize(linked(right.join(left, "meet"), width, percent).distinct(), "links")
+    for done in (copies, leaders, members):
+        drop_materialized(done)
+    return out
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

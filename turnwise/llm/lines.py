@@ -1,64 +1,156 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 A line is normalised (ASCII letters lowered, digits to 0, other ASCII signs to
-blanks, blanks collapsed) and gets a 64-bit SimHash of its words. Two lines of
-``LEAST_WORDS`` words or more link if their SimHashes differ in ``HAMMING`` bits
-at most and their normalised texts have an edit similarity of ``SIMILAR`` or
-more; equal normalised lines are one from the start, whatever their length. Of
-each connected group the first line stays, by doc_id and place; the others go.
-
-SimHashes that differ in d bits, cut into m + d blocks, agree on m blocks: lines
-meet on every choice of m blocks. m follows the number of different lines (so
-that a block of unlike lines stays small) and does not change what is found.
-Blocks of up to ``SHORT_LIST`` lines yield their pairs. Longer ones, groups of
-many variants of a line, yield neighbours first; then only pairs that stand in
-two components.
-
-Defined cases: lines without a word stay; null text stays null; rows with equal
-doc_id and text stand for one document, each with the same result; a row whose
-every line went keeps its place with an empty text; an empty table gives no rows.
+blanks, blanks collapsed). Lines whose normalised texts are equal are one from
+the start. Two different ones link if they are candidates and their edit
+similarity (1 - distance / longer length) is ``SIMILAR`` or more. Of each
+connected group the first line stays, by doc_id and place; the others go.
+
+Candidates agree on a pigeonhole block, and their SimHashes differ in ``HAMMING``
+of 64 bits at most. Each different word of a line votes once. The bits of a
+SimHash scatter: one word of ten replaced flips nine of 64, so blocks of bits find
+few of these lines. Blocks are therefore cut by features: a word votes in one block alone,
+chosen by its hash, so the words that change leave all other blocks as they are.
+``BANDS`` says by length how many blocks there are, how many have to be equal,
+and how many words they have to hold, so that a few common words make no
+candidates. Under eight words, every word is a block and all but one have to be
+equal. Lines little longer than the start of their band
+are in the band below as well. README has the recall against edit similarity
+alone. All of this depends on the two lines only, never on how many there are.
+
+Blocks are counted by partial sums, and joins back split hot ones. Each block
+yields a star, one of its lines with all others; every component verifies its
+nearest pair, round by round; then pairs of blocks that still stand between two
+components follow, the members outside a block's largest component against all.
+
+Defined cases: lines without a word stay; a line of one word links with equal
+ones alone; null text stays null; rows with equal doc_id and text stand for one
+document, each with the same result; rows of a null doc_id come first; a row
+whose every line went keeps its place with an empty text; very long lines are
+taken whole, and one line has to fit in memory; extra columns, whatever their
+names, are carried by ``cleaned``; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from ..session import materialize
-from .components import components
+from ..session import drop_materialized, materialize
+from .components import connected
 from .tables import sift
 from .words import as_long, chunks, mix, split_words
 
-HAMMING = 3
+HAMMING = 20
 SIMILAR = 0.8
-LEAST_WORDS = 5
-SHORT_LIST = 256
-BLOCK_LINES = 4  # unlike lines that may share a block, on average
+#: (words from which on, blocks, blocks that have to be equal, words that these hold at least); beyond the last, twice the words have twice the blocks
+BANDS = ((8, 5, 2, 4), (16, 4, 1, 4), (24, 6, 1, 4), (32, 8, 1, 4))
+OVERLAP = 1.25  # a line up to so much longer than a band of lengths is in the band below too
+LONG_CHARS = 512  # longer texts are compared by words before characters
 _SEED = 0x082EFA98EC4E6C89
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
 _TABLE = np.arange(256, dtype=np.uint8)
 _TABLE[:128] = [ord(c.lower()) if c.isalpha() else 48 if c.isdigit() else 10 if c == "\n" else 32 for c in map(chr, range(128))]
 
 
 def simhash(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Bitwise majority of the hashes h[first[i]:first[i + 1]]; no run is empty."""
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1)
     n = np.diff(np.append(first, len(h)))
-    ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    octets = h.view(np.uint8).reshape(-1, 8)
+    # a byte counts one bit, so runs of up to 255 are summed as eight numbers each
+    ones = np.stack([np.add.reduceat(_SPREAD[octets[:, j]], first) for j in range(8)], 1).view(np.uint8).astype(np.int32)
+    for i in np.nonzero(n > 255)[0]:
+        ones[i] = np.unpackbits(octets[first[i] : first[i] + n[i]], axis=1).sum(0)
     return np.packbits(2 * ones > n[:, None], axis=1).reshape(-1).view(np.uint64)
 
 
+def distinct(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different words' hashes of each line, line by line, and their lines, of which a slice has less than 2^22."""
+    order = np.argsort((line.astype(np.uint64) << np.uint64(42)) | (h >> np.uint64(22)))
+    h, line = h[order], line[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    return h[new], line[new]
+
+
+def block_hashes(h: np.ndarray, line: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, block, SimHash of the block's words, their number) of every block that has words; ``blocks`` is the number of each word's line."""
+    at = (mix(h ^ _GOLD) >> np.uint64(32)).astype(np.int64) * blocks >> 32
+    key = line * (int(blocks.max()) + 1) + at
+    order = np.argsort(key)
+    key = key[order]
+    first = np.nonzero(np.append(True, key[1:] != key[:-1]))[0]
+    return line[order][first], at[order][first], simhash(h[order], first), np.diff(np.append(first, len(h)))
+
+
+def bands(n: np.ndarray) -> list[np.ndarray]:
+    """The band (-1: none) of each line of n words, and the one below if it is little longer than its own band's start."""
+    starts = np.array([band[0] for band in BANDS])
+    last = len(starts) - 1
+    doubled = np.floor(np.log2(np.maximum(n, 1) / starts[last])).astype(np.int64)
+    own = np.where(doubled > 0, last + doubled, np.searchsorted(starts, n, "right") - 1)
+    start = np.where(own > last, starts[last] << np.maximum(own - last, 0), starts[np.clip(own, 0, last)])
+    return [own, np.where(n < OVERLAP * start, own - 1, -1)]
+
+
+def keys_of(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): the pigeonhole keys of lines of n different words each, whose hashes follow one another in h."""
+    line, at = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    # every word of the shortest lines is a block of its own: all of them, and all but one
+    for size in range(2, BANDS[0][0] + 2):
+        which = np.nonzero(n == size)[0]
+        each = mix(h[at[which][:, None] + np.arange(size)] ^ _GOLD)
+        total = each.sum(1, dtype=np.uint64)
+        if size < BANDS[0][0]:
+            found.append((which, mix(total + mix(np.full(len(which), size, np.uint64)))))
+        left = total[:, None] - each + mix(np.full(1, size - 1, np.uint64))
+        found.append((np.repeat(which, size), mix(left.reshape(-1))))
+    last = len(BANDS) - 1
+    for band in bands(n):
+        for i, (_, count, agree, least) in enumerate(BANDS):
+            fits = (band == i) | ((i == last) & (band > last))
+            take = fits[line]
+            if not take.any():
+                continue
+            blocks = count << np.maximum(band - i, 0)
+            of, block, sim, words = block_hashes(h[take], line[take], blocks[line[take]])
+            value = mix(sim ^ mix((block + (blocks[of] << 32)).astype(np.uint64) + _GOLD))
+            if agree == 1:
+                found.append((of[words >= least], value[words >= least]))
+                continue
+            which = np.nonzero(fits)[0]
+            row = np.zeros(len(n), np.int64)
+            row[which] = np.arange(len(which))
+            table, held = np.zeros((len(which), count), np.uint64), np.zeros((len(which), count), np.int64)
+            table[row[of], block], held[row[of], block] = value, words
+            for chosen in combinations(range(count), agree):
+                there = held[:, list(chosen)].sum(1) >= least
+                key = np.full(len(which), sum(1 << c for c in chosen) + (count << 32), np.uint64)
+                for c in chosen:
+                    key = mix(key * np.uint64(0xC2B2AE3D27D4EB4F) + table[:, c])
+                found.append((which[there], key[there]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("doc_id", "text").alias("k"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k"))
 
 
 def lines(rows: DataFrame) -> DataFrame:
-    """(line, sim, n, doc_id, k, at) of every line with a word; line is the hash of its normalised text."""
-    schema = pa.schema([("line", pa.int64()), ("sim", pa.int64()), ("n", pa.int32()), ("doc_id", pa.int64()), ("k", pa.int64()), ("at", pa.int32())])
+    """(line, sim, size, keys, doc_id, k, at) of every line with a word; line is the hash of its normalised text, size its bytes about.
+
+    Of equal lines in a slice of text only the first carries its keys.
+    """
+    fields = [("line", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("k", pa.int64()), ("at", pa.int32())]
+    schema = pa.schema(fields)
 
     def run(batches):
         for batch in batches:
@@ -75,64 +167,65 @@ def lines(rows: DataFrame) -> DataFrame:
                 h = words.hashes(_SEED)
                 n = np.diff(np.append(first, len(h)))
                 within = np.arange(len(h)) - np.repeat(first, n)
-                whole = mix(np.add.reduceat(mix(h + within.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first))
-                ids, keys = part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("k"))
+                whole = mix(np.add.reduceat(mix(h + within.astype(np.uint64) * _GOLD), first))
+                size = np.add.reduceat(words.end - words.start, first) + n - 1
+                # a word counts once, or the commonest ones would outvote all others
+                h, of_line = distinct(h, np.repeat(np.arange(len(n)), n))
+                n = np.bincount(of_line, minlength=len(n))
+                sim = simhash(h, np.cumsum(n) - n)
+                _, leads = np.unique(whole, return_index=True)
+                leading = np.zeros(len(n), bool)
+                leading[leads] = True
+                leads = np.nonzero(leading)[0]
+                of, key = keys_of(h[np.repeat(leading, n)], n[leads])
+                order = np.argsort(of, kind="stable")
+                count = np.zeros(len(n), np.int64)
+                count[leads] = np.bincount(of, minlength=len(leads))
+                keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(as_long(key[order])))
+                ids, names = part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("k"))
                 at = pa.array(row[first])
-                arrays = [pa.array(as_long(whole)), pa.array(as_long(simhash(h, first))), pa.array(n.astype(np.int32)), ids.take(at), keys.take(at), pa.array(place[first].astype(np.int32))]
+                arrays = [pa.array(as_long(whole)), pa.array(as_long(sim)), pa.array(size.astype(np.int32)), keys, ids.take(at), names.take(at), pa.array(place[first].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return rows.mapInArrow(run, "line long, sim long, n int, doc_id long, k long, at int")
+    return rows.mapInArrow(run, "line long, sim long, size int, keys array<long>, doc_id long, k long, at int")
 
 
-def block_plan(n: int) -> tuple[int, int]:
-    """(number of blocks, blocks that have to agree) for n different lines."""
-    for agree in range(1, 6):
-        if n >> (64 * agree // (agree + HAMMING)) <= BLOCK_LINES:
-            break
-    return agree + HAMMING, agree
+def may_link() -> Column:
+    """Whether the sizes leave room for the edit similarity (with a margin for bytes against characters) and the SimHashes are near."""
+    fits = F.least("size", "size2") >= F.floor((2 * SIMILAR - 1) * F.greatest("size", "size2"))
+    return fits & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= HAMMING)
 
 
-def block_keys(sim: Column, blocks: int, agree: int) -> Column:
-    """One key per choice of blocks: the bits of these blocks and the choice's number."""
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for chosen in combinations(range(blocks), agree):
-        mask = sum(((1 << (edge[b + 1] - edge[b])) - 1) << edge[b] for b in chosen)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    return F.array(*[F.xxhash64(F.lit(i), sim.bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+def blocks_met(kinds: DataFrame) -> DataFrame:
+    """(key, line, sim, size, f) of the blocks that two lines or more share; f is their number."""
+    each = kinds.select("line", F.explode("keys").alias("key"))
+    often = each.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
+    return each.join(often, "key").join(kinds.select("line", "sim", "size"), "line")
 
 
-def near(a: str = "sim", b: str = "sim2") -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= HAMMING
+def named_pairs(both: DataFrame) -> DataFrame:
+    far = F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))).alias("far")
+    return both.select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b"), far).distinct()
 
 
-def blocks_met(fuzzy: DataFrame) -> DataFrame:
-    """(key, line, sim, f) of the blocks that two lines or more share; f is their number."""
-    blocks, agree = block_plan(fuzzy.count())
-    each = fuzzy.select("line", F.explode(block_keys(F.col("sim"), blocks, agree)).alias("key"))
-    met = each.withColumn("f", F.count("*").over(W.partitionBy("key"))).where("f > 1")
-    return met.join(fuzzy.select("line", "sim"), "line")
+def stars(met: DataFrame) -> DataFrame:
+    """(a, b, far): in each block one line, another one in another block, with all the others."""
+    centre = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("line", "key").alias("draw"), "line", "sim", "size")).alias("m"))
+    both = met.join(centre.select("key", *[F.col(f"m.{c}").alias(f"{c}2") for c in ("line", "sim", "size")]), "key")
+    return named_pairs(both.where((F.col("line") != F.col("line2")) & may_link()))
 
 
-def candidate_pairs(met: DataFrame) -> DataFrame:
-    short = met.where(F.col("f") <= SHORT_LIST)
-    other = short.select("key", F.col("line").alias("line2"), F.col("sim").alias("sim2"))
-    pairs = short.join(other, "key").where((F.col("line") < F.col("line2")) & near()).select(F.col("line").alias("a"), F.col("line2").alias("b"))
-    order = W.partitionBy("key").orderBy("sim", "line")
-    chain = met.where(F.col("f") > SHORT_LIST).withColumns({"line2": F.lead("line").over(order), "sim2": F.lead("sim").over(order)})
-    chain = chain.where(F.col("line2").isNotNull() & near()).select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b"))
-    return pairs.unionByName(chain).distinct()
-
-
-def pairs_between_components(met: DataFrame, labels: DataFrame) -> DataFrame:
-    """In each long block, the lines outside its largest component against all."""
-    long = met.where(F.col("f") > SHORT_LIST).join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    held = long.groupBy("key", "root").agg(F.count("*").alias("m"))
+def pairs_between_components(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(a, b, far): in each block of three lines or more, those outside its largest component against all."""
+    wide = met.where("f > 2")
+    named = wide.withColumn("root", F.col("line")) if labels is None else wide.join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+    held = named.groupBy("key", "root").agg(F.count("*").alias("m"))
     largest = held.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
-    open_ = long.join(largest.select("key", F.col("most.root").alias("largest")), "key")
-    minor = open_.where("root <> largest").select("key", F.col("line").alias("line2"), F.col("sim").alias("sim2"), F.col("root").alias("root2"))
-    both = open_.join(minor, "key").where((F.col("root") != F.col("root2")) & near())
-    return both.select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b")).distinct()
+    open_ = materialize(named.join(largest.select("key", F.col("most.root").alias("largest")), "key"), "open")
+    minor = open_.where("root <> largest").select("key", *[F.col(c).alias(f"{c}2") for c in ("line", "sim", "size", "root")])
+    once = (F.col("root") == F.col("largest")) | (F.col("line") < F.col("line2"))
+    both = open_.join(minor, "key").where((F.col("root") != F.col("root2")) & once & may_link())
+    return named_pairs(both)
 
 
 def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -155,39 +248,112 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return near_rows.dropDuplicates(["k"]).join(per_row, "k").select("text", "which").mapInArrow(run, "line long, said string")
 
 
+def distance_bounds(x: str, y: str) -> tuple[int, int]:
+    """(least, most): what the edit distance is at least, by the characters of both, and at most, by an alignment of their words."""
+    a, b = (np.frombuffer(s.encode("utf-32-le"), "<u4") % 4096 for s in (x, y))
+    apart = np.bincount(a, minlength=4096) - np.bincount(b, minlength=4096)
+    least = max(int(apart[apart > 0].sum()), int(-apart[apart < 0].sum()))
+    # words that stand once in each text, in a rising order in both, stay; what is between two of them is replaced
+    u, v = x.split(" "), y.split(" ")
+    once_u, once_v = ({w: i for i, w in enumerate(t) if c[w] == 1} for t, c in ((t, Counter(t)) for t in (u, v)))
+    tops, back, ends = [], {}, []
+    for i, w in enumerate(u):
+        j = once_v.get(w) if w in once_u else None
+        if j is None:
+            continue
+        place = int(np.searchsorted(tops, j)) if tops and tops[-1] > j else len(tops)
+        back[i, j] = ends[place - 1] if place else None
+        if place == len(tops):
+            tops.append(j)
+            ends.append((i, j))
+        else:
+            tops[place], ends[place] = j, (i, j)
+    chain, at = [], ends[-1] if ends else None
+    while at is not None:
+        chain.append(at)
+        at = back[at]
+    most, i0, j0 = 0, 0, 0
+    for i, j in [*reversed(chain), (len(u), len(v))]:
+        while i0 < i and j0 < j and u[i0] == v[j0]:
+            i0, j0 = i0 + 1, j0 + 1
+        p, q = i, j
+        while p > i0 and q > j0 and u[p - 1] == v[q - 1]:
+            p, q = p - 1, q - 1
+        if p - i0 == q - j0:  # word by word
+            most += sum(max(len(s), len(t)) for s, t in zip(u[i0:p], v[j0:q], strict=True) if s != t)
+        else:
+            most += max(sum(map(len, u[i0:p])) + p - i0, sum(map(len, v[j0:q])) + q - j0)
+        i0, j0 = i + 1, j + 1
+    return least, most
+
+
+def bounded(pairs: DataFrame) -> DataFrame:
+    """(a, b, x, y, sure) of pairs of long texts; sure is null where bounds do not tell whether they are similar."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.large_string()), ("y", pa.large_string()), ("sure", pa.bool_())])
+
+    def run(batches):
+        for batch in batches:
+            sure = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = x.as_py(), y.as_py()
+                room = int((1 - SIMILAR) * max(len(x), len(y)) + 1e-9)
+                least, most = distance_bounds(x, y)
+                sure.append(True if most <= room else False if least > room else None)
+            open_ = pa.array([s is None for s in sure])
+            blank = pa.scalar("", pa.large_string())
+            texts = [pc.if_else(open_, c.cast(pa.large_string()), blank) for c in batch.columns[2:4]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *texts, pa.array(sure, pa.bool_())], schema=schema)
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, x string, y string, sure boolean")
+
+
+def similar() -> Column:
+    """Edit similarity of x and y, the distance followed only as far as it allows, in a narrow band first."""
+    most = f"cast(floor((1 - {SIMILAR}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
+    bands = " or ".join(f"levenshtein(x, y, {band}) >= 0" for band in (f"least(8, {most})", f"least(64, {most})", most))
+    return F.expr(f"abs(length(x) - length(y)) <= {most} and ({bands})")
+
+
 def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
     wanted = materialize(kinds.join(ends, "line", "left_semi").select("line", "first.k", "first.at"), "wanted")
     said = materialize(texts_of(rows, wanted), "said")
-    both = pairs.join(said.select(F.col("line").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("line").alias("b"), F.col("said").alias("y")), "b")
-    # the distance is only followed as far as the similarity allows, in a narrow band first: most pairs are near
-    most = f"cast(floor((1 - {SIMILAR}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
-    fits = F.expr(f"abs(length(x) - length(y)) <= {most}")
-    similar = " or ".join(f"levenshtein(x, y, {band}) >= 0" for band in (f"least(8, {most})", f"least(96, {most})", most))
-    return materialize(both.where(fits).where(F.expr(similar)).select("a", "b"), "links")
+    both = pairs.select("a", "b").join(said.select(F.col("line").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("line").alias("b"), F.col("said").alias("y")), "b")
+    both = materialize(both.where(F.least(F.length("x"), F.length("y")) >= SIMILAR * F.greatest(F.length("x"), F.length("y")) - 1), "both")
+    long = F.greatest(F.length("x"), F.length("y")) > LONG_CHARS
+    told = bounded(both.where(long)).where(F.when(F.col("sure").isNotNull(), F.col("sure")).otherwise(similar()))
+    out = materialize(both.where(~long).where(similar()).select("a", "b").unionByName(told.select("a", "b")), "links")
+    for done in (wanted, said, both):
+        drop_materialized(done)
+    return out
 
 
 def surplus(rows: DataFrame) -> DataFrame:
     """(k, gone): the places of the lines that go, per document."""
     every = materialize(lines(rows), "lines")
     place = F.struct("doc_id", "k", "at")
-    kinds = materialize(every.groupBy("line").agg(F.min("sim").alias("sim"), F.min("n").alias("n"), F.min(place).alias("first")), "kinds")
-    fuzzy = kinds.where(F.col("n") >= LEAST_WORDS)
-    met = materialize(blocks_met(fuzzy), "blocks")
-
-    pairs = materialize(candidate_pairs(met), "pairs")
-    links = verified(pairs, kinds, rows)
-    labels = components(links)
-    more = materialize(pairs_between_components(met, labels).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, kinds, rows))
-        labels = components(links)
-
-    known = kinds.select("line", "first").join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    least = known.groupBy("root").agg(F.min("first").alias("kept"))
-    kept = known.join(least, "root").select("line", "kept")
-    gone = every.join(kept, "line").where(place != F.col("kept")).select("k", "at")
-    return materialize(gone.groupBy("k").agg(F.collect_set("at").alias("gone")), "gone")
+    kinds = every.groupBy("line").agg(F.min("sim").alias("sim"), F.min("size").alias("size"), F.min(place).alias("first"), F.max("keys").alias("keys"))
+    kinds = materialize(kinds, "kinds")
+    met = materialize(blocks_met(kinds), "blocks")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, kinds, rows)
+
+    links, labels = connected(stars(met), verify)
+    links, labels = connected(pairs_between_components(met, labels), verify, links, labels)
+
+    known = kinds.select("line", "first")
+    if labels is not None:
+        known = known.join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
+        least = known.groupBy("root").agg(F.min("first").alias("kept"))
+        known = known.join(least, "root")
+    else:
+        known = known.withColumn("kept", F.col("first"))
+    gone = every.join(known.select("line", "kept"), "line").where(place != F.col("kept")).select("k", "at")
+    out = materialize(gone.groupBy("k").agg(F.collect_set("at").alias("gone")), "gone")
+    for done in (every, kinds, met):
+        drop_materialized(done)
+    return out
 
 
 def marked(rows: DataFrame, gone: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The numbered operators against brute force, round trips and planted cases, with odd rows."""
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,6 +140,13 @@ def test_language_odd_rows(spark, odd, empty):
     assert language.op3(spark, empty).count() == 0
 
 
+def test_language_letters_of_every_plane(spark):
+    rows = [(i, f"this is plain english text number {i}", "en") for i in range(40)] + [(100 + i, f"dies ist ein deutscher satz {i} und noch einer", "de") for i in range(40)]
+    rows += [(500, chr(0x20000) * 50, None), (501, chr(0x1F600) * 5 + " 12 !", None), (502, "this " * 50_000, None)]
+    by = {r.doc_id: r for r in language.op3(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert by[500].lang_pred in ("en", "de") and by[501].lang_pred == "und" and by[502].lang_pred == "en"
+
+
 # 4
 
 
@@ -179,6 +187,29 @@ def test_quality_sketch_is_near_and_merges(spark):
         assert r.q2 == pytest.approx(500, rel=0.025) and r.q3 == pytest.approx(750, rel=0.025)
 
 
+def test_quality_fences_follow_their_group(spark):
+    """Two sources of one language against exact quartiles; the smaller one leans on its language."""
+    rng = np.random.default_rng(4)
+    rows = [("en", "short", 0.0, 0.0, 0.0, float(x), 120.0, 9.0) for x in rng.normal(4, 0.2, 4000)] + [("en", "long", float(y), 0.0, 0.0, float(x), 300.0, 30.0) for x, y in zip(rng.normal(8, 0.5, 3000), rng.uniform(0.1, 0.3, 3000), strict=True)]
+    df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{m} double" for m in quality.SKETCHED))
+    got = {r.source: r for r in quality.fences(quality.sketches(df)).collect()}
+    every = np.array([r[5] for r in rows])
+    for name, n in (("short", 4000), ("long", 3000)):
+        own = np.array([r[5] for r in rows if r[1] == name])
+        q1, q2, q3 = (n * np.quantile(own, q) / (n + 100) + 100 * np.quantile(every, q) / (n + 100) for q in (0.25, 0.5, 0.75))
+        assert got[name].hi_word_length == pytest.approx(q2 + 6 * min(q3 - q2, 2 * (q2 - q1)), rel=0.15)
+        assert got[name].lo_word_length == pytest.approx(q2 - 6 * min(q2 - q1, 2 * (q3 - q2)), rel=0.15)
+    assert got["short"].hi_word_length < 6.5 < got["long"].lo_word_length + 3 and got["long"].hi_word_length > 9
+    assert got["short"].hi_symbol_ratio < 0.1 < 0.4 < got["long"].hi_symbol_ratio
+
+
+def test_filter_quality_odd_rows(spark, odd, empty):
+    extra = odd.withColumns({"_row": F.lit("r"), "_key": F.lit(1), "kept": F.lit(2), "n_words": F.lit(3)})
+    out = quality.filter_quality(extra)
+    assert out.columns == extra.columns and {r.doc_id for r in out.collect()} <= {5, 6, 7, 8, 9}
+    assert quality.filter_quality(empty).count() == 0
+
+
 # 5
 
 
@@ -191,11 +222,42 @@ def test_mixing_meets_targets(spark, docs, odd, empty):
         by[r.source] += r.tokens * r.p
         assert 0 <= r.p <= 1
     assert expected["all"] == pytest.approx(0.3 * sum(r.tokens for r in rows), rel=1e-3)
+    for source, share in target["source"].items():  # near, as cells that are taken whole shift the rest
+        assert by[source] / expected["all"] == pytest.approx(share, rel=0.1)
     assert mixing.op5(spark, odd).count() == len(ODD) and mixing.op5(spark, empty).count() == 0
     kept = mixing.mixed(odd.withColumn("p", F.lit(1)))
     assert kept.columns == [*odd.columns, "p"] and kept.where("trim(coalesce(text, '')) = ''").count() == 0
 
 
+def test_raking_meets_every_marginal(spark):
+    rng = np.random.default_rng(5)
+    cells = [(s, g, t, int(rng.integers(1, 900))) for s in "abc" for g in ("x", "y", None) for t in "pq"]
+    df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "topic": {"p": 0.6, "q": 0.4}}
+    fit = {(r.source, r.lang, r.topic): r for r in mixing.fit(df, targets, budget=0.05).collect()}
+    w = {c[:3]: float(c[3]) for c in cells}
+    total = sum(w.values())
+    lang = {g: sum(v for k, v in w.items() if k[1] == g) ** mixing.POWERS["lang"] for g in ("x", "y", None)}
+    goal = [targets["source"], {g: v / sum(lang.values()) for g, v in lang.items()}, targets["topic"]]
+    for _ in range(300):
+        for d in range(3):
+            held = defaultdict(float)
+            for k, v in w.items():
+                held[k[d]] += v
+            w = {k: v * goal[d][k[d]] * total / held[k[d]] for k, v in w.items()}
+    assert all(fit[k].w == pytest.approx(v, rel=1e-4) for k, v in w.items())
+    assert all(fit[k].p == pytest.approx(0.05 * v / c[3], rel=1e-4) for c in cells for k, v in [(c[:3], w[c[:3]])])
+    for d in range(3):  # no cell is taken whole here, so the expected tokens meet the marginals
+        for value, share in goal[d].items():
+            assert sum(r.tokens * r.p for k, r in fit.items() if k[d] == value) == pytest.approx(0.05 * total * share, rel=1e-4)
+
+
+def test_raking_says_when_targets_contradict(spark):
+    df = spark.createDataFrame([("a", "x", "p", 10), ("b", "y", "p", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="cannot be met"):
+        mixing.fit(df, {"source": {"a": 0.9, "b": 0.1}, "lang": {"x": 0.1, "y": 0.9}})
+
+
 # 6
 
 
@@ -395,6 +457,21 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_of_large_and_repeated_vectors(spark):
+    vectors = [(100, [1.0, 2.0]), (100, [-3.0, 1.0]), (100, [1.0, 2.0]), (1, [2.0**60, 2.0**60]), (2, [0.5, 0.5]), (3, [-(2.0**62), 1.0]), (4, [1e300, -1e300])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, k=4, shard_rows=2, block=1).collect())
+
+    def product(a, b):
+        return sum((int(x) * 1024 if abs(x) >= 2**53 else math.floor(x * 1024)) * (int(y) * 1024 if abs(y) >= 2**53 else math.floor(y * 1024)) for x, y in zip(a, b, strict=True))
+
+    want = []
+    for q in ([1.0, 2.0], [-3.0, 1.0]):
+        order = sorted((-max(min(product(q, v), 2**63 - 1), -(2**63)), i) for i, v in vectors if i != 100)
+        want += [(100, n + 1, i, -s) for n, (s, i) in enumerate(order)]
+    assert got == sorted(want)
+
+
 # 10
 
 

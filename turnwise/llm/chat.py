@@ -13,7 +13,8 @@ can say ``<|turn|>`` or another model's markers without being taken for one.
 
 Defined cases: null text or role is empty; a null turn comes first; repeated
 rows stay, ties on turn ordered by role and text; rows of a null conv_id form
-one conversation; an empty table gives no rows. An example holds its whole
+one conversation, as do rows of the probe's id -7 with the probe; other columns
+are not read; an empty table gives no rows. An example holds its whole
 context in one row, because that is the product; a conversation has to fit into
 one row of memory.
 """

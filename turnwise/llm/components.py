@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import drop_materialized, materialize
 
 BATCH_EDGES = 500_000
+WORTH = 0.75  # of the pairs offered have to link for another such round
 PICKS = 3  # rounds in which each component verifies its likeliest pair alone
 
 
@@ -117,15 +118,18 @@ def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links:
     Each round every component offers the pair out of it that seems the nearest
     (least ``far``), these are verified, and the components are made anew: pairs
     of a group of copies fall inside after a few rounds, a component's worth of
-    pairs at a time, without being verified. What is left after ``PICKS`` rounds
-    is verified whole. ``verify`` takes (a, b) and gives those that link, written.
+    pairs at a time, without being verified. Once few of those offered link, or
+    after ``PICKS`` rounds, all that is left is verified. ``verify`` takes (a, b)
+    and gives those that link, written.
     """
+    worth = True
     for step in range(PICKS + 1):
         pairs = materialize(still_apart(pairs, labels), "apart")
         if pairs.isEmpty():
             drop_materialized(pairs)
             break
-        if step < PICKS:
+        last = step == PICKS or not worth
+        if not last:
             each = pairs.select(F.explode(F.array("ra", "rb")).alias("root"), F.struct("far", "a", "b").alias("pair"))
             picks = materialize(each.groupBy("root").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "picks")
         else:
@@ -133,7 +137,8 @@ def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links:
         found = verify(picks)
         links = found if links is None else links.unionByName(found)
         labels = components(links)
-        if step == PICKS:
+        if last:
             break
+        worth = found.count() >= WORTH * picks.count()
         pairs = pairs.join(picks, ["a", "b"], "left_anti").select("a", "b", "far")
     return links, labels

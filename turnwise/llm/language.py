@@ -1,23 +1,26 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 A text is lower-cased, everything but letters becomes one blank, and characters
-get 12-bit codes, so an n-gram of up to five characters is one exact 64-bit
-number. For every order the n-grams of all languages stand in one sorted array
+get 12-bit codes, so an n-gram of ``ORDER`` characters is one exact 64-bit
+number; letters beyond the 4,092 most frequent of the training rows share a code. For every order the n-grams of all languages stand in one sorted array
 beside their log-probabilities under each language; a text is scored by binary
 search for all its characters at once, falling back to lower orders where an
 n-gram is new. The language with the least cross-entropy per character wins.
 
 The score is the winner's share after a softmax over negative cross-entropies,
 with a temperature fitted on labelled rows that the models were not built from;
-``rejected`` says that the winner's cross-entropy or its lead over the runner-up
-is worse than all but ``REJECT_SHARE`` of those rows.
+``rejected`` says that the winner's cross-entropy, or its lead over the runner-up,
+is worse than in all but half of ``REJECT_SHARE`` of those rows each.
 
 Models are fitted on at most about ``ROWS_PER_LANG`` labelled rows per language
 (chosen by a hash of the row's content), which bounds training, the model and
-what the driver holds; every text is scored whole.
+what the driver holds (their counts and entropies); every text, however long, is
+scored whole.
 
-Defined cases: null text, or one without letters, is ``und`` with score 0;
-repeated rows are scored alike; without a labelled row every text is ``und``;
+Defined cases: null text, or one without letters (of any plane), is ``und`` with
+score 0; a text of letters that no training row had gets the likeliest language
+all the same; repeated rows are scored alike; ties go to the first language by
+name; other columns than text, lang and doc_id are not read; without a labelled row every text is ``und``;
 an empty table gives no rows.
 """
 
@@ -48,8 +51,8 @@ NONE = "und"
 
 @cache
 def letters() -> np.ndarray:
-    """Which code points of the basic plane and the one above are letters."""
-    return np.array([chr(i).isalpha() for i in range(1 << 17)])
+    """Which code points are letters."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
 def code_points(text: str) -> np.ndarray:
@@ -184,9 +187,9 @@ def kneser_ney(counts: list[pd.Series], alphabet: np.ndarray, langs: list[str],
     return model
 
 
-def calibrate(model: Model, rows: list[tuple[str, str]]) -> None:
-    """Fit temperature and rejection limits on (text, lang) that training did not see."""
-    pairs = [(e, model.langs.index(lang)) for text, lang in rows if lang in model.langs and (e := model.entropies(text)) is not None]
+def calibrate(model: Model, rows: list[tuple[list[float], str]]) -> None:
+    """Fit temperature and rejection limits on (entropies, lang) of texts that training did not see."""
+    pairs = [(e, model.langs.index(lang)) for e, lang in rows if lang in model.langs]
     if not pairs or len(model.langs) < 2:
         return
     e, right = np.array([x for x, _ in pairs]), np.array([y for _, y in pairs])
@@ -196,8 +199,22 @@ def calibrate(model: Model, rows: list[tuple[str, str]]) -> None:
     hit = e.argmin(1) == right
     if hit.any():
         low = np.sort(e[hit], 1)
-        model.most_entropy = float(np.quantile(low[:, 0], 1 - REJECT_SHARE)) * 1.25
-        model.least_lead = float(np.quantile(low[:, 1] - low[:, 0], REJECT_SHARE)) * 0.5
+        model.most_entropy = float(np.quantile(low[:, 0], 1 - REJECT_SHARE / 2))
+        model.least_lead = float(np.quantile(low[:, 1] - low[:, 0], REJECT_SHARE / 2))
+
+
+def entropies_of(rows: DataFrame, model: Model) -> list[tuple[list[float], str]]:
+    """(entropies, lang) of the sample's calibration rows: whole texts are scored in tasks, a number per language comes back."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            found = [(lang.as_py(), e.tolist()) for lang, text in zip(batch.column(0), batch.column(1), strict=True) if (e := shared.value.entropies(text.as_py())) is not None]
+            lang, e = zip(*found, strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(e, pa.list_(pa.float64()))], ["lang", "e"])
+
+    scored = rows.select("lang", "text").mapInArrow(run, "lang string, e array<double>")
+    return sorted((list(r.e), r.lang) for r in scored.collect())
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -247,7 +264,7 @@ def fit(labelled: DataFrame, order: int = ORDER, limit: int = ROWS_PER_LANG) ->
     langs = sorted(total["lang"].unique())
     series = [total[total["lang"] == lang].set_index("gram")["n"].sort_index() for lang in langs]
     model = kneser_ney(series, alphabet, langs, order)
-    calibrate(model, [(r.text, r.lang) for r in test.select("text", "lang").collect()])
+    calibrate(model, entropies_of(test, model))
     return model
 
 

@@ -2,8 +2,10 @@
 
 Documents are summed up to cells (source, language, topic) of token counts. The
 cells' weights are raked to the target marginals in turn, source, language,
-topic, again and again, until all three hold or ``ROUNDS`` are over. A document
-is then sampled with its cell's probability: weight over tokens, scaled so that
+topic, again and again, until all three hold to ``TOLERANCE``. Targets that cannot
+hold together (a source that has one language only, say) stop it once a pass no
+longer brings them nearer, with a warning that says how far off they are. A
+document is then sampled with its cell's probability: weight over tokens, scaled so that
 the expected tokens are ``BUDGET`` of all; a cell whose share would exceed its
 tokens is taken whole and the others are scaled on.
 
@@ -17,11 +19,14 @@ execution broadcasts when it is small and splits when a cell is hot.
 
 Defined cases: null source, language or topic is a category of its own; null or
 empty text has no tokens and is never sampled; a category with no target is not
-sampled; an empty table gives no rows.
+sampled; a column ``topic``, if there, is taken as it is, columns ``tokens`` and
+``p`` of the input are carried and not read; very long texts count whole; equal
+rows stay or go together; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +38,7 @@ from ..session import drop_materialized, materialize
 DIMS = ("source", "lang", "topic")
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 BUDGET = 0.6
-ROUNDS = 40
+STALLED = 0.999  # a write's error over the one before, from which on passes bring nothing more
 TOLERANCE = 1e-6
 PER_WRITE = 3  # rakings between two writes
 SPLIT = "[\\x20\\x09-\\x0D]+"
@@ -99,17 +104,18 @@ def error_of(cells: DataFrame) -> float:
     return worst
 
 
-def fitted(cells: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def fitted(cells: DataFrame) -> DataFrame:
     """cells (source, lang, topic, tokens) with w, raked to t_source, t_lang, t_topic."""
-    now = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
-    for _ in range(-(-rounds // PER_WRITE)):
+    now, error = materialize(cells.withColumn("w", F.col("tokens").cast("double")), "cells"), float("inf")
+    while error >= TOLERANCE:
         nxt = now
         for _ in range(PER_WRITE):
             nxt = raked(nxt)
         nxt = materialize(nxt, "cells")
         drop_materialized(now)
-        now = nxt
-        if error_of(now) < TOLERANCE:
+        now, before, error = nxt, error, error_of(nxt)
+        if error >= TOLERANCE and error > STALLED * before:
+            warnings.warn(f"targets cannot be met together: a marginal stays {error:.2%} off", stacklevel=2)
             break
     return now
 

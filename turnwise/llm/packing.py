@@ -12,8 +12,11 @@ Pieces are then ranked within their length, over salted buckets, and each range
 of ranks maps to a pattern, so placing is a join with the plan's few thousand
 rows and no task gathers a length.
 
-Defined cases: null or empty text is one piece that holds the end id alone;
-repeated rows are packed as often as they stand; an empty table gives no rows.
+Defined cases: null or empty text is one piece that holds the end id alone; a
+very long text is cut into as many pieces as it takes; pieces of equal length
+are told apart by doc_id and piece, and it does not matter which goes where;
+repeated rows are packed as often as they stand; other columns than doc_id and
+text are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .tables import rank_within, small_table
+from .tables import buckets_for, rank_within, small_table
 
 LIMIT = 1024
 END_ID = 2
@@ -209,7 +212,7 @@ def pack(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Materialized pieces (with length) with sequence_id and offset."""
     counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     rows = small_table(found.sparkSession, plan_rows(plan(counts, limit)), "length bigint, lo bigint, hi bigint, per int, sequence0 bigint, offset0 bigint")
-    ranked = rank_within(found, "length", [F.col("doc_id"), F.col("piece")], SALTS, ["doc_id", "piece", "ids_crc32"])
+    ranked = rank_within(found, "length", [F.col("doc_id"), F.col("piece")], buckets_for(max(counts.values(), default=0), SALTS), ["doc_id", "piece", "ids_crc32"])
     return (
         ranked.join(F.broadcast(rows), "length")
         .where("rank >= lo and rank < hi")

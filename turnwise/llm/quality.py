@@ -1,19 +1,25 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Four ratios are measured per document. Their distribution per (language,
-source) is summarised by a mergeable quantile sketch: counts in logarithmic
-buckets of relative width ``GAMMA``, so partial sketches add up in any order and
-a quantile is off by at most ``GAMMA - 1`` of its value. Upper and lower fences
-replace fixed cutoffs: the third quartile plus ``FENCE`` times the spread
-between median and third quartile (or its mirror image), never tighter than a
-margin that says how much of a ratio is harmless. A (language, source) with
-fewer than ``LEAST_ROWS`` documents uses its language's sketch, and a language
-with fewer than that uses the whole corpus's. Documents are joined with the
-thresholds of their group and filtered.
+source), and that of the numbers of words and lines, is summarised by a mergeable
+quantile sketch: counts in logarithmic buckets of relative width ``GAMMA``, so
+partial sketches add up in any order and a quantile is off by at most
+``GAMMA - 1`` of its value. Fences replace fixed cutoffs: the median plus or minus
+``FENCE`` times the spread between it and the quartile on that side. What a spread
+is at least comes from the group as well: the step in which a ratio moves in its
+shorter documents, one symbol, one line or one window over the first quartile of
+their words or lines. Where junk fills a quartile, the word length's spread counts
+as twice that of its other side at most.
+
+A group's quartiles are blended with its language's, and these with the corpus's,
+as if ``PRIOR`` more documents of these were in the group, so small groups lean on
+their language and no size switches the rule. Documents are joined with the
+fences of their group and filtered.
 
 DataFrame operations only. Defined cases: null text has no words and fails the
 base rule; null language or source is a group of its own; repeated rows count
-as often as they stand; an empty table gives no rows.
+as often as they stand; very long texts are measured whole; extra columns of any
+name are carried by ``filter_quality``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +34,12 @@ from ..session import materialize
 
 GAMMA = 1.02
 FENCE = 6.0
-LEAST_ROWS = 100
+PRIOR = 100.0  # documents that a group's parent counts for
 ZERO_BUCKET = -(1 << 30)
 SYMBOLS = "#*$%&|<>"
-#: metric -> (harmless margin above the third quartile, harmless margin below the first)
-METRICS = {"symbol_ratio": (0.10, None), "dup_line_ratio": (0.30, None), "repeat_ratio": (0.15, None), "word_length": (2.5, 2.0)}
+#: metric -> (what its step is a share of, units in a step), or None: no step, but a fence on both sides
+METRICS = {"symbol_ratio": ("n_words", 1), "dup_line_ratio": ("_n_lines", 1), "repeat_ratio": ("n_words", 5), "word_length": None}
+SKETCHED = (*METRICS, "n_words", "_n_lines")
 
 SPLIT = "[\\x20\\x09-\\x0D]+"
 
@@ -95,7 +102,8 @@ def with_ratios(df: DataFrame) -> DataFrame:
 def sketches(df: DataFrame) -> DataFrame:
     """Bucket counts per (lang, source, metric); merging sketches is adding counts."""
     bucket = F.when(F.col("value") > 0, F.ceil(F.log("value") / math.log(GAMMA))).otherwise(ZERO_BUCKET).cast("int")
-    long = df.select("lang", "source", F.expr("stack({}, {}) as (metric, value)".format(len(METRICS), ", ".join(f"'{m}', {m}" for m in METRICS))))
+    there = [m for m in SKETCHED if m in df.columns]
+    long = df.select("lang", "source", F.expr("stack({}, {}) as (metric, value)".format(len(there), ", ".join(f"'{m}', cast({m} as double)" for m in there))))
     return long.groupBy("lang", "source", "metric", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
@@ -114,25 +122,35 @@ def quartiles(sketch: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def fences(sketch: DataFrame) -> DataFrame:
-    """lo and hi of every metric for each (lang, source), side by side; null means no bound."""
-    own = quartiles(sketch, "lang", "source")
-    lang = quartiles(merged(sketch, "lang"), "lang").select("lang", "metric", *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q2", "q3")])
-    every = quartiles(merged(sketch)).select("metric", *[F.col(c).alias(f"a_{c}") for c in ("q1", "q2", "q3")])
-    both = own.join(lang.withColumnsRenamed({"lang": "l_lang", "metric": "l_metric"}), F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
-    both = both.join(F.broadcast(every), "metric")  # one row per metric
+def blended(own: DataFrame, parent: DataFrame, *by: str) -> DataFrame:
+    """own's quartiles with parent's (which has ``by``, a part of own's keys) mixed in as ``PRIOR`` documents."""
+    named = parent.select(*[F.col(c).alias(f"_p_{c}") for c in (*by, "metric", "q1", "q2", "q3")])
+    on = F.col("metric") == F.col("_p_metric")
+    for c in by:
+        on &= F.col(c).eqNullSafe(F.col(f"_p_{c}"))
+    weight = F.col("rows") / (F.col("rows") + PRIOR)
+    mixed = {q: weight * F.col(q) + (1 - weight) * F.col(f"_p_{q}") for q in ("q1", "q2", "q3")}
+    return own.join(named, on).withColumns(mixed).drop(*named.columns)
 
-    def pick(c: str) -> Column:
-        return F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}"))
 
-    picked = both.select("lang", "source", "metric", *[pick(c).alias(c) for c in ("q1", "q2", "q3")])
+def fences(sketch: DataFrame) -> DataFrame:
+    """lo and hi of every metric for each (lang, source), side by side."""
+    every = quartiles(merged(sketch))
+    lang = blended(quartiles(merged(sketch, "lang"), "lang"), every)
+    own = blended(quartiles(sketch, "lang", "source"), lang, "lang")
+    q = {(m, k): F.max(F.when(F.col("metric") == m, F.col(k))).alias(f"{m}_{k}") for m in SKETCHED for k in ("q1", "q2", "q3")}
+    wide = own.groupBy("lang", "source").agg(*q.values())
     cols = []
-    for metric, (above, below) in METRICS.items():
-        q1, q2, q3 = (F.max(F.when(F.col("metric") == metric, F.col(c))) for c in ("q1", "q2", "q3"))
-        cols.append((q3 + F.greatest(F.lit(above), FENCE * (q3 - q2))).alias(f"hi_{metric}"))
-        if below is not None:
-            cols.append((q1 - F.greatest(F.lit(below), FENCE * (q2 - q1))).alias(f"lo_{metric}"))
-    return picked.groupBy("lang", "source").agg(*cols)
+    for metric, step in METRICS.items():
+        q1, q2, q3 = (F.col(f"{metric}_{k}") for k in ("q1", "q2", "q3"))
+        if step is None:
+            above, below = F.least(q3 - q2, 2 * (q2 - q1)), F.least(q2 - q1, 2 * (q3 - q2))
+            cols += [(q2 + FENCE * above).alias(f"hi_{metric}"), (q2 - FENCE * below).alias(f"lo_{metric}")]
+        else:
+            of, units = step
+            least = units / F.greatest(F.col(f"{of}_q1"), F.lit(1.0))
+            cols.append((q2 + FENCE * F.greatest(q3 - q2, least)).alias(f"hi_{metric}"))
+    return wide.select("lang", "source", *cols)
 
 
 def verdict(df: DataFrame, fence: DataFrame) -> DataFrame:
@@ -140,9 +158,9 @@ def verdict(df: DataFrame, fence: DataFrame) -> DataFrame:
     named = fence.withColumnsRenamed({"lang": "_f_lang", "source": "_f_source"})
     joined = df.join(named, F.col("lang").eqNullSafe(F.col("_f_lang")) & F.col("source").eqNullSafe(F.col("_f_source")), "left")
     fine = F.lit(True)
-    for metric, (_, below) in METRICS.items():
+    for metric, step in METRICS.items():
         fine &= F.coalesce(F.col(metric) <= F.col(f"hi_{metric}"), F.lit(True))
-        if below is not None:
+        if step is None:
             fine &= F.coalesce(F.col(metric) >= F.col(f"lo_{metric}"), F.lit(True))
     return joined.withColumn("kept", ~F.col("base_failed") & fine).drop("_f_lang", "_f_source", *fence.columns[2:])
 

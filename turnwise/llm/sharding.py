@@ -11,7 +11,8 @@ The overflow is decided on counts per arc (``shards x vnodes`` numbers, whatever
 the input), then each arc's rows are cut by rank. DataFrame operations only.
 
 Defined cases: a null text has size 1 and CRC 0; a null key hashes like any
-other value; repeated rows are rows of their own; an empty table gives no rows.
+other value; repeated rows are rows of their own; very long texts only count by
+their size; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .tables import rank_within, small_table
+from .tables import buckets_for, rank_within, small_table
 
 RING_CELL_BITS = 12
 SALTS = 16
@@ -110,7 +111,7 @@ def shard_rows(df: DataFrame, key: str, n_shards: int = 8, vnodes: int = 128, ke
     placed = materialize(placed, "ring")
     counts = {r.arc: r.n for r in placed.groupBy("arc").agg(F.count("*").alias("n")).collect()}
     segments = small_table(spark, spread(counts, owner, even_bounds(sum(counts.values()), n_shards)), "arc int, lo bigint, hi bigint, shard int, slot0 bigint")
-    ranked = rank_within(placed, "arc", [F.col("place"), F.col("row")], SALTS, ["row", "part"])
+    ranked = rank_within(placed, "arc", [F.col("place"), F.col("row")], buckets_for(max(counts.values(), default=0), SALTS), ["row", "part"])
     return (
         ranked.join(F.broadcast(segments), "arc")
         .where("rank >= lo and rank < hi")

@@ -24,10 +24,15 @@ def salt(buckets: int, *cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(F.lit(7), *cols), F.lit(buckets)).cast("int")
 
 
+def buckets_for(rows: int, least: int) -> int:
+    """Buckets that hold a million rows each at most, or ``least`` if that is more."""
+    return max(least, -(-rows // 1_000_000))
+
+
 def rank_within(df: DataFrame, key: str, order: list[Column], buckets: int, tie: list[str], name: str = "rank") -> DataFrame:
     """Number the rows of each key from 0 without gathering a key in one task.
 
-    Rows are dealt over ``buckets`` per key, counted per (key, bucket), and a
+    Rows are dealt over ``buckets`` (see ``buckets_for``) per key, counted per (key, bucket), and a
     window inside each bucket adds the sum of the buckets before it. ``df`` has
     to be materialized: two reads of it must give the same rows. The counts have
     at most ``distinct keys x buckets`` rows; callers have a bounded key.
@@ -41,7 +46,7 @@ def rank_within(df: DataFrame, key: str, order: list[Column], buckets: int, tie:
     inside = W.partitionBy(key, "_bucket").orderBy(*order)
     return (
         dealt.withColumn("_row", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), [key, "_bucket"])
+        .join(offsets, [key, "_bucket"])
         .withColumn(name, F.col("_before") + F.col("_row"))
         .drop("_bucket", "_before", "_row")
     )

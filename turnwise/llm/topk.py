@@ -8,18 +8,21 @@ per query and yields a kth score; the second searches all other shards with it,
 so most of their boxes are never opened. Queries come in blocks, (block, shard)
 is the unit of work, and of each only the k best per query are shuffled on.
 
-Scores are inner products of ``floor(1024 * x)``, exact in integers. Ties go to
-the smaller id.
-
-Defined cases: vectors that are null, empty, or hold null, non-finite or (after
-scaling) larger than 2^53 components take no part; vectors of different lengths
-do not meet; a query meets every row but those of its own id; repeated rows are
-candidates as often as they stand; an empty table gives no rows.
+Scores are inner products of ``floor(1024 * x)``, exact in integers: in doubles
+where every sum stays below 2^53, else in whole numbers of any size; a score
+beyond 64 bits is given as the nearest that they hold. Ties go to the smaller id.
+
+Defined cases: vectors that are null, empty, or hold null or non-finite
+components take no part; vectors of different lengths do not meet; a query meets
+every row but those of its own id; each different vector of a query's id is a
+query of its own; repeated rows are candidates as often as they stand; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,10 +36,11 @@ from ..session import materialize
 SCALE = 1024
 K = 10
 LEAF = 64
-SHARD_ROWS = 4096
-BLOCK_QUERIES = 512
+SHARD_ROWS = 8192
+BLOCK_QUERIES = 2048
 _EXACT = 2.0**53
-FOUND = "query_id long, vec_id long, score long"
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
+FOUND = "query long, query_id long, vec_id long, score long"
 
 
 @dataclass
@@ -105,35 +109,42 @@ def best_first(tree: Tree, x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: i
     return scores, names
 
 
+def scaled(rows: pd.Series) -> np.ndarray:
+    """floor(1024 * x) of each vector's components, as doubles where these are exact, else as whole numbers."""
+    x = np.stack(rows.to_list()).astype(np.float64)
+    if float(np.abs(x).max()) * SCALE < _EXACT:
+        return np.floor(x * SCALE)
+    # a double of 2^53 or more is a whole number
+    return np.array([[int(c) * SCALE if abs(c) >= _EXACT else math.floor(c * SCALE) for c in v] for v in x.tolist()], object)
+
+
 def search(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """One block of queries (query_id, v, kth) against one shard (vec_id, v)."""
+    """One block of queries (query, query_id, v, kth) against one shard (vec_id, v)."""
     if queries.empty or rows.empty:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-    x, q = np.stack(rows["v"].to_list()), np.stack(queries["v"].to_list())
-    if float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] < _EXACT:
-        x, q = x.astype(np.float64), q.astype(np.float64)  # sums stay whole numbers below 2^53
-    else:
-        x, q = x.astype(object), q.astype(object)
+        return pd.DataFrame({"query": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
+    x, q = scaled(rows["v"]), scaled(queries["v"])
+    if x.dtype == object or q.dtype == object or float(np.abs(x).max()) * float(np.abs(q).max()) * x.shape[1] >= _EXACT:
+        x, q = (np.array([[int(c) for c in v] for v in y.tolist()], object) for y in (x, q))
     ids, tree = rows["vec_id"].to_numpy(np.int64), build(x)
     bounds = np.maximum(q, 0) @ tree.hi.T + np.minimum(q, 0) @ tree.lo.T
     out = []
-    for i, (own, kth) in enumerate(zip(queries["query_id"], queries["kth"], strict=True)):
-        scores, names = best_first(tree, x, ids, q[i], own, -np.inf if kth is None or kth != kth else kth, bounds[i], k)
-        out.append(pd.DataFrame({"query_id": np.full(len(names), own, np.int64), "vec_id": names, "score": scores.astype(np.int64)}))
-    return pd.concat(out)
+    for i, (query, own, kth) in enumerate(zip(queries["query"], queries["query_id"], queries["kth"].tolist(), strict=True)):
+        scores, names = best_first(tree, x, ids, q[i], own, -np.inf if kth == LEAST else kth, bounds[i], k)
+        held = [min(max(int(s), LEAST), MOST) for s in scores]
+        out.append(pd.DataFrame({"query": query, "query_id": own, "vec_id": names, "score": pd.Series(held, dtype="int64")}))
+    return pd.concat(out).astype("int64")
 
 
 def whole(vectors: DataFrame) -> DataFrame:
-    """vec_id, v (array<long>), dim of the vectors that take part."""
-    scaled = F.expr(f"transform(embedding, x -> floor(cast(x as double) * {SCALE}D))")
-    fine = F.expr(
-        f"size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(cast(x as double)) and abs(cast(x as double)) * {SCALE}D < {_EXACT:.0f}D)"
-    )
-    return vectors.where("embedding is not null and vec_id is not null").where(fine).select(F.col("vec_id").cast("long"), scaled.alias("v"), F.size("embedding").alias("dim"))
+    """vec_id, v (array<double>), dim of the vectors that take part."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    fine = F.expr("size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
+    named = vectors.where("embedding is not null and vec_id is not null").select(F.col("vec_id").cast("long"), v.alias("v"))
+    return named.where(fine).withColumn("dim", F.size("v"))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -144,8 +155,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, shard_rows: int = SH
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (every * block)))
     deal = F.xxhash64("vec_id")
     rows = rows.withColumn("shard", F.pmod(deal, F.lit(shards)).cast("int"))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")).withColumnRenamed("vec_id", "query_id")
+    queries = rows.where(F.col("vec_id") % every == 0).withColumn("query", F.xxhash64("vec_id", "v")).dropDuplicates(["query"])
+    queries = queries.withColumn("block", F.pmod(F.xxhash64(F.lit(1), "query"), F.lit(blocks)).cast("int")).withColumnRenamed("vec_id", "query_id")
     queries = materialize(queries, "queries")
 
     unit = ["dim", "shard", "block"]
@@ -158,11 +169,11 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 100, shard_rows: int = SH
 
         return some.groupBy(*unit).cogroup(against.groupBy(*unit)).applyInPandas(unit_of_work, FOUND)
 
-    at_home = queries.select(*unit, "query_id", "v", F.lit(None).cast("double").alias("kth"))
+    at_home = queries.select(*unit, "query", "query_id", "v", F.lit(LEAST).alias("kth"))
     home = materialize(run(at_home), "kth")
-    kth = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("kth"))
+    kth = home.groupBy("query").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
     others = F.array_except(F.sequence(F.lit(0), F.lit(shards - 1)), F.array("shard"))
-    away = queries.join(kth, "query_id", "left").withColumn("shard", F.explode(others)).select(*unit, "query_id", "v", "kth")
+    away = queries.join(kth, "query", "left").withColumn("shard", F.explode(others)).select(*unit, "query", "query_id", "v", F.coalesce("kth", F.lit(LEAST)).alias("kth"))
     found = home if shards == 1 else home.unionByName(run(away))
     return best(found, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -52,7 +52,8 @@ SIMILAR = 0.8
 #: (words from which on, blocks, blocks that have to be equal, words that these hold at least); beyond the last, twice the words have twice the blocks
 BANDS = ((8, 5, 2, 4), (16, 4, 1, 4), (24, 6, 1, 4), (32, 8, 1, 4))
 OVERLAP = 1.25  # a line up to so much longer than a band of lengths is in the band below too
-LONG_CHARS = 512  # longer texts are compared by words before characters
+SHORT_CHARS = 64  # longer texts are compared by bounds before characters
+_BINS = 8192
 _SEED = 0x082EFA98EC4E6C89
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
@@ -249,10 +250,16 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def distance_bounds(x: str, y: str) -> tuple[int, int]:
-    """(least, most): what the edit distance is at least, by the characters of both, and at most, by an alignment of their words."""
-    a, b = (np.frombuffer(s.encode("utf-32-le"), "<u4") % 4096 for s in (x, y))
-    apart = np.bincount(a, minlength=4096) - np.bincount(b, minlength=4096)
-    least = max(int(apart[apart > 0].sum()), int(-apart[apart < 0].sum()))
+    """(least, most): what the edit distance is at least, by characters and runs of three in common, and at most, by an alignment of words."""
+    a, b = (np.frombuffer(s.encode("utf-32-le"), "<u4").astype(np.int64) for s in (x, y))
+    longer = max(len(a), len(b))
+
+    def shared(p: np.ndarray, q: np.ndarray) -> int:  # or more, where bins hold several values
+        return int(np.minimum(np.bincount(p % _BINS, minlength=_BINS), np.bincount(q % _BINS, minlength=_BINS)).sum())
+
+    # an edit takes one character and three runs of three away from the longer text, at most
+    a3, b3 = ((s[:-2] * 961 + s[1:-1] * 31 + s[2:]) if len(s) > 2 else s[:0] for s in (a, b))
+    least = max(longer - shared(a, b), -(-(longer - 2 - shared(a3, b3)) // 3))
     # words that stand once in each text, in a rising order in both, stay; what is between two of them is replaced
     u, v = x.split(" "), y.split(" ")
     once_u, once_v = ({w: i for i, w in enumerate(t) if c[w] == 1} for t, c in ((t, Counter(t)) for t in (u, v)))
@@ -288,7 +295,7 @@ def distance_bounds(x: str, y: str) -> tuple[int, int]:
 
 
 def bounded(pairs: DataFrame) -> DataFrame:
-    """(a, b, x, y, sure) of pairs of long texts; sure is null where bounds do not tell whether they are similar."""
+    """(a, b, x, y, sure) of pairs of texts; sure is null where bounds do not tell whether they are similar."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.large_string()), ("y", pa.large_string()), ("sure", pa.bool_())])
 
     def run(batches):
@@ -320,7 +327,7 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
     said = materialize(texts_of(rows, wanted), "said")
     both = pairs.select("a", "b").join(said.select(F.col("line").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("line").alias("b"), F.col("said").alias("y")), "b")
     both = materialize(both.where(F.least(F.length("x"), F.length("y")) >= SIMILAR * F.greatest(F.length("x"), F.length("y")) - 1), "both")
-    long = F.greatest(F.length("x"), F.length("y")) > LONG_CHARS
+    long = F.greatest(F.length("x"), F.length("y")) > SHORT_CHARS
     told = bounded(both.where(long)).where(F.when(F.col("sure").isNotNull(), F.col("sure")).otherwise(similar()))
     out = materialize(both.where(~long).where(similar()).select("a", "b").unionByName(told.select("a", "b")), "links")
     for done in (wanted, said, both):

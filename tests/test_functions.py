@@ -68,3 +68,21 @@ def test_sql_over_views(spark):
     assert run_sql(spark, views, "select * from calls", cap=3)["truncated"]
     for bad in ("drop table calls", "select 1; select 2", "select * from other", "select nope from calls"):
         assert "error" in run_sql(spark, views, bad)
+
+
+def test_sql_scope_holds_for_with_names(spark):
+    spark.range(3).createOrReplaceTempView("mine")
+    spark.sql("create table if not exists secret using parquet as select 42 as x")
+    views = {"calls": spark.range(5).withColumnRenamed("id", "call_id")}
+    hidden = "select * from (with secret as (select 1 as x) select * from secret) a, secret b"
+    for bad in (hidden, "select * from secret", "select (select max(x) from secret) as x from calls", "select * from calls where call_id in (select x from secret)", "select * from mine"):
+        assert "error" in run_sql(spark, views, bad), bad
+    own = run_sql(spark, views, "with secret as (select 1 as x) select x from secret")
+    assert own["rows"] == [[1]]
+    inner = run_sql(spark, views, "select a.call_id from calls a join calls b on a.call_id = b.call_id where a.call_id in (select max(call_id) from calls)")
+    assert inner["rows"] == [[4]]
+
+
+def test_sql_ends_in_time(spark):
+    out = run_sql(spark, {"calls": spark.range(10)}, "select count(*) as n from range(1000000000) a, range(1000000) b where a.id * b.id % 7 = 3", seconds=2.0)
+    assert "error" in out

@@ -1,4 +1,4 @@
-"""Queries that do the whole job where the SQL of an older one fixes a part of it."""
+"""Queries that once read a part of their tables read all of them."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -19,18 +19,18 @@ def test_knn_asks_for_every_hundredth(spark, tmp_path, monkeypatch):
     for q in range(0, 900, 100):
         near = sorted((-round(float(u[q] @ u[i]), 6), i) for i in range(900) if i != q and label[i] == label[q])[:5]
         want |= {(q, n): i for n, (_, i) in enumerate(near, 1)}
-    assert {(r.query_id, r["rank"]): r.vec_id for r in talk.knn_whole(spark, str(tmp_path)).collect()} == want
+    assert {(r.query_id, r["rank"]): r.vec_id for r in talk.knn(spark, str(tmp_path)).collect()} == want
 
 
 def test_live_merge_has_every_order(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     last = orders.agg(F.max("o_orderkey")).first()[0]
-    keys = sorted(r.o_orderkey for r in calls.live_merge_whole(spark, sf).collect())
+    keys = sorted(r.o_orderkey for r in calls.live_merge(spark, sf).collect())
     assert keys == sorted([r.o_orderkey for r in orders.select("o_orderkey").collect()] + list(range(last + 1, last + 11)))
 
 
 def test_tree_has_every_event(spark, sf):
-    got = {r.event_id: (r.depth, r.path) for r in timeline.tree_depth_whole(spark, sf).collect()}
+    got = {r.event_id: (r.depth, r.path) for r in timeline.tree_depth(spark, sf).collect()}
     ids = {r.event_id for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()}
     assert set(got) == ids
     for i in ids:
@@ -44,14 +44,14 @@ def test_transcript_lines_are_whole(spark, tmp_path):
     long = "word " * 30 + "end"
     rows = [(1, 0, "system", "s"), (1, 1, "user", long), (1, 2, "assistant", long + "!"), (1, 3, "user", " ")]
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    got = [(r.line, r.said) for r in talk.transcript_lines_whole(spark, str(tmp_path)).orderBy("line").collect()]
+    got = [(r.line, r.said) for r in talk.transcript_lines(spark, str(tmp_path)).orderBy("line").collect()]
     assert got == [(0, "caller: " + long), (1, "agent: " + long + "!")]
 
 
 def test_scatter_keeps_clusters_of_3000(spark, tmp_path):
     rows = spark.range(3000 + 3001).select(F.col("id").alias("vec_id"), (F.col("id") >= 3000).cast("int").alias("label"), F.array(F.lit(0.5)).alias("embedding"))
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
-    kept = {r.label: r["count"] for r in talk.scatter_whole(spark, str(tmp_path)).groupBy("label").count().collect()}
+    kept = {r.label: r["count"] for r in talk.scatter(spark, str(tmp_path)).groupBy("label").count().collect()}
     assert kept == {0: 3000, 1: 1501}
     few = talk.scatter(spark, str(tmp_path), 1000).where("label = 0").select("vec_id").collect()
     assert sorted(r.vec_id for r in few) == list(range(0, 3000, 4))

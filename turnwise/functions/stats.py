@@ -59,6 +59,21 @@ def group_percentiles(df: DataFrame, keys: list[str], value: Column, wanted: Map
     return ranked.groupBy(*keys).agg(*picks)
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """A double rounded as its exact binary value says: 2.675 is below its half, 0.125 is one and goes to even.
+
+    The factors of the product are split into halves of their bits, so that its
+    distance from the half has its exact sign.
+    """
+    tens = F.lit(10.0**digits)
+    x = x.cast("double")
+    upper = x * 134217729.0 - (x * 134217729.0 - x)
+    low = F.floor(x * tens).cast("double")
+    apart = (upper * tens - (low + 0.5)) + (x - upper) * tens
+    up = F.when(apart > 0, low + 1).when(apart < 0, low).otherwise(low + F.pmod(low, F.lit(2.0)))
+    return F.when(x.isNull() | F.isnan(x) | (F.abs(x) >= 1e12), x).otherwise(up / tens)
+
+
 def safe_rate(part: Column, whole: Column, digits: int = 4) -> Column:
     """part / whole rounded, 0 for an empty whole."""
     return F.when(whole > 0, F.round(part / whole, digits)).otherwise(F.lit(0.0))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import re
+import threading
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_CAP = 500
+SECONDS = 5.0
 
 
 @dataclass(frozen=True)
@@ -44,7 +48,7 @@ def secured_through(rows: DataFrame, calls: DataFrame, *keys: str) -> DataFrame:
     return rows.join(calls, list(keys), "left_semi")
 
 
-def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], query: str, cap: int = ROW_CAP) -> dict:
+def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], query: str, cap: int = ROW_CAP, seconds: float = SECONDS) -> dict:
     """Run one read-only statement over scoped views and nothing else.
 
     The views live in the caller's session under a name prefix of their own and
@@ -61,25 +65,59 @@ def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], query: str, cap
             # temp views are of one session: the frames' plans are re-read there
             _register(session, name, df)
         allowed = set(views)
-        for found in _relations(session, text):
-            if found not in allowed:
-                return {"error": f"no view named {found}"}
+        if found := _foreign(session, text, allowed):
+            return {"error": f"no view named {found}"}
         out = session.sql(text).limit(cap + 1)
-        rows = [list(r) for r in out.collect()]
+        rows = [list(r) for r in _within(session, out, seconds)]
         return {"columns": out.columns, "rows": rows[:cap], "row_count": min(len(rows), cap), "truncated": len(rows) > cap}
-    except PySparkException as error:
+    except (PySparkException, Py4JJavaError) as error:
+        if "SPARK_JOB_CANCELLED" in str(error):
+            return {"error": f"statement took more than {seconds:g} s"}
         return {"error": str(error).strip().splitlines()[0][:300]}
 
 
+def _within(session: SparkSession, out: DataFrame, seconds: float) -> list:
+    """The rows, or an error after so many seconds; what still runs then is cancelled by its tag."""
+    tag = f"ad-hoc-{uuid.uuid4().hex}"
+    late = threading.Timer(seconds, session.sparkContext.cancelJobsWithTag, [tag])
+    session.sparkContext.addJobTag(tag)
+    late.start()
+    try:
+        return out.collect()
+    finally:
+        late.cancel()
+        session.sparkContext.removeJobTag(tag)
+
+
 def _register(session: SparkSession, name: str, df: DataFrame) -> None:
     jvm = session.sparkContext._jvm
     frame = jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, df._jdf.logicalPlan())
     frame.createOrReplaceTempView(name)
 
 
-def _relations(session: SparkSession, text: str) -> list[str]:
-    """Names of the relations that a statement reads, WITH names left out."""
-    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text).toString()
-    own = set(re.findall(r"(?m)CTE \[([^\]]*)\]", plan))
-    ctes = {x.strip() for group in own for x in group.split(",")}
-    return [n.replace("`", "") for n in re.findall(r"UnresolvedRelation \[([^\]]+)\]", plan) if n not in ctes]
+def _foreign(session: SparkSession, text: str, allowed: set[str]) -> str | None:
+    """The first relation that the analysed statement reads besides the allowed views.
+
+    Names are resolved by the analyser, so a WITH name hides a table only where
+    it is in scope. The views' own plans stand below a node that names the view;
+    what is read anywhere else was named by the statement.
+    """
+    plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    analysed = session._jsparkSession.sessionState().executePlan(plan, session._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()).analyzed()
+
+    def walk(node) -> str | None:
+        kind = node.getClass().getSimpleName()
+        if kind == "View" and node.isTempView():
+            name = node.desc().identifier().table()
+            return None if name in allowed else name
+        if kind in ("LogicalRelation", "DataSourceV2Relation", "HiveTableRelation", "UnresolvedRelation", "LogicalRDD"):
+            return node.simpleString(60)
+        children = [node.children(), node.innerChildren()]
+        found = [c.apply(i) for c in children for i in range(c.size())]
+        found += [node.subqueries().apply(i) for i in range(node.subqueries().size())]
+        for child in found:
+            if hasattr(child, "children") and (bad := walk(child)):
+                return bad
+        return None
+
+    return walk(analysed)

@@ -19,14 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def transcript_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoken lines in order with their speaker; empty ones and system prompts are left out."""
-    rows = table(spark, sf_dir, "conversations").where((F.col("role") != "system") & (F.trim("text") != ""))
-    speaker = F.when(F.col("role") == "user", "caller").otherwise("agent")
-    return rows.select("conv_id", position(["conv_id"], F.col("turn")).alias("line"), F.concat(speaker, F.lit(": "), F.substring("text", 1, 40)).alias("said"))
-
-
-def transcript_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spoken lines as in ``transcript_lines``, each with its whole text."""
+    """Spoken lines in order with their speaker, whole; empty ones and system prompts are left out."""
     rows = table(spark, sf_dir, "conversations").where((F.col("role") != "system") & (F.trim("text") != ""))
     speaker = F.when(F.col("role") == "user", "caller").otherwise("agent")
     return rows.select("conv_id", position(["conv_id"], F.col("turn")).alias("line"), F.concat(speaker, F.lit(": "), F.col("text")).alias("said"))
@@ -120,7 +113,7 @@ def cluster_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("size"), shown.alias("exemplars"))
 
 
-def scatter(spark: SparkSession, sf_dir: str, most: int = 100) -> DataFrame:
+def scatter(spark: SparkSession, sf_dir: str, most: int = POINT_CAP) -> DataFrame:
     """Per cluster every (n // most + 1)-th point above ``most`` points."""
     own = W.partitionBy("label")
     rows = table(spark, sf_dir, "embeddings").withColumns({"r": F.row_number().over(own.orderBy("vec_id")) - 1, "n": F.count("*").over(own)})
@@ -128,30 +121,7 @@ def scatter(spark: SparkSession, sf_dir: str, most: int = 100) -> DataFrame:
     return rows.where(F.col("r") % F.when(F.col("n") > most, stride).otherwise(1) == 0).select("label", "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
 
 
-def scatter_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``scatter`` at the reference's number of points."""
-    return scatter(spark, sf_dir, POINT_CAP)
-
-
-def unit(v: Column) -> Column:
-    """L2-normalised doubles; a zero vector stays zero."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: x / F.when(norm == 0, F.lit(1.0)).otherwise(norm))
-
-
-def knn(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
-    """The k nearest by cosine within the same cluster for each of the first vectors of every cluster."""
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", unit(F.col("embedding")).alias("u"))
-    probes = rows.where(F.col("vec_id") < 20).select("label", F.col("vec_id").alias("query_id"), F.col("u").alias("q"))
-    both = rows.join(probes, "label").where("vec_id <> query_id")
-    cosine = F.aggregate(F.zip_with("u", "q", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = both.select("query_id", "vec_id", F.round(cosine, 6).alias("cosine"))
-    best = W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-
-
-def knn_whole(spark: SparkSession, sf_dir: str, k: int = 5, every: int = 100) -> DataFrame:
+def knn(spark: SparkSession, sf_dir: str, k: int = 5, every: int = 100) -> DataFrame:
     """The k nearest by cosine within the same cluster for each vector whose id is divisible by ``every``.
 
     A cluster's rows and queries are dealt in blocks; each pair of blocks is one
@@ -229,7 +199,6 @@ def sql_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "transcript_lines": transcript_lines,
-    "transcript_lines_whole": transcript_lines_whole,
     "turn_pairing": turn_pairing,
     "conversation_messages": messages,
     "disposition_rules": dispositions,
@@ -239,9 +208,7 @@ QUERIES = {
     "archetype_lift": archetypes,
     "cluster_sizes": cluster_sizes,
     "scatter_stride": scatter,
-    "scatter_stride_whole": scatter_whole,
     "knn_cosine": knn,
-    "knn_cosine_whole": knn_whole,
     "json_attr_extract": props_extract,
     "sft_rows": sft_rows,
     "dpo_rows": dpo_rows,
@@ -250,8 +217,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "transcript_lines": """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as line,
-case when role = 'user' then 'caller' else 'agent' end || ': ' || substr(text, 1, 40) as said from conversations where role <> 'system' and trim(text) <> ''""",
-    "transcript_lines_whole": """select conv_id, cast(row_number() over (partition by conv_id order by turn) - 1 as integer) as line,
 case when role = 'user' then 'caller' else 'agent' end || ': ' || text as said from conversations where role <> 'system' and trim(text) <> ''""",
     "turn_pairing": """with a as (select *, lag(role) over w as before, lag(turn) over w as heard, lead(role) over w as after from conversations where role in ('user', 'assistant') window w as (partition by conv_id order by turn)),
 b as (select conv_id, case when role = 'assistant' and before = 'user' then heard when role = 'user' then turn end as caller_turn, case when role = 'assistant' then turn end as agent_turn from a where role = 'assistant' or after is null)
@@ -267,11 +232,9 @@ w as (select *, sum(n) over () as t, sum(n) over (partition by lang) as a, sum(n
 select lang, source, quality, toxic, n, round(n / (t * (1.0 * a / t * b / t * q / t * x / t)), 2) as lift, round(n / a, 3) as consistency from w where n >= 2""",
     "cluster_sizes": """select label, count(*) as size, array_to_string(list_slice(list(vec_id order by vec_id), 1, 5), ',') as exemplars from embeddings group by 1""",
     "scatter_stride": """with a as (select *, row_number() over (partition by label order by vec_id) - 1 as r, count(*) over (partition by label) as n from embeddings)
-select label, vec_id, round(cast(embedding[1] as double), 6) as x from a where r % case when n > 100 then n // 100 + 1 else 1 end = 0""",
-    "scatter_stride_whole": """with a as (select *, row_number() over (partition by label order by vec_id) - 1 as r, count(*) over (partition by label) as n from embeddings)
 select label, vec_id, round(cast(embedding[1] as double), 6) as x from a where r % case when n > 3000 then n // 3000 + 1 else 1 end = 0""",
     "knn_cosine": """with s as (select p.vec_id as query_id, e.vec_id, round(list_cosine_similarity(cast(p.embedding as double[]), cast(e.embedding as double[])), 6) as cosine
-from embeddings p join embeddings e on p.label = e.label and p.vec_id <> e.vec_id where p.vec_id < 20)
+from embeddings p join embeddings e on p.label = e.label and p.vec_id <> e.vec_id where p.vec_id % 100 = 0)
 select query_id, vec_id, cosine, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by cosine desc, vec_id) as rank from s) where rank <= 5""",
     "json_attr_extract": """select event_type, count(json_extract(props, '$.k')) as with_k, sum(cast(json_extract(props, '$.k') as bigint)) as sum_k, max(cast(json_extract(props, '$.k') as bigint)) as max_k from events group by 1""",
     "sft_rows": """select conv_id, turn, sha256(coalesce((select string_agg(b.role || ':' || b.text, chr(10) order by b.turn) from conversations b where b.conv_id = a.conv_id and b.turn < a.turn), '')) as context_sha,

@@ -140,20 +140,6 @@ def derived_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tree_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth and pre-order path of a span tree: event n's parent is event n div 4 among the first 340."""
-    nodes = events(spark, sf_dir).where("event_id between 1 and 340").select("event_id", F.floor(F.col("event_id") / 4).cast("long").alias("parent"))
-    nodes.createOrReplaceTempView("_tree_nodes")
-    found = spark.sql(
-        """with recursive t(event_id, depth, path) as (
-             select event_id, 0, lpad(cast(event_id as string), 6, '0') from _tree_nodes where parent = 0
-             union all
-             select n.event_id, t.depth + 1, concat(t.path, '/', lpad(cast(n.event_id as string), 6, '0')) from _tree_nodes n join t on n.parent = t.event_id)
-           select event_id, depth, path from t"""
-    )
-    return found
-
-
-def tree_depth_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and pre-order path of every event: its parent is event n div 4; one without a parent in the table is a root.
 
     One join per level, of which there are as many as the logarithm of the greatest id.
@@ -188,7 +174,6 @@ QUERIES = {
     "canonical_position": canonical,
     "derived_turns": derived_turns,
     "span_tree_depth": tree_depth,
-    "span_tree_depth_whole": tree_depth_whole,
 }
 
 _S = """with s as (select user_id, event_type, epoch_us(ts) / 1e6 as b, epoch_us(ts) / 1e6 + value * 60 as e from events),
@@ -246,11 +231,7 @@ c as (select *, sum(opens) over (partition by user_id order by ts, event_id rows
 d as (select user_id, g, min(ts) filter (event_type = 'view') as heard, min(ts) filter (event_type = 'purchase') as spoke, count(*) filter (event_type = 'view') as texts, bool_or(event_type = 'error') as interrupted from c group by 1, 2)
 select user_id, cast(row_number() over (partition by user_id order by g) - 1 as integer) as turn_index, texts, interrupted,
 case when spoke >= heard then round((epoch_us(spoke) - epoch_us(heard)) / 1000, 1) end as response_ms from d where heard is not null or spoke is not null""",
-    "span_tree_depth": """with recursive n as (select event_id, event_id // 4 as parent from events where event_id between 1 and 340),
-t as (select event_id, 0 as depth, lpad(cast(event_id as varchar), 6, '0') as path from n where parent = 0
-union all select n.event_id, t.depth + 1, t.path || '/' || lpad(cast(n.event_id as varchar), 6, '0') from n join t on n.parent = t.event_id)
-select event_id, depth, path from t""",
-    "span_tree_depth_whole": """with recursive n as (select event_id, event_id // 4 as parent from events),
+    "span_tree_depth": """with recursive n as (select event_id, event_id // 4 as parent from events),
 t as (select event_id, 0 as depth, lpad(cast(event_id as varchar), 19, '0') as path from n where parent = 0 or parent not in (select event_id from events)
 union all select n.event_id, t.depth + 1, t.path || '/' || lpad(cast(n.event_id as varchar), 19, '0') from n join t on n.parent = t.event_id where n.parent <> 0)
 select event_id, depth, path from t""",

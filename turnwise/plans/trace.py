@@ -10,12 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.stats import nearest_rank
+from ..functions.stats import half_even, nearest_rank
 from ..operators import intervals as iv
 from ..session import materialize
 from .dialects import DIALECTS, Dialect, canonical, content_of, stage_of
 
-ROUNDS = 3
 CALL_KEYS = ("voice.call_id",)
 
 
@@ -33,7 +32,8 @@ def with_call(spans: DataFrame) -> DataFrame:
 
     trace = W.partitionBy("trace_id")
     root = F.max(F.when(F.col("parent_span_id").isNull(), hint("attrs"))).over(trace)
-    found = F.coalesce(F.max(hint("resource")).over(trace), root, F.max(hint("attrs")).over(trace))
+    first = F.struct("start_ns", "ord")
+    found = F.coalesce(F.min_by(hint("resource"), F.when(hint("resource").isNotNull(), first)).over(trace), root, F.min_by(hint("attrs"), F.when(hint("attrs").isNotNull(), first)).over(trace))
     return spans.withColumn("call_id", F.coalesce(found, F.col("trace_id"), F.lit("")))
 
 
@@ -42,7 +42,7 @@ def timed(spans: DataFrame) -> DataFrame:
     root = spans.where("parent_span_id is null").groupBy("call_id").agg(F.min("start_ns").alias("t0"))
 
     def second(ns: Column) -> Column:
-        return F.round((ns - F.col("t0")) / 1e9, 6)
+        return half_even((ns - F.col("t0")) / 1e9, 6)
 
     events = F.transform("events", lambda e: F.struct(e["name"].alias("name"), second(e.ns).alias("t"), e.attrs.alias("attrs")))
     return spans.join(root, "call_id").withColumns({"t_start": second(F.col("start_ns")), "t_end": second(F.col("end_ns")), "events": events}).drop("t0")
@@ -81,20 +81,28 @@ def adapted(spans: DataFrame) -> DataFrame:
 
 
 def with_turns(spans: DataFrame) -> DataFrame:
-    """turn_id of every span: its own attribute, else its nearest TURN ancestor's, itself included.
+    """turn_id of every span: its own attribute, else that of its nearest TURN ancestor, itself included.
 
     Pointers double: each round a span without a turn takes its ancestor's turn
-    or else its ancestor's ancestor, so ``ROUNDS`` rounds reach 2^ROUNDS levels
-    up and end on cycles too. Only ids take part. ``spans`` is read often, so it
-    should be a written table.
+    or else its ancestor's ancestor, until no pointer is left, so the rounds grow
+    with the logarithm of the depth. A pointer that comes back to its span is a
+    cycle without a turn and is dropped, as is one that outlives as many
+    doublings as ids have bits. Only ids take part. ``spans`` is read often, so
+    it should be a written table.
     """
-    own = F.coalesce(F.try_element_at("attrs", F.lit("turn.id")), F.when(F.col("stage") == "turn", F.col("span_id")))
-    now = spans.select("call_id", "span_id", own.alias("turn_id"), F.col("parent_span_id").alias("up"))
-    for _ in range(ROUNDS):
+    own = F.try_element_at("attrs", F.lit("turn.id"))
+    given = F.when(F.col("stage") == "turn", F.coalesce(own, F.col("span_id")))
+    now = spans.select("call_id", "span_id", given.alias("turn_id"), F.when(given.isNull(), F.col("parent_span_id")).alias("up"))
+    for _ in range(64):
+        now = materialize(now, "tree")
+        if now.where("up is not null").isEmpty():
+            break
         above = now.select("call_id", F.col("span_id").alias("up"), F.col("turn_id").alias("_t"), F.col("up").alias("_u"))
         stepped = now.join(above, ["call_id", "up"], "left")
-        now = stepped.select("call_id", "span_id", F.coalesce("turn_id", "_t").alias("turn_id"), F.when(F.coalesce("turn_id", "_t").isNull(), F.col("_u")).alias("up"))
-    return spans.join(now.select("call_id", "span_id", "turn_id"), ["call_id", "span_id"])
+        found = F.coalesce("turn_id", "_t")
+        now = stepped.select("call_id", "span_id", found.alias("turn_id"), F.when(found.isNull() & (F.col("_u") != F.col("span_id")), F.col("_u")).alias("up"))
+    named = now.select("call_id", "span_id", F.col("turn_id").alias("_given"))
+    return spans.join(named, ["call_id", "span_id"]).withColumn("turn_id", F.coalesce(own, "_given")).drop("_given")
 
 
 def paired(spans: DataFrame) -> DataFrame:
@@ -111,16 +119,16 @@ def paired(spans: DataFrame) -> DataFrame:
 
 def on_audio(t: Column) -> Column:
     """Call clock to audio clock."""
-    return F.round(t - F.coalesce(F.col("t0_offset_s"), F.lit(0.0)), 4)
+    return half_even(t - F.coalesce(F.col("t0_offset_s"), F.lit(0.0)), 4)
 
 
 def ms(a: Column, b: Column) -> Column:
     """Milliseconds from a to b; unknown when b is before a."""
-    return F.when(b - a >= 0, F.round((b - a) * 1000, 1))
+    return F.when(b - a >= 0, half_even((b - a) * 1000, 1))
 
 
 def reported_ms(c: Column) -> Column:
-    return F.round(c.try_cast("double") * 1000, 1)
+    return half_even(c.try_cast("double") * 1000, 1)
 
 
 def yes(c: Column) -> Column:
@@ -190,12 +198,12 @@ def turns(spans: DataFrame, utterances: DataFrame | None = None) -> DataFrame:
         attr("tts.cut_reason", "tts").alias("cut_attr"),
         attr("stt.language", "stt").alias("language"),
         F.coalesce(attr("stt.confidence", "stt"), attr("stt.confidence")).try_cast("double").alias("stt_confidence"),
-        attr("gen_ai.usage.input_tokens", "llm").try_cast("double").cast("long").alias("tokens_in"),
-        attr("gen_ai.usage.output_tokens", "llm").try_cast("double").cast("long").alias("tokens_out"),
-        attr("gen_ai.usage.cached_tokens", "llm").try_cast("double").cast("long").alias("tokens_cached"),
+        attr("gen_ai.usage.input_tokens", "llm").try_cast("long").alias("tokens_in"),
+        attr("gen_ai.usage.output_tokens", "llm").try_cast("long").alias("tokens_out"),
+        attr("gen_ai.usage.cached_tokens", "llm").try_cast("long").alias("tokens_cached"),
         attr("gen_ai.request.model", "llm").alias("llm_model"),
-        attr("tts.chars", "tts").try_cast("double").cast("long").alias("tts_chars"),
-        attr("tts.chars_cut", "tts").try_cast("double").cast("long").alias("tts_chars_cut"),
+        attr("tts.chars", "tts").try_cast("long").alias("tts_chars"),
+        attr("tts.chars_cut", "tts").try_cast("long").alias("tts_chars_cut"),
         attr("turn.interruption_probability").try_cast("double").alias("interruption_probability"),
         reported_ms(attr("metrics.e2e_latency")).alias("e2e_latency_ms"),
         F.coalesce(text("transcript", "stt"), text("transcript")).alias("transcript"),
@@ -227,12 +235,12 @@ def turns(spans: DataFrame, utterances: DataFrame | None = None) -> DataFrame:
             "endpointing_ms": F.coalesce(ms(c("speech_end"), c("stt_start")), reported_ms(c("hold"))),
             "llm_ttft_ms": F.coalesce(ms(c("llm_start"), c("first_token_at")), c("llm_ttft_reported_ms")),
             "tts_ttfb_ms": F.coalesce(ms(c("tts_start"), c("first_audio_at")), c("tts_ttfb_reported_ms")),
-            "token": F.coalesce("first_token_at", F.round(c("llm_start") + c("llm_ttft_reported_ms") / 1000, 4)),
+            "token": F.coalesce("first_token_at", half_even(c("llm_start") + c("llm_ttft_reported_ms") / 1000, 4)),
             "caller_stop": F.coalesce("speech_end", "stt_end"),
             "playout_ms": ms(c("first_audio_at"), c("agent_onset")),
         }
     )
-    t = t.withColumn("agent_out", F.coalesce("first_audio_at", F.round(c("tts_start") + c("tts_ttfb_ms") / 1000, 4), c("tts_start")))
+    t = t.withColumn("agent_out", F.coalesce("first_audio_at", half_even(c("tts_start") + c("tts_ttfb_ms") / 1000, 4), c("tts_start")))
     # the hold between speech and recognition has no span of its own
     hold = F.when(c("stt_start") > c("speech_end"), F.array(F.struct(c("speech_end").alias("start"), c("stt_start").alias("end")))).otherwise(F.slice("stage_intervals", 1, 0))
     covered = iv.array_total(iv.array_merged(iv.array_clipped(F.concat("stage_intervals", hold), c("caller_stop"), c("agent_out"))))
@@ -242,7 +250,7 @@ def turns(spans: DataFrame, utterances: DataFrame | None = None) -> DataFrame:
             "assembly_ms": ms(c("token"), c("tts_start")),
             "dispatch_ms": ms(c("token"), c("tts_request")),
             "response_latency_ms": ms(c("caller_stop"), c("agent_out")),
-            "unattributed_ms": F.when(span >= 0, F.round(F.greatest(F.lit(0.0), span - covered) * 1000, 1)),
+            "unattributed_ms": F.when(span >= 0, half_even(F.greatest(F.lit(0.0), span - covered) * 1000, 1)),
             "cut_reason": F.coalesce("cut_attr", F.when(c("tts_cancelled"), F.when(c("interrupted"), "barge_in").otherwise("hangup"))),
             "tts_span_present": c("n_tts") > 0,
             "trigger": F.coalesce("trigger", F.lit("endpoint")),
@@ -255,22 +263,28 @@ def turns(spans: DataFrame, utterances: DataFrame | None = None) -> DataFrame:
     )
 
 
-SERIES = ("response_latency_ms", "stt_lag_ms", "endpointing_ms", "llm_ttft_ms", "assembly_ms", "tts_ttfb_ms", "playout_ms")
+#: fixed values: the series and names of the call's turn metrics, and why one is missing
+SERIES = ("response_latency_ms", "llm_ttft_ms", "assembly_ms", "tts_ttfb_ms", "unattributed_ms", "llm_ttft_reported_ms", "tts_ttfb_reported_ms")
+NO_EVIDENCE = {"tokens_per_turn": "vendor sent no usage", "truncation_rate": "no tts chars", "cut_reason": "no truncated turns"}
+NO_SEGMENT = "no spans carried this segment"
 
 
 def turn_metrics(t: DataFrame) -> DataFrame:
-    """Tall metrics per call: p90 of each series, mean tokens, truncation ratio, cut reasons, with availability and reason."""
+    """Tall metrics per call: p90 of each series, mean tokens, cut share of all characters, cut reasons, with availability and reason."""
     aggs = [nearest_rank(F.sort_array(F.collect_list(s)), 0.9).alias(s) for s in SERIES]
-    cut, all_ = F.sum("tts_chars_cut"), F.sum(F.when(F.col("tts_chars_cut").isNotNull(), F.col("tts_chars")))
+    chars, cut = F.sum("tts_chars"), F.coalesce(F.sum("tts_chars_cut"), F.lit(0))
     wide = t.groupBy("call_id").agg(
-        *aggs, F.avg("tokens_out").alias("output_tokens"), F.try_divide(cut, all_).alias("truncation_ratio"), F.array_join(F.array_sort(F.collect_set("cut_reason")), ",").alias("reasons")
+        *aggs, F.avg("tokens_out").alias("tokens_per_turn"), F.when(chars > 0, cut / chars).alias("truncation_rate"), F.array_join(F.array_sort(F.collect_set("cut_reason")), ",").alias("reasons")
     )
-    nums = [*SERIES, "output_tokens", "truncation_ratio"]
-    tall = wide.select("call_id", *[F.round(F.col(c).cast("double"), 4 if c == "truncation_ratio" else 1).alias(c) for c in nums]).unpivot("call_id", nums, "name", "value_num")
-    text = wide.select("call_id", F.lit("cut_reasons").alias("name"), F.lit(None).cast("double").alias("value_num"), F.nullif("reasons", F.lit("")).alias("value_text"))
+    nums = [*SERIES, "tokens_per_turn", "truncation_rate"]
+    tall = wide.select("call_id", *[half_even(F.col(c).cast("double"), 4 if c == "truncation_rate" else 1).alias(c) for c in nums]).unpivot("call_id", nums, "name", "value_num")
+    text = wide.select("call_id", F.lit("cut_reason").alias("name"), F.lit(None).cast("double").alias("value_num"), F.nullif("reasons", F.lit("")).alias("value_text"))
     both = tall.withColumn("value_text", F.lit(None).cast("string")).unionByName(text)
     there = F.coalesce(F.col("value_num").cast("string"), F.col("value_text")).isNotNull()
-    return both.withColumns({"available": there, "reason": F.when(~there, "no_evidence")})
+    why = F.lit(NO_SEGMENT)
+    for name, reason in NO_EVIDENCE.items():
+        why = F.when(F.col("name") == name, reason).otherwise(why)
+    return both.withColumns({"available": there, "reason": F.when(~there, why)})
 
 
 def pipeline(payload_spans: DataFrame, utterances: DataFrame | None = None) -> DataFrame:
@@ -281,27 +295,44 @@ def pipeline(payload_spans: DataFrame, utterances: DataFrame | None = None) -> D
     return turns(paired(with_turns(materialize(adapted(timed(once)), "spans"))), utterances)
 
 
-#: reasons in the order that a report lists them
-REASONS = ("turns_derived", "audio_missing", "timing_missing", "trace_missing", "audio_partial", "telemetry_truncated")
+#: fixed values: reasons in the order that a report lists them
+REASONS = (
+    "turns_derived",
+    "audio_disabled",
+    "audio_missing",
+    "timing_missing",
+    "trace_not_applicable",
+    "trace_missing",
+    "audio_partial",
+    "telemetry_truncated",
+)
 
 
-def trust(calls: DataFrame, t: DataFrame, coverage_least: float = 0.80) -> DataFrame:
+def trust(calls: DataFrame, spans: DataFrame, coverage_least: float = 0.80) -> DataFrame:
     """Why a call's numbers are to be trusted less, per call.
 
-    ``calls`` has call_id, derived (turns come from events), audio_enabled,
-    coverage (least of its channels, null without audio) and dropped (spans the
-    producer counts as lost). ``t`` are its turns.
+    ``calls`` has call_id, engine, derived (turns come from events),
+    audio_enabled, coverage (least of its channels, null without audio) and
+    dropped (spans the producer counts as lost). ``spans`` are its adapted spans
+    with turn_id; one without a turn counts as unattributed, but for CALL spans.
     """
-    seen = t.groupBy("call_id").agg(F.count("*").alias("n_turns"), F.count("response_latency_ms").alias("n_timed"), F.count_if(F.col("tts_span_present")).alias("n_traced"))
-    c = calls.join(seen, "call_id", "left")
-    n = F.coalesce("n_turns", F.lit(0))
+    clocked = F.col("t_start").isNotNull() | F.exists("events", lambda e: e.t.isNotNull())
+    seen = spans.groupBy("call_id").agg(
+        F.count("*").alias("n_spans"), F.bool_or(clocked).alias("clocked"), F.count_if(F.col("turn_id").isNull() & (F.col("stage") != "call")).alias("unattributed")
+    )
+    c = calls.join(seen, "call_id", "left").withColumns({"n_spans": F.coalesce("n_spans", F.lit(0)), "unattributed": F.coalesce("unattributed", F.lit(0))})
+    audio, traced = F.col("coverage").isNotNull(), F.col("n_spans") > 0
+    direct = F.coalesce(F.lower("engine") == "s2s", F.lit(False))
     flags = (
         F.col("derived"),
-        ~F.col("audio_enabled") | F.col("coverage").isNull(),
-        (n > 0) & (F.coalesce("n_timed", F.lit(0)) == 0),
-        (n > 0) & (F.coalesce("n_traced", F.lit(0)) == 0),
+        ~audio & ~F.col("audio_enabled"),
+        ~audio & F.col("audio_enabled"),
+        traced & ~F.coalesce("clocked", F.lit(False)),
+        ~traced & direct,
+        ~traced & ~direct,
         F.col("coverage") < coverage_least,
         F.col("dropped") > 0,
     )
     reasons = F.array_compact(F.array(*[F.when(f, r) for f, r in zip(flags, REASONS, strict=True)]))
-    return c.select("call_id", n.alias("turns"), "coverage", reasons.alias("reasons"), F.when(F.size(reasons) > 0, "partial").otherwise("ok").alias("status"))
+    layers = F.array_compact(F.array(F.when(audio, "audio"), F.when(traced, "events")))
+    return c.select("call_id", "coverage", reasons.alias("reasons"), layers.alias("layers_run"), F.col("dropped").alias("span_dropped_events"), F.col("unattributed").alias("unattributed_spans"))

@@ -314,11 +314,13 @@ def bounded(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, x string, y string, sure boolean")
 
 
-def similar() -> Column:
-    """Edit similarity of x and y, the distance followed only as far as it allows, in a narrow band first."""
+def similar(narrow: int | None = None) -> Column:
+    """Edit similarity of x and y, the distance followed only as far as it allows; in a ``narrow`` band first where most pairs are near."""
     most = f"cast(floor((1 - {SIMILAR}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
-    bands = " or ".join(f"levenshtein(x, y, {band}) >= 0" for band in (f"least(8, {most})", f"least(64, {most})", most))
-    return F.expr(f"abs(length(x) - length(y)) <= {most} and ({bands})")
+    whole = f"levenshtein(x, y, {most}) >= 0"
+    if narrow is not None:
+        whole = f"levenshtein(x, y, least({narrow}, {most})) >= 0 or ({most} > {narrow} and {whole})"
+    return F.expr(f"abs(length(x) - length(y)) <= {most} and ({whole})")
 
 
 def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
@@ -329,7 +331,7 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
     both = materialize(both.where(F.least(F.length("x"), F.length("y")) >= SIMILAR * F.greatest(F.length("x"), F.length("y")) - 1), "both")
     long = F.greatest(F.length("x"), F.length("y")) > SHORT_CHARS
     told = bounded(both.where(long)).where(F.when(F.col("sure").isNotNull(), F.col("sure")).otherwise(similar()))
-    out = materialize(both.where(~long).where(similar()).select("a", "b").unionByName(told.select("a", "b")), "links")
+    out = materialize(both.where(~long).where(similar(4)).select("a", "b").unionByName(told.select("a", "b")), "links")
     for done in (wanted, said, both):
         drop_materialized(done)
     return out

@@ -29,4 +29,18 @@ QUERIES: dict[str, Query] = {
     "op10_substring_dedup": on("documents", substrings.op10),
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_exact_top_k": """with v as (select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as v from embeddings
+where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(cast(x as double))]) = 0),
+s as (select q.vec_id as query_id, e.vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score from v q join v e on q.vec_id <> e.vec_id and len(q.v) = len(e.v) where q.vec_id % 100 = 0),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10""",
+    "op10_substring_dedup": r"""with d as (select doc_id, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) - 18)) as i from d where len(w) >= 20),
+k as (select doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) as s from p),
+r as (select doc_id, i, row_number() over (partition by s order by doc_id, i) as n from k),
+g as (select distinct doc_id, unnest(range(i, i + 20)) as j from r where n > 1),
+e as (select doc_id, w, unnest(range(1, len(w) + 1)) as j from d),
+f as (select e.doc_id, count(g.j) as n_removed, string_agg(case when g.j is null then w[e.j] end, ' ' order by e.j) as kept from e left join g on e.doc_id = g.doc_id and e.j = g.j group by 1)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from d left join f using (doc_id)""",
+}

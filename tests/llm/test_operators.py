@@ -401,7 +401,14 @@ def test_distance_bounds_hold():
         y = y[int(rng.integers(2)) :] or y
         x, y = " ".join(x), " ".join(y)
         least, most = lines.distance_bounds(x, y)
-        assert least <= edit(x, y) <= most
+        d = edit(x, y)
+        assert least <= d <= most
+        assert [lines.within(x, y, d + i) for i in (-1, 0, 1)] == [False, True, True]
+    # more different characters than are kept, texts over many machine words, an empty one
+    many = "".join(map(chr, range(0x4E00, 0x4E00 + 3000)))
+    assert lines.within(many, many[1500:] + many[:1500], 3000) and not lines.within(many, many[1500:] + many[:1500], 2999)
+    assert lines.within(many, many[:700] + "x" + many[702:] + "yz", 4) and not lines.within(many, many[:700] + "x" + many[702:] + "yz", 3)
+    assert lines.within("", "abc", 3) and not lines.within("abc", "", 2)
 
 
 def test_lines_keep_columns(spark, odd, empty):

@@ -38,7 +38,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +51,8 @@ SIMILAR = 0.8
 #: (words from which on, blocks, blocks that have to be equal, words that these hold at least); beyond the last, twice the words have twice the blocks
 BANDS = ((8, 5, 2, 4), (16, 4, 1, 4), (24, 6, 1, 4), (32, 8, 1, 4))
 OVERLAP = 1.25  # a line up to so much longer than a band of lengths is in the band below too
-SHORT_CHARS = 64  # longer texts are compared by bounds before characters
+SHORT_CHARS = 64  # texts up to this length are compared by the JVM
+BOUNDS_CHARS = 256  # beyond this length bounds cost less than the distance
 _BINS = 8192
 _SEED = 0x082EFA98EC4E6C89
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -294,32 +294,78 @@ def distance_bounds(x: str, y: str) -> tuple[int, int]:
     return least, most
 
 
-def bounded(pairs: DataFrame) -> DataFrame:
-    """(a, b, x, y, sure) of pairs of texts; sure is null where bounds do not tell whether they are similar."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("x", pa.large_string()), ("y", pa.large_string()), ("sure", pa.bool_())])
+def same_start(x: str, y: str) -> int:
+    """How many characters x and y have in common from the start."""
+    lo, hi = 0, min(len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if x[lo:mid] == y[lo:mid] else (lo, mid - 1)
+    return lo
+
+
+def within(x: str, y: str, most: int) -> bool:
+    """Whether the edit distance of x and y is ``most`` at most: a column of the table is two numbers of len(x) bits, so a step costs a 64th of its cells."""
+    if not x or not y:
+        return max(len(x), len(y)) <= most
+    at: dict[str, list[int]] = {}
+    for i, c in enumerate(x):
+        at.setdefault(c, []).append(i)
+
+    def places(c: str) -> int:
+        bits = bytearray(len(x) // 8 + 1)
+        for i in at.get(c, ()):
+            bits[i >> 3] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little")
+
+    # of 1,024 characters at most the places are kept, others' are made when met
+    held = {c: places(c) for c, where in at.items() if len(where) * 1024 >= len(x)}
+    full, top = (1 << len(x)) - 1, len(x) - 1
+    up, down, now, left = full, 0, len(x), len(y)
+    for c in y:
+        same = held[c] if c in held else places(c)
+        level = same | down
+        kept = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(kept | up)), up & kept
+        now += (more >> top & 1) - (less >> top & 1)
+        left -= 1
+        if now - left > most:  # a column changes the last row by one at most
+            return False
+        more = more << 1 & full | 1
+        up, down = less << 1 & full | full & ~(level | more), more & level
+    return now <= most
+
+
+def alike(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the pairs of texts (a, b, x, y) that are similar: by bounds where these tell, else by their distance."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def similar_texts(x: str, y: str) -> bool:
+        room = int((1 - SIMILAR) * max(len(x), len(y)) + 1e-9)
+        # what they begin and end with in common has no part in the distance
+        same = same_start(x, y)
+        x, y = x[same:], y[same:]
+        same = same_start(x[::-1], y[::-1])
+        x, y = x[: len(x) - same], y[: len(y) - same]
+        if max(len(x), len(y)) <= room:
+            return True
+        if min(len(x), len(y)) > BOUNDS_CHARS:
+            least, most = distance_bounds(x, y)
+            if most <= room or least > room:
+                return most <= room
+        return within(x, y, room)
 
     def run(batches):
         for batch in batches:
-            sure = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = x.as_py(), y.as_py()
-                room = int((1 - SIMILAR) * max(len(x), len(y)) + 1e-9)
-                least, most = distance_bounds(x, y)
-                sure.append(True if most <= room else False if least > room else None)
-            open_ = pa.array([s is None for s in sure])
-            blank = pa.scalar("", pa.large_string())
-            texts = [pc.if_else(open_, c.cast(pa.large_string()), blank) for c in batch.columns[2:4]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *texts, pa.array(sure, pa.bool_())], schema=schema)
-
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, x string, y string, sure boolean")
-
-
-def similar(narrow: int | None = None) -> Column:
-    """Edit similarity of x and y, the distance followed only as far as it allows; in a ``narrow`` band first where most pairs are near."""
+            yes = [similar_texts(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(yes, pa.bool_())) for c in batch.columns[:2]], schema=schema)
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(narrow: int) -> Column:
+    """Edit similarity of x and y, the distance followed only as far as it allows, and in a ``narrow`` band first, where most pairs are near."""
     most = f"cast(floor((1 - {SIMILAR}D) * greatest(length(x), length(y)) + 1e-9D) as int)"
-    whole = f"levenshtein(x, y, {most}) >= 0"
-    if narrow is not None:
-        whole = f"levenshtein(x, y, least({narrow}, {most})) >= 0 or ({most} > {narrow} and {whole})"
+    whole = f"levenshtein(x, y, least({narrow}, {most})) >= 0 or ({most} > {narrow} and levenshtein(x, y, {most}) >= 0)"
     return F.expr(f"abs(length(x) - length(y)) <= {most} and ({whole})")
 
 
@@ -330,8 +376,7 @@ def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
     both = pairs.select("a", "b").join(said.select(F.col("line").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("line").alias("b"), F.col("said").alias("y")), "b")
     both = materialize(both.where(F.least(F.length("x"), F.length("y")) >= SIMILAR * F.greatest(F.length("x"), F.length("y")) - 1), "both")
     long = F.greatest(F.length("x"), F.length("y")) > SHORT_CHARS
-    told = bounded(both.where(long)).where(F.when(F.col("sure").isNotNull(), F.col("sure")).otherwise(similar()))
-    out = materialize(both.where(~long).where(similar(4)).select("a", "b").unionByName(told.select("a", "b")), "links")
+    out = materialize(both.where(~long).where(similar(4)).select("a", "b").unionByName(alike(both.where(long))), "links")
     for done in (wanted, said, both):
         drop_materialized(done)
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stats import group_percentiles, nearest_index, safe_rate
+from ..functions.stats import group_percentiles, half_even, nearest_index, safe_rate
 
 RANGE_S, BUCKET_S = 7 * 86400, 6 * 3600
 
@@ -99,7 +99,65 @@ def tool_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("bucket", calls.alias("tool_calls"), errors.alias("tool_errors"), safe_rate(errors, calls).alias("tool_error_rate"))
 
 
+def exact_rate(part: Column, whole: Column) -> Column:
+    """part / whole to four digits, halves to even; 0 for an empty whole."""
+    return F.when(whole > 0, half_even(part / whole, 4)).otherwise(F.lit(0.0))
+
+
+def snapshot(calls: DataFrame, judged: DataFrame, latencies: DataFrame, tools: DataFrame, bounds: DataFrame, width_s: int = BUCKET_S) -> DataFrame:
+    """Every board series per bucket, and the totals in one more row of bucket null.
+
+    calls: ts, failed, cost; judged: ts, disposition, violation; latencies: ts,
+    value of measurable turns; tools: ts, error. A call that failed and was judged
+    other than connected counts as a failure twice, so a rate may be above 1. All
+    facts are one union of counters, added up before the one shuffle; buckets
+    without facts have zeros, and null percentiles.
+    """
+
+    def counters(rows: DataFrame, **named: Column) -> DataFrame:
+        zero = F.lit(0).cast("long")
+        cells = [named.get(c, zero).cast("long").alias(c) for c in COUNTERS]
+        return scoped(rows, bounds, width_s).select("bucket", *cells, named.get("cost", F.lit(0.0)).cast("double").alias("cost"))
+
+    one, unlike = F.lit(1), F.coalesce(F.col("disposition") != "connected", F.lit(False))
+    facts = counters(calls, calls=one, failures=F.coalesce("failed", F.lit(False)), cost=F.coalesce("cost", F.lit(0.0)))
+    facts = facts.unionByName(counters(judged, failures=unlike, judged=F.col("violation").isNotNull(), violations=F.coalesce("violation", F.lit(False))))
+    facts = facts.unionByName(counters(tools, tool_calls=one, tool_errors=F.coalesce("error", F.lit(False))))
+    each = facts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "cost")])
+    waits = scoped(latencies, bounds, width_s)
+    series = spine(bounds, width_s).join(each, "bucket", "left").join(group_percentiles(waits, ["bucket"], F.col("value"), P), "bucket", "left")
+    total = each.agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "cost")]).withColumns({"bucket": F.lit(None).cast("long"), "board": F.lit(1)})
+    total = total.join(group_percentiles(waits.withColumn("board", F.lit(1)), ["board"], F.col("value"), P), "board", "left").drop("board")
+    rows = series.unionByName(total).withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTERS})
+    rates = {"failure_rate": exact_rate(F.col("failures"), F.col("calls")), "violation_rate": exact_rate(F.col("violations"), F.col("judged")), "tool_error_rate": exact_rate(F.col("tool_errors"), F.col("tool_calls"))}
+    return rows.withColumns({**rates, "cost": F.round(F.coalesce("cost", F.lit(0.0)), 4)})
+
+
+COUNTERS = ("calls", "failures", "judged", "violations", "tool_calls", "tool_errors")
+
+
+def snapshot_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite board: judgments follow from the event's number, a value above 150 is a violation."""
+    facts, n = events(spark, sf_dir).select("ts", "event_id", "event_type", "value"), F.col("event_id")
+    error = F.col("event_type") == "error"
+    label = F.when(n % 5 == 0, "no_answer").when(n % 5 == 1, None).when(n % 5 == 2, "unknown").otherwise("connected")
+    judged = facts.where(n % 3 != 0).select("ts", label.alias("disposition"), F.when(n % 4 != 0, F.col("value") > 150).alias("violation"))
+    return snapshot(
+        facts.select("ts", error.alias("failed"), F.col("value").alias("cost")), judged, facts.where(~error).select("ts", "value"),
+        facts.where(F.col("event_type").isin("click", "error")).select("ts", error.alias("error")), window_of(facts),
+    )
+
+
+def client_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The composite board as the client draws it: rates in per cent to one digit, totals left out."""
+    rows = snapshot_of_events(spark, sf_dir).where("bucket is not null")
+    shares = {c: half_even(F.col(c) * 100, 1) for c in ("failure_rate", "violation_rate")}
+    return rows.withColumns(shares).select("bucket", F.col("calls").alias("volume"), *shares, "p50", "p95", "tool_calls", "tool_errors", "cost")
+
+
 QUERIES = {
+    "board_snapshot": snapshot_of_events,
+    "board_client_rows": client_rows,
     "board_volume_6h": volume,
     "board_failure_rate": failure_rate,
     "board_latency_p50_p95": latency,
@@ -116,7 +174,23 @@ f as (select cast(floor(epoch(ts)) as bigint) // 21600 * 21600 as bucket, event_
 """
 _P = "v[cast(round_even({p} * (len(v) - 1), 0) as integer) + 1]"
 
+_SNAPSHOT = (
+    _SCOPE
+    + f""", e as (select cast(floor(epoch(ts)) as bigint) // 21600 * 21600 as bucket, event_id as n, event_type = 'error' as bad, event_type in ('click', 'error') as tool, value from events, w where floor(epoch(ts)) >= since),
+x as (select *, n % 3 <> 0 and n % 5 in (0, 2) as unlike, n % 3 <> 0 and n % 4 <> 0 and value is not null as judged, n % 3 <> 0 and n % 4 <> 0 and value > 150 as viol from e),
+k as (select s.bucket, x.* exclude (bucket) from spine s left join x using (bucket)),
+g as (select bucket, count(n) as calls, count(*) filter (bad) + count(*) filter (unlike) as failures, count(*) filter (judged) as judged, count(*) filter (viol) as violations,
+count(*) filter (tool) as tool_calls, count(*) filter (bad) as tool_errors, coalesce(sum(value), 0) as c, list_sort(list(value) filter (not bad and value is not null)) as v from k group by rollup (bucket)),
+board as (select bucket, calls, failures, judged, violations, tool_calls, tool_errors, round(c, 4) as cost, {_P.format(p=0.5)} as p50, {_P.format(p=0.95)} as p95,
+case when calls > 0 then round_even(failures / calls, 4) else 0.0 end as failure_rate, case when judged > 0 then round_even(violations / judged, 4) else 0.0 end as violation_rate,
+case when tool_calls > 0 then round_even(tool_errors / tool_calls, 4) else 0.0 end as tool_error_rate from g)
+"""
+)
+
 ORACLE_SQL = {
+    "board_snapshot": _SNAPSHOT + "select * from board",
+    "board_client_rows": _SNAPSHOT
+    + """select bucket, calls as volume, round_even(failure_rate * 100, 1) as failure_rate, round_even(violation_rate * 100, 1) as violation_rate, p50, p95, tool_calls, tool_errors, cost from board where bucket is not null""",
     "board_volume_6h": _SCOPE + "select s.bucket, count(f.event_type) as calls from spine s left join f using (bucket) group by 1",
     "board_failure_rate": _SCOPE
     + """select s.bucket, count(f.event_type) as calls, count(*) filter (event_type = 'error') as failures,

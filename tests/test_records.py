@@ -22,13 +22,17 @@ def test_upsert_promotes_and_fills_gaps(spark):
             ("t1", "t1", "b", None, None, True, 5, 0),
             ("alone", None, None, None, None, None, None, 3),
             ("t2", None, "a", "s", "prod", None, 4, 4),
+            ("t3", "t3", None, "s", "prod", None, 1, 10),
+            ("named", "t3", "first", "s", "prod", None, 1, 11),
+            ("t3", "t3", "later", "s", "prod", None, 1, 12),
+            ("named", "t3", "last", "s", "prod", None, 1, 13),
             (None, "t9", "a", "s", "prod", True, 1, 5),
         ],
         BATCH,
     )
     scripts = spark.createDataFrame([("b", "p")], "agent_id string, prompt_id string")
     got = rows(records.upserted(made, scripts), "call_id", "trace_id", "agent_id", "source", "spans_complete", "last_activity_at", "prompt_id")
-    assert got == [("alone", None, None, None, False, None, None), ("real", "t1", "b", "unknown", True, 9, "p"), ("t2", None, "a", "s", False, 4, None)]
+    assert got == [("alone", None, None, None, False, None, None), ("named", "t3", "first", "s", False, 1, None), ("real", "t1", "b", "unknown", True, 9, "p"), ("t2", None, "a", "s", False, 4, None)]
     assert records.upserted(spark.createDataFrame([], BATCH)).count() == 0
 
 

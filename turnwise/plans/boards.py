@@ -149,9 +149,13 @@ def snapshot_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def client_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The composite board as the client draws it: rates in per cent to one digit, totals left out."""
+    """The composite board as the client draws it: rates in per cent to one digit by their exact binary value, halves up; totals left out."""
     rows = snapshot_of_events(spark, sf_dir).where("bucket is not null")
-    shares = {c: half_even(F.col(c) * 100, 1) for c in ("failure_rate", "violation_rate")}
+    shares = {}
+    for c in ("failure_rate", "violation_rate"):
+        x = F.col(c) * 100
+        # with one digit only odd quarters are exact halves
+        shares[c] = F.when(F.pmod(x * 4, F.lit(2.0)) == 1, (F.floor(x * 10) + 1) / 10).otherwise(half_even(x, 1))
     return rows.withColumns(shares).select("bucket", F.col("calls").alias("volume"), *shares, "p50", "p95", "tool_calls", "tool_errors", "cost")
 
 
@@ -190,7 +194,8 @@ case when tool_calls > 0 then round_even(tool_errors / tool_calls, 4) else 0.0 e
 ORACLE_SQL = {
     "board_snapshot": _SNAPSHOT + "select * from board",
     "board_client_rows": _SNAPSHOT
-    + """select bucket, calls as volume, round_even(failure_rate * 100, 1) as failure_rate, round_even(violation_rate * 100, 1) as violation_rate, p50, p95, tool_calls, tool_errors, cost from board where bucket is not null""",
+    + """select bucket, calls as volume, case when failure_rate * 400 % 2 = 1 then (floor(failure_rate * 100 * 10) + 1) / 10 else cast(printf('%.1f', failure_rate * 100) as double) end as failure_rate,
+case when violation_rate * 400 % 2 = 1 then (floor(violation_rate * 100 * 10) + 1) / 10 else cast(printf('%.1f', violation_rate * 100) as double) end as violation_rate, p50, p95, tool_calls, tool_errors, cost from board where bucket is not null""",
     "board_volume_6h": _SCOPE + "select s.bucket, count(f.event_type) as calls from spine s left join f using (bucket) group by 1",
     "board_failure_rate": _SCOPE
     + """select s.bucket, count(f.event_type) as calls, count(*) filter (event_type = 'error') as failures,

@@ -16,11 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def first_known(value: str, order: str) -> Column:
-    """The first value by order that is not null; works on partial aggregates."""
-    return F.min_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias(value)
-
-
 BACKFILLED = ("trace_id", "agent_id", "source", "environment")
 
 
@@ -34,12 +29,13 @@ def upserted(batches: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
     an agent) gives the prompt in force. Rows without a call id go. A call of many
     batches is added up before each of the two shuffles.
     """
-    firsts = [first_known(c, "ord") for c in BACKFILLED]
+    # a first value keeps its own order, by which the calls of a trace are compared
+    dated = [F.min(F.when(F.col(c).isNotNull(), F.struct("ord", c))).alias(c) for c in BACKFILLED]
     summed = [F.max("has_root").alias("has_root"), F.max("at").alias("at")]
-    known = batches.where("call_id is not null").groupBy("call_id").agg(*firsts, *summed, F.min("ord").alias("ord"), F.max("ord").alias("last"))
-    key = F.struct(F.col("trace_id").isNull().alias("alone"), F.coalesce("trace_id", "call_id").alias("id"))
-    calls = known.groupBy(key.alias("key")).agg(F.max_by("call_id", "last").alias("call_id"), *firsts, *summed)
-    out = calls.select("call_id", *BACKFILLED, F.coalesce("has_root", F.lit(False)).alias("spans_complete"), F.col("at").alias("last_activity_at"))
+    known = batches.where("call_id is not null").groupBy("call_id").agg(*dated, *summed, F.max("ord").alias("last"))
+    key = F.struct(F.col("trace_id").isNull().alias("alone"), F.coalesce("trace_id.trace_id", "call_id").alias("id"))
+    calls = known.groupBy(key.alias("key")).agg(F.max_by("call_id", "last").alias("call_id"), *[F.min(c).alias(c) for c in BACKFILLED], *summed)
+    out = calls.select("call_id", *[F.col(f"{c}.{c}") for c in BACKFILLED], F.coalesce("has_root", F.lit(False)).alias("spans_complete"), F.col("at").alias("last_activity_at"))
     return out if scripts is None else out.join(scripts.select("agent_id", "prompt_id"), "agent_id", "left")
 
 

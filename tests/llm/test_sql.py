@@ -9,7 +9,7 @@ from turnwise.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_matches_sql(spark, sf, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations", "labels"):
         con.sql(f"create view {table} as select * from '{sf}/{table}.parquet'")
     theirs = con.sql(queries.ORACLE_SQL[name])
     ours = queries.QUERIES[name](spark, sf)

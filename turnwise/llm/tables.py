@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -52,6 +54,24 @@ def rank_within(df: DataFrame, key: str, order: list[Column], buckets: int, tie:
     )
 
 
+def numbered(df: DataFrame, key: str, order: list[Column], name: str, keep: list[str]) -> DataFrame:
+    """``key``, ``name`` and ``keep`` of each row, ``name`` numbering a key's rows from 1 in ``order``.
+
+    The rows are sorted over ranges of (key, order), so a key with many rows lies
+    in several tasks, and each adds the rows of the key in the ranges before its
+    own; of these there is one row per key and range. The result is materialized.
+    """
+    from pyspark.sql import Window as W
+
+    ranges = df.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    placed = materialize(ranges.select(key, *keep, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")), "numbered")
+    counts = placed.groupBy(key, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    row = (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(name)
+    return materialize(placed.join(offsets, [key, "_range"]).select(key, row, *keep), "numbers")
+
+
 SIFT_WORDS = 1 << 16
 
 

@@ -83,6 +83,38 @@ def test_sql_scope_holds_for_with_names(spark):
     assert inner["rows"] == [[4]]
 
 
+def test_sql_writes_and_reaches_nothing(spark, tmp_path):
+    views = {"calls": spark.range(5).withColumnRenamed("id", "call_id")}
+    spark.range(3).write.parquet(str(tmp_path / "in"))
+    spark.sql("create table if not exists secret using parquet as select 42 as x")
+    for n, bad in enumerate(
+        (
+            "with x as (select 1 as a) insert overwrite directory '{}' using parquet select * from x",
+            "with x as (select 1 as a) insert overwrite local directory '{}' using json select * from x",
+            "with x as (select 1 as a) insert into secret select * from x",
+            "with x as (select 1 as a) from x insert overwrite directory '{}' using json select *",
+            "select reflect('java.lang.System', 'getProperty', 'user.home')",
+            "select call_id from calls where java_method('java.lang.System', 'getProperty', 'user.home') is not null",
+            "select (select max(try_reflect('java.lang.System', 'getProperty', 'user.home')) from calls) as x",
+            "with y as (select reflect('java.lang.System', 'gc') as g) select * from y",
+            "select call_id from calls order by reflect('java.lang.System', 'gc')",
+            "select transform(array(1), x -> reflect('java.lang.System', 'gc')) from calls",
+            "select system.builtin.reflect('java.lang.System', 'gc')",
+            "select raise_error('x'), version(), input_file_name() from calls",
+            "select * from parquet.`{}`".replace("{}", str(tmp_path / "in")),
+            "select * from text.`/etc/passwd`",
+            "select * from sql_keywords()",
+            "select sum(a.call_id) filter (where exists (select reflect('java.lang.System', 'gc'))) from calls a",
+        )
+    ):
+        out = run_sql(spark, views, bad.replace("{}", str(tmp_path / f"out-{n}")))
+        assert "error" in out, bad
+        assert not (tmp_path / f"out-{n}").exists()
+    fine = """with a as (select call_id, row_number() over (order by call_id desc) as r, date_trunc('day', timestamp'2024-05-05 01:02:03') as d from calls), b as (select explode(array(1, 2)) as e)
+        select count(*) as n, max(cast(d as string)) as d, sum(if(r > 2 and call_id in (select id from range(9)), 1, 0)) as m, max(length(upper('x'))) as l, percentile(e, 0.5) as p from a cross join b lateral view explode(array(e)) t as z"""
+    assert run_sql(spark, views, fine, seconds=60.0) == {"columns": ["n", "d", "m", "l", "p"], "rows": [[10, "2024-05-05 00:00:00", 6, 1, 1.5]], "row_count": 1, "truncated": False}
+
+
 def test_sql_ends_in_time(spark):
     out = run_sql(spark, {"calls": spark.range(10)}, "select count(*) as n from range(1000000000) a, range(1000000) b where a.id * b.id % 7 = 3", seconds=2.0)
     assert "error" in out

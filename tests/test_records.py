@@ -32,10 +32,28 @@ def test_upsert_promotes_and_fills_gaps(spark):
     )
     scripts = spark.createDataFrame([("b", "p")], "agent_id string, prompt_id string")
     got = rows(records.upserted(made, scripts), "call_id", "trace_id", "agent_id", "source", "spans_complete", "last_activity_at", "prompt_id")
-    assert got == [("alone", None, None, None, False, None, None), ("named", "t3", "first", "s", False, 1, None), ("real", "t1", "b", "unknown", True, 9, "p"), ("t2", None, "a", "s", False, 4, None)]
+    assert got == [("alone", None, None, "unknown", False, None, None), ("named", "t3", "first", "s", False, 1, None), ("real", "t1", "b", "unknown", True, 9, "p"), ("t2", None, "a", "s", False, 4, None)]
     assert records.upserted(spark.createDataFrame([], BATCH)).count() == 0
 
 
+def test_upsert_keeps_a_promoted_name_and_what_creation_fixed(spark):
+    made = spark.createDataFrame(
+        [
+            ("t1", "t1", None, None, None, False, 1, 1),
+            ("real", "t1", "a", "late", "dev", True, 2, 2),
+            ("t1", "t1", "b", "later", "dev", None, 3, 3),
+            ("t2", "t2", None, "web", "dev", None, 1, 4),
+            ("one", "t2", None, None, None, None, 1, 5),
+            ("two", "t2", None, None, None, None, 1, 6),
+            ("t2", "t2", None, None, None, None, 9, 7),
+            ("t3", "t3", None, None, "test", None, 1, 8),
+        ],
+        BATCH,
+    )
+    got = rows(records.upserted(made.repartition(4)), "call_id", "trace_id", "agent_id", "source", "environment", "spans_complete", "last_activity_at")
+    assert got == [("real", "t1", "a", "unknown", "prod", True, 3), ("t3", "t3", None, "unknown", "test", False, 1), ("two", "t2", None, "web", "dev", False, 9)]
+
+
 def test_replace_drops_calls_without_new_rows(spark):
     old = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "call long, v string")
     new = spark.createDataFrame([(2, "n", 0), (3, "stray", 0)], "call long, v string, more int")

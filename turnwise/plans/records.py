@@ -16,26 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-BACKFILLED = ("trace_id", "agent_id", "source", "environment")
+BACKFILLED = ("trace_id", "agent_id")
+#: what a call gets at its creation and keeps, with the value for none
+FIXED = {"source": "unknown", "environment": "prod"}
 
 
 def upserted(batches: DataFrame, scripts: DataFrame | None = None) -> DataFrame:
     """Calls from their batches: call_id, trace_id, agent_id, source, environment, has_root, at, ord.
 
-    Known calls are batches of lower order. Of every field the first known value
-    stays and later ones fill gaps. Calls of one trace are one call, under the id
-    of its latest batch, so a call first known by its trace takes its real id. A
-    root seen once completes the spans. ``scripts`` (agent_id, prompt_id, one row
-    an agent) gives the prompt in force. Rows without a call id go. A call of many
-    batches is added up before each of the two shuffles.
+    Known calls are batches of lower order. A batch whose call_id is its trace_id
+    names no call: it belongs to the call of its trace. Calls of one trace are one
+    call under the last name that a batch gave it, so a call first known by its
+    trace takes its real id and keeps it when later batches name none. Trace and
+    agent are the first known ones, source and environment those of the first
+    batch. A root seen once completes the spans. ``scripts`` (agent_id, prompt_id,
+    one row an agent) gives the prompt in force. Rows without a call id go. A call
+    of many batches is added up before each of the two shuffles.
     """
+    named = F.nullif("call_id", F.coalesce("trace_id", F.lit("")))
     # a first value keeps its own order, by which the calls of a trace are compared
     dated = [F.min(F.when(F.col(c).isNotNull(), F.struct("ord", c))).alias(c) for c in BACKFILLED]
+    dated += [F.min(F.struct("ord", *FIXED)).alias("made"), F.max(F.when(named.isNotNull(), F.struct("ord", named.alias("name")))).alias("named")]
     summed = [F.max("has_root").alias("has_root"), F.max("at").alias("at")]
-    known = batches.where("call_id is not null").groupBy("call_id").agg(*dated, *summed, F.max("ord").alias("last"))
+    known = batches.where("call_id is not null").groupBy("call_id").agg(*dated, *summed)
     key = F.struct(F.col("trace_id").isNull().alias("alone"), F.coalesce("trace_id.trace_id", "call_id").alias("id"))
-    calls = known.groupBy(key.alias("key")).agg(F.max_by("call_id", "last").alias("call_id"), *[F.min(c).alias(c) for c in BACKFILLED], *summed)
-    out = calls.select("call_id", *[F.col(f"{c}.{c}") for c in BACKFILLED], F.coalesce("has_root", F.lit(False)).alias("spans_complete"), F.col("at").alias("last_activity_at"))
+    calls = known.groupBy(key.alias("key")).agg(*[F.min(c).alias(c) for c in (*BACKFILLED, "made")], F.max("named").alias("named"), *summed)
+    out = calls.select(
+        F.coalesce("named.name", "key.id").alias("call_id"),
+        *[F.col(f"{c}.{c}") for c in BACKFILLED],
+        *[F.coalesce(f"made.{c}", F.lit(default)).alias(c) for c, default in FIXED.items()],
+        F.coalesce("has_root", F.lit(False)).alias("spans_complete"),
+        F.col("at").alias("last_activity_at"),
+    )
     return out if scripts is None else out.join(scripts.select("agent_id", "prompt_id"), "agent_id", "left")
 
 
@@ -134,7 +146,7 @@ def call_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     batches = table(spark, sf_dir, "events").select(
         F.when((F.col("user_id") % 16 == 0) & ~buys, trace_id).otherwise(F.concat(F.lit("call-"), user)).alias("call_id"),
         F.when((F.col("user_id") % 16 == 0) | (n % 3 == 0), trace_id).alias("trace_id"), F.when(n % 4 == 0, F.col("event_type")).alias("agent_id"),
-        F.when(n % 5 != 0, F.col("event_type")).alias("source"), F.lit("prod").alias("environment"), buys.alias("has_root"), n.alias("at"), n.alias("ord"),
+        F.when(n % 5 != 0, F.col("event_type")).alias("source"), F.when(n % 7 == 0, "dev").alias("environment"), buys.alias("has_root"), n.alias("at"), n.alias("ord"),
     )
     kinds = spark.createDataFrame([("click", "p1"), ("view", "p2")], "agent_id string, prompt_id string")
     return upserted(batches, kinds)
@@ -157,8 +169,8 @@ def erase_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def config_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' segments are configs of version 1, their orders updates; orders of customers beyond 100 make new ones."""
-    old = table(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.col("c_custkey").alias("agent_id"), F.col("c_mktsegment").alias("body"), F.lit(1).alias("version"))
+    """Segments of customers with debts are configs of version 1, orders of all are updates and make new ones."""
+    old = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("agent_id"), F.col("c_mktsegment").alias("body"), F.lit(1).alias("version"))
     new = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("agent_id"), F.col("o_orderpriority").alias("body"), F.col("o_orderkey").alias("ord"))
     return bumped(old, new, "agent_id")
 
@@ -223,14 +235,16 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "call_upsert": """with b as (select event_id as n, case when user_id % 16 = 0 and event_type <> 'purchase' then 'trace-' || user_id else 'call-' || user_id end as call_id,
-case when user_id % 16 = 0 or event_id % 3 = 0 then 'trace-' || user_id end as trace_id, case when event_id % 4 = 0 then event_type end as agent_id, case when event_id % 5 <> 0 then event_type end as source, event_type = 'purchase' as buys, user_id from events),
-c as (select user_id, arg_max(call_id, n) as call_id, max(trace_id) as trace_id, arg_min(agent_id, n) filter (agent_id is not null) as agent_id, arg_min(source, n) filter (source is not null) as source, 'prod' as environment, bool_or(buys) as spans_complete, max(n) as last_activity_at from b group by 1)
-select c.* exclude (user_id), case agent_id when 'click' then 'p1' when 'view' then 'p2' end as prompt_id from c""",
+    "call_upsert": """with b as (select event_id as n, user_id, case when user_id % 16 <> 0 or event_type = 'purchase' then 'call-' || user_id end as name,
+case when user_id % 16 = 0 or event_id % 3 = 0 then 'trace-' || user_id end as trace_id, case when event_id % 4 = 0 then event_type end as agent_id,
+coalesce(case when event_id % 5 <> 0 then event_type end, 'unknown') as source, case when event_id % 7 = 0 then 'dev' else 'prod' end as environment, event_type = 'purchase' as buys from events),
+c as (select coalesce(arg_max(name, n) filter (name is not null), max(trace_id)) as call_id, max(trace_id) as trace_id, arg_min(agent_id, n) filter (agent_id is not null) as agent_id,
+arg_min(source, n) as source, arg_min(environment, n) as environment, bool_or(buys) as spans_complete, max(n) as last_activity_at from b group by user_id)
+select c.*, case agent_id when 'click' then 'p1' when 'view' then 'p2' end as prompt_id from c""",
     "derived_replace": "select l_orderkey, l_linenumber, l_quantity from lineitem where not coalesce(l_orderkey in (select o_orderkey from orders where o_orderkey % 10 = 0), false) or l_quantity > 10",
     "erase_calls": """select 'calls' as name, count(*) as n, round(sum(o_totalprice), 2) as amount from orders where o_orderkey % 13 <> 0
 union all select 'turns', count(*), round(sum(l_quantity), 2) from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderkey % 13 = 0)""",
-    "config_versions": """with n as (select o_custkey, arg_max(o_orderpriority, o_orderkey) as body, count(*) as k from orders group by 1), o as (select * from customer where c_custkey <= 100)
+    "config_versions": """with n as (select o_custkey, arg_max(o_orderpriority, o_orderkey) as body, count(*) as k from orders group by 1), o as (select * from customer where c_acctbal < 0)
 select coalesce(c_custkey, o_custkey) as agent_id, coalesce(body, c_mktsegment) as body, coalesce(k, 0) + case when c_custkey is null then 0 else 1 end as version from o full join n on c_custkey = o_custkey""",
     "manifest_rules": r"""with r as (select page_id, case when regexp_matches(url, '/en/([0-9]*)\?utm') then ['tagged', regexp_extract(url, '/en/([0-9]*)\?utm', 1)] when regexp_matches(url, '/en/([0-9]+)') then ['english', regexp_extract(url, '/en/([0-9]+)', 1)]
 when regexp_matches(url, '/es/([0-9]+)') then ['spanish', regexp_extract(url, '/es/([0-9]+)', 1)] when regexp_matches(url, '/([0-9]+)(?:[?#]|$)') then ['other', regexp_extract(url, '/([0-9]+)(?:[?#]|$)', 1)] end as m from pages)

@@ -15,6 +15,18 @@ from pyspark.sql import functions as F
 
 ROW_CAP = 500
 SECONDS = 5.0
+#: groups of built-in functions that only compute; those left out reach the engine, files or the machine
+PURE = frozenset(
+    f"{group}_funcs"
+    for group in ("agg", "array", "bitwise", "collection", "conditional", "conversion", "date", "datetime", "generator", "hash", "json", "lambda", "map", "math", "predicate", "string", "struct", "variant", "window")
+)
+#: functions that stand as tables
+TABLES = frozenset({"explode", "explode_outer", "inline", "inline_outer", "posexplode", "posexplode_outer", "range", "stack", "json_tuple"})
+#: what an analysed query may be made of; commands, inserts and relations that are no view of the caller's are not here
+NODES = frozenset(
+    """Aggregate CTERelationDef CTERelationRef Deduplicate Distinct Except Expand Filter Generate GlobalLimit Intersect Join LateralJoin LocalLimit
+    LocalRelation Offset OneRowRelation Pivot Project Range ResolvedHint Sample Sort SubqueryAlias Tail Union Unpivot View Window WithCTE""".split()
+)
 
 
 @dataclass(frozen=True)
@@ -53,7 +65,9 @@ def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], query: str, cap
 
     The views live in the caller's session under a name prefix of their own and
     are dropped afterwards; the statement has to be a single query that names
-    only them. Gives columns, rows (``cap`` at most), row_count and truncated,
+    only them, consists of ``NODES`` and calls built-in functions of ``PURE``
+    groups alone, so it writes nothing, runs no command and reaches no method or
+    file. Gives columns, rows (``cap`` at most), row_count and truncated,
     or error; never raises on a bad statement.
     """
     text = query.strip().rstrip(";")
@@ -64,9 +78,10 @@ def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], query: str, cap
         for name, df in views.items():
             # temp views are of one session: the frames' plans are re-read there
             _register(session, name, df)
-        allowed = set(views)
-        if found := _foreign(session, text, allowed):
-            return {"error": f"no view named {found}"}
+        if found := _impure(session, text):
+            return {"error": f"function {found} is not allowed"}
+        if found := _foreign(session, text, set(views)):
+            return {"error": found}
         out = session.sql(text).limit(cap + 1)
         rows = [list(r) for r in _within(session, out, seconds)]
         return {"columns": out.columns, "rows": rows[:cap], "row_count": min(len(rows), cap), "truncated": len(rows) > cap}
@@ -77,15 +92,21 @@ def run_sql(spark: SparkSession, views: Mapping[str, DataFrame], query: str, cap
 
 
 def _within(session: SparkSession, out: DataFrame, seconds: float) -> list:
-    """The rows, or an error after so many seconds; what still runs then is cancelled by its tag."""
-    tag = f"ad-hoc-{uuid.uuid4().hex}"
-    late = threading.Timer(seconds, session.sparkContext.cancelJobsWithTag, [tag])
+    """The rows, or an error after so many seconds; what runs then, or starts later, is cancelled by its tag."""
+    tag, over = f"ad-hoc-{uuid.uuid4().hex}", threading.Event()
+
+    def cancel() -> None:
+        late = seconds
+        while not over.wait(late):
+            session.sparkContext.cancelJobsWithTag(tag)
+            late = 0.2
+
     session.sparkContext.addJobTag(tag)
-    late.start()
+    threading.Thread(target=cancel, daemon=True).start()
     try:
         return out.collect()
     finally:
-        late.cancel()
+        over.set()
         session.sparkContext.removeJobTag(tag)
 
 
@@ -95,13 +116,73 @@ def _register(session: SparkSession, name: str, df: DataFrame) -> None:
     frame.createOrReplaceTempView(name)
 
 
+def _each(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+class _Trees:
+    """What a node of the engine's trees is: attributes of a JVM object tell nothing."""
+
+    def __init__(self, session: SparkSession):
+        named = session._jvm.java.lang.Class.forName
+        catalyst = "org.apache.spark.sql.catalyst"
+        self._node = named(f"{catalyst}.trees.TreeNode")
+        self._plan = named(f"{catalyst}.plans.logical.LogicalPlan")
+        self._holder = named(f"{catalyst}.expressions.PlanExpression")
+
+    def plan(self, node) -> bool:
+        return self._plan.isInstance(node)
+
+    def children(self, node) -> list:
+        return [x for x in [*_each(node.children()), *_each(node.innerChildren())] if self._node.isInstance(x)]
+
+    def plans(self, plan) -> list:
+        """Child plans, with those of subqueries and of what the plan names."""
+        return [x for x in [*self.children(plan), *_each(plan.subqueries())] if self.plan(x)]
+
+    def everything(self, node) -> list:
+        """Children, and expressions of a plan, and the plan of a subquery."""
+        more = _each(node.expressions()) if self.plan(node) else [node.plan()] if self._holder.isInstance(node) else []
+        return [*self.children(node), *more]
+
+
+def _impure(session: SparkSession, text: str) -> str | None:
+    """The first function that the statement calls and that is not of a group that only computes."""
+    catalyst = session._jvm.org.apache.spark.sql.catalyst
+    trees = _Trees(session)
+    scalar, table = catalyst.analysis.FunctionRegistry.builtin(), catalyst.analysis.TableFunctionRegistry.builtin()
+
+    def called(name: str, registry, fine) -> str | None:
+        info = registry.lookupFunction(catalyst.FunctionIdentifier(name.lower()))
+        return None if info.isDefined() and fine(info.get()) else name
+
+    def of(parts) -> str:
+        return ".".join(_each(parts))
+
+    def walk(node) -> str | None:
+        kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedFunction" and (bad := called(of(node.nameParts()), scalar, lambda i: i.getGroup() in PURE)):
+            return bad
+        if kind in ("UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedGenerator"):
+            name = node.name().toString() if kind == "UnresolvedGenerator" else of(node.name()) if kind == "UnresolvedTableValuedFunction" else "range"
+            if name.lower() not in TABLES or called(name, table, lambda i: True):
+                return name
+        for child in trees.everything(node):
+            if bad := walk(child):
+                return bad
+        return None
+
+    return walk(session._jsparkSession.sessionState().sqlParser().parsePlan(text))
+
+
 def _foreign(session: SparkSession, text: str, allowed: set[str]) -> str | None:
-    """The first relation that the analysed statement reads besides the allowed views.
+    """What the analysed statement holds besides ``NODES`` over the allowed views, as an error.
 
     Names are resolved by the analyser, so a WITH name hides a table only where
     it is in scope. The views' own plans stand below a node that names the view;
     what is read anywhere else was named by the statement.
     """
+    trees = _Trees(session)
     plan = session._jsparkSession.sessionState().sqlParser().parsePlan(text)
     analysed = session._jsparkSession.sessionState().executePlan(plan, session._jvm.org.apache.spark.sql.execution.CommandExecutionMode.SKIP()).analyzed()
 
@@ -109,14 +190,13 @@ def _foreign(session: SparkSession, text: str, allowed: set[str]) -> str | None:
         kind = node.getClass().getSimpleName()
         if kind == "View" and node.isTempView():
             name = node.desc().identifier().table()
-            return None if name in allowed else name
-        if kind in ("LogicalRelation", "DataSourceV2Relation", "HiveTableRelation", "UnresolvedRelation", "LogicalRDD"):
-            return node.simpleString(60)
-        children = [node.children(), node.innerChildren()]
-        found = [c.apply(i) for c in children for i in range(c.size())]
-        found += [node.subqueries().apply(i) for i in range(node.subqueries().size())]
-        for child in found:
-            if hasattr(child, "children") and (bad := walk(child)):
+            return None if name in allowed else f"no view named {name}"
+        if "Relation" in kind and kind not in NODES:
+            return f"no view named {node.simpleString(60)}"
+        if kind not in NODES:
+            return f"{kind} is not allowed"
+        for child in trees.plans(node):
+            if bad := walk(child):
                 return bad
         return None
 

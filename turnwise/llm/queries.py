@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit, chat, jaccard, language, lines, mixing, packing, quality, sharding, substrings, topk, trie
+from . import audit, chat, jaccard, language, lines, mixing, packing, pii, quality, sharding, substrings, topk, trie
 from .tables import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": on("documents", sharding.op8),
     "op9_exact_top_k": on("embeddings", topk.op9),
     "op10_substring_dedup": on("documents", substrings.op10),
+    "op11_pii": on("documents", pii.op11),
     "op12_conversation_trie": on("conversations", trie.op12),
     "op13_filter_audit": audit.op13,
 }

@@ -41,8 +41,12 @@ def duck(sf):
     return con
 
 
+#: held against brute force elsewhere, as SQL cannot express them
+WITHOUT_SQL = {"density_clusters"}
+
+
 def test_every_query_has_sql():
-    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES)
+    assert set(catalog.ORACLE_SQL) == set(catalog.QUERIES) - WITHOUT_SQL
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))

@@ -41,12 +41,16 @@ def energy(x: np.ndarray, rate: int, m: Measure = Measure()) -> np.ndarray:
 
 
 def speech(x: np.ndarray, rate: int, m: Measure = Measure()) -> list[tuple[float, float]]:
-    """Intervals over the threshold; gaps up to the hangover are bridged, short ones dropped."""
-    loud = np.nonzero(energy(x, rate, m) > m.threshold_dbfs)[0]
+    """Intervals over the threshold; gaps up to the hangover are bridged, one that reaches the end too, short ones dropped."""
+    levels = energy(x, rate, m)
+    loud = np.nonzero(levels > m.threshold_dbfs)[0]
     if not len(loud):
         return []
-    breaks = np.nonzero(np.diff(loud) > round(m.hangover_s / m.frame_s) + 1)[0]
+    hangover = round(m.hangover_s / m.frame_s)
+    breaks = np.nonzero(np.diff(loud) > hangover + 1)[0]
     first, last = loud[np.append(0, breaks + 1)], loud[np.append(breaks, len(loud) - 1)]
+    if len(levels) - 1 - last[-1] <= hangover:
+        last[-1] = len(levels) - 1
     found = [(round(float(a * m.frame_s), 4), round(float((b + 1) * m.frame_s), 4)) for a, b in zip(first, last, strict=True)]
     return [(a, b) for a, b in found if b - a >= m.least_s]
 

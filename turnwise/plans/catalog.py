@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import boards, calls, clusters, judged, records, talk, timeline, traced
+from . import boards, calls, clusters, judged, recordings, records, talk, timeline, traced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (boards, calls, clusters, judged, records, talk, timeline, traced):
+for _module in (boards, calls, clusters, judged, recordings, records, talk, timeline, traced):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

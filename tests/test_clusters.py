@@ -1,7 +1,10 @@
 """Density clusters and projections against plain loops: trees, condensed trees, eigenvectors."""
 
+import tempfile
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from turnwise.operators import density
 from turnwise.plans import clusters
@@ -89,11 +92,10 @@ def test_condensed_tree(seed):
     assert len(set(want)) == 4 and all(len(set(want[k * 30 : k * 30 + 30]) - {-1}) == 1 for k in range(3))
 
 
-@pytest.mark.parametrize("lists", [2, 15])
-def test_trees_are_least_whatever_the_lists_hold(spark, monkeypatch, lists):
-    monkeypatch.setattr(density, "LISTED", lists)
+def test_trees_are_least_whatever_the_lists_hold(spark, monkeypatch):
+    monkeypatch.setattr(density, "LISTED", 3)
     monkeypatch.setattr(density, "BLOCK", 25)
-    x = blobs(5)
+    x = blobs(5, 45)
     rows = [("g", i, v.tolist()) for i, v in enumerate(x)] + [(None, i, [float(i), 0.0]) for i in (1, 2, 3, 5, 8, 13, 21, 34)] + [("small", i, [1.0]) for i in range(2)]
     trees, comps = density.spanning(spark.createDataFrame(rows, "group string, id long, v array<double>").repartition(3), 4)
     got = [(r.group, r.w) for r in trees.collect()]
@@ -102,7 +104,7 @@ def test_trees_are_least_whatever_the_lists_hold(spark, monkeypatch, lists):
 
 
 def test_clusters_with_odd_points(spark):
-    x = blobs(1)
+    x = blobs(1, 60)
     rows = [(1, i, v.tolist()) for i, v in enumerate(x)]
     rows += [(2, i, [0.5, 0.5, 0.5]) for i in range(9)] + [(3, 0, [1.0, 2.0, 3.0])]
     rows += [(1, 1000, [float("nan"), 0.0, 0.0]), (1, 1001, None), (1, 1002, []), (1, None, [0.0, 0.0, 0.0]), (1, 1003, [None, 0.0, 0.0]), (1, 1004, [float("inf"), 0.0, 0.0])]
@@ -130,3 +132,27 @@ def test_themes_of_long_vectors_and_small_groups(spark):
     got = {(r.group, r.id): (r.cluster, r.x, r.y) for r in clusters.themes(spark.createDataFrame(rows, "group string, id long, v array<double>")).collect()}
     assert len(got) == 46 and [got["a", i][0] for i in range(40)] == [0] * 20 + [1] * 20
     assert {got["b", i][0] for i in range(5)} == {-1} and got["c", 1] == (-1, 2.0, 0.0)
+
+
+def test_recluster_replaces_one_lever(spark):
+    rng = np.random.default_rng(9)
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/assigned"
+    vectors = {f"c{i:02}": (rng.normal(0, 0.02, 4) + np.eye(4)[i % 2]).tolist() for i in range(40)}
+    day = F.timestamp_seconds(F.col("d") * 86400)
+    calls = spark.createDataFrame([(c, "a" if i < 38 else None, 100 if i != 7 else None, 99 if i != 5 else 1) for i, c in enumerate(vectors)] + [("old", "a", 1, 100)], "id string, agent_id string, d long, m long")
+    calls = calls.select("id", "agent_id", day.alias("started_at"), F.timestamp_seconds(F.col("m") * 86400).alias("created_at"))
+    rows = [(c, f, v) for c, v in vectors.items() for f in ("summary", "root_cause")] + [("old", "summary", [1.0, 0.0, 0.0, 0.0]), ("gone", "summary", [1.0, 0.0, 0.0, 0.0]), ("c00", "summary", vectors["c00"])]
+    told = spark.createDataFrame(rows, "call_id string, field string, embedding array<double>")
+    now = F.timestamp_seconds(F.lit(101 * 86400))
+
+    def kept(lever):
+        return {r.call_id: (r.agent_id, r.cluster_key) for r in spark.read.parquet(path).where(F.col("lever") == lever).collect()}
+
+    for lever in ("summary", "root_cause"):
+        clusters.recluster(calls, told, lever, now, path)
+    before, other = kept("summary"), kept("root_cause")
+    assert set(before) == set(vectors) and before["c39"] == ("", None) and {before[f"c{i:02}"][1] for i in range(0, 38, 2)} != {before[f"c{i:02}"][1] for i in range(1, 38, 2)}
+    clusters.recluster(calls.where("id < 'c30'"), told, "summary", now, path)
+    assert set(kept("summary")) == {c for c in vectors if c < "c30"} and kept("root_cause") == other
+    sizes = [(r.agent_id, r.lever, r["size"], r.exemplars[0]) for r in clusters.cluster_rows(spark.read.parquet(path)).collect()]
+    assert sorted(sizes) == [("a", "root_cause", 19, "c00"), ("a", "root_cause", 19, "c01"), ("a", "summary", 15, "c00"), ("a", "summary", 15, "c01")]

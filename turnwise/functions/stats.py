@@ -50,12 +50,36 @@ def floor_rank(values: Column, p: float) -> Column:
     return pick(values, floor_index(p))
 
 
+def cell_of(value: Column) -> Column:
+    """A whole number that never falls where the value grows: a 64th of a doubling each, zero and not-a-number alone."""
+    v = value.cast("double")
+    size = F.floor(F.log2(F.abs(v)) * 64) + (1 << 17)
+    finite = F.when(v == 0, 0).when(v > 0, size).otherwise(-size)
+    return F.when(F.isnan(v), 1 << 40).when(F.abs(v) == float("inf"), F.when(v > 0, 1 << 39).otherwise(-(1 << 39))).otherwise(finite).cast("long")
+
+
 def group_percentiles(df: DataFrame, keys: list[str], value: Column, wanted: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
-    """keys and one column per wanted index into the group's sorted non-null values."""
-    counts = df.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n"))
+    """keys and one column per wanted index into the group's sorted non-null values.
+
+    Equal values are counted before the shuffle. The counts of value ranges, a
+    bounded number, tell which range holds an index; only the different values of
+    that range are ranked, so no task holds a group.
+    """
+    counts = df.select(*keys, value.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count("*").alias("_n")).withColumn("_cell", cell_of(F.col("_v")))
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(1))
-    ranked = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("_v").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("_n").over(group)})
-    picks = [F.min(F.when(F.col("_upto") > index(F.col("_all")), F.col("_v"))).alias(name) for name, index in wanted.items()]
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum("_n").alias("_cn"))
+    upto = F.coalesce(F.sum("_cn").over(group.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = cells.withColumns({"_before": upto, "_all": F.sum("_cn").over(group)})
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), index(F.col("_all")).alias("at")) for name, index in wanted.items()]))
+    holding = placed.withColumn("_w", each).where((F.col("_w.at") >= F.col("_before")) & (F.col("_w.at") < F.col("_before") + F.col("_cn")))
+    named = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    holding = holding.select(*[F.col(k).alias(n) for k, n in named.items()], F.col("_cell").alias("_c"), F.col("_w.name").alias("_name"), (F.col("_w.at") - F.col("_before")).alias("_at"))
+    same = F.col("_cell") == F.col("_c")
+    for k, n in named.items():
+        same &= F.col(k).eqNullSafe(F.col(n))
+    inside = W.partitionBy(*named.values(), "_c", "_name").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = counts.join(holding, same).withColumn("_upto", F.sum("_n").over(inside))
+    picks = [F.min(F.when((F.col("_name") == name) & (F.col("_upto") > F.col("_at")), F.col("_v"))).alias(name) for name in wanted]
     return ranked.groupBy(*keys).agg(*picks)
 
 

@@ -31,27 +31,32 @@ def gaps(union: DataFrame, bounds: DataFrame, *keys: str) -> DataFrame:
     return cut.where("end > start")
 
 
-def intersected(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    """Overlaps of two sets of disjoint intervals.
+def swept(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """keys, start, end, in_a, in_b between neighbouring edges of two sets of disjoint intervals.
 
-    Equi-join on the keys, then the overlap test: a key's timeline is bounded.
+    One pass over the edges in order of time, with a running count per side, so
+    the work grows with the intervals and not with their pairs.
     """
-    right = b.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
-    both = a.join(right, list(keys)).where("start < _e and _s < end")
-    return both.select(*keys, F.greatest("start", "_s").alias("start"), F.least("end", "_e").alias("end"))
+
+    def edges(rows: DataFrame, side: str) -> DataFrame:
+        some = rows.where(F.col("end") > F.col("start"))
+        ends = F.array(*[F.struct(F.col(at).alias("t"), F.lit(d if side == "a" else 0).alias("da"), F.lit(d if side == "b" else 0).alias("db")) for at, d in (("start", 1), ("end", -1))])
+        return some.select(*keys, F.inline(ends))
+
+    at = edges(a, "a").unionByName(edges(b, "b")).groupBy(*keys, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    order = W.partitionBy(*keys).orderBy("t")
+    upto = order.rowsBetween(W.unboundedPreceding, 0)
+    return at.select(*keys, F.col("t").alias("start"), F.lead("t").over(order).alias("end"), (F.sum("da").over(upto) > 0).alias("in_a"), (F.sum("db").over(upto) > 0).alias("in_b"))
+
+
+def intersected(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """Overlaps of two sets of disjoint intervals."""
+    return swept(a, b, *keys).where("in_a and in_b").select(*keys, "start", "end")
 
 
 def subtracted(base: DataFrame, cut: DataFrame, *keys: str) -> DataFrame:
-    """base (disjoint) without cut (disjoint): what each base interval keeps between the cuts that overlap it."""
-    named = base.withColumnsRenamed({"start": "_bs", "end": "_be"})
-    held = named.join(cut.select(*keys, "start", "end"), list(keys), "left").where("start is null or (start < _be and _bs < end)")
-    untouched = named.join(cut.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e")), [named[k] == cut[k] for k in keys] + [F.expr("_s < _be and _bs < _e")], "left_anti")
-    order = W.partitionBy(*keys, "_bs", "_be").orderBy("start")
-    hit = held.where("start is not null").withColumns({"_prev": F.lag("end").over(order), "_next": F.lead("start").over(order)})
-    head = hit.where("_prev is null").select(*keys, F.col("_bs").alias("s"), F.col("start").alias("e"))
-    tail = hit.select(*keys, F.col("end").alias("s"), F.coalesce("_next", "_be").alias("e"))
-    whole = untouched.select(*keys, F.col("_bs").alias("s"), F.col("_be").alias("e"))
-    return head.unionByName(tail).unionByName(whole).where("e > s").select(*keys, F.col("s").alias("start"), F.col("e").alias("end"))
+    """base (disjoint) without cut (disjoint)."""
+    return swept(base, cut, *keys).where("in_a and not in_b").select(*keys, "start", "end")
 
 
 def length(df: DataFrame, *keys: str, name: str = "total") -> DataFrame:

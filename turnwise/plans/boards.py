@@ -6,6 +6,8 @@ Driver tables stand in for calls: an event is a call, ``error`` a failed one,
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,15 @@ from ..functions.stats import group_percentiles, half_even, nearest_index, safe_
 RANGE_S, BUCKET_S = 7 * 86400, 6 * 3600
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The facts; zone-less times are UTC, as is the session's zone."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def events(spark: SparkSession, sf_dir: str, since: int | None = None) -> DataFrame:
+    """The facts, from an epoch second on; zone-less times are UTC, as is the session's zone.
+
+    The bound is compared with the time as it is stored, so it reaches the scan.
+    """
+    facts = spark.read.parquet(f"{sf_dir}/events.parquet")
+    if since is not None:
+        facts = facts.where(F.col("ts") >= F.timestamp_seconds(F.lit(since)).cast(facts.schema["ts"].dataType))
+    return facts.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def bucket_of(ts: Column, width_s: int = BUCKET_S) -> Column:
@@ -24,27 +32,42 @@ def bucket_of(ts: Column, width_s: int = BUCKET_S) -> Column:
     return (F.floor(F.unix_timestamp(ts) / width_s) * width_s).cast("long")
 
 
-def window_of(facts: DataFrame, range_s: int = RANGE_S) -> DataFrame:
-    """One row: since and until."""
-    return facts.agg(F.max("ts").alias("until")).select((F.unix_timestamp("until") - range_s).alias("since"), F.unix_timestamp("until").alias("until"))
+class Bounds(NamedTuple):
+    """The epoch seconds that a board covers; none for a board without facts."""
+
+    since: int | None
+    until: int | None
 
 
-def spine(bounds: DataFrame, width_s: int = BUCKET_S) -> DataFrame:
+def window_of(facts: DataFrame, range_s: int = RANGE_S) -> Bounds:
+    """The range up to the latest fact: one number goes to the driver and comes back as a literal."""
+    until = facts.agg(F.unix_timestamp(F.max("ts").cast("timestamp"))).first()[0]
+    return Bounds(None if until is None else until - range_s, until)
+
+
+def spine(spark: SparkSession, bounds: Bounds, width_s: int = BUCKET_S) -> DataFrame:
     """Every bucket from floor(since) while it starts before until + width."""
-    first = F.floor(F.col("since") / width_s) * width_s
-    last = F.floor((F.col("until") + width_s - 1) / width_s) * width_s
-    return bounds.select(F.explode(F.sequence(first, last, F.lit(width_s).cast("long"))).alias("bucket"))
+    if bounds.until is None:
+        return spark.range(0).withColumnRenamed("id", "bucket")
+    first, last = bounds.since // width_s * width_s, -(-bounds.until // width_s) * width_s
+    return spark.range(first, last + 1, width_s, 1).withColumnRenamed("id", "bucket")
+
+
+def scoped(facts: DataFrame, bounds: Bounds, width_s: int = BUCKET_S) -> DataFrame:
+    """Facts inside the range with their bucket."""
+    inside = F.lit(False) if bounds.since is None else F.col("ts") >= F.timestamp_seconds(F.lit(bounds.since))
+    return facts.where(inside).withColumn("bucket", bucket_of(F.col("ts"), width_s))
 
 
-def scoped(facts: DataFrame, bounds: DataFrame, width_s: int = BUCKET_S) -> DataFrame:
-    """Facts inside the range with their bucket; bounds is one row."""
-    return facts.join(F.broadcast(bounds), F.unix_timestamp("ts") >= F.col("since")).drop("since", "until").withColumn("bucket", bucket_of(F.col("ts"), width_s))
+def recent(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Bounds]:
+    """The facts of the board's range, and the range."""
+    bounds = window_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return events(spark, sf_dir, bounds.since), bounds
 
 
 def on_spine(spark: SparkSession, sf_dir: str, *aggs: Column) -> DataFrame:
-    facts = events(spark, sf_dir).select("ts", "event_type", "value", "user_id")
-    bounds = window_of(facts)
-    return spine(bounds).join(scoped(facts, bounds).groupBy("bucket").agg(*aggs), "bucket", "left")
+    facts, bounds = recent(spark, sf_dir)
+    return spine(spark, bounds).join(scoped(facts, bounds).groupBy("bucket").agg(*aggs), "bucket", "left")
 
 
 def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,9 +88,8 @@ def measurable() -> Column:
 
 
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = events(spark, sf_dir).select("ts", "event_type", "value")
-    bounds = window_of(facts)
-    return spine(bounds).join(group_percentiles(scoped(facts, bounds), ["bucket"], measurable(), P), "bucket", "left")
+    facts, bounds = recent(spark, sf_dir)
+    return spine(spark, bounds).join(group_percentiles(scoped(facts, bounds), ["bucket"], measurable(), P), "bucket", "left")
 
 
 def cost_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +106,7 @@ def disposition_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = events(spark, sf_dir).select("ts", "event_type", "value")
-    rows = scoped(facts, window_of(facts)).withColumn("board", F.lit(1))
+    rows = scoped(*recent(spark, sf_dir)).withColumn("board", F.lit(1))
     found = rows.groupBy("board").agg(F.count("*").alias("calls"), F.count_if(F.col("event_type") == "error").alias("failures"), F.sum("value").alias("cost"))
     both = found.join(group_percentiles(rows, ["board"], measurable(), P), "board", "left")
     return both.select("calls", "failures", safe_rate(F.col("failures"), F.col("calls")).alias("failure_rate"), F.round("cost", 2).alias("cost"), "p50", "p95")
@@ -104,7 +125,7 @@ def exact_rate(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, half_even(part / whole, 4)).otherwise(F.lit(0.0))
 
 
-def snapshot(calls: DataFrame, judged: DataFrame, latencies: DataFrame, tools: DataFrame, bounds: DataFrame, width_s: int = BUCKET_S) -> DataFrame:
+def snapshot(calls: DataFrame, judged: DataFrame, latencies: DataFrame, tools: DataFrame, bounds: Bounds, width_s: int = BUCKET_S) -> DataFrame:
     """Every board series per bucket, and the totals in one more row of bucket null.
 
     calls: ts, failed, cost; judged: ts, disposition, violation; latencies: ts,
@@ -125,7 +146,7 @@ def snapshot(calls: DataFrame, judged: DataFrame, latencies: DataFrame, tools: D
     facts = facts.unionByName(counters(tools, tool_calls=one, tool_errors=F.coalesce("error", F.lit(False))))
     each = facts.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "cost")])
     waits = scoped(latencies, bounds, width_s)
-    series = spine(bounds, width_s).join(each, "bucket", "left").join(group_percentiles(waits, ["bucket"], F.col("value"), P), "bucket", "left")
+    series = spine(calls.sparkSession, bounds, width_s).join(each, "bucket", "left").join(group_percentiles(waits, ["bucket"], F.col("value"), P), "bucket", "left")
     total = each.agg(*[F.sum(c).alias(c) for c in (*COUNTERS, "cost")]).withColumns({"bucket": F.lit(None).cast("long"), "board": F.lit(1)})
     total = total.join(group_percentiles(waits.withColumn("board", F.lit(1)), ["board"], F.col("value"), P), "board", "left").drop("board")
     rows = series.unionByName(total).withColumns({c: F.coalesce(c, F.lit(0)) for c in COUNTERS})
@@ -138,13 +159,13 @@ COUNTERS = ("calls", "failures", "judged", "violations", "tool_calls", "tool_err
 
 def snapshot_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The composite board: judgments follow from the event's number, a value above 150 is a violation."""
-    facts, n = events(spark, sf_dir).select("ts", "event_id", "event_type", "value"), F.col("event_id")
+    (facts, bounds), n = recent(spark, sf_dir), F.col("event_id")
     error = F.col("event_type") == "error"
     label = F.when(n % 5 == 0, "no_answer").when(n % 5 == 1, None).when(n % 5 == 2, "unknown").otherwise("connected")
     judged = facts.where(n % 3 != 0).select("ts", label.alias("disposition"), F.when(n % 4 != 0, F.col("value") > 150).alias("violation"))
     return snapshot(
         facts.select("ts", error.alias("failed"), F.col("value").alias("cost")), judged, facts.where(~error).select("ts", "value"),
-        facts.where(F.col("event_type").isin("click", "error")).select("ts", error.alias("error")), window_of(facts),
+        facts.where(F.col("event_type").isin("click", "error")).select("ts", error.alias("error")), bounds,
     )
 
 

@@ -7,11 +7,12 @@ coordinates, which stand for a learned reduction; the picture is the first two.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stats import half_even
 from ..operators import density
+from ..session import materialize
 
 REDUCED = 10
 LEAST_CLUSTER = 8
@@ -40,7 +41,7 @@ def themes(points: DataFrame, least: int = LEAST_CLUSTER) -> DataFrame:
 
 def density_cut(spark: SparkSession, sf_dir: str, cut: float = CUT, least: int = CUT_LEAST) -> DataFrame:
     """Single linkage by mutual reachability, cut at a distance: each vector's component by its least vec_id, -1 where its core is sparser."""
-    sound = density.materialize(density.finite(points_of(spark, sf_dir)), "sound")
+    sound = materialize(density.finite(points_of(spark, sf_dir)), "sound")
     _, comps = density.spanning(sound, least, cut)
     named = comps.select(F.col("group").alias("_g"), F.col("id").alias("_i"), F.when(F.col("core") <= cut, F.col("comp")).alias("comp"))
     rows = sound.join(named, F.col("group").eqNullSafe(F.col("_g")) & (F.col("id") == F.col("_i")), "left")
@@ -52,6 +53,40 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("group").alias("label"), F.col("id").alias("vec_id"), "cluster", *[half_even(F.col(c), 6).alias(c) for c in "xy"])
 
 
+WINDOW_DAYS = 90
+
+
+def in_window(calls: DataFrame, now: Column, days: int = WINDOW_DAYS) -> DataFrame:
+    """Calls that started, or were made where no start is known, in the days up to now."""
+    return calls.where(F.coalesce("started_at", "created_at") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def recluster(calls: DataFrame, embeddings: DataFrame, lever: str, now: Column, path: str, days: int = WINDOW_DAYS, least: int = LEAST_CLUSTER) -> None:
+    """Write call_id, agent_id, cluster_key (null: noise), x, y of a lever's embedded calls in the window, as its folder of ``path``.
+
+    Only the lever's folder is replaced, whatever the run before left there, so a
+    run that is repeated changes nothing else. Agents are clustered apart, calls
+    of none together; one vector per call counts.
+    """
+    recent = in_window(calls, now, days).select(F.col("id").alias("call_id"), "agent_id")
+    told = embeddings.where(F.col("field") == lever).groupBy("call_id").agg(F.min("embedding").alias("embedding")).join(recent, "call_id")
+    points = materialize(told.select(F.coalesce("agent_id", F.lit("")).alias("group"), F.xxhash64("call_id").alias("id"), "call_id", density.unit("embedding").alias("v")), "points")
+    found = themes(points, least).withColumnsRenamed({"group": "_g", "id": "_i"})
+    rows = points.join(found, (F.col("group") == F.col("_g")) & (F.col("id") == F.col("_i")))
+    rows = rows.select("call_id", F.col("group").alias("agent_id"), F.when(F.col("cluster") >= 0, F.col("cluster")).alias("cluster_key"), "x", "y", F.lit(lever).alias("lever"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lever").parquet(path)
+
+
+def cluster_rows(assigned: DataFrame) -> DataFrame:
+    """agent_id, lever, cluster_key, size, exemplars (the five least call_ids), largest first."""
+    some = assigned.where("cluster_key is not null")
+    # five per hash part first, so that a cluster of any size leaves few rows for the second step
+    part = F.pmod(F.xxhash64("call_id"), F.lit(64))
+    firsts = some.groupBy("agent_id", "lever", "cluster_key", part.alias("_p")).agg(F.count("*").alias("_n"), F.slice(F.array_sort(F.collect_set("call_id")), 1, 5).alias("_e"))
+    whole = firsts.groupBy("agent_id", "lever", "cluster_key").agg(F.sum("_n").alias("size"), F.slice(F.array_sort(F.flatten(F.collect_list("_e"))), 1, 5).alias("exemplars"))
+    return whole.orderBy(F.desc("size"), "agent_id", "lever", "cluster_key")
+
+
 QUERIES = {"density_cut": density_cut, "density_clusters": density_clusters}
 
 ORACLE_SQL = {

@@ -65,12 +65,12 @@ def talk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def uncovered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Milliseconds of each user's first hour that no event covers, by arrays in one row per user."""
+    """Milliseconds of each user's first hour that no event covers; events beyond it are left out before any are gathered."""
     rows = spans(spark, sf_dir)
-    lo = F.array_min(F.transform("i", lambda x: x.start))
-    grouped = rows.groupBy("user_id").agg(F.collect_list(F.struct("start", "end")).alias("i")).withColumn("lo", lo).withColumn("hi", F.col("lo") + 3600)
-    cut = grouped.withColumn("u", iv.array_merged(iv.array_clipped(F.col("i"), F.col("lo"), F.col("hi"))))
-    return cut.select("user_id", F.round(iv.array_total(iv.array_gaps(F.col("u"), F.col("lo"), F.col("hi"))) * 1000, 1).alias("unattributed_ms"))
+    hours = rows.groupBy("user_id").agg(F.min("start").alias("lo")).withColumn("hi", F.col("lo") + 3600)
+    inside = rows.join(hours, "user_id").where("start < hi").select("user_id", "start", F.least("end", "hi").alias("end"))
+    left = iv.length(iv.gaps(iv.merged(inside, "user_id"), hours, "user_id"), "user_id", name="s")
+    return hours.join(left, "user_id", "left").select("user_id", F.round(F.coalesce("s", F.lit(0.0)) * 1000, 1).alias("unattributed_ms"))
 
 
 def barge_ins(spark: SparkSession, sf_dir: str) -> DataFrame:

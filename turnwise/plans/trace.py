@@ -55,6 +55,15 @@ def dialect_of(spans: DataFrame) -> DataFrame:
     return spans.groupBy("call_id").agg(choice.alias("dialect")).where("dialect is not null")
 
 
+def supported(spans: DataFrame) -> DataFrame:
+    """call_id, dialect, problem of every call: one without a root span or of no known dialect has a problem and is not analysed."""
+    has = {n: F.bool_or(F.col("name") == d.root) for n, d in DIALECTS.items()}
+    choice = F.coalesce(*[F.when(c, n) for n, c in has.items()])
+    found = spans.groupBy("call_id").agg(F.bool_or(F.col("parent_span_id").isNull()).alias("_root"), choice.alias("_dialect"))
+    problem = F.when(~F.col("_root"), "no root span").when(F.col("_dialect").isNull(), "no known dialect")
+    return found.select("call_id", F.when(problem.isNull(), F.col("_dialect")).alias("dialect"), problem.alias("problem"))
+
+
 def errored() -> Column:
     attrs = F.col("attrs")
     raised = F.exists("events", lambda e: e["name"] == "exception")

@@ -118,7 +118,15 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline(adapted(spark, sf_dir)).select("call_id", "position", "span_id", "row_name", F.round(F.col("t") * 1000).cast("long").alias("t_ms"), "error")
 
 
-QUERIES = {"trace_stages": stages, "trace_turns": turns, "trace_metrics": metrics, "trace_trust": trust, "trace_timeline": timeline_rows}
+def support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which calls can be analysed: every seventh's root never came, every fifth's says nothing known."""
+    number = F.regexp_extract("trace_id", "([0-9]+)$", 1).cast("long")
+    root = F.col("parent_span_id").isNull()
+    rows = spans(spark, sf_dir).where(~(root & (number % 7 == 0))).withColumn("name", F.when(root & (number % 5 == 0), "session").otherwise(F.col("name")))
+    return trace.supported(trace.with_call(rows))
+
+
+QUERIES = {"trace_support": support, "trace_stages": stages, "trace_turns": turns, "trace_metrics": metrics, "trace_trust": trust, "trace_timeline": timeline_rows}
 
 _ROWS = """with r as (select *, turn * 20000 as b, conv_id % 7 * 10 + turn % 5 as v, 'call-' || conv_id as call_id, coalesce(length(text), 0) as size
 from conversations where role in ('user', 'assistant')),
@@ -140,6 +148,8 @@ t as (select 'call-' || k.conv_id as call_id, row_number() over (partition by k.
 )
 
 ORACLE_SQL = {
+    "trace_support": """select distinct case when conv_id % 7 = 0 then 'ca-' else 'call-' end || conv_id as call_id, case when conv_id % 7 <> 0 and conv_id % 5 <> 0 then 'livekit' end as dialect,
+case when conv_id % 7 = 0 then 'no root span' when conv_id % 5 = 0 then 'no known dialect' end as problem from conversations where role in ('user', 'assistant')""",
     "trace_stages": _ROWS
     + """s as (select call_id, unnest(case when role = 'user' then [{'stage': 'turn', 'ms': 500, 'n': 0}, {'stage': 'speech', 'ms': 4000 + v, 'n': 0}, {'stage': 'stt', 'ms': 400 + v, 'n': 0}]
   else [{'stage': 'turn', 'ms': 14900, 'n': 0}, {'stage': 'llm', 'ms': 2800, 'n': 1}, {'stage': 'tts', 'ms': 7500, 'n': 0}] end) as x from r

@@ -33,6 +33,12 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_chat_formatting": r"""with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+f as (select *, 24 + length(replace(replace(replace(replace(replace(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), '</s>', '<\/s>'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>')) + length(replace(replace(replace(replace(replace(replace(replace(replace(text, '\', '\\'), '<|', '<\|'), '</s>', '<\/s>'), '<s>', '<\s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]'), '<<SYS>>', '<\<SYS>>'), '<</SYS>>', '<\</SYS>>')) as chars, row_number() over w as i, count(*) over (partition by conv_id) as n from r window w as (partition by conv_id order by turn nulls first, role, text)),
+g as (select *, sum(chars) over (partition by conv_id order by i) as upto from f)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256, length(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_chars,
+sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(upto) filter (role = 'assistant' or i = n) as bigint) as formatted_chars from g group by 1""",
     "op9_exact_top_k": """with v as (select vec_id, [floor(1024 * cast(x as double)) for x in embedding] as v from embeddings
 where vec_id is not null and len(embedding) > 0 and len([x for x in embedding if x is null or not isfinite(cast(x as double))]) = 0),
 s as (select q.vec_id as query_id, e.vec_id, cast(list_inner_product(q.v, e.v) as bigint) as score from v q join v e on q.vec_id <> e.vec_id and len(q.v) = len(e.v) where q.vec_id % 100 = 0),

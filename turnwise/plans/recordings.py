@@ -238,12 +238,12 @@ cast(case when abs(f0 - f1) >= 6 then case when f0 < f1 then 0 else 1 end end as
 _QUALITY = """, z as (select *, sum(cast(v <> 0 as integer)) over (partition by call_id, channel order by i) as island, max(case when v <> 0 then i end) over (partition by call_id, channel) as last from c),
 r as (select call_id, channel, count(*) as n from z where v = 0 and island > 0 and i < last group by call_id, channel, island having count(*) >= 320),
 d as (select call_id, channel, count(*) as dropout_count, sum(n) as samples from r group by all),
-k as (select call_id, channel, round_even(count(*) filter (v <> 0) / count(*), 4) as coverage, round_even(20 * log10(nullif(max(abs(v)), 0) / 32768), 2) as peak_dbfs,
-round_even(20 * log10(sqrt(nullif(sum(v * v), 0) / count(*)) / 32768), 2) as rms_dbfs, round_even(count(*) filter (abs(v) >= 32768 * pow(10, -0.1 / 20)) / count(*), 6) as clipping_ratio from c group by all)"""
+k as (select call_id, channel, cast(printf('%.4f', count(*) filter (v <> 0) / count(*)) as double) as coverage, cast(printf('%.2f', 20 * log10(nullif(max(abs(v)), 0) / 32768)) as double) as peak_dbfs,
+cast(printf('%.2f', 20 * log10(sqrt(nullif(sum(v * v), 0) / count(*)) / 32768)) as double) as rms_dbfs, cast(printf('%.6f', count(*) filter (abs(v) >= 32768 * pow(10, -0.1 / 20)) / count(*)) as double) as clipping_ratio from c group by all)"""
 
 ORACLE_SQL = {
     "audio_layout": f"{_SAMPLES}{_FRAMES}{_LAYOUT} select * from y",
-    "audio_quality": f"{_SAMPLES}{_QUALITY} select k.*, coalesce(dropout_count, 0) as dropout_count, round_even(coalesce(samples, 0) / 8000, 4) as dropout_s from k left join d using (call_id, channel)",
+    "audio_quality": f"{_SAMPLES}{_QUALITY} select k.*, coalesce(dropout_count, 0) as dropout_count, cast(printf('%.4f', coalesce(samples, 0) / 8000) as double) as dropout_s from k left join d using (call_id, channel)",
     "audio_peaks": f"""{_SAMPLES}, b as (select call_id, channel, i // 266 as bucket, count(*) as n, min(v) as lo, max(v) as hi from c group by all),
 p as (select call_id, channel, bucket, case when n < 266 then least(lo, 0) else lo end as lo, case when n < 266 then greatest(hi, 0) else hi end as hi from b),
 u as (select *, [(x + 65536) % 65536 for x in [lo, hi]] as w from p),
@@ -261,7 +261,7 @@ ev as (select call_id, s, t from x union all select call_id, span, span from n),
 gp as (select call_id, s, coalesce(max(t) over (partition by call_id order by s, t rows between unbounded preceding and 1 preceding), 0) as reach from ev),
 da as (select call_id, sum(s - reach) as dead from gp where s - reach >= 20 group by 1),
 cv as (select call_id, min(coverage) as capture_coverage from k group by 1)
-select cv.call_id, capture_coverage, case when na > 0 then coalesce(barge, 0) end as barge_in, case when na > 0 then round_even(coalesce(dead, 0) * 0.02, 4) end as dead_air_s,
-round_even(coalesce(c, 0) / span, 4) as talk_ratio_caller, case when na > 0 then round_even(a / span, 4) end as talk_ratio_agent, case when na > 0 then round_even(coalesce(shared, 0) / span, 4) end as overlap_ratio,
+select cv.call_id, capture_coverage, case when na > 0 then coalesce(barge, 0) end as barge_in, case when na > 0 then cast(printf('%.4f', coalesce(dead, 0) * 0.02) as double) end as dead_air_s,
+cast(printf('%.4f', coalesce(c, 0) / span) as double) as talk_ratio_caller, case when na > 0 then cast(printf('%.4f', a / span) as double) end as talk_ratio_agent, case when na > 0 then cast(printf('%.4f', coalesce(shared, 0) / span) as double) end as overlap_ratio,
 coalesce(nc, 0) as turn_count_caller, case when na > 0 then na end as turn_count_agent from cv left join n using (call_id) left join pr using (call_id) left join da using (call_id)""",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def latest_before(df: DataFrame, keys: list[str], order: list[Column], probe: Column, build: Column, value: Column, name: str, fallback: str | None = None) -> DataFrame:
     """Probe rows with the value of the last build row up to them; ``fallback='last'`` takes the key's last build row where none precedes."""
@@ -42,3 +44,19 @@ def islands(df: DataFrame, keys: list[str], time: str, tie: str, gap_s: float) -
 def position(keys: list[str], *order: Column) -> Column:
     """Dense place from 0 in the canonical order."""
     return F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+
+
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Rows with their place from 1 within the keys, however many rows one key has.
+
+    Rows are dealt by ranges of keys and order, so a hot key spreads over tasks;
+    places are counted within a range, and the counts of a key's earlier ranges
+    are added. Orders sort nulls first; equal rows get places in any order. Keys
+    are not null.
+    """
+    dealt = materialize(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row per range of a key
+    counts = dealt.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
+    counts = counts.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy(*keys, "_part").orderBy(*order))
+    return dealt.withColumn("_own", own).join(counts, [*keys, "_part"]).withColumn(name, F.col("_own") + F.col("_before")).select(*rows.columns, name)

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import artifacts, boards, calls, clusters, judged, pull, recordings, records, talk, timeline, traced, truth, views
+from . import artifacts, boards, calls, clusters, gate, intake, judged, pull, recordings, records, shown, talk, timeline, traced, truth, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (artifacts, boards, calls, clusters, judged, pull, recordings, records, talk, timeline, traced, truth, views):
+for _module in (artifacts, boards, calls, clusters, gate, intake, judged, pull, recordings, records, shown, talk, timeline, traced, truth, views):
     QUERIES.update(_module.QUERIES)
     ORACLE_SQL.update(_module.ORACLE_SQL)

@@ -220,9 +220,11 @@ def counted(rows: DataFrame) -> DataFrame:
 
 
 def pairs_of_short_lists(met: DataFrame, percent: int) -> DataFrame:
-    """Every pair (a < b) of short lists, counted."""
-    short = met.where(F.col("f") <= SHORT_LIST)
-    both = short.join(second(short), "token").where((F.col("c") < F.col("c2")) & early(percent))
+    """Every pair (a < b) of short lists, counted; a list, of ``SHORT_LIST`` rows at most, stands beside each of its rows, so rows are shuffled once."""
+    short = met.where(F.col("f") <= SHORT_LIST).select("token", F.struct(*MEMBER).alias("m"))
+    listed = short.withColumn("_all", F.collect_list("m").over(W.partitionBy("token")))  # rows are shuffled as they are, the list is made after
+    two = listed.select("m", F.explode(F.filter("_all", lambda x: x.c > F.col("m.c"))).alias("o"))
+    both = two.select(*[F.col(f"m.{x}") for x in MEMBER], *[F.col(f"o.{x}").alias(f"{x}2") for x in MEMBER]).where(early(percent))
     return counted(both.withColumns({"a": F.col("c"), "b": F.col("c2")}))
 
 

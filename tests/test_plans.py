@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +56,24 @@ def test_sweep_of_intervals(spark):
     keys = {k for k, _ in sides}
     assert covered(iv.intersected(a, b, "k")) == sorted((k, t) for k in keys for t in inside.get((k, "a"), set()) & inside.get((k, "b"), set()))
     assert covered(iv.subtracted(a, b, "k")) == sorted((k, t) for k in keys for t in inside.get((k, "a"), set()) - inside.get((k, "b"), set()))
+
+
+def odd_events(tmp_path):
+    """Users 1 and 2 begin and end with events that last no time, user 3 has nothing else, one event has no user."""
+    at = lambda hour: f"timestamp '2024-01-01' + interval {hour} hour"
+    rows = [(1, 0, 0.0), (1, 10, 1.0), (1, 12, 0.0), (1, 20, 1.0), (1, 30, 0.0), (2, 0, 0.0), (2, 9, 2.0), (2, 18, 0.0), (3, 1, 0.0), (3, 9, 0.0), ("null", 1, 1.0), ("null", 9, 1.0)]
+    values = ", ".join(f"({i}, {at(hour)}, {user}, 'view', {value}, '{{}}')" for i, (user, hour, value) in enumerate(rows))
+    columns = "cast(event_id as bigint) as event_id, ts, cast(user_id as bigint) as user_id, event_type, cast(value as double) as value, props"
+    duckdb.sql(f"copy (select {columns} from (values {values}) t(event_id, ts, user_id, event_type, value, props)) to '{tmp_path}/events.parquet'")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["interval_gaps", "dead_air"])
+def test_events_without_length_bound_no_gap(spark, tmp_path, name):
+    folder = odd_events(tmp_path)
+    con = duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    con.sql(f"create view events as select * from '{folder}/events.parquet'")
+    ours, theirs = catalog.QUERIES[name](spark, folder), con.sql(catalog.ORACLE_SQL[name])
+    rows = theirs.select(*ours.columns).fetchall()
+    assert sorted(map(str, map(tuple, ours.collect()))) == sorted(map(str, rows))

@@ -31,6 +31,12 @@ def gaps(union: DataFrame, bounds: DataFrame, *keys: str) -> DataFrame:
     return cut.where("end > start")
 
 
+def between(union: DataFrame, *keys: str) -> DataFrame:
+    """The gaps between neighbours of disjoint intervals; what lies before the first or after the last is none."""
+    order = W.partitionBy(*keys).orderBy("start")
+    return union.select(*keys, F.col("end").alias("start"), F.lead("start").over(order).alias("end")).where("end > start")
+
+
 def swept(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """keys, start, end, in_a, in_b between neighbouring edges of two sets of disjoint intervals.
 

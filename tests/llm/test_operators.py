@@ -113,6 +113,28 @@ def test_one_of_each_component(spark):
     assert jaccard.one_of_each(spark.createDataFrame(apart, "doc_id long, text string")).count() == 50
 
 
+def test_jaccard_members_of_a_long_list_join_by_few_pairs(spark, monkeypatch):
+    """Sets outside a long list's largest component that link with a tenth of it do not meet all of these."""
+    rng = np.random.default_rng(5)
+    base, texts = [f"w{i}" for i in range(130)], set()
+    for changes in [1] * 260 + [2] * 240:
+        words = list(base)
+        for at in rng.choice(20, changes, replace=False):
+            words[6 * at + 3] = f"v{at}x{rng.integers(15)}"
+        texts.add(" ".join(words))
+    rows, met, counted = list(enumerate(sorted(texts))), [], jaccard.counted
+
+    def spy(pairs):
+        met.append(pairs.count())
+        return counted(pairs)
+
+    monkeypatch.setattr(jaccard, "counted", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op2(spark, df).collect()}
+    assert got == jaccard.brute_force(rows)
+    assert met[-1] < 5 * len(rows)
+
+
 # 3
 
 

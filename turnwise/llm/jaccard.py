@@ -16,10 +16,13 @@ that many share) yields a star, its least class with all others. All of these
 are counted against l and held to parity sketches (a bit per token, flipped by
 each), which tell most pairs that differ in more places than a link allows. Then
 every component verifies its likeliest pair, components are made anew, and so on
-until no pair stands between two. Last come the pairs of long lists between two
-components, matched within bands of set size, counted and held alike, so no link
-between components is lost while the pairs inside one are neither enumerated nor
-verified. Components are what this join reports.
+until no pair stands between two. Then the members of a long list outside its
+largest component meet about ``CENTRES`` of the list, drawn by their digests:
+one that links with many of the list joins them by one of these. Last come the
+pairs of long lists that still stand between two components, matched within
+bands of set size, counted and held alike, so no link between components is lost
+while the pairs inside one are neither enumerated nor verified. Components are
+what this join reports.
 
 Token frequencies are estimated from counts of tokens that stand often within a
 slice of text; they only set the order, so any error costs time and no result.
@@ -51,6 +54,7 @@ WIDTH = 3
 PERCENT = 90
 MATCHES = 3  # greatest l
 SHORT_LIST = 32  # longer posting lists go by stars
+CENTRES = 128  # members of a long list that those outside its largest component meet before all others, on average
 LOCAL_OFTEN = 3  # occurrences in a slice of text that make a token worth counting
 FREQUENT = 1 << 17  # so many tokens have their place in the order by frequency: 1 MB, whatever the input
 SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
@@ -236,8 +240,11 @@ def stars_of_long_lists(met: DataFrame, percent: int) -> DataFrame:
     return counted(both.withColumns({"a": F.col("c2"), "b": F.col("c")}))
 
 
-def pairs_between_components(met: DataFrame, labels: DataFrame | None, places: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that stand in two components and may link, counted: the list's members outside its largest one, against all."""
+def pairs_between_components(met: DataFrame, labels: DataFrame | None, places: DataFrame, percent: int, centres: int | None = None) -> DataFrame:
+    """Pairs of long lists that stand in two components and may link, counted: the list's members outside its largest one, against all.
+
+    With ``centres``, against about so many of the list alone; which ones is a matter of their digests.
+    """
     long = met.where(F.col("f") > SHORT_LIST)
     named = long.withColumn("root", F.col("c")) if labels is None else long.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     held = named.groupBy("token", "root").agg(F.count("*").alias("m"))
@@ -248,7 +255,13 @@ def pairs_between_components(met: DataFrame, labels: DataFrame | None, places: D
     open_ = materialize(open_.withColumn("band", band), "open")
     minor = second(open_.where("root <> largest"), "root", "sketch", "band").withColumn("band", F.explode(F.array(*[F.col("band2") + i for i in (-1, 0, 1)])))
     once = (F.col("root") == F.col("largest")) | (F.col("c") < F.col("c2"))
-    both = open_.join(minor, ["token", "band"]).where((F.col("root") != F.col("root2")) & once & early(percent) & alike(percent))
+    if centres is None:
+        against = open_
+    else:
+        # a digest below this share of its range: one list's centres are another's too, so a pair meets in all that they share
+        drawn = F.pmod(F.xxhash64("c"), F.lit(1 << 30)) * F.col("f") < centres * (1 << 30)
+        against, once = open_.where(drawn), F.lit(True)
+    both = against.join(minor, ["token", "band"]).where((F.col("root") != F.col("root2")) & once & early(percent) & alike(percent))
     return counted(both.withColumns({"a": F.least("c", "c2"), "b": F.greatest("c", "c2")}))
 
 
@@ -336,6 +349,8 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
         return verified(pairs, places, docs, width, percent)
 
     links, labels = connected(likely(enough(short, stars_of_long_lists(met, percent)), places, percent), verify)
+    some = pairs_between_components(met, labels, places, percent, CENTRES).select("a", "b")
+    links, labels = connected(likely(some, places, percent), verify, links, labels)
     between = materialize(pairs_between_components(met, labels, places, percent), "between")
     links, labels = connected(likely(enough(between, short.join(between, ["a", "b"], "left_semi")), places, percent), verify, links, labels)
     if links is None:

@@ -42,3 +42,31 @@ def test_details(spark):
     assert [(s.name, [e.name for e in s.events]) for s in one.spans] == [("root", ["one", "two"]), ("old", [])]
     assert (one.trust.audio_analysis, one.trust.reasons, one.judgment.disposition) == (True, ["a", "b"], "connected")
     assert (two.turns, two.metrics, two.spans, two.judgment, two.trust.reasons, two.trust.audio_analysis) == ([], [], [], None, [], False)
+
+
+def test_a_detail_shuffles_each_line_once(spark, sf):
+    """Spans, their events and the lines of a call meet by call; no shuffle is by span or carries rows spelled out."""
+    from turnwise.plans import views
+
+    plan = views.call_detail(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert shuffles and not [line for line in shuffles if "span_id" in line or "l_linenumber" in line]
+
+
+def test_events_without_a_span_are_in_none(spark):
+    from turnwise.plans import views
+
+    def rows(schema, *values):
+        return spark.createDataFrame(list(values), schema)
+
+    call = rows("id long, external_call_id string, spans_complete boolean, media_ready boolean", (1, "c", True, True))
+    event = rows(
+        "call_id long, kind string, span_id string, position int, t_offset_s double, name string",
+        (1, "span", None, 1, 0.0, "x"), (1, "event", None, 1, 0.0, "lost"), (1, "span", "s", 2, 0.0, "y"), (1, "span", "s", 2, 0.0, "a"), (1, "event", "s", None, 2.0, "q"), (1, "event", "s", 3, 5.0, "p"),
+    )
+    turn = rows("call_id long, turn_index int", (1, 0))
+    metric = rows("call_id long, name string, value_num double, value_text string, available boolean, reason string", (1, "m", 1.0, None, True, None))
+    run = rows("call_id long, started_at timestamp, status string, error string", (1, None, "ok", None))
+    judgment = rows("call_id long, disposition string", (1, "connected"))
+    (got,) = views.details(call, turn, metric, event, run, judgment).collect()
+    assert [(s.name, [e.name for e in s.events]) for s in got.spans] == [("x", []), ("a", ["p", "q"]), ("y", ["p", "q"])]

@@ -93,19 +93,28 @@ def details(call: DataFrame, turn: DataFrame, metric: DataFrame, event: DataFram
         return F.struct(F.col(c).isNull().alias("_none"), F.col(c).alias("_at"))
 
     def in_order(rows: DataFrame, by: Column, fields: list[Column | str], name: str) -> DataFrame:
-        placed = rows.select("call_id", by.alias("_by"), F.struct(*fields).alias("_row")).withColumn("_tie", F.to_json("_row"))
-        each = F.collect_list(F.struct(F.struct("_by", "_tie").alias("_by"), "_row"))
-        ordered = F.array_sort(each, lambda a, b: F.when(a["_by"] < b["_by"], -1).when(a["_by"] > b["_by"], 1).otherwise(0))
+        placed = rows.select("call_id", by.alias("_by"), F.struct(*fields).alias("_row"))
+        each = F.collect_list(F.struct("_by", "_row"))
+
+        def tie(a: Column, b: Column) -> Column:
+            x, y = F.to_json(a["_row"]), F.to_json(b["_row"])
+            return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+        # what rows say is spelled out for ties alone
+        ordered = F.array_sort(each, lambda a, b: F.when(a["_by"] < b["_by"], -1).when(a["_by"] > b["_by"], 1).otherwise(tie(a, b)))
         return placed.groupBy("call_id").agg(F.transform(ordered, lambda x: x["_row"]).alias(name))
 
     turns = in_order(turn, last("turn_index"), shown(turn, TURN_SKIP), "turns")
     metrics = in_order(metric, F.col("name"), ["name", metric_value(F.col("value_num"), F.col("value_text")).alias("value"), "available", "reason"], "metrics")
     place = F.struct(F.col("position").isNull().alias("_none"), F.col("position").alias("_at"), F.col("t_offset_s").alias("_t"))
-    inner = event.where("kind = 'event'").groupBy("call_id", "span_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("_by"), F.struct("name", "t_offset_s").alias("_row")))), lambda x: x["_row"]).alias("events")
+    # a span and its events meet where their call's spans do, so they are shuffled once
+    inner = F.when(F.col("kind") == "event", F.struct(place.alias("_by"), F.struct("name", "t_offset_s").alias("_row")))
+    met = event.where("kind in ('span', 'event')").repartition("call_id").groupBy("call_id", "span_id").agg(
+        F.transform(F.array_sort(F.collect_list(inner)), lambda x: x["_row"]).alias("_events"), F.collect_list(F.when(F.col("kind") == "span", F.struct(*shown(event, ("call_id", "span_id", "kind"))))).alias("_spans")
     )
-    nested = event.where("kind = 'span'").join(inner, ["call_id", "span_id"], "left")
-    fields = [*shown(event, ("call_id", "kind", "position")), F.coalesce("events", F.array().cast(inner.schema["events"].dataType)).alias("events")]
+    known = F.col("call_id").isNotNull() & F.col("span_id").isNotNull()  # an event of no span is in none
+    nested = met.select("call_id", "span_id", F.when(known, F.col("_events")).otherwise(F.filter("_events", lambda x: F.lit(False))).alias("events"), F.inline("_spans"))
+    fields = [*shown(event, ("call_id", "kind", "position")), "events"]
     spans = in_order(nested, place, fields, "spans")
     latest = run.groupBy("call_id").agg(F.max_by(F.struct("status", "error"), F.struct(F.col("started_at").isNotNull().alias("_some"), "started_at")).alias("_r"))
     covered = metric.where("name = 'capture_coverage'").select("call_id").distinct().withColumn("_audio", F.lit(True))
@@ -121,7 +130,8 @@ def details(call: DataFrame, turn: DataFrame, metric: DataFrame, event: DataFram
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """call_id, place (unique in a call), said, long of order lines."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    read = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    rows = read.repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max("l_quantity").alias("q"))
     return rows.select(F.col("l_orderkey").alias("call_id"), (F.col("l_linenumber") * 100_000_000 + F.col("l_partkey")).alias("place"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("said"), (F.col("q") > 25).alias("long"))
 
 

@@ -128,3 +128,12 @@ def test_utterances_and_measures(spark, files):
 def test_two_mono_files_become_one():
     rate, data = channels(fr.combined(wav(np.arange(5)), wav(np.arange(3), rate=16000)))
     assert rate == RATE and data.tolist() == [[0, 1, 2, 3, 4], [0, 1, 2, 0, 0]]
+
+
+def test_synthesised_recordings_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """A partition has a bounded number of recordings, however small their events are."""
+    from turnwise.plans import recordings
+
+    monkeypatch.setattr(recordings, "TOGETHER", 1, raising=False)
+    spark.range(1000).selectExpr("id as event_id", "'view' as event_type").write.parquet(f"{tmp_path}/events.parquet")
+    assert recordings.synthesised(spark, str(tmp_path)).rdd.getNumPartitions() == 5

@@ -175,6 +175,7 @@ def call_metrics(rows: DataFrame, told: DataFrame | None = None, agent_windows:
 
 
 CALL, RATE, PER_EVENT = 200, 8000, 320
+TOGETHER = 100  # recordings of a partition, on average: a batch of them is decoded at once
 
 
 def synthesised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,6 +202,8 @@ def synthesised(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"call_id": [call], "content": [out.getvalue()]})
 
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.floor(F.col("event_id") / CALL).alias("call_id"), "event_id", "event_type")
+    # the events of a recording are small and its sound is not: by the size of events alone one task would get thousands of recordings
+    rows = rows.repartition(max(1, rows.count() // (CALL * TOGETHER)), "call_id")
     return rows.groupBy("call_id").applyInPandas(wav, "call_id long, content binary")
 
 

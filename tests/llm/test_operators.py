@@ -514,6 +514,36 @@ def test_substrings(spark, docs, odd):
 # components, shared by 2 and 7
 
 
+def test_jaccard_wide_sketches_tell_large_sets(spark):
+    """Sets of more tokens than a plain sketch has bits are told apart before their texts are read; none that links is lost."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i, n in enumerate((600, 1030, 2080, 5000)):
+        base = [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+        for j, changed in enumerate((0, n // 70, n // 25, n // 8)):
+            words = list(base)
+            for at in rng.choice(n, changed, replace=False):
+                words[at] = f"v{rng.integers(0, 1 << 40)}"
+            rows.append((4 * i + j, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    base = jaccard.signatures(df, np.zeros(0, np.int64)).select("doc_id", F.col("c1").alias("c"), F.col("n_shingles").cast("int").alias("n"), "sketch", "wide").cache()
+    ids = base.select(F.col("c").alias("a"), F.col("doc_id").alias("x")).crossJoin(base.select(F.col("c").alias("b"), F.col("doc_id").alias("y"))).where("x < y").cache()
+    got = {(r.x, r.y) for r in jaccard.likely(ids.select("a", "b"), base, jaccard.PERCENT).join(ids, ["a", "b"]).collect()}
+    assert got >= {(4 * i, 4 * i + 1) for i in range(4)} and not any(y % 4 == 3 for _, y in got)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op2(spark, df).collect()} == jaccard.brute_force(rows)
+
+
+def test_jaccard_bands_hold_all_sizes_that_fit(spark):
+    rows = spark.range(1, 5000).select(F.col("id").cast("int").alias("n"))
+    for percent in (80, 90):
+        first, own, last = jaccard.bands(percent)
+        got = {r.n: (r.f, r.o, r.l) for r in rows.select("n", first.alias("f"), own.alias("o"), last.alias("l")).collect()}
+        for n, (f, o, l) in got.items():
+            least, most = -(-n * percent // 100), min(4999, n * 100 // percent)
+            assert f <= got[least][1] <= o <= got[most][1] <= l
+        assert sum(l - f + 1 for f, _, l in got.values()) < 1.8 * len(got)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000 + i, 2000 - i) for i in range(50)] + [(5000, 5001 + i) for i in range(200)] + [(7, 7)]
     df = spark.createDataFrame(edges, "a long, b long").repartition(5)

@@ -14,8 +14,9 @@ Equal sets are one class from the start and are represented once. Short posting
 lists yield their pairs. A long list (a large group of near copies, or a passage
 that many share) yields a star, its least class with all others. All of these
 are counted against l and held to parity sketches (a bit per token, flipped by
-each), which tell most pairs that differ in more places than a link allows. Then
-every component verifies its likeliest pair, components are made anew, and so on
+each), which tell most pairs that differ in more places than a link allows; sets
+of more tokens than these have bits carry a wide one, a bit per token at least,
+which is asked once per pair and not once per posting. Then every component verifies its likeliest pair, components are made anew, and so on
 until no pair stands between two. Then the members of a long list outside its
 largest component meet about ``CENTRES`` of the list, drawn by their digests:
 one that links with many of the list joins them by one of these. Last come the
@@ -57,7 +58,8 @@ SHORT_LIST = 32  # longer posting lists go by stars
 CENTRES = 128  # members of a long list that those outside its largest component meet before all others, on average
 LOCAL_OFTEN = 3  # occurrences in a slice of text that make a token worth counting
 FREQUENT = 1 << 17  # so many tokens have their place in the order by frequency: 1 MB, whatever the input
-SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch
+SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch; larger sets have a wide one beside it
+BAND = 4  # sizes of one band: so many times as far apart, by their logarithms, as those of a link
 VERIFY_COST = 24.0  # of verifying a pair, in postings
 MEET_PAIRS = 64  # pairs of one set that a copy of it serves
 _SEED, _BASE = 0xA4093822299F31D0, 0x9E3779B97F4A7C15
@@ -92,12 +94,17 @@ def digest(tokens: np.ndarray) -> int:
     return int(as_long(mix(np.array([mix(tokens + np.uint64(0x51ED)).sum(dtype=np.uint64)])))[0]) if len(tokens) else 0
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
+def parity(tokens: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """Bit i says whether an odd number of tokens fall to i: bits that differ between two sets are at most the tokens that do."""
-    odd = np.bincount((tokens % np.uint64(64 * SKETCH_WORDS)).astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    odd = np.bincount((tokens % np.uint64(64 * words)).astype(np.int64), minlength=64 * words) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_words(n: int) -> int:
+    """Words of the wide sketch of n tokens, a power of two, 0 where the plain one has a bit per token."""
+    return 0 if n <= 64 * SKETCH_WORDS else 1 << (-(-n // 64) - 1).bit_length()
+
+
 def frequent_tokens(docs: DataFrame, width: int = WIDTH, most: int = FREQUENT) -> np.ndarray:
     """The ``most`` most frequent tokens, the least frequent of them first."""
 
@@ -125,19 +132,19 @@ def least_row() -> Column:
 
 
 def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, k (hash of doc_id and text), n_shingles, c1 (the set's digest), its parity sketch and its longest prefix, in order.
+    """doc_id, k (hash of doc_id and text), n_shingles, c1 (the set's digest), its parity sketches and its longest prefix, in order.
 
-    Of equal sets in a slice of text only the first carries the prefix.
+    Of equal sets in a slice of text only the first carries the prefix and the wide sketch.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
-    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("sketch", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("k", pa.int64()), ("n_shingles", pa.int64()), ("c1", pa.int64()), ("sketch", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64()))])
 
     def run(batches):
         by_token = np.argsort(shared.value, kind="stable")
         known = shared.value[by_token]
         for batch in batches:
             for part in chunks(batch):
-                n, c1, sketch, prefix, seen = [], [], [], [], set()
+                n, c1, sketch, wide, prefix, seen = [], [], [], [], [], set()
                 for tokens in token_sets(part, width):
                     long = as_long(tokens)
                     rank = np.full(len(long), -1)
@@ -147,19 +154,21 @@ def signatures(docs: DataFrame, frequent: np.ndarray, width: int = WIDTH, percen
                     k = prefix_length(len(tokens), percent, MATCHES)
                     order = np.lexsort((mix(tokens), rank))[:k]
                     c = digest(tokens)
+                    words = wide_words(len(tokens))
                     if c in seen:  # an equal set of this slice stands for it
-                        order = order[:0]
+                        order, words = order[:0], 0
                     seen.add(c)
                     n.append(len(tokens))
                     c1.append(c)
                     sketch.append(parity(tokens))
+                    wide.append(parity(tokens, words) if words else None)
                     prefix.append(long[order])
                 ids, keys = (part.column(part.schema.get_field_index(x)) for x in ("doc_id", "k"))
-                arrays = [ids, keys, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
+                arrays = [ids, keys, pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(wide, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key())
-    return rows.mapInArrow(run, "doc_id long, k long, n_shingles long, c1 long, sketch array<long>, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, k long, n_shingles long, c1 long, sketch array<long>, wide array<long>, prefix array<long>")
 
 
 def postings(classes: DataFrame, percent: int) -> DataFrame:
@@ -208,6 +217,19 @@ def apart() -> Column:
     return sum((F.bit_count(F.get("sketch", F.lit(i)).bitwiseXOR(F.get("sketch2", F.lit(i)))) for i in range(SKETCH_WORDS)), F.lit(0))
 
 
+def wide_apart() -> Column:
+    """Places in which two wide sketches differ, the longer one folded; null where a set has none."""
+    words = F.least(F.size("wide"), F.size("wide2"))
+
+    def folded(sketch: Column) -> Column:
+        turns = F.sequence(F.lit(0), (F.size(sketch) / words).cast("int") - 1)
+        at = F.sequence(F.lit(0), words - 1)
+        return F.transform(at, lambda i: F.aggregate(turns, F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(sketch, i + j * words))))
+
+    both = F.zip_with(folded(F.col("wide")), folded(F.col("wide2")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.when(F.col("wide").isNotNull() & F.col("wide2").isNotNull(), F.aggregate(both, F.lit(0), lambda a, x: a + x))
+
+
 def allowance(percent: int) -> Column:
     """Tokens that two linked sets of n and n2 have apart, at most."""
     return F.col("n") + F.col("n2") - 2 * needed(percent)
@@ -240,6 +262,12 @@ def stars_of_long_lists(met: DataFrame, percent: int) -> DataFrame:
     return counted(both.withColumns({"a": F.col("c2"), "b": F.col("c")}))
 
 
+def bands(percent: int) -> list[Column]:
+    """The band of sizes of a set of n, between the first and the last that sizes which fit n stand in: mostly one or two."""
+    reach = math.log(1.0001 * 100 / percent)
+    return [F.floor((F.log(F.col("n").cast("double")) + by * reach) / (BAND * reach)).cast("int") for by in (-1, 0, 1)]
+
+
 def pairs_between_components(met: DataFrame, labels: DataFrame | None, places: DataFrame, percent: int, centres: int | None = None) -> DataFrame:
     """Pairs of long lists that stand in two components and may link, counted: the list's members outside its largest one, against all.
 
@@ -250,10 +278,9 @@ def pairs_between_components(met: DataFrame, labels: DataFrame | None, places: D
     held = named.groupBy("token", "root").agg(F.count("*").alias("m"))
     largest = held.groupBy("token").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
     open_ = named.join(largest.select("token", F.col("most.root").alias("largest")), "token").join(places.select("c", "sketch"), "c")
-    # sizes that fit stand in the same band or in neighbours
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0001 * 100 / percent)).cast("int")
-    open_ = materialize(open_.withColumn("band", band), "open")
-    minor = second(open_.where("root <> largest"), "root", "sketch", "band").withColumn("band", F.explode(F.array(*[F.col("band2") + i for i in (-1, 0, 1)])))
+    first, own, last = bands(percent)
+    open_ = materialize(open_.withColumns({"band": own, "bands": F.sequence(first, last)}), "open")
+    minor = second(open_.where("root <> largest"), "root", "sketch", "bands").withColumn("band", F.explode("bands2"))
     once = (F.col("root") == F.col("largest")) | (F.col("c") < F.col("c2"))
     if centres is None:
         against = open_
@@ -275,9 +302,14 @@ def enough(*found: DataFrame) -> DataFrame:
 
 def likely(pairs: DataFrame, places: DataFrame, percent: int) -> DataFrame:
     """(a, b, far) of the pairs that the parity sketches allow to link; far is the share of the allowance that they use."""
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    places = sift(places, "c", pairs.select(F.col("a").alias("c")).union(pairs.select("b")))
     left, right = (places.select(F.col("c").alias(x), F.col("n").alias(f"n{y}"), F.col("sketch").alias(f"sketch{y}")) for x, y in (("a", ""), ("b", "2")))
-    both = pairs.join(left, "a").join(right, "b").where(alike(percent))
-    return both.select("a", "b", (apart() / F.greatest(allowance(percent), F.lit(1))).alias("far"))
+    both = pairs.join(left, "a").join(right, "b").where(alike(percent)).select("a", "b", apart().alias("apart"), allowance(percent).alias("room"))
+    wide = places.where("wide is not null")
+    left, right = (wide.select(F.col("c").alias(x), F.col("wide").alias(f"wide{y}")) for x, y in (("a", ""), ("b", "2")))
+    both = both.join(left, "a", "left").join(right, "b", "left").withColumn("apart", F.greatest("apart", F.coalesce(wide_apart(), F.lit(0))))
+    return both.where("apart <= room").select("a", "b", (F.col("apart") / F.greatest("room", F.lit(1))).alias("far"))
 
 
 def text_rows(docs: DataFrame) -> DataFrame:
@@ -339,9 +371,9 @@ def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     """
     base = materialize(signatures(docs, frequent_tokens(docs, width), width, percent), "signatures")
     places = base.where("n_shingles > 0").groupBy(F.col("c1").alias("c")).agg(
-        least_row().alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.max("prefix").alias("prefix")
+        least_row().alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.first("wide", ignorenulls=True).alias("wide"), F.max("prefix").alias("prefix")
     )
-    places = materialize(places.select("c", F.col("least.doc_id").alias("class_id"), "n", "sketch", F.col("least.k").alias("_id"), "prefix"), "classes")
+    places = materialize(places.select("c", F.col("least.doc_id").alias("class_id"), "n", "sketch", "wide", F.col("least.k").alias("_id"), "prefix"), "classes")
     met = materialize(postings(places, percent), "postings")
     short = materialize(pairs_of_short_lists(met, percent), "short")
 

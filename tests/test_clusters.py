@@ -103,6 +103,31 @@ def test_trees_are_least_whatever_the_lists_hold(spark, monkeypatch):
     assert len([g for g, _ in got if g is None]) == 7 and {(r.group, r.comp) for r in comps.collect()} == {("g", 0), (None, 1)}
 
 
+def test_search_copies_points_a_fixed_number_of_times(spark, monkeypatch):
+    """However many blocks' worth of points a group has, each goes to ``SIDE`` tiles each way, and tiles that find the nearest whatever their ties."""
+    monkeypatch.setattr(density, "BLOCK", 5)
+    monkeypatch.setattr(density, "SIDE", 3, raising=False)
+    monkeypatch.setattr(density, "STEP", 64, raising=False)
+    monkeypatch.setattr(density, "EXACT", 7, raising=False)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 1, (120, 4)), np.repeat(rng.normal(0, 1, (3, 4)), 20, axis=0), rng.normal(0, 1e-6, (20, 4)) + 1e6, rng.choice([-1e200, 1e200], (10, 4))])
+    core, comp = np.round(rng.uniform(0, 2, len(x)), 9), rng.integers(0, 40, len(x))
+    for rows in (x[:200], x):  # squares of the last ten are beyond all numbers
+        df = spark.createDataFrame([("g", i, v.tolist(), float(core[i]), int(comp[i])) for i, v in enumerate(rows)], "group string, id long, v array<double>, core double, comp long").repartition(3)
+        asks = df.where("id % 3 = 0")
+        copies = density.tiles(asks, df).count()
+        assert copies == 3 * (asks.count() + df.count())
+        for k in (1, 4):
+            got = {}
+            for r in density.search(asks, df, k).collect():
+                got.setdefault(r.id, []).append((r.w, r.other))
+            with np.errstate(over="ignore"):
+                for i in range(0, len(rows), 3):
+                    w = np.round(np.maximum(np.maximum(np.sqrt(((rows - rows[i]) ** 2).sum(1)), core[i]), core[: len(rows)]), density.DIGITS)
+                    want = sorted((float(w[j]), j) for j in range(len(rows)) if comp[j] != comp[i])[:k]
+                    assert sorted(got[i]) == want
+
+
 def test_clusters_with_odd_points(spark):
     x = blobs(1, 60)
     rows = [(1, i, v.tolist()) for i, v in enumerate(x)]

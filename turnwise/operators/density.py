@@ -10,8 +10,12 @@ component tells only that what is outside is no nearer than its last entry; the
 points whose lists leave the lightest edge open are searched again against all
 points outside, so the tree is exact whatever the lists hold.
 
-Distances are compared in blocks of ``BLOCK`` rows against ``BLOCK`` rows, so the
-work grows with the square of a group and memory with neither. The condensed
+Distances are compared in tiles, blocks of askers against blocks of points. A
+group has ``SIDE`` blocks of each at most, so a point is copied so many times and
+what is shuffled grows as the points do, until blocks hold ``MOST`` rows: from
+there on there are more of them, so memory stays bounded. The work within tiles
+grows with the square of a group. A matrix product bounds the distances of a
+tile; those that may be among the nearest are then taken exactly. The condensed
 tree of a group is cut in one task, from one edge (three numbers) per point.
 
 Points are (group, id, v: array<double>). Defined cases: points with a null id,
@@ -30,7 +34,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-BLOCK = 1000
+BLOCK = 250  # rows of a block where a group has fewer than ``SIDE`` of them
+SIDE = 4  # blocks of a group, each way
+MOST = 50_000  # rows of a block
+STEP = 1 << 21  # distances bounded at once
+EXACT = 1 << 16  # differences of vectors taken at once
 LISTED = 15  # neighbours in a list at least
 DIGITS = 9
 PARTS = 64  # partial sums of a group's moments
@@ -47,37 +55,80 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: x / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def search(asks: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """group, id, other, w of the k points of another component that each asking point is nearest to by mutual reachability.
+def blocks(rows: Column) -> Column:
+    return F.greatest(F.least(F.ceil(rows / BLOCK), F.lit(SIDE)), F.ceil(rows / MOST)).cast("int")
 
-    Both have group, id, v, core and comp.
-    """
+
+def tiles(asks: DataFrame, points: DataFrame) -> DataFrame:
+    """The rows of each tile (group, rb, qb): a block of points and one of those that ask."""
     salt = F.xxhash64(F.lit(7), "id")
-    sizes = points.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nr"))
-    sizes = sizes.join(asks.groupBy(F.col("group").alias("_g")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("nq")), F.col("group").eqNullSafe(F.col("_g")))
+    sizes = points.groupBy("group").agg(blocks(F.count("*")).alias("nr"))
+    sizes = sizes.join(asks.groupBy(F.col("group").alias("_g")).agg(blocks(F.count("*")).alias("nq")), F.col("group").eqNullSafe(F.col("_g")))
     sizes = sizes.select(F.col("group").alias("_g"), "nr", "nq")
     columns = ["group", "id", "v", "core", "comp", "rb", "qb"]
     own = F.col("group").eqNullSafe(F.col("_g"))
     each = points.join(sizes, own).withColumns({"rb": F.pmod(salt, "nr").cast("int"), "qb": F.explode(F.sequence(F.lit(0), F.col("nq") - 1))})
     asked = asks.join(sizes, own).withColumns({"qb": F.pmod(salt, "nq").cast("int"), "rb": F.explode(F.sequence(F.lit(0), F.col("nr") - 1))})
-    both = asked.select(*columns, F.lit(True).alias("asks")).unionByName(each.select(*columns, F.lit(False).alias("asks")))
-
-    def best(block: pd.DataFrame) -> pd.DataFrame:
-        q, e, out = block[block["asks"]], block[~block["asks"]], []
-        if len(q) and len(e):
-            group, ids, comps, cores = e["group"].iloc[0], e["id"].to_numpy(), e["comp"].to_numpy(), e["core"].to_numpy()
-            vectors = np.array(e["v"].tolist(), np.float64)
-            for own, v, core, comp in zip(q["id"], q["v"], q["core"], q["comp"], strict=True):
+    return asked.select(*columns, F.lit(True).alias("asks")).unionByName(each.select(*columns, F.lit(False).alias("asks")))
+
+
+def nearest(q: np.ndarray, q_core: np.ndarray, q_comp: np.ndarray, x: np.ndarray, core: np.ndarray, comp: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of x, w): the k nearest of another component of each row of q, by mutual reachability, then by id."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    with np.errstate(over="ignore", invalid="ignore"):
+        q2, x2, core2 = (q**2).sum(1), (x**2).sum(1), core**2
+        # a product of d terms is off by its rounding, at most
+        off = 1e-15 * (q.shape[1] + 8) * (q2.max() + x2.max())
+    step = max(1, STEP // len(x))
+    for at in range(0, len(q), step):
+        part = slice(at, at + step)
+        other = q_comp[part, None] != comp
+        if np.isfinite(off):
+            far = q[part] @ x.T
+            far *= -2
+            far += x2
+            far += q2[part, None]
+            np.maximum(far, core2, out=far)
+            np.maximum(far, q_core[part, None] ** 2, out=far)
+            far[~other] = np.inf
+            last = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(x) else np.full(len(far), np.inf)
+            # what rounds to the k-th distance may be it as well
+            room = (np.sqrt(np.maximum(last, 0) + off) + 2 * 10.0**-DIGITS) ** 2 + off
+            row, col = np.nonzero((far <= room[:, None]) & other)
+        else:  # beyond what squares can hold
+            row, col = np.nonzero(other)
+        row += at
+        d = np.zeros(len(row))
+        with np.errstate(over="ignore"):
+            for i in range(0, len(row), EXACT):
                 # differences and not products: equal points have distance zero, and both directions one distance
-                d = np.sqrt(((vectors - np.asarray(v, np.float64)) ** 2).sum(1))
-                w = np.round(np.maximum(np.maximum(d, core), cores), DIGITS)
-                there = np.nonzero(comps != comp)[0]
-                for j in there[np.lexsort((ids[there], w[there]))[:k]]:
-                    out.append((group, own, ids[j], w[j]))
-        return pd.DataFrame(out, columns=["group", "id", "other", "w"])
+                d[i : i + EXACT] = np.sqrt(((x[col[i : i + EXACT]] - q[row[i : i + EXACT]]) ** 2).sum(1))
+        w = np.round(np.maximum(np.maximum(d, q_core[row]), core[col]), DIGITS)
+        order = np.lexsort((ids[col], w, row))
+        row, col, w = row[order], col[order], w[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        found.append((row[place < k], col[place < k], w[place < k]))
+    return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+
+def search(asks: DataFrame, points: DataFrame, k: int) -> DataFrame:
+    """group, id, other, w of the k points of another component that each asking point is nearest to by mutual reachability.
+
+    Both have group, id, v, core and comp.
+    """
+
+    def best(tile: pd.DataFrame) -> pd.DataFrame:
+        q, e = tile[tile["asks"]], tile[~tile["asks"]]
+        columns = ["group", "id", "other", "w"]
+        if not len(q) or not len(e):
+            return pd.DataFrame([], columns=columns)
+        vectors = [np.array(part["v"].tolist(), np.float64) for part in (q, e)]
+        ids = e["id"].to_numpy()
+        row, col, w = nearest(vectors[0], q["core"].to_numpy(), q["comp"].to_numpy(), vectors[1], e["core"].to_numpy(), e["comp"].to_numpy(), ids, k)
+        return pd.DataFrame(zip([e["group"].iloc[0]] * len(row), q["id"].to_numpy()[row], ids[col], w, strict=True), columns=columns)
 
     kind = asks.schema["group"].dataType.simpleString()
-    found = both.groupBy("group", "rb", "qb").applyInPandas(best, f"group {kind}, id long, other long, w double")
+    found = tiles(asks, points).groupBy("group", "rb", "qb").applyInPandas(best, f"group {kind}, id long, other long, w double")
     ordered = F.slice(F.sort_array(F.collect_list(F.struct("w", "other"))), 1, k)
     return found.groupBy("group", "id").agg(ordered.alias("_n")).select("group", "id", F.inline("_n")).select("group", "id", "other", "w")
 
@@ -115,6 +166,7 @@ def placed(rows: DataFrame, comps: DataFrame, on: str, name: str) -> DataFrame:
 def spanning(points: DataFrame, least: int, most: float = float("inf")) -> tuple[DataFrame, DataFrame]:
     """Trees (group, a, b, w) and components (group, id, core, comp: the least id) over edges of ``most`` at most."""
     cored, edges = with_cores(points, least)
+    edges = edges.where(F.col("w") <= most)
     comps = cored.select("group", "id", "core", "bound", F.col("id").alias("comp"))
     taken: list[DataFrame] = []
     while True:
@@ -130,7 +182,8 @@ def spanning(points: DataFrame, least: int, most: float = float("inf")) -> tuple
             whole = materialize(placed(cored.drop("bound"), comps, "id", "comp"), "whole")
             asking = whole.join(open_.withColumnsRenamed({"group": "_g", "id": "_i"}), F.col("group").eqNullSafe(F.col("_g")) & (F.col("id") == F.col("_i")), "left_semi")
             found = materialize(search(asking, whole, 1), "found")
-            edges = materialize(edges.unionByName(both_ways(found.select("group", F.col("id").alias("a"), F.col("other").alias("b"), "w"))).distinct(), "edges")
+            nearer = found.where(F.col("w") <= most).select("group", F.col("id").alias("a"), F.col("other").alias("b"), "w")
+            edges = materialize(edges.unionByName(both_ways(nearer)).distinct(), "edges")
             # nothing outside is nearer than what was found; a point without anything outside is done
             far = found.select(F.col("group").alias("_g"), F.col("id").alias("_i"), F.col("w").alias("_w"))
             raised = comps.join(open_.withColumnsRenamed({"group": "_og", "id": "_oi"}).withColumn("_o", F.lit(True)), F.col("group").eqNullSafe(F.col("_og")) & (F.col("id") == F.col("_oi")), "left")

@@ -433,6 +433,50 @@ def test_distance_bounds_hold():
     assert lines.within("", "abc", 3) and not lines.within("abc", "", 2)
 
 
+def test_lines_carry_their_texts_and_characters(spark):
+    rows = [(1, "Grüße  an\talle, 12 mal\n\n  größer als zuvor "), (2, "zuvor"), (3, None), (4, "x\n日本 語\nx"), (5, "")]
+    got = {(r.said, r.size) for r in lines.lines(lines.keyed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))).where("said is not null").collect()}
+    assert got == {(n, len(n)) for _, t in rows for n in normalised(t) if n}
+
+
+def test_lines_meet_only_where_their_lengths_allow_a_link(spark, monkeypatch):
+    """Lines that share blocks, half of them 1.5 times as long: none of one half is offered with one of the other."""
+    base = " ".join(f"w{'abcdefghijklmnopqrstuvwxyz'[i]}{'abcdefghijklmnopqrstuvwxyz'[i]}rd" for i in range(24))
+    letters = ["".join(chr(97 + int(c)) for c in str(i)) for i in range(40)]
+    rows = [(i, f"{base} {x}") for i, x in enumerate(letters)] + [(100 + i, f"{base} {'y' * (len(base) // 2)}{x}") for i, x in enumerate(letters)]
+    offered, verified = [], lines.verified
+
+    def spy(pairs, *more):
+        offered.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(lines, "verified", spy)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [r.doc_id for r in lines.op7(spark, df).where("text <> ''").orderBy("doc_id").collect()] == [0, 100]
+    short = {r.line: r.doc_id < 100 for r in lines.lines(lines.keyed(df)).collect()}
+    assert offered and all(short[a] == short[b] for a, b in offered)
+
+
+@pytest.mark.parametrize("batch", [1, 2, 3, 1000])
+def test_lines_blocks_are_read_across_batches(spark, batch):
+    blocks = [[1], [2, 3], [4, 5, 6], [], [7], [8, 9, 10, 11, 12, 13, 14, 15], [1, 2], [4, 8, 9]]
+    keys = defaultdict(list)
+    for key, members in enumerate(blocks):
+        for line in members:
+            keys[line].append(key)
+    kinds = spark.createDataFrame([(line, line * 10, line * 100, held) for line, held in keys.items()], "line long, sim long, size int, keys array<long>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = lines.blocks_met(kinds).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted((r.key, r.line) for r in got) == [(k, x) for k, members in enumerate(blocks) if len(members) > 1 for x in members]
+    for r in got:
+        assert (r.sim, r.size, r.sim2, r.size2, r.wide) == (r.line * 10, r.line * 100, r.line2 * 10, r.line2 * 100, len(blocks[r.key]) > 2)
+    assert all(len({r.line2 for r in got if r.key == k} & set(members)) == (len(members) > 1) for k, members in enumerate(blocks))
+
+
 def test_lines_keep_columns(spark, odd, empty):
     extra = odd.withColumns({"left": F.lit("l"), "k": F.lit(1), "gone": F.lit(2)})
     out = lines.cleaned(extra)
@@ -555,3 +599,15 @@ def test_components(spark):
 def test_empty_tables(spark, empty):
     for f in (packing.op1, jaccard.op2, quality.op4, lines.op7, sharding.op8, substrings.op10):
         assert f(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("batch", [components.BATCH_EDGES, 7])
+def test_components_of_one_batch_need_no_rounds(spark, batch, monkeypatch):
+    """Edges that fit in one batch are contracted whole; those of many go by rounds, with the same result."""
+    monkeypatch.setattr(components, "BATCH_EDGES", batch)
+    starred, star = [], components.star
+    monkeypatch.setattr(components, "star", lambda *x: starred.append(1) or star(*x))
+    edges = [(i, i + 3) for i in range(0, 60)] + [(100, 7), (200, 201)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    got = {r.node: r.root for r in components.components(df).collect()}
+    assert got == {i: i % 3 for i in range(63)} | {100: 1, 200: 200, 201: 200} and bool(starred) == (batch == 7)

@@ -85,21 +85,31 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.unionByName(least.select("node", F.col("m").alias("root"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of an edge (a, b), roots included; root is the least node."""
-    pair = edges.select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")).where("root < node").select("node", "root").distinct()
+def parents(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of an edge (a, b) but the roots; root is the least node. Written."""
+    pair = edges.select(F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")).where("root < node")
     now = materialize(contracted(pair), "edges")
+    tasks = -(-now.count() // BATCH_EDGES)
+    nxt = materialize(contracted(now.coalesce(max(1, tasks))), "edges")
+    drop_materialized(now)
+    now = nxt
+    if tasks <= 1:  # one batch holds them all and is contracted whole
+        return now
     for _ in range(rounds):
         # done when no node has two roots and no root is itself a node
         roots = now.groupBy("node").agg(F.count("*").alias("n"))
         chained = now.select("root").distinct().join(roots.select(F.col("node").alias("root")), "root", "left_semi")
         if roots.where("n > 1").isEmpty() and chained.isEmpty():
-            break
+            return now
         nxt = materialize(contracted(star(star(now, True), False)).distinct(), "edges")
         drop_materialized(now)
         now = nxt
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of an edge (a, b), roots included; root is the least node."""
+    now = parents(edges, rounds)
     return now.unionByName(now.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -113,10 +123,10 @@ def still_apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
-    """(links, labels) once every candidate pair (a, b, far) is verified or lies inside a component.
+    """(links, labels) once every candidate pair (a, b, far) is verified or lies inside a component; labels leave out the roots.
 
     Each round every component offers the pair out of it that seems the nearest
-    (least ``far``), these are verified, and the components are made anew: pairs
+    (least ``far``, of the nearest ones of each two components), these are verified, and the components are made anew: pairs
     of a group of copies fall inside after a few rounds, a component's worth of
     pairs at a time, without being verified. Once few of those offered link, or
     after ``PICKS`` rounds, all that is left is verified. ``verify`` takes (a, b)
@@ -130,13 +140,14 @@ def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links:
             break
         last = step == PICKS or not worth
         if not last:
-            each = pairs.select(F.explode(F.array("ra", "rb")).alias("root"), F.struct("far", "a", "b").alias("pair"))
+            nearest = pairs.groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.min(F.struct("far", "a", "b")).alias("pair"))
+            each = nearest.select(F.explode(F.array("ra", "rb")).alias("root"), "pair")
             picks = materialize(each.groupBy("root").agg(F.min("pair").alias("pair")).select("pair.a", "pair.b").distinct(), "picks")
         else:
             picks = pairs.select("a", "b")
         found = verify(picks)
         links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = parents(links)
         if last:
             break
         worth = found.count() >= WORTH * picks.count()

@@ -18,7 +18,10 @@ equal. Lines little longer than the start of their band
 are in the band below as well. README has the recall against edit similarity
 alone. All of this depends on the two lines only, never on how many there are.
 
-Blocks are counted by partial sums, and joins back split hot ones. Each block
+Rows (key, line), numbers alone, meet sorted by key and are read in order, so a hot
+block is a task's longer run and is never held. Lengths are counted in characters, so no
+two lines meet whose lengths alone rule a link out. Texts of lines that stand in
+shared blocks are set aside once. Each block
 yields a star, one of its lines with all others; every component verifies its
 nearest pair, round by round; then pairs of blocks that still stand between two
 components follow, the members outside a block's largest component against all.
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 from ..session import drop_materialized, materialize
 from .components import connected
 from .tables import sift
-from .words import as_long, chunks, mix, split_words
+from .words import Words, as_long, chunks, mix, split_words
 
 HAMMING = 20
 SIMILAR = 0.8
@@ -145,12 +148,27 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("k"))
 
 
+def texts_at(words: Words, line: np.ndarray, wanted: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The words of each wanted line, a blank between two, null for other lines; ``line`` is that of each word, ``size`` the bytes of each text."""
+    chosen = wanted[line]
+    inner = chosen & np.append(False, line[1:] == line[:-1])
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.start[chosen]] = 1
+    edge[words.end[chosen]] -= 1
+    held = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    held[words.start[inner] - 1] = True  # the blank before a word
+    data = words.data[held]
+    data[np.cumsum(held)[words.start[inner] - 1] - 1] = 32
+    offsets = np.append(0, np.cumsum(np.where(wanted, size, 0)))
+    return pa.Array.from_buffers(pa.large_string(), len(wanted), [pa.py_buffer(np.packbits(wanted, bitorder="little")), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+
+
 def lines(rows: DataFrame) -> DataFrame:
-    """(line, sim, size, keys, doc_id, k, at) of every line with a word; line is the hash of its normalised text, size its bytes about.
+    """(line, sim, size, keys, said, doc_id, k, at) of every line with a word; line is the hash of its normalised text, size its characters.
 
-    Of equal lines in a slice of text only the first carries its keys.
+    Of equal lines in a slice of text only the first carries its keys and ``said``, its normalised text.
     """
-    fields = [("line", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("k", pa.int64()), ("at", pa.int32())]
+    fields = [("line", pa.int64()), ("sim", pa.int64()), ("size", pa.int32()), ("keys", pa.list_(pa.int64())), ("said", pa.string()), ("doc_id", pa.int64()), ("k", pa.int64()), ("at", pa.int32())]
     schema = pa.schema(fields)
 
     def run(batches):
@@ -169,9 +187,12 @@ def lines(rows: DataFrame) -> DataFrame:
                 n = np.diff(np.append(first, len(h)))
                 within = np.arange(len(h)) - np.repeat(first, n)
                 whole = mix(np.add.reduceat(mix(h + within.astype(np.uint64) * _GOLD), first))
-                size = np.add.reduceat(words.end - words.start, first) + n - 1
+                many = np.add.reduceat(words.end - words.start, first) + n - 1
+                later = np.append(0, np.cumsum((words.data & 0xC0) == 0x80))  # bytes of a character after its first
+                size = many - np.add.reduceat(later[words.end] - later[words.start], first)
+                of_word = np.repeat(np.arange(len(n)), n)
                 # a word counts once, or the commonest ones would outvote all others
-                h, of_line = distinct(h, np.repeat(np.arange(len(n)), n))
+                h, of_line = distinct(h, of_word)
                 n = np.bincount(of_line, minlength=len(n))
                 sim = simhash(h, np.cumsum(n) - n)
                 _, leads = np.unique(whole, return_index=True)
@@ -183,25 +204,67 @@ def lines(rows: DataFrame) -> DataFrame:
                 count = np.zeros(len(n), np.int64)
                 count[leads] = np.bincount(of, minlength=len(leads))
                 keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(as_long(key[order])))
+                said = texts_at(words, of_word, leading, many).cast(pa.string())
                 ids, names = part.column(part.schema.get_field_index("doc_id")), part.column(part.schema.get_field_index("k"))
                 at = pa.array(row[first])
-                arrays = [pa.array(as_long(whole)), pa.array(as_long(sim)), pa.array(size.astype(np.int32)), keys, ids.take(at), names.take(at), pa.array(place[first].astype(np.int32))]
+                arrays = [pa.array(as_long(whole)), pa.array(as_long(sim)), pa.array(size.astype(np.int32)), keys, said, ids.take(at), names.take(at), pa.array(place[first].astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return rows.mapInArrow(run, "line long, sim long, size int, keys array<long>, doc_id long, k long, at int")
+    return rows.mapInArrow(run, "line long, sim long, size int, keys array<long>, said string, doc_id long, k long, at int")
 
 
 def may_link() -> Column:
-    """Whether the sizes leave room for the edit similarity (with a margin for bytes against characters) and the SimHashes are near."""
-    fits = F.least("size", "size2") >= F.floor((2 * SIMILAR - 1) * F.greatest("size", "size2"))
-    return fits & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= HAMMING)
+    """Whether the lengths leave room for the edit similarity and the SimHashes are near."""
+    apart, longer = F.abs(F.col("size") - F.col("size2")), F.greatest("size", "size2")
+    return (apart <= F.floor((1 - SIMILAR) * longer + 1e-9)) & (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))) <= HAMMING)
+
+
+MET = ("key", "line", "sim", "size")
 
 
 def blocks_met(kinds: DataFrame) -> DataFrame:
-    """(key, line, sim, size, f) of the blocks that two lines or more share; f is their number."""
-    each = kinds.select("line", F.explode("keys").alias("key"))
-    often = each.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
-    return each.join(often, "key").join(kinds.select("line", "sim", "size"), "line")
+    """(key, line, sim, size, line2, sim2, size2, wide) of the blocks that two lines or more share, line2 being one line for all of a block; wide: three or more do.
+
+    A block's rows follow each other, and whichever came first is its line2.
+    """
+    each = kinds.select(F.explode("keys").alias("key"), "line", "sim", "size")
+    dealt = each.repartition("key").sortWithinPartitions("key")  # by one number, which Spark sorts by its digits
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    schema = pa.schema([*zip(MET, types, strict=True), *zip((f"{c}2" for c in MET[1:]), types[1:], strict=True), ("wide", pa.bool_())])
+
+    def batch_of(rows: list[np.ndarray], centre: list[np.ndarray], wide: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*rows, *centre, wide], [*types, *types[1:], pa.bool_()], strict=True)], schema=schema)
+
+    def shared(rows: list[np.ndarray]) -> pa.RecordBatch:
+        first = np.nonzero(np.append(True, rows[0][1:] != rows[0][:-1]))[0]
+        n = np.diff(np.append(first, len(rows[0])))
+        n, first = np.repeat(n, n), np.repeat(first, n)
+        met = n > 1
+        return batch_of([c[met] for c in rows], [c[first[met]] for c in rows[1:]], n[met] > 2)
+
+    def run(batches):
+        held, centre = None, None  # the rows of a last block of one or two so far; the first row of a longer one
+        for batch in batches:
+            rows = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                rows, held = [np.concatenate(x) for x in zip(held, rows, strict=True)], None
+            if centre is not None:
+                of = int(np.searchsorted(rows[0] != centre[0], True))
+                yield batch_of([c[:of] for c in rows], [np.repeat(c, of) for c in centre[1:]], np.ones(of, bool))
+                rows = [c[of:] for c in rows]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if len(rows[0]) - last > 2:
+                centre = [c[last] for c in rows]
+                yield shared(rows)
+            else:
+                held, centre = [c[last:] for c in rows], None
+                yield shared([c[:last] for c in rows])
+        if held is not None:
+            yield shared(held)
+
+    return dealt.mapInArrow(run, "key long, line long, sim long, size int, line2 long, sim2 long, size2 int, wide boolean")
 
 
 def named_pairs(both: DataFrame) -> DataFrame:
@@ -211,14 +274,12 @@ def named_pairs(both: DataFrame) -> DataFrame:
 
 def stars(met: DataFrame) -> DataFrame:
     """(a, b, far): in each block one line, another one in another block, with all the others."""
-    centre = met.groupBy("key").agg(F.min(F.struct(F.xxhash64("line", "key").alias("draw"), "line", "sim", "size")).alias("m"))
-    both = met.join(centre.select("key", *[F.col(f"m.{c}").alias(f"{c}2") for c in ("line", "sim", "size")]), "key")
-    return named_pairs(both.where((F.col("line") != F.col("line2")) & may_link()))
+    return named_pairs(met.where((F.col("line") != F.col("line2")) & may_link()))
 
 
 def pairs_between_components(met: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(a, b, far): in each block of three lines or more, those outside its largest component against all."""
-    wide = met.where("f > 2")
+    wide = met.where("wide").select(*MET)
     named = wide.withColumn("root", F.col("line")) if labels is None else wide.join(labels.withColumnRenamed("node", "line"), "line", "left").withColumn("root", F.coalesce("root", "line"))
     held = named.groupBy("key", "root").agg(F.count("*").alias("m"))
     largest = held.groupBy("key").agg(F.max(F.struct("m", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
@@ -229,24 +290,11 @@ def pairs_between_components(met: DataFrame, labels: DataFrame | None) -> DataFr
     return named_pairs(both)
 
 
-def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(line, said): the normalised text of wanted lines (line, k, at), from the document each stands in first."""
-    per_row = wanted.groupBy("k").agg(F.collect_list(F.struct("at", "line")).alias("which"))
-    schema = pa.schema([("line", pa.int64()), ("said", pa.large_string())])
-
-    def run(batches):
-        table = _TABLE.tobytes()
-        for batch in batches:
-            line, said = [], []
-            for text, which in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                parts = (text.as_py() or "").encode().translate(table).split(b"\n")
-                for w in which:
-                    line.append(w["line"])
-                    said.append(b" ".join(parts[w["at"]].split()).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(line, pa.int64()), pa.array(said, pa.large_string())], schema=schema)
-
-    near_rows = sift(rows, "k", per_row.select("k"))
-    return near_rows.dropDuplicates(["k"]).join(per_row, "k").select("text", "which").mapInArrow(run, "line long, said string")
+def texts_of(every: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line, said) of the wanted lines."""
+    carried = sift(every.where("said is not null").select("line", "said"), "line", wanted.select("line"))
+    # Spark would take a semi join before the sifting
+    return carried.join(wanted.select("line").distinct(), "line").groupBy("line").agg(F.first("said").alias("said"))
 
 
 def distance_bounds(x: str, y: str) -> tuple[int, int]:
@@ -369,16 +417,12 @@ def similar(narrow: int) -> Column:
     return F.expr(f"abs(length(x) - length(y)) <= {most} and ({whole})")
 
 
-def verified(pairs: DataFrame, kinds: DataFrame, rows: DataFrame) -> DataFrame:
-    ends = pairs.select(F.col("a").alias("line")).union(pairs.select("b")).distinct()
-    wanted = materialize(kinds.join(ends, "line", "left_semi").select("line", "first.k", "first.at"), "wanted")
-    said = materialize(texts_of(rows, wanted), "said")
-    both = pairs.select("a", "b").join(said.select(F.col("line").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("line").alias("b"), F.col("said").alias("y")), "b")
-    both = materialize(both.where(F.least(F.length("x"), F.length("y")) >= SIMILAR * F.greatest(F.length("x"), F.length("y")) - 1), "both")
+def verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
+    left, right = (said.select(F.col("line").alias(x), F.col("said").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    both = materialize(pairs.select("a", "b").join(left, "a").join(right, "b"), "both")
     long = F.greatest(F.length("x"), F.length("y")) > SHORT_CHARS
     out = materialize(both.where(~long).where(similar(4)).select("a", "b").unionByName(alike(both.where(long))), "links")
-    for done in (wanted, said, both):
-        drop_materialized(done)
+    drop_materialized(both)
     return out
 
 
@@ -389,9 +433,10 @@ def surplus(rows: DataFrame) -> DataFrame:
     kinds = every.groupBy("line").agg(F.min("sim").alias("sim"), F.min("size").alias("size"), F.min(place).alias("first"), F.max("keys").alias("keys"))
     kinds = materialize(kinds, "kinds")
     met = materialize(blocks_met(kinds), "blocks")
+    said = materialize(texts_of(every, met), "said")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        return verified(pairs, kinds, rows)
+        return verified(pairs, said)
 
     links, labels = connected(stars(met), verify)
     links, labels = connected(pairs_between_components(met, labels), verify, links, labels)
@@ -405,7 +450,7 @@ def surplus(rows: DataFrame) -> DataFrame:
         known = known.withColumn("kept", F.col("first"))
     gone = every.join(known.select("line", "kept"), "line").where(place != F.col("kept")).select("k", "at")
     out = materialize(gone.groupBy("k").agg(F.collect_set("at").alias("gone")), "gone")
-    for done in (every, kinds, met):
+    for done in (every, kinds, met, said):
         drop_materialized(done)
     return out
 

@@ -577,6 +577,19 @@ def test_jaccard_wide_sketches_tell_large_sets(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op2(spark, df).collect()} == jaccard.brute_force(rows)
 
 
+def test_jaccard_hands_python_small_batches(spark, docs, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], jaccard.materialize
+    before = spark.conf.get(key)
+
+    def spy(df, name):
+        seen.append(int(spark.conf.get(key)))
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard, "materialize", spy)
+    assert jaccard.op2(spark, docs.limit(50)).count() == 50
+    assert max(seen) <= 512 and spark.conf.get(key) == before
+
+
 def test_jaccard_bands_hold_all_sizes_that_fit(spark):
     rows = spark.range(1, 5000).select(F.col("id").cast("int").alias("n"))
     for percent in (80, 90):

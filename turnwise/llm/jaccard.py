@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import drop_materialized, materialize
+from ..session import arrow_rows, drop_materialized, materialize
 from .components import connected
 from .tables import sift
 from .words import as_long, chunks, mix, split_words, windows
@@ -61,6 +61,7 @@ FREQUENT = 1 << 17  # so many tokens have their place in the order by frequency:
 SKETCH_WORDS = 8  # 64-bit words of a set's parity sketch; larger sets have a wide one beside it
 BAND = 4  # sizes of one band: so many times as far apart, by their logarithms, as those of a link
 VERIFY_COST = 24.0  # of verifying a pair, in postings
+TEXT_ROWS = 512  # of a batch that Spark hands to Python
 MEET_PAIRS = 64  # pairs of one set that a copy of it serves
 _SEED, _BASE = 0xA4093822299F31D0, 0x9E3779B97F4A7C15
 _EMPTY = np.zeros(0, np.uint64)
@@ -363,6 +364,12 @@ def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame, width: int, p
 
 
 def join_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """``joined``, with batches of ``TEXT_ROWS`` rows: all that runs in Python is written before it returns."""
+    with arrow_rows(docs.sparkSession, TEXT_ROWS):
+        return joined(docs, width, percent)
+
+
+def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id, n_links, k, root for every row.
 
     ``class_id`` is the least doc_id of the rows with an equal set; ``n_links``
@@ -417,9 +424,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     unlike texts share, stand for themselves. Rows without a word link with
     nothing and stay, those of equal doc_id and text once; a null id equals none.
     """
-    joined = materialize(join_documents(docs, width, percent).select("doc_id", "k", "root"), "joined")
-    keep = joined.where("root is not null").groupBy("root").agg(least_row().alias("least")).select(F.col("least.k").alias("_k"))
-    wordless = joined.where("root is null").select(F.col("k").alias("_k")).distinct()
+    rooted = materialize(join_documents(docs, width, percent).select("doc_id", "k", "root"), "joined")
+    keep = rooted.where("root is not null").groupBy("root").agg(least_row().alias("least")).select(F.col("least.k").alias("_k"))
+    wordless = rooted.where("root is null").select(F.col("k").alias("_k")).distinct()
     whole = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_id"), row_key().alias("_k"))
     kept = whole.join(keep, "_k", "left_semi").dropDuplicates(["_k"])
     empty = whole.join(wordless, "_k", "left_semi")

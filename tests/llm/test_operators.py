@@ -477,6 +477,44 @@ def test_lines_blocks_are_read_across_batches(spark, batch):
     assert all(len({r.line2 for r in got if r.key == k} & set(members)) == (len(members) > 1) for k, members in enumerate(blocks))
 
 
+def test_lines_pairs_are_not_looked_up_again_for_new_labels(spark, monkeypatch):
+    """Later rounds look up two components, not each pair between them; blocks of lines that do not link keep their result."""
+    apart, moved, sizes = components.still_apart, components.moved_on, []
+
+    def first_only(pairs, labels):
+        assert labels is None
+        return apart(pairs, labels)
+
+    def spy(pairs, labels):
+        out = moved(pairs, labels)
+        sizes.append((pairs.count(), pairs.select("ra", "rb").distinct().count()))
+        assert {(r.a, r.b) for r in out.collect()} == {(r.a, r.b) for r in apart(pairs.select("a", "b", "far"), labels).collect()}
+        return out
+
+    monkeypatch.setattr(components, "still_apart", first_only)
+    monkeypatch.setattr(components, "moved_on", spy)
+    base = " ".join(f"{x}{x}{y}ord" for x in "abcdef" for y in "ghij")
+    rows = [(100 * g + i, f"{base} {'kmnpqrs'[g] * 26} {'tuvwxyz'[g] * 24} {chr(97 + i) * 2}") for g in range(7) for i in range(12)]
+    keys, sim = sketched(sorted({n for _, t in rows for n in normalised(t)}))
+    want = left_by_edit(rows, lambda a, b: keys[a] & keys[b] and (sim[a] ^ sim[b]).bit_count() <= lines.HAMMING)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.text for r in lines.op7(spark, df).collect()} == want
+    assert sum(want[d] != "" for d, _ in rows) == 7 and any(n > two for n, two in sizes)
+
+
+@pytest.mark.parametrize("held", [4, 1 << 20])
+def test_lines_blocks_hold_one_line_of_a_hot_key(spark, held, monkeypatch):
+    """One row per pair of key and line and one centre per key, however few numbers a task holds at once."""
+    monkeypatch.setattr(lines, "DEALT_KEYS", held)
+    keys = {line: [7 << 55, (line % 5) << 40, -1 - line] for line in range(60)}
+    df = spark.createDataFrame([(line, line * 3, line + 20, k) for line, k in keys.items()], "line long, sim long, size int, keys array<long>").repartition(4)
+    assert lines.dealt_keys(df).schema["key"].dataType.simpleString() == "array<bigint>"
+    got = lines.blocks_met(df).collect()
+    assert sorted((r.key, r.line) for r in got) == sorted((k, line) for line, ks in keys.items() for k in ks[:2])
+    assert all(r.wide and (r.sim, r.size, r.sim2, r.size2) == (r.line * 3, r.line + 20, r.line2 * 3, r.line2 + 20) for r in got)
+    assert len({(r.key, r.line2) for r in got}) == 6
+
+
 def test_lines_keep_columns(spark, odd, empty):
     extra = odd.withColumns({"left": F.lit("l"), "k": F.lit(1), "gone": F.lit(2)})
     out = lines.cleaned(extra)

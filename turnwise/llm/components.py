@@ -122,9 +122,18 @@ def still_apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return named.where("ra <> rb").select("a", "b", "far", "ra", "rb")
 
 
+def moved_on(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, far, ra, rb) under later labels; two components are looked up once, not once per pair between them."""
+    a, b = (labels.select(F.col("node").alias(f"r{x}"), F.col("root").alias(f"n{x}")) for x in "ab")
+    two = pairs.select("ra", "rb").distinct().join(a, "ra", "left").join(b, "rb", "left").withColumns({"na": F.coalesce("na", "ra"), "nb": F.coalesce("nb", "rb")})
+    return pairs.join(two.where("na <> nb"), ["ra", "rb"]).select("a", "b", "far", F.col("na").alias("ra"), F.col("nb").alias("rb"))
+
+
 def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links: DataFrame | None = None, labels: DataFrame | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """(links, labels) once every candidate pair (a, b, far) is verified or lies inside a component; labels leave out the roots.
 
+    Pairs that stand between two components of ``labels`` may carry these as ra and rb.
+
     Each round every component offers the pair out of it that seems the nearest
     (least ``far``, of the nearest ones of each two components), these are verified, and the components are made anew: pairs
     of a group of copies fall inside after a few rounds, a component's worth of
@@ -133,8 +142,9 @@ def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links:
     and gives those that link, written.
     """
     worth = True
+    pairs = pairs if "ra" in pairs.columns else still_apart(pairs, labels)
     for step in range(PICKS + 1):
-        pairs = materialize(still_apart(pairs, labels), "apart")
+        pairs = materialize(moved_on(pairs, labels) if step else pairs, "apart")
         if pairs.isEmpty():
             drop_materialized(pairs)
             break
@@ -151,5 +161,5 @@ def connected(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], links:
         if last:
             break
         worth = found.count() >= WORTH * picks.count()
-        pairs = pairs.join(picks, ["a", "b"], "left_anti").select("a", "b", "far")
+        pairs = pairs.join(picks, ["a", "b"], "left_anti")
     return links, labels

@@ -18,8 +18,8 @@ equal. Lines little longer than the start of their band
 are in the band below as well. README has the recall against edit similarity
 alone. All of this depends on the two lines only, never on how many there are.
 
-Rows (key, line), numbers alone, meet sorted by key and are read in order, so a hot
-block is a task's longer run and is never held. Lengths are counted in characters, so no
+Rows (key, line), numbers alone, travel as arrays, one for each part of the keys' range, and
+meet part by part; of a hot block one line alone is held. Lengths are counted in characters, so no
 two lines meet whose lengths alone rule a link out. Texts of lines that stand in
 shared blocks are set aside once. Each block
 yields a star, one of its lines with all others; every component verifies its
@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import drop_materialized, materialize
+from ..session import arrow_rows, drop_materialized, materialize
 from .components import connected
 from .tables import sift
 from .words import Words, as_long, chunks, mix, split_words
@@ -56,6 +56,9 @@ BANDS = ((8, 5, 2, 4), (16, 4, 1, 4), (24, 6, 1, 4), (32, 8, 1, 4))
 OVERLAP = 1.25  # a line up to so much longer than a band of lengths is in the band below too
 SHORT_CHARS = 64  # texts up to this length are compared by the JVM
 BOUNDS_CHARS = 256  # beyond this length bounds cost less than the distance
+PART_BITS = 12  # the range of the keys is dealt in so many bits' parts
+DEALT_KEYS = 1 << 20  # keys that a task deals, or holds, at once
+DEALT_ROWS = 2048  # of a batch that Spark hands to Python there
 _BINS = 8192
 _SEED = 0x082EFA98EC4E6C89
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -222,54 +225,91 @@ def may_link() -> Column:
 MET = ("key", "line", "sim", "size")
 
 
+def dealt_keys(kinds: DataFrame) -> DataFrame:
+    """(part, key, line, sim, size) of kinds' keys, as arrays: a task's numbers of a part of the keys' range are a row, or a few."""
+    types = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    schema = pa.schema(list(zip(("part", *MET), types, strict=True)))
+
+    def rows_of(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        part = (columns[0].view(np.uint64) >> np.uint64(64 - PART_BITS)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.nonzero(np.append(True, part[1:] != part[:-1]))[0]
+        offsets = pa.array(np.append(first, len(part)).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(part[first]), *arrays], schema=schema)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            keys = batch.column(0)
+            count = np.diff(keys.offsets.to_numpy())
+            held.append([keys.flatten().to_numpy(), *[np.repeat(c.to_numpy(), count) for c in batch.columns[1:]]])
+            n += int(count.sum())
+            if n >= DEALT_KEYS:
+                yield rows_of(held)
+                held, n = [], 0
+        if n:
+            yield rows_of(held)
+
+    found = kinds.where(F.size("keys") > 0).select("keys", "line", "sim", "size")
+    return found.mapInArrow(run, "part int, key array<long>, line array<long>, sim array<long>, size array<int>")
+
+
 def blocks_met(kinds: DataFrame) -> DataFrame:
     """(key, line, sim, size, line2, sim2, size2, wide) of the blocks that two lines or more share, line2 being one line for all of a block; wide: three or more do.
 
-    A block's rows follow each other, and whichever came first is its line2.
+    A part's rows follow each other. Of a block of three lines or more only line2 is held once ``DEALT_KEYS`` numbers have come.
     """
-    each = kinds.select(F.explode("keys").alias("key"), "line", "sim", "size")
-    dealt = each.repartition("key").sortWithinPartitions("key")  # by one number, which Spark sorts by its digits
+    dealt = dealt_keys(kinds).repartition("part").sortWithinPartitions("part")
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32()]
     schema = pa.schema([*zip(MET, types, strict=True), *zip((f"{c}2" for c in MET[1:]), types[1:], strict=True), ("wide", pa.bool_())])
 
-    def batch_of(rows: list[np.ndarray], centre: list[np.ndarray], wide: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*rows, *centre, wide], [*types, *types[1:], pa.bool_()], strict=True)], schema=schema)
-
-    def shared(rows: list[np.ndarray]) -> pa.RecordBatch:
-        first = np.nonzero(np.append(True, rows[0][1:] != rows[0][:-1]))[0]
-        n = np.diff(np.append(first, len(rows[0])))
+    def settled(rows: list[np.ndarray], over: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        """The rows whose block has its line2, and what has to be held until the part is over; the last column says which rows were given before, as a line2."""
+        order = np.lexsort((~rows[-1], rows[0]))
+        rows = [c[order] for c in rows]
+        new = np.append(True, rows[0][1:] != rows[0][:-1])
+        first = np.nonzero(new)[0]
+        n = np.diff(np.append(first, len(new)))
         n, first = np.repeat(n, n), np.repeat(first, n)
-        met = n > 1
-        return batch_of([c[met] for c in rows], [c[first[met]] for c in rows[1:]], n[met] > 2)
+        given, before = rows[-1], rows[-1][first]
+        wide = before | (n > 2)
+        ready = (n > 1) if over else wide
+        out = ready & ~given
+        columns = [*[c[out] for c in rows[:-1]], *[c[first[out]] for c in rows[1:-1]], wide[out]]
+        held = np.zeros(len(new), bool) if over else ~ready | new
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        return batch, [*[c[held] for c in rows[:-1]], ready[held]]
 
     def run(batches):
-        held, centre = None, None  # the rows of a last block of one or two so far; the first row of a longer one
+        now, held, n, most = None, [], 0, DEALT_KEYS
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                rows, held = [np.concatenate(x) for x in zip(held, rows, strict=True)], None
-            if centre is not None:
-                of = int(np.searchsorted(rows[0] != centre[0], True))
-                yield batch_of([c[:of] for c in rows], [np.repeat(c, of) for c in centre[1:]], np.ones(of, bool))
-                rows = [c[of:] for c in rows]
-            if not len(rows[0]):
-                continue
-            last = int(np.searchsorted(rows[0], rows[0][-1]))
-            if len(rows[0]) - last > 2:
-                centre = [c[last] for c in rows]
-                yield shared(rows)
-            else:
-                held, centre = [c[last:] for c in rows], None
-                yield shared([c[:last] for c in rows])
-        if held is not None:
-            yield shared(held)
+            part = batch.column(0).to_numpy()
+            first = np.nonzero(np.append(True, part[1:] != part[:-1]))[0]
+            for at, to in zip(first, np.append(first[1:], len(part)), strict=True):
+                if held and part[at] != now:
+                    yield settled([np.concatenate(x) for x in zip(*held, strict=True)], True)[0]
+                    held, n, most = [], 0, DEALT_KEYS
+                now = part[at]
+                rows = [c.slice(at, to - at).flatten().to_numpy() for c in batch.columns[1:]]
+                held.append([*rows, np.zeros(len(rows[0]), bool)])
+                n += len(rows[0])
+                if n >= most:
+                    found, left = settled([np.concatenate(x) for x in zip(*held, strict=True)], False)
+                    yield found
+                    held, n = [left], len(left[0])
+                    most = max(DEALT_KEYS, 2 * n)
+        if held:
+            yield settled([np.concatenate(x) for x in zip(*held, strict=True)], True)[0]
 
     return dealt.mapInArrow(run, "key long, line long, sim long, size int, line2 long, sim2 long, size2 int, wide boolean")
 
 
-def named_pairs(both: DataFrame) -> DataFrame:
+def named_pairs(both: DataFrame, *more: Column) -> DataFrame:
     far = F.bit_count(F.col("sim").bitwiseXOR(F.col("sim2"))).alias("far")
-    return both.select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b"), far).distinct()
+    return both.select(F.least("line", "line2").alias("a"), F.greatest("line", "line2").alias("b"), far, *more).distinct()
 
 
 def stars(met: DataFrame) -> DataFrame:
@@ -287,7 +327,9 @@ def pairs_between_components(met: DataFrame, labels: DataFrame | None) -> DataFr
     minor = open_.where("root <> largest").select("key", *[F.col(c).alias(f"{c}2") for c in ("line", "sim", "size", "root")])
     once = (F.col("root") == F.col("largest")) | (F.col("line") < F.col("line2"))
     both = open_.join(minor, "key").where((F.col("root") != F.col("root2")) & once & may_link())
-    return named_pairs(both)
+    first = F.col("line") < F.col("line2")
+    roots = [F.when(first, F.col(x)).otherwise(F.col(y)).alias(z) for x, y, z in (("root", "root2", "ra"), ("root2", "root", "rb"))]
+    return named_pairs(both, *roots)
 
 
 def texts_of(every: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -418,7 +460,7 @@ def similar(narrow: int) -> Column:
 
 
 def verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
-    left, right = (said.select(F.col("line").alias(x), F.col("said").alias(y)) for x, y in (("a", "x"), ("b", "y")))
+    left, right = (sift(said.select(F.col("line").alias(x), F.col("said").alias(y)), x, pairs.select(x)) for x, y in (("a", "x"), ("b", "y")))
     both = materialize(pairs.select("a", "b").join(left, "a").join(right, "b"), "both")
     long = F.greatest(F.length("x"), F.length("y")) > SHORT_CHARS
     out = materialize(both.where(~long).where(similar(4)).select("a", "b").unionByName(alike(both.where(long))), "links")
@@ -428,11 +470,12 @@ def verified(pairs: DataFrame, said: DataFrame) -> DataFrame:
 
 def surplus(rows: DataFrame) -> DataFrame:
     """(k, gone): the places of the lines that go, per document."""
-    every = materialize(lines(rows), "lines")
+    every = materialize(lines(rows), "lines", "zstd")  # texts, for the most part
     place = F.struct("doc_id", "k", "at")
     kinds = every.groupBy("line").agg(F.min("sim").alias("sim"), F.min("size").alias("size"), F.min(place).alias("first"), F.max("keys").alias("keys"))
     kinds = materialize(kinds, "kinds")
-    met = materialize(blocks_met(kinds), "blocks")
+    with arrow_rows(rows.sparkSession, DEALT_ROWS):
+        met = materialize(blocks_met(kinds), "blocks")
     said = materialize(texts_of(every, met), "said")
 
     def verify(pairs: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a result to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write a result to the shared folder, compressed as Spark is told to or by ``codec``, and read it back.
 
     Cuts the lineage with files that outlive any executor, so that a lost one
     costs a re-read and not the whole history; also freezes values that are not
@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -56,6 +56,7 @@ BANDS = ((8, 5, 2, 4), (16, 4, 1, 4), (24, 6, 1, 4), (32, 8, 1, 4))
 OVERLAP = 1.25  # a line up to so much longer than a band of lengths is in the band below too
 SHORT_CHARS = 64  # texts up to this length are compared by the JVM
 BOUNDS_CHARS = 256  # beyond this length bounds cost less than the distance
+SIDE_CHARS, SIDE_PAIRS, SIDE_CELLS, SIDE_SIGNS = 640, 512, 1 << 18, 128  # texts up to this length are compared side by side, so many pairs, or characters, at once, of so many different ones
 PART_BITS = 12  # the range of the keys is dealt in so many bits' parts
 DEALT_KEYS = 1 << 20  # keys that a task deals, or holds, at once
 DEALT_ROWS = 2048  # of a batch that Spark hands to Python there
@@ -425,11 +426,62 @@ def within(x: str, y: str, most: int) -> bool:
     return now <= most
 
 
+def within_each(xs: list[str], ys: list[str], most: list[int]) -> np.ndarray:
+    """``within`` of each pair of texts that are not empty, side by side: a step is one column of every pair's table, 64 rows of it a number."""
+    n, m = (np.array([len(s) for s in t]) for t in (xs, ys))
+    room, rows = np.array(most), len(xs)
+    every = np.frombuffer("".join([*xs, *ys]).encode("utf-32-le"), "<u4")
+    codes = np.unique(every, return_inverse=True)[1] + 1
+    words, signs = -(-int(n.max()) // 64), int(codes.max()) + 1
+    if signs > SIDE_SIGNS:
+        return np.array([within(*pair) for pair in zip(xs, ys, most, strict=True)])
+
+    def table(size: np.ndarray, width: int, flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((rows, width), np.uint8)
+        out[np.arange(width) < size[:, None]] = flat
+        return out
+
+    x, y = table(n, 64 * words, codes[: n.sum()]), np.ascontiguousarray(table(m, int(m.max()), codes[n.sum() :]).T)
+    one = np.uint64(1)
+    # bit i of places[w, c, r]: whether character 64 w + i of text r is c; no character is 0
+    places = np.stack([np.packbits(x == c, axis=1, bitorder="little").view(np.uint64).T if c else np.zeros((words, rows), np.uint64) for c in range(signs)], 1)
+    up, down = np.full((words, rows), ~np.uint64(0)), np.zeros((words, rows), np.uint64)
+    last, bit = (n - 1) // 64, ((n - 1) % 64).astype(np.uint64)
+    now, yes, told, live = n.copy(), np.zeros(rows, bool), np.zeros(rows, bool), np.arange(rows)
+    for j in range(int(m.max())):
+        each, rise, fall = np.arange(len(live)), np.empty_like(up), np.empty_like(up)
+        into, out = np.ones(len(live), np.uint64), np.zeros(len(live), np.uint64)  # the difference above a word: more, less
+        for w in range(words):
+            eq = places[w][y[j], each]
+            level = eq | down[w]
+            eq = eq | out
+            kept = (((eq & up[w]) + up[w]) ^ up[w]) | eq
+            more, less = down[w] | ~(kept | up[w]), up[w] & kept
+            rise[w], fall[w] = more, less
+            more, less, into, out = more << one | into, less << one | out, more >> np.uint64(63), less >> np.uint64(63)
+            up[w], down[w] = less | ~(level | more), more & level
+        now += ((rise[last, each] >> bit) & one).astype(np.int64) - ((fall[last, each] >> bit) & one).astype(np.int64)
+        # a column changes the last row by one at most
+        done = ~told & ((m == j + 1) | (now - (m - j - 1) > room))
+        if done.any():
+            yes[live[done]] = now[done] <= room[done]
+            told |= done
+            left = ~told
+            if not left.any():
+                break
+            if 4 * left.sum() > 3 * len(live):
+                continue
+            told, live, places, y, up, down = told[left], live[left], places[:, :, left], y[:, left], up[:, left], down[:, left]
+            last, bit, now, m, room = last[left], bit[left], now[left], m[left], room[left]
+    return yes
+
+
 def alike(pairs: DataFrame) -> DataFrame:
     """(a, b) of the pairs of texts (a, b, x, y) that are similar: by bounds where these tell, else by their distance."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def similar_texts(x: str, y: str) -> bool:
+    def settled(x: str, y: str) -> bool | tuple[str, str, int]:
+        """Whether x and y are similar, or what is left to compare: two texts and the distance that they may have."""
         room = int((1 - SIMILAR) * max(len(x), len(y)) + 1e-9)
         # what they begin and end with in common has no part in the distance
         same = same_start(x, y)
@@ -442,12 +494,21 @@ def alike(pairs: DataFrame) -> DataFrame:
             least, most = distance_bounds(x, y)
             if most <= room or least > room:
                 return most <= room
-        return within(x, y, room)
+        if not x or not y:
+            return False
+        return (x, y, room) if max(len(x), len(y)) <= SIDE_CHARS else within(x, y, room)
 
     def run(batches):
         for batch in batches:
-            yes = [similar_texts(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(yes, pa.bool_())) for c in batch.columns[:2]], schema=schema)
+            found = [settled(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yes = np.array([f is True for f in found], bool)
+            # pairs of about the same length go side by side
+            rest = sorted((i for i, f in enumerate(found) if isinstance(f, tuple)), key=lambda i: (-(-len(found[i][0]) // 64), len(found[i][1])))
+            while rest:
+                take = max(1, SIDE_CELLS // max(len(found[i][0]) for i in rest[:SIDE_PAIRS]))
+                some, rest = rest[: min(take, SIDE_PAIRS)], rest[min(take, SIDE_PAIRS) :]
+                yes[some] = within_each(*map(list, zip(*(found[i] for i in some), strict=True)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(yes)) for c in batch.columns[:2]], schema=schema)
 
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 

@@ -4,12 +4,14 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from turnwise.llm import chat, components, jaccard, language, lines, mixing, packing, quality, sharding, substrings, topk
+from turnwise.session import shared_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
@@ -477,6 +479,20 @@ def test_lines_blocks_are_read_across_batches(spark, batch):
     assert all(len({r.line2 for r in got if r.key == k} & set(members)) == (len(members) > 1) for k, members in enumerate(blocks))
 
 
+@pytest.mark.parametrize("alphabet", ["ab ", "abcdefghé 𝄞", "".join(map(chr, range(0x4E00, 0x4EC0)))])
+def test_distances_side_by_side(alphabet):
+    rng = np.random.default_rng(5)
+    draw = lambda n: "".join(alphabet[int(i)] for i in rng.integers(len(alphabet), size=n))
+    xs = [draw(int(n)) for n in rng.choice([1, 2, 63, 64, 65, 128, 200], size=60)]
+    ys = []
+    for x in xs:
+        cut = int(rng.integers(len(x) + 1))
+        ys.append(draw(int(rng.integers(1, 80))) if rng.random() < 0.2 else x[:cut] + draw(int(rng.integers(1, 9))) + x[cut + int(rng.integers(6)) :])
+    distance = [edit(x, y) for x, y in zip(xs, ys, strict=True)]
+    for off in (-1, 0, 1):
+        assert lines.within_each(xs, ys, [d + off for d in distance]).tolist() == [off >= 0] * len(xs)
+
+
 def test_lines_pairs_are_not_looked_up_again_for_new_labels(spark, monkeypatch):
     """Later rounds look up two components, not each pair between them; blocks of lines that do not link keep their result."""
     apart, moved, sizes = components.still_apart, components.moved_on, []
@@ -502,6 +518,20 @@ def test_lines_pairs_are_not_looked_up_again_for_new_labels(spark, monkeypatch):
     assert sum(want[d] != "" for d, _ in rows) == 7 and any(n > two for n, two in sizes)
 
 
+def test_documents_prefixes_are_written_once(spark, docs, monkeypatch):
+    """By the time pairs are made, the rows' prefixes and sketches are gone; those of the classes are left."""
+    postings, held = jaccard.postings, []
+
+    def spy(classes, percent):
+        held.extend(p for p in Path(shared_dir(spark).removeprefix("file://")).glob("signatures-*"))
+        return postings(classes, percent)
+
+    monkeypatch.setattr(jaccard, "postings", spy)
+    before = set(Path(shared_dir(spark).removeprefix("file://")).glob("signatures-*"))
+    assert jaccard.join_documents(docs.limit(50)).count() == 50
+    assert set(held) <= before
+
+
 @pytest.mark.parametrize("held", [4, 1 << 20])
 def test_lines_blocks_hold_one_line_of_a_hot_key(spark, held, monkeypatch):
     """One row per pair of key and line and one centre per key, however few numbers a task holds at once."""

@@ -381,6 +381,8 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
         least_row().alias("least"), F.first("n_shingles").cast("int").alias("n"), F.first("sketch").alias("sketch"), F.first("wide", ignorenulls=True).alias("wide"), F.max("prefix").alias("prefix")
     )
     places = materialize(places.select("c", F.col("least.doc_id").alias("class_id"), "n", "sketch", "wide", F.col("least.k").alias("_id"), "prefix"), "classes")
+    named = materialize(base.select("doc_id", "k", "n_shingles", "c1"), "rows")
+    drop_materialized(base)  # the classes have its prefixes and sketches
     met = materialize(postings(places, percent), "postings")
     short = materialize(pairs_of_short_lists(met, percent), "short")
 
@@ -401,7 +403,7 @@ def joined(docs: DataFrame, width: int, percent: int) -> DataFrame:
     least = known.groupBy("root").agg(F.min("class_id").alias("component_id"))
     by_class = known.join(least, "root").join(ends, "c", "left").select(F.col("c").alias("c1"), "component_id", "class_id", "n_links", "root")
     empty = F.col("n_shingles") == 0
-    out = base.select("doc_id", "k", "n_shingles", F.when(~empty, F.col("c1")).alias("c1")).join(by_class, "c1", "left")
+    out = named.select("doc_id", "k", "n_shingles", F.when(~empty, F.col("c1")).alias("c1")).join(by_class, "c1", "left")
     return out.select(
         "doc_id",
         "n_shingles",

@@ -83,6 +83,19 @@ def test_quality_of_runs_that_cross_frames(files):
     assert got["silent", 1].dropout_count == 0 and "empty" not in {c for c, _ in got}
 
 
+def test_runs_of_zeros_reach_spark_whole_and_only_if_long(spark):
+    """Noise with a zero in three samples has thousands of runs; quality sums them without a row of their own."""
+    x = np.arange(20_000) % 3 - 3 * (np.arange(20_000) % 3 == 2)
+    for a, b in ((0, 400), (5000, 9000), (12_001, 12_320), (19_500, 20_000)):
+        x[a:b] = 0
+    rows = fr.frames(spark.createDataFrame([("a", bytearray(wav(x)))], "call_id string, content binary"))
+    assert [(r.frame, r.start, r.end) for r in rows.select("frame", F.inline("zeros")).orderBy("start").collect()] == [(0, 0, 400), (31, 5000, 9001), (75, 12_000, 12_320), (121, 19_500, 20_000)]
+    got = rec.quality(rows)
+    row, plan = got.first(), got._jdf.queryExecution().executedPlan().toString()
+    assert (row.dropout_count, row.dropout_s, row.coverage) == (2, round((4001 + 320) / RATE, 4), coverage(x))
+    assert not any(x in plan for x in ("Window", "Generate", "Join"))
+
+
 def test_peaks_are_filled_up_and_packed(spark, files):
     got = {(r.call_id, r.channel): bytes(r.peaks) for r in rec.peaks(files, 30).collect()}
     for (call, c), data in got.items():

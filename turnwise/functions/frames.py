@@ -2,8 +2,9 @@
 
 A frame of a channel carries its samples' count, sum, sum of squares and of
 products with the other channel, least and greatest sample, clipped samples and
-its runs of zeros. All are whole numbers, so measures of a recording do not
-depend on how its frames were added up. What follows is Spark's work.
+zeros, and the channel's runs of zeros of ``DROPOUT_MS`` or more that start in
+it, whole. All are whole numbers, so measures of a recording do not depend on
+how its frames were added up. What follows is Spark's work.
 """
 
 from __future__ import annotations
@@ -20,23 +21,24 @@ from .audio import channels
 
 FULL_SCALE = 32768
 CLIP_DBFS = -0.1
+DROPOUT_MS = 40.0
 FRAME_S = 0.02
 FRAME = """channels int, rate int, channel int, frame long, n int, total long, squares long, products long, lo int, hi int, clipped int,
-    zeros array<struct<start:long,end:long>>, first long, last long"""
+    silent int, zeros array<struct<start:long,end:long>>, first long, last long"""
 _ZEROS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), _ZEROS, pa.int64(), pa.int64()]
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), _ZEROS, pa.int64(), pa.int64()]
 
 
-def runs(mask: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of a mask, cut at frames of ``size``."""
-    at = np.arange(len(mask))
-    edge = at % size == 0
-    before, after = np.append(False, mask[:-1]), np.append(mask[1:], False)
-    return at[mask & (~before | edge)], at[mask & (~after | np.append(edge[1:], True))] + 1
+def runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a mask that are ``least`` or longer."""
+    edge = np.diff(np.concatenate(([0], mask.astype(np.int8), [0])))
+    starts, ends = np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]
+    long = ends - starts >= least
+    return starts[long], ends[long]
 
 
-def framed(data: np.ndarray, size: int) -> Iterator[list[list]]:
-    """Per channel the columns of FRAME from channel on; the last frame may be shorter."""
+def framed(data: np.ndarray, size: int, least: int) -> Iterator[list[list]]:
+    """Per channel the columns of FRAME from channel on, with runs of ``least`` zeros or more; the last frame may be shorter."""
     n = data.shape[1]
     first = np.arange(0, n, size)
     if not len(first):
@@ -44,7 +46,7 @@ def framed(data: np.ndarray, size: int) -> Iterator[list[list]]:
     clip = FULL_SCALE * 10.0 ** (CLIP_DBFS / 20)
     for c, raw in enumerate(data):
         x, other = raw.astype(np.int64), data[1 - c if c < 2 <= len(data) else c].astype(np.int64)
-        starts, ends = runs(x == 0, size)
+        starts, ends = runs(x == 0, least)
         of, spoken = starts // size, np.nonzero(x)[0]
         ends_of = [[] for _ in first]
         for k, a, b in zip(of.tolist(), starts.tolist(), ends.tolist(), strict=True):
@@ -57,7 +59,7 @@ def framed(data: np.ndarray, size: int) -> Iterator[list[list]]:
         none = [None if h < 0 else h for h in highest.tolist()]
         yield [
             [c] * len(first), list(range(len(first))), np.diff(np.append(first, n)).tolist(), *sums, np.minimum.reduceat(x, first).tolist(),
-            np.maximum.reduceat(x, first).tolist(), np.add.reduceat((np.abs(x) >= clip).astype(np.int64), first).tolist(), ends_of,
+            np.maximum.reduceat(x, first).tolist(), *[np.add.reduceat(v.astype(np.int64), first).tolist() for v in (np.abs(x) >= clip, x == 0)], ends_of,
             [None if h is None else low for low, h in zip(lowest.tolist(), none, strict=True)], none,
         ]
 
@@ -74,7 +76,7 @@ def frames(files: DataFrame, key: str = "call_id", seconds: float = FRAME_S, per
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
-        names = [key, "channels", "rate", "channel", "frame", "n", "total", "squares", "products", "lo", "hi", "clipped", "zeros", "first", "last"]
+        names = [key, "channels", "rate", "channel", "frame", "n", "total", "squares", "products", "lo", "hi", "clipped", "silent", "zeros", "first", "last"]
         kinds = [to_arrow_type(schema[0].dataType), *_KINDS]
         for batch in batches:
             for call, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -83,7 +85,7 @@ def frames(files: DataFrame, key: str = "call_id", seconds: float = FRAME_S, per
                 except (ValueError, EOFError, wave.Error):
                     continue
                 size = max(1, rate // per_second if per_second else int(rate * seconds))
-                for columns in framed(data, size):
+                for columns in framed(data, size, max(1, int(rate * DROPOUT_MS / 1000))):
                     n = len(columns[0])
                     whole = [[call] * n, [len(data)] * n, [rate] * n, *columns]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(whole, kinds, strict=True)], names=names)

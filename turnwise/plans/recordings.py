@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.frames import FRAME_S, FULL_SCALE, dbfs, frames, packed
+from ..functions.frames import DROPOUT_MS, FRAME_S, FULL_SCALE, dbfs, frames, packed
 from ..functions.stats import half_even
 from ..operators import intervals as iv
 from ..session import materialize
@@ -26,7 +26,6 @@ from ..session import materialize
 #: fixed limits of the measures
 MIXED, SILENT = 0.95, 0.02
 FLOOR_DBFS, FLOOR_MARGIN = -120.0, 6.0
-DROPOUT_MS = 40.0
 SPEECH_DBFS, HANGOVER_S, LEAST_S = -50.0, 0.20, 0.10
 DEAD_AIR_S = 1.5
 PEAKS_PER_S = 50
@@ -61,31 +60,30 @@ def layout(rows: DataFrame, key: str = "call_id") -> DataFrame:
     return both.select(key, F.when(mono, "mono").when(r >= MIXED, "mixed").otherwise("separated").alias("layout"), agent.cast("int").alias("agent_channel"))
 
 
-def zero_runs(rows: DataFrame, key: str = "call_id") -> DataFrame:
-    """key, channel, start, end (samples) of each run of zeros, whatever frames it spans."""
-    return iv.merged(rows.select(key, "channel", F.inline("zeros")), key, "channel")
-
-
 def quality(rows: DataFrame, key: str = "call_id") -> DataFrame:
-    """Peak and RMS level, coverage, share of clipped samples, and runs of zeros of ``DROPOUT_MS`` or more inside a channel's sound."""
+    """Peak and RMS level, coverage, share of clipped samples, and runs of zeros of ``DROPOUT_MS`` or more inside a channel's sound.
+
+    Sums per channel alone. A run before the first sound starts at 0; one after
+    the last sound is known by its length and taken off again.
+    """
     loud = F.greatest(F.max(F.abs("hi")), F.max(F.abs("lo")))
+    later = F.filter("zeros", lambda z: z.start > 0)
     per = rows.groupBy(key, "channel").agg(
-        F.max("rate").alias("rate"), F.sum("n").alias("n"), F.sum("squares").alias("q"), loud.alias("peak"), F.sum("clipped").alias("clipped"),
-        F.min("first").alias("first"), F.max("last").alias("last"), F.sum(F.aggregate("zeros", F.lit(0).cast("long"), lambda a, z: a + z.end - z.start)).alias("_zeros"),
+        F.max("rate").alias("rate"), F.sum("n").alias("n"), F.sum("squares").alias("q"), loud.alias("peak"), F.sum("clipped").alias("clipped"), F.sum("silent").alias("_silent"),
+        F.max("last").alias("last"), F.sum(F.size(later)).alias("runs"), F.sum(F.aggregate(later, F.lit(0).cast("long"), lambda a, z: a + z.end - z.start)).alias("samples"),
     )
     long = F.greatest(F.lit(1), (F.col("rate") * DROPOUT_MS / 1000).cast("int"))
-    inside = zero_runs(rows, key).join(per.select(key, "channel", "rate", "first", "last"), [key, "channel"])
-    inside = inside.where((F.col("start") > F.col("first")) & (F.col("end") <= F.col("last")) & (F.col("end") - F.col("start") >= long))
-    gone = inside.groupBy(key, "channel").agg(F.count("*").alias("runs"), F.sum(F.col("end") - F.col("start")).alias("samples"))
-    return per.join(gone, [key, "channel"], "left").select(
+    after = F.col("n") - 1 - F.col("last")
+    after = F.when(after >= long, after).otherwise(0)
+    return per.select(
         key,
         "channel",
-        half_even((F.col("n") - F.col("_zeros")) / F.col("n"), 4).alias("coverage"),
+        half_even((F.col("n") - F.col("_silent")) / F.col("n"), 4).alias("coverage"),
         half_even(F.when(F.col("peak") > 0, 20 * F.log10(F.col("peak") / FULL_SCALE)), 2).alias("peak_dbfs"),
         half_even(dbfs(F.col("q") / F.col("n")), 2).alias("rms_dbfs"),
         half_even(F.col("clipped") / F.col("n"), 6).alias("clipping_ratio"),
-        F.coalesce("runs", F.lit(0)).alias("dropout_count"),
-        half_even(F.coalesce("samples", F.lit(0)) / F.col("rate"), 4).alias("dropout_s"),
+        (F.col("runs") - (after > 0).cast("int")).alias("dropout_count"),
+        half_even((F.col("samples") - after) / F.col("rate"), 4).alias("dropout_s"),
     )
 
 
@@ -212,7 +210,7 @@ def audio_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(materialize(frames(synthesised(spark, sf_dir)), "frames"))
+    return quality(frames(synthesised(spark, sf_dir)))
 
 
 def audio_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
